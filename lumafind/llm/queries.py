@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe
 from .ngram_join import op4_ngram_join
+from .packing import op2_packing
+from .token_files import op9_token_files
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op4_ngram_join": op4_ngram_join,
+    "op9_token_files": op9_token_files,
+    "op10_bpe": op10_bpe,
 }
 
 SQL: dict[str, str] = {
