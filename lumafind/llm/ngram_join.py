@@ -9,7 +9,8 @@
    Jaccard >= t shares at least ``l`` of the first ``n - ceil(t*n) + l`` shingles of both sides.
 4. The overlap of two unions bounds the overlap of any query in one with any member of the other; only
    group pairs that reach the bound and whose sizes are compatible are opened: first their
-   representatives are compared, then, where these do not link, the members that reach the bound.
+   representatives are compared, then, where these do not link, each member of the smaller group that
+   reaches the bound is searched for in the larger one, block by block, up to its first similar member.
 5. Opened pairs are verified on the full sets. Components of all links give the class of each document.
 
 No step emits all pairs of a group of similar documents: inside a group the links are already there.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import documents, thin, written
@@ -30,7 +31,7 @@ from .components import components
 
 SHINGLE = 5
 PERCENT = 80
-BANDS = 4
+BANDS = 6
 #: Size of the count table of shingle hashes (a fixed 2**20 counters) and of the pieces it is merged in.
 SKETCH_BITS, PIECE_BITS = 20, 15
 _U = np.uint64
@@ -133,6 +134,49 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
     return both.mapInArrow(_similar(percent, id_type), f"u {kind}, v {kind}").distinct()
 
 
+def _search(percent: int, id_type: pa.DataType):
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        """The first member of the block that each asking document is similar to."""
+        us, vs = [], []
+        if asked.num_rows and held.num_rows:
+            members = list(shingle_sets(held.column("text"), SHINGLE))
+            sizes = np.array([len(s) for s in members])
+            tokens, owner = np.concatenate(members), np.repeat(np.arange(len(members)), sizes)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            ids = held.column("v").to_pylist()
+            for u, s in zip(asked.column("u").to_pylist(), shingle_sets(asked.column("text"), SHINGLE)):
+                begin, end = np.searchsorted(tokens, s), np.searchsorted(tokens, s, side="right")
+                n = end - begin
+                at = np.repeat(begin - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(members))
+                near = np.flatnonzero((both > 0) & (100 * both >= percent * (len(s) + sizes - both)))
+                if len(near):
+                    us.append(u), vs.append(ids[near[0]])
+        return pa.Table.from_arrays([pa.array(us, id_type), pa.array(vs, id_type)], ["u", "v"])
+
+    return run
+
+
+def searched(asked: DataFrame, members: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """asked(holds, u) against members(holds, v) of the same opened group: one link (u, v) for each block of
+    the group in which u has a similar member. A group's members are dealt into blocks of some 256 and its
+    askers into lots of some 2,048, so that no task holds a whole group; a member's text is sent once a lot."""
+    kind = dict(asked.dtypes)["u"]
+    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    sizes = asked.groupBy("holds").agg(F.expr("1 + count(*) div 2048").alias("lots")).join(members.groupBy("holds").agg(F.expr("1 + count(*) div 256").alias("blocks")), "holds")
+    asks = asked.join(sizes, "holds").withColumn("lot", F.pmod(F.xxhash64("u"), "lots")).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    held = members.join(sizes, "holds").withColumn("block", F.pmod(F.xxhash64("v"), "blocks")).withColumn("lot", F.explode(F.expr("sequence(0L, lots - 1)")))
+    need = asked.select("u").union(held.select("v")).distinct()
+    texts = thin(docs.select(F.col("doc_id").alias("node"), "text"), "node", need).groupBy("node").agg(F.collect_set("text").alias("texts"))
+
+    def with_text(frame: DataFrame, column: str) -> DataFrame:
+        return frame.join(texts.withColumnRenamed("node", column), column).select("holds", "block", "lot", column, F.explode("texts").alias("text"))
+
+    key = ["holds", "block", "lot"]
+    return with_text(asks, "u").groupBy(*key).cogroup(with_text(held, "v").groupBy(*key)).applyInArrow(_search(percent, id_type), f"u {kind}, v {kind}").distinct()
+
+
 def _near_leaders(reps: DataFrame) -> DataFrame:
     """Each representative with the smallest one that agrees with it on a band."""
     bands = reps.select("node", F.posexplode("bands").alias("band", "key"))
@@ -176,27 +220,26 @@ def document_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def named(frame: DataFrame, side: str) -> DataFrame:
         return frame.select(*(F.col(c).alias(side + c) for c in frame.columns))
 
-    tokens = marks.select("node", F.explode("prefix").alias("token")).join(grouped.select("node", "grp"), "node")
-    matrix = tokens.select("token", "grp").distinct()
-    met = named(matrix, "a").join(named(matrix, "b"), (F.col("atoken") == F.col("btoken")) & (F.col("agrp") < F.col("bgrp"))).groupBy("agrp", "bgrp").agg(F.count("*").alias("common"))
+    #: A shingle in one group only can't join two; the rest of the matrix is small.
+    places = marks.join(grouped.select("node", "grp"), "node").select(F.explode("prefix").alias("token"), "grp", "node")
+    by_token = Window.partitionBy("token")
+    matrix = written(places.withColumn("first", F.min("grp").over(by_token)).withColumn("last", F.max("grp").over(by_token)).filter("first < last").select("token", "grp", "node"), "matrix")
+    unions = matrix.select("token", "grp").distinct()
+    met = named(unions, "a").join(named(unions, "b"), (F.col("atoken") == F.col("btoken")) & (F.col("agrp") < F.col("bgrp"))).groupBy("agrp", "bgrp").agg(F.count("*").alias("common"))
     bound = F.least(F.expr("1 + alo div 20"), F.expr("1 + blo div 20"))
-    opened = written(met.join(named(groups, "a"), "agrp").join(named(groups, "b"), "bgrp").filter((F.col("common") >= bound) & reach("a", "b")).select("agrp", "bgrp", (F.col("asize") + F.col("bsize")).alias("size")), "opened")
+    opened = met.join(named(groups, "a"), "agrp").join(named(groups, "b"), "bgrp").filter((F.col("common") >= bound) & reach("a", "b"))
+    smaller = F.col("asize") <= F.col("bsize")
+    opened = written(opened.select(F.when(smaller, F.col("agrp")).otherwise(F.col("bgrp")).alias("asks"), F.when(smaller, F.col("bgrp")).otherwise(F.col("agrp")).alias("holds"), (F.col("asize") + F.col("bsize")).alias("size")), "opened")
 
     if not opened.isEmpty():
-        more = written(verified(opened.select(F.col("agrp").alias("u"), F.col("bgrp").alias("v")), docs, percent), "links")
-        links = links.union(more)
-        later = opened.filter("size > 2")
-        if not later.isEmpty():
+        links = links.union(written(verified(opened.select(F.col("asks").alias("u"), F.col("holds").alias("v")), docs, percent), "links"))
+        if not opened.filter("size > 2").isEmpty():
             now = components(links)
-            later = later.join(named(now, "a"), F.col("agrp") == F.col("anode"), "left").join(named(now, "b"), F.col("bgrp") == F.col("bnode"), "left").filter(~F.coalesce(F.col("acomponent") == F.col("bcomponent"), F.lit(False)))
-            later = written(later.select("agrp", "bgrp"), "opened")
-            if not later.isEmpty():
-                wide = tokens.join(reps, "node")
-                left = named(wide, "a").join(later.withColumnRenamed("bgrp", "other"), "agrp")
-                member = left.join(named(wide, "b"), (F.col("atoken") == F.col("btoken")) & (F.col("bgrp") == F.col("other")))
-                pairs = member.groupBy("anode", "bnode").agg(F.count("*").alias("common"), F.min("alo").alias("alo"), F.max("ahi").alias("ahi"), F.min("blo").alias("blo"), F.max("bhi").alias("bhi"))
-                pairs = written(pairs.filter((F.col("common") >= bound) & reach("a", "b")).select(F.col("anode").alias("u"), F.col("bnode").alias("v")), "pairs")
-                links = links.union(written(verified(pairs, docs, percent), "links"))
+            apart = opened.filter("size > 2").join(named(now, "a"), F.col("asks") == F.col("anode"), "left").join(named(now, "b"), F.col("holds") == F.col("bnode"), "left").filter(~F.coalesce(F.col("acomponent") == F.col("bcomponent"), F.lit(False)))
+            hits = matrix.join(apart.select(F.col("asks").alias("grp"), "holds"), "grp").join(unions.select("token", F.col("grp").alias("holds")), ["token", "holds"])
+            asked = hits.groupBy("holds", "node").agg(F.count("*").alias("common")).join(reps.select("node", "lo"), "node").join(groups.select(F.col("grp").alias("holds"), F.col("lo").alias("least")), "holds")
+            asked = written(asked.filter(F.col("common") >= F.least(F.expr("1 + lo div 20"), F.expr("1 + least div 20"))).select("holds", F.col("node").alias("u")), "asked")
+            links = links.union(written(searched(asked, grouped.select(F.col("grp").alias("holds"), F.col("node").alias("v")), docs, percent), "links"))
 
     linked = components(links.union(members.filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))))
     degree = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count("*").alias("n_links"))
