@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe
+from .language_id import op6_language_id
+from .line_dedup import op1_line_dedup
 from .ngram_join import op4_ngram_join
 from .packing import op2_packing
+from .quality import op3_quality_rules
 from .token_files import op9_token_files
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op3_quality_rules": op3_quality_rules,
     "op4_ngram_join": op4_ngram_join,
+    "op6_language_id": op6_language_id,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
 }
