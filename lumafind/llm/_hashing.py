@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21
+SLICE = 1 << 20
 _U = np.uint64
 _BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
 _SPACE = np.zeros(256, bool)
@@ -99,15 +99,20 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingles; a text with fewer words has its whole sequence as one."""
-    words, first = word_hashes(texts)
-    runs = shingles(words, size)
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        if b - a >= size:
-            yield np.unique(runs[a : b - size + 1])
-        elif b > a:
-            yield shingles(words[a:b], b - a) ^ _U(b - a)
-        else:
-            yield np.zeros(0, _U)
+    offsets, data = buffers(texts)
+    row, n = 0, len(offsets) - 1
+    while row < n:
+        last = min(n, max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE, side="right")) - 1))
+        words, first = hash_units(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row])
+        runs = shingles(words, size)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            if b - a >= size:
+                yield np.unique(runs[a : b - size + 1])
+            elif b > a:
+                yield shingles(words[a:b], b - a) ^ _U(b - a)
+            else:
+                yield np.zeros(0, _U)
+        row = last
 
 
 def set_keys(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -48,10 +48,11 @@ def slack(n: int) -> int:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(1 << SKETCH_BITS, np.int64)
+    low = _U(len(table) - 1)
     for batch in batches:
-        sets = list(shingle_sets(batch.column(0), SHINGLE))
-        if sets:
-            table += np.bincount((np.concatenate(sets) & _U(len(table) - 1)).astype(np.int64), minlength=len(table))
+        for s in shingle_sets(batch.column(0), SHINGLE):
+            #: The hashes of one set are distinct, but their low bits need not be.
+            np.add.at(table, (s & low).astype(np.int64), 1)
     for k, piece in enumerate(table.reshape(-1, 1 << PIECE_BITS)):
         if piece.any():
             yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counts": pa.array([piece.astype(np.int32).tobytes() if piece.max() < 2**31 else piece.tobytes()], pa.binary())})
@@ -83,30 +84,28 @@ SKETCHED = "doc_id {id}, n_shingles long, k1 long, k2 long, bands array<long>, p
 
 
 def _sketched(percent: int, counts, id_type: pa.DataType):
+    def prefix(s: np.ndarray, table: np.ndarray, usual: int) -> np.ndarray:
+        p = min(len(s), len(s) - least_overlap(len(s), percent) + slack(len(s)))
+        seen = table[(s & _U(len(table) - 1)).astype(np.int64)]
+        return s[np.lexsort((s, np.where(seen > usual, seen, 0)))[:p]] if (seen[:p] > usual).any() else s[:p]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         #: Only counts that stand out from the table's mean order shingles; the rest go by their hash.
-        usual = 2 * int(table.mean()) + 16
-        for batch in batches:
-            sizes, keys, bands, prefixes = [], [], [], []
-            for s in shingle_sets(batch.column(1), SHINGLE):
-                sizes.append(len(s))
-                if not len(s):
-                    keys.append((0, 0)), bands.append([]), prefixes.append([])
-                    continue
-                keys.append([int(k[0]) for k in set_keys(s, np.zeros(1, np.int64))])
-                mins = np.array([mix(s ^ _U(0x9E37 + 77 * j)).min() for j in range(2 * BANDS)], _U)
-                bands.append(mix(mins[::2] * _U(3) + mins[1::2] + np.arange(BANDS, dtype=_U)).view(np.int64))
-                p = min(len(s), len(s) - least_overlap(len(s), percent) + slack(len(s)))
-                seen = table[(s & _U(len(table) - 1)).astype(np.int64)]
-                often = np.flatnonzero(seen > usual)
-                if len(s) - len(often) >= p:
-                    chosen = np.delete(s, often)[:p] if len(often) else s[:p]
-                else:
-                    chosen = s[np.lexsort((s, np.where(seen > usual, seen, 0)))[:p]]
-                prefixes.append(chosen.view(np.int64))
-            k = np.array(keys, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), pa.array(sizes, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "k1", "k2", "bands", "prefix"])
+        usual = int(table.mean() + 4 * table.mean() ** 0.5) + 8
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                sets = list(shingle_sets(batch.column(1), SHINGLE))
+                keys = [[int(k[0]) for k in set_keys(s, np.zeros(1, np.int64))] if len(s) else (0, 0) for s in sets]
+                bands = []
+                for s in sets:
+                    mins = np.array([mix(s ^ _U(0x9E37 + 77 * j)).min() for j in range(2 * BANDS)], _U) if len(s) else None
+                    bands.append(mix(mins[::2] * _U(3) + mins[1::2] + np.arange(BANDS, dtype=_U)).view(np.int64) if len(s) else [])
+                k = np.array(keys, np.int64).reshape(-1, 2)
+                columns = [batch.column(0).cast(id_type), pa.array([len(s) for s in sets], pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1])]
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (bands, [prefix(s, table, usual).view(np.int64) for s in sets])]
+                yield pa.RecordBatch.from_arrays(columns + lists, ["doc_id", "n_shingles", "k1", "k2", "bands", "prefix"])
 
     return run
 
