@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op10_bpe
 from .language_id import op6_language_id
 from .line_dedup import op1_line_dedup
+from .lm_scoring import op5_lm_scoring
 from .ngram_join import op4_ngram_join
 from .packing import op2_packing
 from .quality import op3_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_ngram_join": op4_ngram_join,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_language_id": op6_language_id,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
