@@ -21,9 +21,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 MEMO = 500_000
 CHUNK = 400_000
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _RUN_ON = re.compile("  |\n\n|\n |\x00")
-_LATIN = re.compile("[\n\x20-\x7e\xa1-\xac\xae-ɏ]*").fullmatch
+_LATIN = re.compile("[\n\x20-\x7e\xa1-\xac\xae-\u024f]*").fullmatch
 #: The default pattern of byte-level pre-tokenizers, which their files don't spell out.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .ann import op8_ann
 from .bpe import op10_bpe
 from .language_id import op6_language_id
 from .line_dedup import op1_line_dedup
 from .lm_scoring import op5_lm_scoring
 from .ngram_join import op4_ngram_join
 from .packing import op2_packing
+from .pii import op7_pii
 from .quality import op3_quality_rules
 from .token_files import op9_token_files
 
@@ -18,6 +20,8 @@ QUERIES = {
     "op4_ngram_join": op4_ngram_join,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_language_id": op6_language_id,
+    "op7_pii": op7_pii,
+    "op8_ann": op8_ann,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
 }
