@@ -1,17 +1,53 @@
-"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, PII, packing."""
+"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, PII, packing.
+
+Each stage reads what its predecessor kept and, but for the last, returns the columns of documents. Packing
+returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+"""
 
 from __future__ import annotations
 
-from lumafind.llm import ngram_join
+import public_tokenizers
+
+from lumafind.llm import language_id, line_dedup, ngram_join, packing, pii
+from lumafind.llm._common import written
+
+
+def identify_language(spark, docs, sf_dir):
+    """Documents without a language leave; the model is learned from all labelled documents."""
+    return language_id.keep_identified(docs, language_id.learn(docs))
+
+
+def dedup_lines(spark, docs, sf_dir):
+    return line_dedup.dedup_lines(docs)
+
+
+def join_near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near duplicates stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def redact_personal_data(spark, docs, sf_dir):
+    return pii.redact(docs)
+
+
+def pack_sequences(spark, docs, sf_dir):
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
 STAGES = [
-    ("ngram_join", lambda spark, docs, sf_dir: ngram_join.one_of_each(docs)),
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", join_near_duplicates),
+    ("pii", redact_personal_data),
+    ("packing", pack_sequences),
 ]
+
+#: The language model, the trees and the tokenizer have no SQL form; the stages are tested one by one.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
