@@ -1 +1,172 @@
-"""Queries."""
+"""Queries of vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import vectors as V
+from .adapt import frame, tables
+from .registry import query
+
+DIM = 64
+COS = "round(list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b})), 6)"
+VECS = "SELECT vec_id AS id, CAST(label AS BIGINT) AS scope, embedding AS v FROM embeddings"
+BASE = "WITH e AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS scope, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT id AS query_id, scope, v FROM e WHERE id % 50 = 0)"
+EXACT = BASE + f", p AS (SELECT query_id, e.id, {COS.format(a='q.v', b='e.v')} AS cos FROM q JOIN e USING (scope)), x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id DESC) AS rank FROM p WHERE cos >= {{}})"
+HAM = BASE + ", h AS (SELECT query_id, e.id, CAST(list_sum(list_transform(range(1, 65), lambda i: CAST((q.v[i] > 0) <> (e.v[i] > 0) AS INT))) AS BIGINT) AS distance FROM q JOIN e USING (scope)), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id DESC) AS rank FROM h)"
+
+
+def vecs(spark, sf):
+    v = frame(spark, sf, VECS)
+    return v, v.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+
+
+def coded(spark, sf):
+    v, q = vecs(spark, sf)
+    code = lambda d: d.withColumn("code", V.binarize(F.col("v"), DIM))
+    return code(v), code(q)
+
+
+@query("G1_valid_vectors", "SELECT vec_id AS id, vec_id % 7 <> 0 AND vec_id % 11 <> 0 AS valid FROM embeddings")
+def valid_vectors(spark, sf):
+    v, _ = vecs(spark, sf)
+    broken = v.withColumn("v", F.expr("CASE WHEN id % 7 = 0 THEN transform(v, x -> float(0)) WHEN id % 11 = 0 THEN slice(v, 1, 63) ELSE v END"))
+    return V.valid_vectors(broken, DIM).select("id", "valid")
+
+
+@query("G2_binarize", "SELECT vec_id AS id, [CAST(list_sum(list_transform(range(1, 33), lambda i: CAST(embedding[i] > 0 AS BIGINT) << (32 - i))) AS BIGINT), CAST(list_sum(list_transform(range(33, 65), lambda i: CAST(embedding[i] > 0 AS BIGINT) << (64 - i))) AS BIGINT)] AS code FROM embeddings")
+def binarize(spark, sf):
+    return coded(spark, sf)[0].select("id", "code")
+
+
+@query("G3_hamming_topk", HAM + " SELECT query_id, id, distance, rank FROM t WHERE rank <= 20")
+def hamming_topk(spark, sf):
+    v, q = coded(spark, sf)
+    return V.hamming_topk(q.select("query_id", "scope", "code"), v.select("id", "scope", "code"), 20)
+
+
+@query("G4_rescore", HAM + f", s AS (SELECT t.query_id, t.id, {COS.format(a='q.v', b='e.v')} AS cos FROM t JOIN q USING (query_id) JOIN e ON e.id = t.id WHERE rank <= 20) SELECT query_id, id, cos, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id DESC) AS rank FROM s WHERE cos >= 0.1 QUALIFY rank <= 10")
+def rescore(spark, sf):
+    v, q = coded(spark, sf)
+    return V.rescore(V.hamming_topk(q.select("query_id", "scope", "code"), v.select("id", "scope", "code"), 20), q, v, 0.1, 10)
+
+
+@query("G5_exact_topk", EXACT.format(0.2) + " SELECT query_id, id, cos, rank FROM x WHERE rank <= 10")
+def exact_topk(spark, sf):
+    v, q = vecs(spark, sf)
+    return V.exact_topk(q, v, 0.2, 10)
+
+
+THRESH = BASE + ", th AS (SELECT i - 1 AS dim, quantile_cont(abs(v[i]), 0.5) AS threshold FROM e, range(1, 65) r(i) WHERE id % 10 = 0 GROUP BY i)"
+
+
+@query("G6_fit_thresholds", THRESH + " SELECT CAST(dim AS INT) AS dim, round(threshold, 6) AS threshold FROM th")
+def fit_thresholds(spark, sf):
+    v, _ = vecs(spark, sf)
+    return V.fit_thresholds(v, F.col("id") % 10 == 0).select("dim", F.round("threshold", 6).alias("threshold"))
+
+
+LEVELS = THRESH + ", ta AS (SELECT list(threshold ORDER BY dim) AS t FROM th), lv AS (SELECT id, scope, list_transform(range(1, 65), lambda i: CASE WHEN v[i] > t[i] THEN 3 WHEN v[i] > 0 THEN 2 WHEN v[i] > -t[i] THEN 1 ELSE 0 END) AS l FROM e, ta)"
+
+
+@query("G6_quantize2", LEVELS + " SELECT id, CAST(list_sum(l) AS INT) AS level_sum, round(1 / sqrt(list_sum(list_transform(l, lambda x: (x - 1.5) * (x - 1.5)))), 6) AS inv_norm FROM lv")
+def quantize2(spark, sf):
+    v, _ = vecs(spark, sf)
+    return V.quantize2(v, V.fit_thresholds(v, F.col("id") % 10 == 0), DIM).select("id", "level_sum", F.round("inv_norm", 6).alias("inv_norm"))
+
+
+@query("G7_approx2_topk", LEVELS + ", s AS (SELECT a.id AS query_id, b.id, round(list_sum(list_transform(range(1, 65), lambda i: (a.l[i] - 1.5) * (b.l[i] - 1.5))) / sqrt(list_sum(list_transform(a.l, lambda x: (x - 1.5) * (x - 1.5))) * list_sum(list_transform(b.l, lambda x: (x - 1.5) * (x - 1.5)))), 6) AS score FROM lv a JOIN lv b USING (scope) WHERE a.id % 50 = 0) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank FROM s QUALIFY rank <= 20")
+def approx2_topk(spark, sf):
+    v, _ = vecs(spark, sf)
+    q2 = V.quantize2(v, V.fit_thresholds(v, F.col("id") % 10 == 0), DIM)
+    return V.approx2_topk(q2.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), q2, DIM, 20)
+
+
+@query("G8_rerank", BASE + f", c AS (SELECT query_id, k AS id FROM q, range(0, 600, 7) r(k)) SELECT c.query_id, c.id, {COS.format(a='q.v', b='e.v')} AS cos FROM c JOIN q USING (query_id) LEFT JOIN e ON e.id = c.id")
+def rerank(spark, sf):
+    v, q = vecs(spark, sf)
+    return V.rerank(q.select("query_id", F.explode(F.expr("sequence(0L, 599L, 7L)")).alias("id")), q, v)
+
+
+STATE = "SELECT doc_id AS id, substr(text, 1, 12) AS input, CAST(1 + doc_id % 2 AS INT) AS input_version, doc_id % 5 <> 0 AS is_current, TIMESTAMP '2024-01-01 00:00:00' AS embedded_at FROM documents"
+
+
+def state(spark, sf):
+    """Items and a vector table for three quarters of them; every seventh has changed since."""
+    s = frame(spark, sf, STATE)
+    items = s.select("id", "input")
+    old = s.filter("id % 4 <> 0").withColumn("embedded_input", F.expr("if(id % 7 = 0, 'old', input)"))
+    made = V.embed(old.select(F.col("embedded_input").alias("input")).union(items.select("input")))
+    return items, old.join(made.withColumnRenamed("input", "embedded_input"), "embedded_input").withColumn("content_hash", F.sha2("embedded_input", 256)).drop("input"), made
+
+
+DOCS = f"WITH s AS ({STATE}), old AS (SELECT *, CASE WHEN id % 7 = 0 THEN 'old' ELSE input END AS embedded_input FROM s WHERE id % 4 <> 0)"
+
+
+@query("G9_pending_embeddings", DOCS + " SELECT id, input FROM s WHERE trim(input) <> '' AND id > 20 AND id <= 800 AND id NOT IN (SELECT id FROM old WHERE input_version = 2 AND is_current) ORDER BY id LIMIT 100")
+def pending_embeddings(spark, sf):
+    items, old, _ = state(spark, sf)
+    return V.pending_embeddings(items, old, 2, 20, 800, 100)
+
+
+@query("G10_reuse_vectors", DOCS + " SELECT s.id, s.input, sha256(s.input) AS hash FROM s WHERE s.id % 4 = 0 AND s.input IN (SELECT embedded_input FROM old WHERE input_version = 2 AND is_current)")
+def reuse_vectors(spark, sf):
+    items, old, _ = state(spark, sf)
+    return V.reuse_vectors(items.filter("id % 4 = 0"), old, 2).select("id", "input", "hash")
+
+
+@query("G11_embed", "SELECT DISTINCT substr(text, 1, 12) AS input, 16 AS n, 1.0::DOUBLE AS norm FROM documents")
+def embed(spark, sf):
+    (d,) = tables(spark, sf, "documents")
+    return V.embed(d.select(F.expr("substr(text, 1, 12)").alias("input"))).select("input", F.size("v").alias("n"), F.round(V.dot(F.col("v"), F.col("v")), 6).alias("norm"))
+
+
+@query("G12_save_vectors", DOCS + " SELECT id, input AS embedded_input FROM s WHERE id % 4 = 0 AND id % 3 <> 0")
+def save_vectors(spark, sf):
+    items, old, made = state(spark, sf)
+    new = items.join(made, "input").select("id", F.expr("if(id % 3 = 0, 'gone', input)").alias("embedded_input"), F.sha2(F.expr("if(id % 3 = 0, 'gone', input)"), 256).alias("content_hash"), "v")
+    return V.save_vectors(items, old, new).select("id", "embedded_input")
+
+
+@query("G13_invalidate", DOCS + " SELECT id, is_current AND id % 7 <> 0 AS is_current FROM old")
+def invalidate(spark, sf):
+    items, old, _ = state(spark, sf)
+    return V.invalidate(items, old).select("id", "is_current")
+
+
+@query("G13_save_vectors_v1", DOCS + " SELECT s.id, coalesce(old.id IS NULL OR s.id % 7 = 0 OR NOT old.is_current, true) AS written, true AS is_current FROM s LEFT JOIN old USING (id)")
+def save_vectors_v1(spark, sf):
+    items, old, made = state(spark, sf)
+    new = items.join(made, "input").select("id", F.sha2("input", 256).alias("content_hash"), "v")
+    return V.save_vectors_v1(old, new).select("id", "written", "is_current")
+
+
+@query("G14_refresh_bits", "SELECT vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN 'delete' WHEN vec_id % 3 = 0 THEN 'insert' WHEN vec_id % 4 = 0 THEN 'update' ELSE 'keep' END AS action FROM embeddings WHERE NOT (vec_id % 5 = 0 AND vec_id % 3 = 0)")
+def refresh_bits(spark, sf):
+    v, _ = coded(spark, sf)
+    items = v.select("id", F.expr("if(id % 5 = 0, 'unmatched', 'matched')").alias("status"), F.col("scope").alias("storage_location_id"))
+    current = v.select("id", "v", F.lit(2).alias("input_version"), F.lit(True).alias("is_current"))
+    bits = v.filter("id % 3 <> 0").select("id", F.expr("if(id % 4 = 0, scope + 1, scope)").alias("scope"), "code")
+    return V.refresh_bits(items, current, bits, 2, DIM).select("id", "action")
+
+
+@query("G15_replace_vectors", DOCS + " SELECT id, id % 7 <> 0 AND id % 2 = 0 AS replaced FROM old")
+def replace_vectors(spark, sf):
+    items, old, made = state(spark, sf)
+    dated = old.withColumn("embedded_at", F.expr("if(id % 2 = 0, timestamp '2024-01-01', timestamp '2024-06-01')"))
+    new = items.join(made, "input").select("id", F.sha2("input", 256).alias("content_hash"), "v")
+    return V.replace_vectors(dated, new, "2024-03-01").select("id", "replaced")
+
+
+@query("G16_overlap_at_k", HAM + f", s AS (SELECT t.query_id, t.id, {COS.format(a='q.v', b='e.v')} AS cos FROM t JOIN q USING (query_id) JOIN e ON e.id = t.id WHERE rank <= 20), a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id DESC) AS rank FROM s), p AS (SELECT query_id, e.id, {COS.format(a='q.v', b='e.v')} AS cos FROM q JOIN e USING (scope)), x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id DESC) AS rank FROM p) SELECT x.query_id, round(count(a.id) / count(*), 6) AS overlap FROM x LEFT JOIN a ON a.query_id = x.query_id AND a.id = x.id AND a.rank <= 10 WHERE x.rank <= 10 GROUP BY 1")
+def overlap_at_k(spark, sf):
+    v, q = coded(spark, sf)
+    near = V.rescore(V.hamming_topk(q.select("query_id", "scope", "code"), v.select("id", "scope", "code"), 20), q, v, -1.0, 10)
+    return V.overlap_at_k(near, V.exact_topk(q, v, -1.0, 10), 10)
+
+
+@query("G16_recall_at_k", EXACT.format(-1) + ", j AS (SELECT q.query_id, e.id FROM q JOIN e USING (scope) WHERE e.id % 9 = 0) SELECT round(avg(a), 6) AS recall_5, round(avg(b), 6) AS recall_20 FROM (SELECT j.query_id, count(*) FILTER (rank <= 5) / count(*) AS a, count(*) FILTER (rank <= 20) / count(*) AS b FROM j JOIN x USING (query_id, id) GROUP BY 1) y")
+def recall_at_k(spark, sf):
+    v, q = vecs(spark, sf)
+    judged = q.select("query_id", "scope").join(v.filter("id % 9 = 0").select("id", "scope"), "scope").select("query_id", "id")
+    return V.recall_at_k(V.exact_topk(q, v, -1.0, 1000), judged, [5, 20])
