@@ -1 +1,190 @@
-"""Queries."""
+"""Queries of text retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import terms as T
+from ..operators import search as R
+from .adapt import ITEMS, frame, tables
+from .registry import query
+
+NOW = "2025-01-01 00:00:00"
+PLAIN = r"trim(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+TEXT = "lower(concat_ws(' ', item_name, raw_category_name, color_name, description))"
+DOCS = f"i AS ({ITEMS}), d AS (SELECT id, storage_location_id AS location_id, {TEXT} AS search_text, registered_on FROM i WHERE status = 'matched' AND storage_location_id IS NOT NULL)"
+TOKENS = "flatten(list_transform(list_filter(string_split({0}, ' '), lambda w: w <> ''), lambda w: list_concat(['w:' || w], list_transform(range(1, length(w)), lambda k: 'c:' || substr(w, k, 2)))))"
+QUERIES = "q AS (SELECT query_id, text, string_split(text, ' ') AS terms FROM (SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[a-z]{4,}')[1:2], ' ') AS text FROM benchmark) b WHERE text <> ''), s AS (SELECT query_id, l AS location_id FROM q, range(0, 20) r(l) WHERE (query_id + l) % 4 = 0)"
+POOL = f"WITH {DOCS}, {QUERIES}, c AS (SELECT q.query_id, d.id, d.search_text FROM q JOIN s USING (query_id) JOIN d USING (location_id) WHERE len(list_filter(terms, lambda t: contains(search_text, t))) > 0)"
+SCORED = POOL + f""", p AS (SELECT query_id, id, {TOKENS.format(PLAIN.format('search_text'))} AS t FROM c), z AS (SELECT query_id, count(*) AS n, avg(len(t)) AS mean FROM p GROUP BY 1),
+ a AS (SELECT DISTINCT query_id, unnest({TOKENS.format('text')}) AS token FROM q), h AS (SELECT a.query_id, p.id, len(t) AS length, token, len(list_filter(t, lambda x: x = token)) AS tf FROM a JOIN p USING (query_id) WHERE list_contains(t, token)),
+ f AS (SELECT query_id, token, count(*) AS df FROM h GROUP BY 1, 2), w AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS raw FROM h JOIN f USING (query_id, token) JOIN z USING (query_id) GROUP BY 1, 2),
+ b AS (SELECT query_id, id, round(raw / (raw + 1), 6) AS score FROM w WHERE raw > 0)"""
+
+
+def inputs(spark, sf):
+    (bench,) = tables(spark, sf, "benchmark")
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)), 1, 2)
+    queries = bench.select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text")).filter("text <> ''").select("query_id", "text", F.split("text", " ").alias("terms"), F.array().cast("array<string>").alias("words"))
+    scope = queries.select("query_id", F.explode(F.expr("sequence(0L, 19L)")).alias("location_id")).filter("(query_id + location_id) % 4 = 0")
+    docs = R.build_documents(frame(spark, sf, ITEMS), None, NOW)
+    return queries, scope, docs
+
+
+def scored(spark, sf):
+    return R.lexical(*inputs(spark, sf))
+
+
+@query("F1_build_documents", f"WITH {DOCS} SELECT id, location_id, search_text, sha256(coalesce(substr((SELECT text FROM documents x WHERE x.doc_id = id), 1, 24), '')) AS content_hash, CASE WHEN id % 2 = 0 THEN 2023 ELSE 2025 END AS since FROM d")
+def build_documents(spark, sf):
+    items = frame(spark, sf, ITEMS)
+    old = items.filter("id % 2 = 0").select("id", F.lit("2023-05-05").cast("timestamp").alias("visible_since"))
+    return R.build_documents(items, old, NOW).select("id", "location_id", "search_text", "content_hash", F.year("visible_since").alias("since"))
+
+
+@query("F2_seed_documents", f"WITH {DOCS} SELECT d.id, location_id FROM d JOIN (SELECT id FROM i WHERE id > 100 ORDER BY id LIMIT 500) k USING (id)")
+def seed_documents(spark, sf):
+    return R.seed_documents(frame(spark, sf, ITEMS), 100, 500, NOW).select("id", "location_id")
+
+
+@query("F3_tokenize", f"SELECT doc_id, len({TOKENS.format(PLAIN.format('text'))}) AS n, array_to_string(({TOKENS.format(PLAIN.format('text'))})[1:40], '|') AS first FROM documents")
+def tokenize(spark, sf):
+    (d,) = tables(spark, sf, "documents")
+    t = d.select("doc_id", T.tokens(T.plain(F.col("text"))).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice("t", 1, 40), "|").alias("first"))
+
+
+#: A dictionary over the invented words, so that the dictionary operators meet the driver's texts.
+WORDS = T.Dictionary(
+    [{"domain": "item", "canonical": "thing", "terms": ["tion", "of the"], "scope": []}, {"domain": "color", "canonical": "dark", "terms": ["der", "la"], "scope": []}],
+    [{"name": "one", "categories": [], "terms": ["onthe", "inger"]}, {"name": "two", "categories": [], "terms": ["tionth", "ander"]}],
+    {"three": ["ofthe"]},
+)
+HEAD = "trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', ' ', 'g'))"
+ENGLISH = f"SELECT doc_id, {HEAD} AS t FROM documents WHERE lang = 'en' AND regexp_full_match(substr(text, 1, 60), '[\\x00-\\x7F]*')"
+
+
+def english(spark, sf):
+    (d,) = tables(spark, sf, "documents")
+    head = F.substring("text", 1, 60)
+    return d.filter((F.col("lang") == "en") & head.rlike(r"^[\x00-\x7F]*$")).select("doc_id", head.alias("t"))
+
+
+@query("F4_canonicalize", f"WITH e AS ({ENGLISH}), p AS (SELECT doc_id, regexp_replace(regexp_replace(' ' || replace(t, ' ', '  ') || ' ', ' of  the ', ' thing ', 'g'), ' tion ', ' thing ', 'g') AS t FROM e) SELECT doc_id, trim(regexp_replace(regexp_replace(t, ' (der|la) ', ' dark ', 'g'), ' +', ' ', 'g')) AS t FROM p")
+def canonicalize(spark, sf):
+    return english(spark, sf).select("doc_id", T.canonicalize(F.col("t"), WORDS, True).alias("t"))
+
+
+@query("F5_segment")
+def segment(spark, sf):
+    """Compounds of the names of supplier nations written as Hangul-marked words: no SQL form."""
+    (n,) = tables(spark, sf, "documents")
+    words = T.Dictionary([{"domain": "item", "canonical": "카드", "terms": [], "scope": []}], [{"name": "지갑", "categories": [], "terms": ["지갑"]}], {})
+    return n.select("doc_id", T.segment(F.concat(F.lit("카드"), F.col("doc_id").cast("string"), F.expr("if(doc_id % 2 = 0, '지갑', '지')")), words).alias("parts"))
+
+
+@query("F6_detect_kinds", f"WITH e AS (SELECT doc_id, replace(t, ' ', '') AS raw, replace(replace(t, ' ', ''), 'ofthe', '|') AS c FROM ({ENGLISH}) x), k AS (SELECT doc_id, raw, regexp_extract_all(c, 'tionth|ander|inger|onthe') AS m FROM e) SELECT doc_id, CASE WHEN len(m) = 0 THEN CASE WHEN contains(raw, 'ofthe') THEN 'three' ELSE '' END ELSE concat_ws(',', CASE WHEN list_has_any(m, ['onthe', 'inger']) THEN 'one' END, CASE WHEN list_has_any(m, ['tionth', 'ander']) THEN 'two' END) END AS kinds FROM k")
+def detect_kinds(spark, sf):
+    text = T.plain(F.col("t"))
+    return english(spark, sf).select("doc_id", F.array_join(T.detect_kinds(text, WORDS), ",").alias("kinds"))
+
+
+@query("F7_candidate_terms")
+def candidate_terms(spark, sf):
+    """Candidate terms of the benchmark queries over the small dictionary."""
+    queries, _, _ = inputs(spark, sf)
+    return queries.select("query_id", "text", T.candidate_terms(F.col("text"), WORDS).alias("c")).select("query_id", "text", F.array_join("c.terms", ",").alias("terms"), F.array_join("c.words", ",").alias("words"))
+
+
+@query("F8_candidates", POOL + " SELECT query_id, id FROM c")
+def candidates(spark, sf):
+    return R.candidates(*inputs(spark, sf)).select("query_id", "id")
+
+
+@query("F9_kind_gate", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN true WHEN doc_id % 3 = 0 THEN contains(lang, 'e') ELSE lang = 'en' OR contains(source, '1') END AS passes FROM documents")
+def kind_gate(spark, sf):
+    (d,) = tables(spark, sf, "documents")
+    one = lambda c: F.when(c, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
+    pairs = d.select("doc_id", F.expr("if(doc_id % 5 = 0, cast(array() as array<string>), array('a'))").alias("wanted"), F.when(F.col("doc_id") % 3 == 0, F.when(F.col("lang").contains("e"), F.array(F.lit("a"))).otherwise(F.array(F.lit("b")))).otherwise(F.array().cast("array<string>")).alias("name_kinds"), one(F.col("lang") == "en").alias("category_kinds"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("c"))).otherwise(one(F.col("source").contains("1"))).alias("description_kinds"), F.lit("x").alias("query"), F.lit("x").alias("identity"))
+    return R.kind_gate(pairs).select("doc_id", "passes")
+
+
+@query("F10_bm25", SCORED + " SELECT * FROM b")
+def bm25(spark, sf):
+    return scored(spark, sf)
+
+
+@query("F11_semantic_score", "SELECT vec_id, round(greatest(0, (coalesce(CASE WHEN vec_id % 9 = 0 THEN NULL ELSE CAST(embedding[1] AS DOUBLE) * 3 END, 0) - 0.6) / 0.4), 6) AS score FROM embeddings")
+def semantic_score(spark, sf):
+    (e,) = tables(spark, sf, "embeddings")
+    cos = F.when(F.col("vec_id") % 9 != 0, F.col("embedding")[0].cast("double") * 3)
+    return e.select("vec_id", F.round(R.semantic_score(cos), 6).alias("score"))
+
+
+SEM = "sem AS (SELECT query_id, id, 0.5 + (id % 50) / 100.0 AS cos FROM q, (SELECT id FROM d WHERE id % 20 < 3) k)"
+FUSED = SCORED + f", {SEM}, j AS (SELECT query_id, id, b.score, greatest(0, (cos - 0.6) / 0.4) AS semantic, query_id % 5 <> 0 AS ok FROM b FULL OUTER JOIN sem USING (query_id, id)), u AS (SELECT query_id, id, round(CASE WHEN ok THEN 0.75 * coalesce(score, 0) + 0.25 * coalesce(semantic, 0) ELSE coalesce(score, 0) END, 6) AS score FROM j WHERE score IS NOT NULL OR (ok AND semantic > 0))"
+
+
+def fused(spark, sf):
+    queries, scope, docs = inputs(spark, sf)
+    lex = R.lexical(queries, scope, docs)
+    sem = queries.select("query_id").join(docs.filter("id % 20 < 3").select("id"), how="cross").select("query_id", "id", (0.5 + (F.col("id") % 50) / 100.0).alias("cos"))
+    return R.hybrid_rank(lex, sem, queries.select("query_id", (F.col("query_id") % 5 != 0).alias("ok")))
+
+
+@query("F12_hybrid_rank", FUSED + " SELECT query_id, id, score FROM u")
+def hybrid_rank(spark, sf):
+    return fused(spark, sf).select("query_id", "id", "score")
+
+
+@query("F13_ranked_page", SCORED + " SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank, count(*) OVER (PARTITION BY query_id) AS total, CASE WHEN count(*) OVER (PARTITION BY query_id) > 10 THEN 10 END AS next_offset FROM b QUALIFY rank <= 10")
+def ranked_page(spark, sf):
+    return R.ranked_page(scored(spark, sf), 0, 10)
+
+
+@query("F14_list_items", f"WITH {DOCS}, {QUERIES}, r AS (SELECT query_id, d.id, location_id, registered_on, row_number() OVER (PARTITION BY query_id ORDER BY registered_on DESC, d.id DESC) AS rank FROM s JOIN d USING (location_id) WHERE query_id % 2 = 0 OR (registered_on, d.id) < (DATE '2024-09-01', 500)) SELECT * FROM r WHERE rank <= 25")
+def list_items(spark, sf):
+    queries, scope, _ = inputs(spark, sf)
+    before = queries.filter("query_id % 2 = 1").select("query_id", F.lit("2024-09-01").cast("date").alias("before_day"), F.lit(500).cast("long").alias("before_id"))
+    return R.list_items(frame(spark, sf, ITEMS), scope, before, 25)
+
+
+@query("F15_attach_details", SCORED + ", g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank FROM b) SELECT g.query_id, g.id, i.item_name, i.registered_on FROM g JOIN i ON i.id = g.id WHERE rank <= 5")
+def attach_details(spark, sf):
+    queries, scope, docs = inputs(spark, sf)
+    page = R.ranked_page(R.lexical(queries, scope, docs), 0, 5)
+    return R.attach_details(page, docs, scope).select("query_id", "id", "detail.item_name", "detail.registered_on")
+
+
+@query("F16_attach_thumbnails", "SELECT page_id AS id, url, CASE WHEN page_id % 3 <> 0 AND page_id % 5 <> 0 THEN 'k' || page_id END AS object_key FROM pages")
+def attach_thumbnails(spark, sf):
+    (p,) = tables(spark, sf, "pages")
+    page = p.select(F.col("page_id").alias("id"), "url")
+    ready = page.select("id", "url", F.concat(F.lit("k"), F.col("id")).alias("object_key"), F.expr("if(id % 3 = 0, 'new', 'ready')").alias("status"), F.expr("if(id % 5 = 0, timestamp '2024-01-01', null)").alias("deleted_at"))
+    return R.attach_thumbnails(page, ready)
+
+
+@query("F17_admit_queries", "SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(trim(text)) > 30 THEN 'too long' WHEN regexp_matches(trim(text), '[0-9]{13}') THEN 'identifier' END AS reason FROM (SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN ' 4111111111111 ' ELSE substr(text, 1, CAST(20 + turn * 6 AS INT)) END AS text FROM conversations) x")
+def admit_queries(spark, sf):
+    from ..functions.masks import has_identifier
+
+    (c,) = tables(spark, sf, "conversations")
+    cut = c.select("conv_id", "turn", F.expr("if(conv_id % 7 = 0, ' 4111111111111 ', substr(text, 1, cast(20 + turn * 6 as int)))").alias("text"))
+    return R.admit_queries(cut, has_identifier).select("conv_id", "turn", "reason")
+
+
+@query("F18_search_with_retry", SCORED + ", t AS (SELECT query_id, 1 AS attempt, id, score FROM b WHERE query_id % 3 = 0 UNION ALL SELECT query_id, 2, id, score FROM b WHERE id % 2 = 0), k AS (SELECT q.query_id, coalesce(min(attempt), 2) AS attempt FROM q LEFT JOIN t USING (query_id) GROUP BY 1), g AS (SELECT t.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank FROM t JOIN k USING (query_id, attempt)) SELECT k.query_id, k.attempt, count(g.id) AS total, array_to_string(coalesce(list(g.id ORDER BY rank) FILTER (rank <= 3), []), ',') AS ids FROM k LEFT JOIN g USING (query_id, attempt) GROUP BY 1, 2")
+def search_with_retry(spark, sf):
+    queries, scope, docs = inputs(spark, sf)
+    lex = R.lexical(queries, scope, docs)
+    first = queries.select("query_id").join(lex.filter("query_id % 3 = 0"), "query_id", "left").select("query_id", F.lit(1).alias("attempt"), "id", "score")
+    second = queries.select("query_id").join(lex.filter("id % 2 = 0"), "query_id", "left").select("query_id", F.lit(2).alias("attempt"), "id", "score")
+    return R.search_with_retry(first.union(second)).select("query_id", "attempt", "total", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query("F19_check_containment", "SELECT 0::BIGINT AS missing, count(*) AS scored FROM (" + SCORED + " SELECT * FROM b) y")
+def check_containment(spark, sf):
+    queries, scope, docs = inputs(spark, sf)
+    lex, cands = R.lexical(queries, scope, docs), R.candidates(queries, scope, docs)
+    missing = R.check_containment(lex, cands).agg(F.count("*").alias("missing"))
+    return missing.crossJoin(lex.agg(F.count("*").alias("scored")))
