@@ -73,10 +73,8 @@ def _piece_counts(path: str):
             counts = batch.column(1).to_numpy()
             texts = [w.decode(errors="replace") for w in batch.column(0).to_pylist()]
             for ids, n in zip(model.encode(texts, num_threads=1), counts.tolist()):
-                np.add.at(totals, ids, n) if len(ids) > 16 else None
-                if len(ids) <= 16:
-                    for k in ids:
-                        totals[k] += n
+                for k in ids:
+                    totals[k] += n
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_pydict({"piece": pa.array(used, pa.int64()), "n": pa.array(totals[used])})
 
@@ -98,33 +96,75 @@ def learn(counts: DataFrame, path: str) -> dict:
     logs = np.log(np.where(usable, weight, 1) / total)
     pieces = {model.id_to_piece(k): float(logs[k]) for k in range(size) if usable[k] and not model.is_byte(k)}
     byte = {int(model.id_to_piece(k)[3:5], 16): float(logs[k]) for k in range(size) if model.is_byte(k)}
-    return {"pieces": pieces, "bytes": byte, "end": math.log((ends + 1) / total), "longest": max(map(len, pieces))}
-
-
-def lattice(word: str, model: dict) -> float:
-    """Log probability of a word: the sum over all its segmentations."""
-    pieces, longest = model["pieces"], model["longest"]
-    text = SPACE + word
-    n = len(text)
-    alpha = [0.0] * (n + 1)
-    exp, log = math.exp, math.log
-    for end in range(1, n + 1):
-        found = []
-        for start in range(end - longest if end > longest else 0, end):
-            p = pieces.get(text[start:end])
-            if p is not None:
-                found.append(alpha[start] + p)
-        if text[end - 1] not in pieces:
-            found.append(alpha[end - 1] + sum(model["bytes"].get(b, -20.0) for b in text[end - 1].encode()))
-        top = max(found)
-        alpha[end] = top if len(found) == 1 else top + log(sum([exp(x - top) for x in found]))
-    return alpha[n]
+    return {"pieces": pieces, "bytes": byte, "end": math.log((ends + 1) / total)}
+
+
+class Lattice:
+    """Log probabilities of words: the sum over all their segmentations, by forward recursion."""
+
+    def __init__(self, model: dict):
+        self.bytes = model["bytes"]
+        self.trie: dict = {}
+        for piece, log in model["pieces"].items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = log
+        #: The last two characters of longer pieces: a character that ends no piece with its neighbour
+        #: stands alone, so its word extends the one before it.
+        self.ends = {p[-2:] for p in model["pieces"] if len(p) > 1}
+        self.stems: dict[str, float] = {}
+
+    def single(self, c: str) -> float:
+        node = self.trie.get(c)
+        if node is not None and "" in node:
+            return node[""]
+        return sum(self.bytes.get(b, -20.0) for b in c.encode())
+
+    def word(self, word: str) -> float:
+        text = SPACE + word
+        if text[-2:] in self.ends:
+            return self.forward(text)
+        stem = text[:-1]
+        log = self.stems.get(stem)
+        if log is None:
+            if len(self.stems) > MEMO:
+                self.stems.clear()
+            log = self.stems[stem] = self.forward(stem)
+        return log + self.single(text[-1])
+
+    def forward(self, text: str) -> float:
+        n = len(text)
+        reach: list[list[float]] = [[] for _ in range(n + 1)]
+        trie, exp, log = self.trie, math.exp, math.log
+        here = 0.0
+        for start in range(n):
+            if start:
+                found = reach[start]
+                if len(found) == 1:
+                    here = found[0]
+                else:
+                    top = max(found)
+                    here = top + log(sum([exp(x - top) for x in found]))
+            node, end, alone = trie, start, True
+            while end < n:
+                node = node.get(text[end])
+                if node is None:
+                    break
+                end += 1
+                if "" in node:
+                    reach[end].append(here + node[""])
+                    alone = alone and end > start + 1
+            if alone:
+                reach[start + 1].append(here + self.single(text[start]))
+        top = max(reach[n])
+        return top + log(sum([exp(x - top) for x in reach[n]]))
 
 
 def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, head, total, floor = sent.value
-        scale = math.log(10)
+        scale, lattice = math.log(10), Lattice(model)
         memo: dict[bytes, tuple[float, float | None]] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
@@ -140,7 +180,7 @@ def _score(sent):
                         got = memo.get(w)
                         if got is None:
                             c = head.get(w)
-                            log = lattice(w.decode(), model) if w else 0.0
+                            log = lattice.word(w.decode()) if w else 0.0
                             got = memo[w] = (log, None if c is None else math.log10((c + 0.5) / floor))
                         log, own = got
                         score.append(k * log)
