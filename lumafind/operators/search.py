@@ -83,7 +83,7 @@ def hybrid_rank(lex: DataFrame, sem: DataFrame, available: DataFrame, weight: fl
     joined = lex.join(s, ["query_id", "id"], "full_outer").join(available, "query_id", "left")
     ok = F.coalesce("ok", F.lit(False))
     fused = F.when(ok, weight * F.coalesce("score", F.lit(0.0)) + (1 - weight) * F.coalesce("semantic", F.lit(0.0))).otherwise(F.coalesce("score", F.lit(0.0)))
-    kept = joined.filter(F.col("score").isNotNull() | (ok & (F.col("semantic") > 0))).select("query_id", "id", F.round(fused, 6).alias("score"))
+    kept = joined.filter(F.col("score").isNotNull() | (ok & (F.col("semantic") > 0))).select("query_id", "id", F.round(fused.cast("decimal(20,12)"), 6).cast("double").alias("score"))
     return ranked(kept)
 
 

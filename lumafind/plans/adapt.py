@@ -38,6 +38,7 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 def frame(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
     """A statement over the driver's tables."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in statement}
+    statement = statement.replace("{", "{{").replace("}", "}}")
     for t in used:
         statement = statement.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
     return spark.sql(statement, **used)

@@ -1 +1,163 @@
-"""Queries."""
+"""Queries of alerts. Customers are reservations, orders their messages and commands."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.masks import has_identifier
+from ..operators import alerts as A
+from .adapt import INSTITUTIONS, ITEMS, PLACES, frame, tables
+from .registry import query
+
+NOW = "2024-06-15 06:00:00"
+RES = f"SELECT CAST(c_custkey AS BIGINT) AS id, concat('u', CAST(c_custkey % 400 AS STRING), '@example.com') AS email, CASE WHEN c_custkey % 5 = 0 THEN 'pending' WHEN c_custkey % 7 = 0 THEN 'expired' ELSE 'active' END AS status, TIMESTAMP '2024-06-01 00:00:00' + (c_custkey % 400) * INTERVAL '1' HOUR AS created_at, TIMESTAMP '2024-06-08 15:00:00' + (c_custkey % 300) * INTERVAL '1' HOUR AS expires_at FROM customer"
+MSG = "SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_custkey AS BIGINT) AS reservation_id, CASE o_orderkey % 3 WHEN 0 THEN 'confirm' WHEN 1 THEN 'match' ELSE 'notice' END AS kind, CASE o_orderkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'sent' WHEN 2 THEN 'sending' WHEN 3 THEN 'failed' ELSE 'pending' END AS status, CAST(o_orderkey % 4 AS INT) AS attempts, TIMESTAMP '2024-06-14 00:00:00' + (o_orderkey % 1800) * INTERVAL '1' MINUTE AS created_at, TIMESTAMP '2024-06-14 12:00:00' + (o_orderkey % 1200) * INTERVAL '1' MINUTE AS claimed_at, TIMESTAMP '2024-06-13 00:00:00' + (o_orderkey % 3000) * INTERVAL '1' MINUTE AS sent_at, TIMESTAMP '2024-06-08 15:00:00' + (o_custkey % 300) * INTERVAL '1' HOUR AS for_expiry FROM orders"
+TIMES = ("created_at", "expires_at", "claimed_at", "sent_at", "for_expiry", "checked_until", "visible_since", "first_seen_at", "at")
+
+
+def timed(spark, sf, statement):
+    df = frame(spark, sf, statement)
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in TIMES if c in df.columns})
+
+
+def reservations(spark, sf):
+    return timed(spark, sf, RES)
+
+
+def messages(spark, sf):
+    return timed(spark, sf, MSG)
+
+
+@query("I1_validate_reservations", "SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN 'email' WHEN c_custkey % 13 = 0 THEN 'query' WHEN c_custkey % 17 = 0 THEN 'identifier' WHEN c_custkey % 19 = 0 THEN 'places' WHEN c_custkey % 23 = 0 THEN 'bounds' WHEN c_custkey % 29 = 0 THEN 'radius' WHEN c_custkey % 31 = 0 THEN 'consent' END AS reason, CASE WHEN c_custkey % 19 = 0 THEN 0 WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS n_places FROM customer")
+def validate_reservations(spark, sf):
+    (c,) = tables(spark, sf, "customer")
+    place = "named_struct('name', 'a', 'lat', {}, 'lon', 127.0D)"
+    one, two, far = place.format("37.5D"), place.format("36.5D"), place.format("50.5D")
+    rows = c.select(F.col("c_custkey").alias("id"), F.expr("if(c_custkey % 11 = 0, 'no mail', 'a@b.kr')").alias("email"), F.expr("CASE WHEN c_custkey % 13 = 0 THEN ' ' WHEN c_custkey % 17 = 0 THEN '01012345678' ELSE '지갑' END").alias("query"), F.expr(f"CASE WHEN c_custkey % 19 = 0 THEN slice(array({one}), 1, 0) WHEN c_custkey % 23 = 0 AND c_custkey % 2 = 0 THEN array({far}) WHEN c_custkey % 23 = 0 THEN array({far}, {one}) WHEN c_custkey % 2 = 0 THEN array({one}, {one}) ELSE array({one}, {two}, {one}) END").alias("places"), F.expr("if(c_custkey % 29 = 0, 999, 1500)").alias("radius_m"), F.expr("c_custkey % 31 <> 0").alias("consent"))
+    return A.validate_reservations(rows, has_identifier).select("id", "reason", F.size("places").alias("n_places"))
+
+
+@query("I2_admit_reservations")
+def admit_reservations(spark, sf):
+    (o,) = tables(spark, sf, "orders")
+    requests = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("m"), F.col("o_custkey") % 900).alias("email"), F.concat(F.lit("a"), F.col("o_custkey") % 50).alias("address"), F.expr("timestamp '2024-06-01' + make_dt_interval(0, 0, cast(o_orderkey % 90000 as int))").alias("at"))
+    open_now = frame(spark, sf, RES).select(F.concat(F.lit("m"), F.col("id") % 900).alias("email")).filter("email < 'm5'")
+    return A.admit_reservations(requests, open_now)
+
+
+@query("I3_alert_period", f"SELECT id, CAST(CAST(created_at + INTERVAL 9 HOUR AS DATE) + 8 AS TIMESTAMP) - INTERVAL 9 HOUR AS expires_at, CAST(created_at + INTERVAL 9 HOUR AS DATE) + 1 AS first_day, CAST(created_at + INTERVAL 9 HOUR AS DATE) + 7 AS last_day FROM ({RES}) r")
+def alert_period(spark, sf):
+    return A.alert_period(reservations(spark, sf)).select("id", "expires_at", "first_day", "last_day")
+
+
+QUEUE = f"r AS ({RES}), m AS ({MSG}), k AS (SELECT id AS reservation_id, TIMESTAMP '2024-06-10 00:00:00' AS checked_until FROM r WHERE id % 3 = 0), qu AS (SELECT r.*, checked_until FROM r LEFT JOIN k ON k.reservation_id = r.id WHERE status = 'active' AND expires_at > TIMESTAMP '{NOW}' AND CAST(created_at + INTERVAL 9 HOUR AS DATE) < DATE '2024-06-15' AND NOT EXISTS (FROM m WHERE kind = 'notice' AND m.reservation_id = r.id AND for_expiry = expires_at AND m.id % 2 = 0))"
+
+
+def queue(spark, sf):
+    r, m = reservations(spark, sf), messages(spark, sf).filter("id % 2 = 0")
+    cursors = r.filter("id % 3 = 0").select(F.col("id").alias("reservation_id"), F.lit("police_api").alias("source"), F.lit("2024-06-10").cast("timestamp").alias("checked_until"))
+    return A.match_queue(r, cursors, m, "police_api", NOW), cursors
+
+
+@query("I4_match_queue", f"WITH {QUEUE} SELECT id, checked_until FROM qu")
+def match_queue(spark, sf):
+    return queue(spark, sf)[0].select("id", "checked_until")
+
+
+METRES = 50000.0
+ALERT_ITEMS = f"SELECT id, item_source_code, storage_location_id AS location_id, TIMESTAMP '2024-06-05 00:00:00' + (id % 240) * INTERVAL '1' HOUR AS visible_since, TIMESTAMP '2024-06-04 00:00:00' + (id % 240) * INTERVAL '1' HOUR AS first_seen_at FROM ({ITEMS}) x WHERE id % 4 = 0"
+DIST = "2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(l.latitude - p.latitude) / 2), 2) + cos(radians(p.latitude)) * cos(radians(l.latitude)) * pow(sin(radians(l.longitude - p.longitude) / 2), 2))))"
+CANDS = f"WITH {QUEUE}, p AS ({PLACES}), l AS ({INSTITUTIONS}), ai AS ({ALERT_ITEMS}), cand AS (SELECT DISTINCT qu.id AS reservation_id, ai.id AS item_id, visible_since FROM qu JOIN p ON p.query_id = qu.id JOIN l ON is_active AND abs(l.latitude - p.latitude) < 0.6 JOIN ai ON ai.location_id = l.id AND item_source_code = 'police_api' WHERE {DIST} <= {METRES} AND (checked_until IS NULL OR visible_since > checked_until) AND first_seen_at > created_at AND NOT (qu.id % 6 = 0 AND ai.id % 8 = 0))"
+
+
+def candidates(spark, sf):
+    q, _ = queue(spark, sf)
+    items = timed(spark, sf, ALERT_ITEMS)
+    notified = q.filter("id % 6 = 0").select(F.col("id").alias("reservation_id")).crossJoin(items.filter("id % 8 = 0").select(F.col("id").alias("item_id")))
+    return A.alert_candidates(q, frame(spark, sf, PLACES), frame(spark, sf, INSTITUTIONS), items, notified, "police_api", METRES)
+
+
+@query("I5_alert_candidates", CANDS + " SELECT * FROM cand")
+def alert_candidates(spark, sf):
+    return candidates(spark, sf)
+
+
+@query("I6_judge", CANDS + " SELECT reservation_id, item_id, (item_id % 10) / 10.0::DOUBLE AS score FROM cand WHERE item_id % 10 > 3 AND item_id % 3 <> 0")
+def judge(spark, sf):
+    c = candidates(spark, sf)
+    scores = c.select("reservation_id", "item_id", ((F.col("item_id") % 10) / 10.0).alias("score"))
+    return A.judge(c, scores, c.select("reservation_id", "item_id", (F.col("item_id") % 3 != 0).alias("meets")), 0.35).select("reservation_id", "item_id", "score")
+
+
+@query("I7_meets_conditions", "SELECT doc_id AS item_id, (contains(t, ' dark ') OR NOT (contains(t, ' dark ') OR contains(t, ' pale '))) AND contains(t, ' acme ') AS meets FROM (SELECT doc_id, ' ' || concat_ws(' ', CASE WHEN doc_id % 3 = 0 THEN 'dark' WHEN doc_id % 3 = 1 THEN 'pale' END, CASE WHEN doc_id % 2 = 0 THEN 'acme' END, 'x') || ' ' AS t FROM documents) y")
+def meets_conditions(spark, sf):
+    (d,) = tables(spark, sf, "documents")
+    forms = spark.sql("SELECT * FROM VALUES ('color', 'dark', 'dark'), ('color', 'pale', 'pale'), ('brand', 'acme', 'acme'), ('brand', 'acme', 'akme') AS t(domain, canonical, form)")
+    wanted = spark.sql("SELECT * FROM VALUES (1, 'color', 'dark'), (1, 'brand', 'acme') AS t(reservation_id, domain, canonical)")
+    words = d.select(F.lit(1).alias("reservation_id"), F.col("doc_id").alias("item_id"), F.expr("array_compact(array(CASE WHEN doc_id % 3 = 0 THEN 'dark' WHEN doc_id % 3 = 1 THEN 'pale' END, CASE WHEN doc_id % 2 = 0 THEN 'acme' END, 'x'))").alias("words"))
+    return A.meets_conditions(wanted, words, forms).select("item_id", "meets")
+
+
+@query("I8_record_matches", CANDS + ", f AS (SELECT * FROM cand WHERE item_id % 16 <> 0) SELECT reservation_id, count(*) AS items, NOT EXISTS (FROM m WHERE kind = 'match' AND m.status = 'pending' AND m.reservation_id = f.reservation_id) AS message FROM f GROUP BY 1")
+def record_matches(spark, sf):
+    c = candidates(spark, sf)
+    fresh, need = A.record_matches(c, c.filter("item_id % 16 = 0").select("reservation_id", "item_id"), messages(spark, sf))
+    return fresh.groupBy("reservation_id").agg(F.count("*").alias("items")).join(need.withColumn("need", F.lit(True)), "reservation_id", "left").select("reservation_id", "items", F.coalesce("need", F.lit(False)).alias("message"))
+
+
+@query("I9_advance_cursors", CANDS + ", s AS (SELECT reservation_id, max(visible_since) AS seen FROM cand GROUP BY 1) SELECT reservation_id, 'police_api' AS source, CASE WHEN seen IS NULL THEN checked_until WHEN checked_until IS NULL THEN seen ELSE greatest(seen, checked_until) END AS checked_until FROM k FULL OUTER JOIN s USING (reservation_id)")
+def advance_cursors(spark, sf):
+    return A.advance_cursors(queue(spark, sf)[1], candidates(spark, sf), "police_api")
+
+
+@query("I10_expiry_notices", f"WITH r AS ({RES}), m AS ({MSG}) SELECT r.id AS reservation_id, CASE WHEN w.message_id IS NULL THEN 'insert' ELSE 'convert' END AS action, w.message_id FROM r LEFT JOIN (SELECT reservation_id, min(id) AS message_id FROM m WHERE kind = 'match' AND status = 'pending' GROUP BY 1) w ON w.reservation_id = r.id WHERE status = 'active' AND expires_at > TIMESTAMP '{NOW}' AND expires_at <= TIMESTAMP '{NOW}' + INTERVAL 24 HOUR AND NOT EXISTS (FROM m WHERE kind = 'notice' AND m.reservation_id = r.id AND for_expiry = expires_at AND m.id % 4 = 0)")
+def expiry_notices(spark, sf):
+    m = messages(spark, sf).filter("kind <> 'notice' or id % 4 = 0")
+    return A.expiry_notices(reservations(spark, sf), m, NOW).select("reservation_id", "action", "message_id")
+
+
+@query("I11_claim_batch", f"WITH m AS ({MSG}), st AS (SELECT *, status = 'sending' AND claimed_at < TIMESTAMP '{NOW}' - INTERVAL 10 MINUTE AS stuck FROM m), sp AS (SELECT count(*) FILTER ((status = 'sent' AND sent_at > TIMESTAMP '{NOW}' - INTERVAL 24 HOUR) OR (status = 'sending' AND NOT stuck)) AS spent FROM st), w AS (SELECT id, kind, attempts + 1 AS attempts, row_number() OVER (ORDER BY CASE kind WHEN 'confirm' THEN 0 WHEN 'match' THEN 1 ELSE 2 END, created_at, id) AS place FROM st WHERE status = 'pending' OR stuck) SELECT id, kind, attempts, place FROM w, sp WHERE place <= 300 AND place <= 20000 - spent")
+def claim_batch(spark, sf):
+    return A.claim_batch(messages(spark, sf), NOW, 300, 20000)
+
+
+@query("I12_payloads", f"WITH m AS ({MSG}), p AS ({PLACES}), n AS (SELECT o_custkey AS reservation_id, doc_id AS item_id, max(CAST(o_shippriority_ AS DOUBLE)) AS score FROM (SELECT o_custkey, o_orderkey % 997 AS d, o_orderkey % 7 AS o_shippriority_ FROM orders) o JOIN documents ON doc_id = d GROUP BY 1, 2), w AS (SELECT m.id, m.reservation_id, list(n.item_id ORDER BY score DESC, DATE '2024-01-01' + CAST(n.item_id % 300 AS INT) DESC, n.item_id DESC) AS items FROM m JOIN n USING (reservation_id) WHERE m.status = 'sending' GROUP BY 1, 2) SELECT w.id, array_to_string(items, ',') AS items, (SELECT count(*) FROM p WHERE query_id = w.reservation_id) AS n_places FROM w")
+def payloads(spark, sf):
+    o, d = tables(spark, sf, "orders", "documents")
+    notified = o.select(F.col("o_custkey").alias("reservation_id"), (F.col("o_orderkey") % 997).alias("item_id"), (F.col("o_orderkey") % 7).cast("double").alias("score")).join(d.select(F.col("doc_id").alias("item_id")), "item_id").groupBy("reservation_id", "item_id").agg(F.max("score").alias("score"))
+    rows = A.payloads(messages(spark, sf).filter("status = 'sending'"), notified, frame(spark, sf, ITEMS), frame(spark, sf, PLACES))
+    return rows.select("id", F.array_join(F.transform("items", lambda x: x["item_id"].cast("string")), ",").alias("items"), F.size("places").cast("long").alias("n_places"))
+
+
+@query("I13_apply_outcomes", f"WITH m AS ({MSG}) SELECT id, CASE WHEN status <> 'sending' THEN status WHEN id % 4 = 0 THEN 'sent' WHEN id % 4 = 1 THEN 'failed' WHEN id % 4 = 2 THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE status END AS status FROM m")
+def apply_outcomes(spark, sf):
+    m = messages(spark, sf)
+    out = m.filter("id % 4 <> 3").select("id", F.expr("CASE id % 4 WHEN 0 THEN 'sent' WHEN 1 THEN 'permanent' ELSE 'temporary' END").alias("outcome"))
+    return A.apply_outcomes(m, out).select("id", "status")
+
+
+@query("I13_sendable", f"WITH m AS ({MSG}), r AS ({RES}) SELECT m.id, coalesce(CASE WHEN kind = 'confirm' THEN r.status = 'pending' AND r.created_at > TIMESTAMP '{NOW}' - INTERVAL 24 HOUR ELSE r.status = 'active' END, false) AS sendable FROM m LEFT JOIN r ON r.id = m.reservation_id")
+def sendable(spark, sf):
+    return A.sendable(messages(spark, sf), reservations(spark, sf), NOW).select("id", "sendable")
+
+
+@query("I14_close_ended", f"WITH m AS ({MSG}), r AS ({RES}), c AS (SELECT id, CASE WHEN status = 'active' AND expires_at <= TIMESTAMP '{NOW}' THEN 'expired' WHEN status = 'pending' AND created_at <= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR THEN 'unconfirmed' ELSE status END AS status, email FROM r) SELECT c.status, count(*) AS n, count(CASE WHEN status IN ('active', 'pending') THEN email END) AS mails, (SELECT count(*) FROM m LEFT JOIN c x ON x.id = m.reservation_id WHERE m.status <> 'pending' OR x.id IS NULL OR x.status IN ('active', 'pending')) AS messages FROM c GROUP BY 1")
+def close_ended(spark, sf):
+    closed, left = A.close_ended(reservations(spark, sf), messages(spark, sf), NOW)
+    return closed.groupBy("status").agg(F.count("*").alias("n"), F.count("email").alias("mails")).crossJoin(left.agg(F.count("*").alias("messages")))
+
+
+def commands(spark, sf):
+    (o,) = tables(spark, sf, "orders")
+    return o.select(F.col("o_custkey").alias("id"), F.expr("CASE o_orderkey % 5 WHEN 0 THEN 'confirm' WHEN 4 THEN if(o_orderkey % 4 = 0, 'cancel', 'discard') ELSE 'extend' END").alias("command"), F.expr("timestamp '2024-06-01' + make_dt_interval(0, cast(o_orderkey % 500 as int))").alias("at"), F.col("o_orderkey").alias("seq"))
+
+
+@query("I15_apply_commands")
+def apply_commands(spark, sf):
+    rows = reservations(spark, sf).withColumn("extension_count", F.lit(0).cast("long"))
+    return A.apply_commands(rows, commands(spark, sf))
+
+
+@query("I16_alert_audit", CANDS + " SELECT count(*) AS matched_items, count(DISTINCT reservation_id) AS reservations, (SELECT count(*) FROM m WHERE status = 'sent') AS sent, (SELECT count(*) FROM m WHERE status = 'failed') AS failed, (SELECT count(*) FROM m WHERE status = 'pending') AS waiting, 'partial' AS status FROM cand")
+def alert_audit(spark, sf):
+    return A.alert_audit(candidates(spark, sf), messages(spark, sf))

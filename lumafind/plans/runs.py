@@ -1 +1,83 @@
-"""Queries."""
+"""Queries of run logs and audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import runs as J
+from .adapt import ITEMS, frame, tables
+from .registry import query
+
+#: Events as runs: the user's parity is the source, the type its outcome.
+RUNS = "SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN 'police' ELSE 'partner' END AS source, ts AS started_at, CASE event_type WHEN 'view' THEN 'succeeded' WHEN 'click' THEN 'partial' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN CASE WHEN user_id = 3 THEN 'running' ELSE 'succeeded' END ELSE 'failed' END AS status, CASE WHEN event_id % 10 = 0 THEN '{\"business_date\": \"2024-01-15\"}' END AS metadata, CASE event_id % 3 WHEN 0 THEN 'morning' WHEN 1 THEN 'afternoon' ELSE 'manual' END AS run_slot FROM events"
+LOCAL = "(started_at + INTERVAL 9 HOUR)"
+DATED = f"r AS (SELECT *, coalesce(CAST(json_extract_string(metadata, '$.business_date') AS DATE), CAST({LOCAL} AS DATE)) AS business_date FROM ({RUNS}) x)"
+
+
+def runs(spark, sf):
+    return frame(spark, sf, RUNS).withColumn("started_at", F.col("started_at").cast("timestamp"))
+
+
+@query("J1_latest_runs", f"WITH {DATED} SELECT source, business_date, id, status FROM r QUALIFY row_number() OVER (PARTITION BY source, business_date ORDER BY started_at DESC, id DESC) = 1")
+def latest_runs(spark, sf):
+    return J.latest_runs(runs(spark, sf)).select("source", "business_date", "id", "status")
+
+
+@query("J2_cycle_ready", f"WITH {DATED} SELECT business_date, CASE WHEN hour({LOCAL}) < 12 THEN 'morning' ELSE 'afternoon' END AS cycle, count(DISTINCT source) FILTER (status IN ('succeeded', 'partial')) = 2 AND NOT bool_or(status = 'running') AS ready FROM r GROUP BY 1, 2")
+def cycle_ready(spark, sf):
+    return J.cycle_ready(runs(spark, sf))
+
+
+@query("J3_cycle_counts", "SELECT max(doc_id) AS max_id, count(*) FILTER (doc_id % 13 = 0) AS empty_input, count(*) FILTER (doc_id % 5 = 2) AS first_seen, count(*) FILTER (doc_id % 13 <> 0 AND doc_id % 4 <> 0) AS remaining FROM documents")
+def cycle_counts(spark, sf):
+    (d,) = tables(spark, sf, "documents")
+    items = d.select(F.col("doc_id").alias("id"), F.expr("if(doc_id % 13 = 0, ' ', 'x')").alias("input"), F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 5 as int))").alias("first_seen_at"))
+    return J.cycle_counts(items, items.filter("id % 4 = 0").select("id", F.lit(True).alias("is_current")), "2024-01-03", "2024-01-04")
+
+
+@query("J4_repair_runs", f"WITH {DATED}, e AS (SELECT s AS source, CAST(d AS DATE) AS business_date FROM (SELECT unnest(['police', 'partner', 'other']) AS s) a, (SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-12', INTERVAL 1 DAY)) AS d) b) SELECT id, source, business_date, 'stuck' AS reason, 'failed' AS status FROM r WHERE status = 'running' AND started_at < TIMESTAMP '2024-01-19 23:54:00' UNION ALL SELECT NULL, source, business_date, 'missing', 'failed' FROM e WHERE (source, business_date) NOT IN (SELECT source, business_date FROM r)")
+def repair_runs(spark, sf):
+    expected = spark.sql("SELECT source, day AS business_date FROM VALUES ('police'), ('partner'), ('other') AS s(source) CROSS JOIN (SELECT explode(sequence(DATE '2024-01-10', DATE '2024-01-12')) AS day)")
+    return J.repair_runs(runs(spark, sf), expected, "2024-01-20 00:00:00")
+
+
+@query("J5_runs_overview", f"WITH {DATED} SELECT id, business_date, row_number() OVER (PARTITION BY business_date ORDER BY started_at, id) AS number, CASE run_slot WHEN 'morning' THEN 6 WHEN 'afternoon' THEN 18 END AS scheduled_hour, hour({LOCAL}) AS local_hour FROM r")
+def runs_overview(spark, sf):
+    return J.runs_overview(runs(spark, sf)).select("id", "business_date", "number", "scheduled_hour", F.hour("started_local").alias("local_hour"))
+
+
+@query("J6_finish_status", "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'succeeded' WHEN event_type = 'error' THEN 'failed' WHEN user_id % 5 >= 3 THEN 'partial' ELSE 'pending' END AS status, CASE WHEN event_id % 3 <> 0 AND event_type <> 'error' AND user_id % 5 < 3 THEN ts + INTERVAL 15 MINUTE END AS retry_at FROM events")
+def finish_status(spark, sf):
+    (e,) = tables(spark, sf, "events")
+    rows = e.select(F.col("event_id").alias("id"), (F.col("event_id") % 3).alias("remaining"), F.expr("if(event_type = 'error', 'x', null)").alias("error"), (F.col("user_id") % 5).alias("attempts"), F.lit(3).alias("most"), F.col("ts").cast("timestamp").alias("finished_at"))
+    return J.finish_status(rows).select("id", "status", "retry_at")
+
+
+@query("J7_audit_projection", f"WITH i AS (SELECT * FROM ({ITEMS}) x) SELECT count(*) FILTER (status = 'matched' AND id % 10 = 0) AS missing, count(*) FILTER (status <> 'matched' AND id % 10 <> 0) AS stale, count(*) FILTER (status = 'matched' AND id % 10 = 1) AS scope_mismatch, count(*) FILTER (status = 'matched' AND id % 3 = 0 AND id % 2 = 0) AS hash_mismatch FROM i")
+def audit_projection(spark, sf):
+    items = frame(spark, sf, ITEMS).withColumn("hash", F.sha2("item_name", 256))
+    docs = items.filter("id % 10 <> 0").select("id", F.expr("if(id % 10 = 1, storage_location_id + 1, storage_location_id)").alias("location_id"))
+    vecs = items.filter("id % 3 = 0").select("id", F.expr("if(id % 2 = 0, 'other', hash)").alias("content_hash"))
+    return J.audit_projection(items, docs, vecs)
+
+
+@query("J8_thumbnail_tasks", "SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN 'keep' ELSE 'add' END AS action, page_id % 2 = 1 OR page_id % 3 = 0 AS due FROM pages WHERE page_id % 5 <> 0 UNION ALL SELECT page_id + 1000000, 'delete', page_id % 3 = 0 FROM pages WHERE page_id % 2 = 0")
+def thumbnail_tasks(spark, sf):
+    (p,) = tables(spark, sf, "pages")
+    items = p.select(F.col("page_id").alias("id"), F.expr("if(page_id % 5 = 0, '', url)").alias("image_url"))
+    key = F.concat(F.col("page_id").cast("string"), F.lit("/"), F.sha2("url", 256), F.lit(".jpg")).alias("object_key")
+    retry = F.expr("if(page_id % 3 = 0, timestamp '2024-01-01', timestamp '2026-01-01')").alias("retry_after")
+    have = p.filter("page_id % 2 = 0 and page_id % 5 <> 0").select(F.col("page_id").alias("id"), key, retry)
+    gone = p.filter("page_id % 2 = 0").select((F.col("page_id") + 1000000).alias("id"), key, retry)
+    return J.thumbnail_tasks(items, have.union(gone), "2025-01-01").select("id", "action", "due")
+
+
+SESSIONS = "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)"
+
+
+@query("J9_sessionize", SESSIONS + " SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS requests, count(*) > 3 AS over FROM g GROUP BY user_id, k")
+def sessionize(spark, sf):
+    (e,) = tables(spark, sf, "events")
+    return J.sessionize(e.withColumn("ts", F.col("ts").cast("timestamp")), "30 minutes", 3)
+
+

@@ -122,7 +122,7 @@ def semantic_score(spark, sf):
 
 
 SEM = "sem AS (SELECT query_id, id, 0.5 + (id % 50) / 100.0 AS cos FROM q, (SELECT id FROM d WHERE id % 20 < 3) k)"
-FUSED = SCORED + f", {SEM}, j AS (SELECT query_id, id, b.score, greatest(0, (cos - 0.6) / 0.4) AS semantic, query_id % 5 <> 0 AS ok FROM b FULL OUTER JOIN sem USING (query_id, id)), u AS (SELECT query_id, id, round(CASE WHEN ok THEN 0.75 * coalesce(score, 0) + 0.25 * coalesce(semantic, 0) ELSE coalesce(score, 0) END, 6) AS score FROM j WHERE score IS NOT NULL OR (ok AND semantic > 0))"
+FUSED = SCORED + f", {SEM}, j AS (SELECT query_id, id, b.score, greatest(0, (cos - 0.6) / 0.4) AS semantic, query_id % 5 <> 0 AS ok FROM b FULL OUTER JOIN sem USING (query_id, id)), u AS (SELECT query_id, id, CAST(round(CAST(CASE WHEN ok THEN 0.75 * coalesce(score, 0) + 0.25 * coalesce(semantic, 0) ELSE coalesce(score, 0) END AS DECIMAL(20, 12)), 6) AS DOUBLE) AS score FROM j WHERE score IS NOT NULL OR (ok AND semantic > 0))"
 
 
 def fused(spark, sf):
