@@ -155,14 +155,17 @@ def decisions(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.join(kept, F.col("__key") == F.col("__id"), "left").select("doc", "__lines", F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce(F.size(F.filter(split, _has_word)), F.lit(0)).alias("n_worded"))
 
 
-def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, lines in zip(batch.column("text").to_pylist(), batch.column("__lines").to_pylist()):
-            stay = set(lines or ())
-            out.append(None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k in stay or not x.strip(" \t\n\x0b\x0c\r")))
-        names = [n for n in batch.schema.names if n != "__lines"]
-        yield pa.RecordBatch.from_arrays([pa.array(out, batch.column("text").type) if n == "text" else batch.column(n) for n in names], names)
+def _rebuilt(names: list[str], place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, lines in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                stay = set(lines or ())
+                out.append(None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k in stay or not x.strip(" \t\n\x0b\x0c\r")))
+            columns = [pa.array(out, c.type) if k == place else c for k, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -170,7 +173,8 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines with words and lost them all leaves; null and wordless texts and rows with a null doc_id stay as
     they are. Columns are those of docs."""
     known = decisions(docs.filter("doc_id is not null"), percent).filter("n_worded = 0 or size(__lines) > 0")
-    return known.select("doc.*", "__lines").mapInArrow(_rebuilt, docs.schema).unionByName(docs.filter("doc_id is null"))
+    rows = known.select(*(F.col(f"doc.`{c}`").alias(f"__{k}") for k, c in enumerate(docs.columns)), F.col("__lines").alias("__kept"))
+    return rows.mapInArrow(_rebuilt(docs.columns, docs.columns.index("text")), docs.schema).unionByName(docs.filter("doc_id is null"))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

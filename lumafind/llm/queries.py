@@ -10,7 +10,7 @@ from .lm_scoring import op5_lm_scoring
 from .ngram_join import op4_ngram_join
 from .packing import op2_packing
 from .pii import op7_pii
-from .quality import op3_quality_rules
+from .quality import RULES, STOP_WORDS, op3_quality_rules
 from .token_files import op9_token_files
 
 QUERIES = {
@@ -26,7 +26,48 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_VALUES = {"n_words": "n_words", "try_divide(word_chars, n_words)": "word_chars / n_words", "try_divide(n_symbols, n_words)": "n_symbols / n_words", "n_stop_words": "n_stop", "try_divide(n_stop_words, n_words)": "n_stop / n_words", "try_divide(n_dup_lines, n_lines)": "n_dup_lines / n_lines", "try_divide(n_letters, word_chars)": "n_letters / word_chars"}
+
+
+def _failed() -> str:
+    """The threshold table as SQL: the names of failed rules; a division by zero is null and passes."""
+    tests = []
+    for r in RULES:
+        value = _VALUES[r.value]
+        bounds = [f"{value} < {r.least}"] * (r.least is not None) + [f"{value} > {r.most}"] * (r.most is not None)
+        tests.append(f"CASE WHEN {' OR '.join(bounds)} THEN '{r.name}' END")
+    return f"concat_ws(',', {', '.join(tests)})"
+
+
 SQL: dict[str, str] = {
+    "op1_line_dedup": rf"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(0, len(ls))) AS line, unnest(ls) AS text FROM d WHERE ls IS NOT NULL),
+w AS (SELECT struct_pack(d := doc_id, l := line) AS p, list_sort(list_distinct(regexp_extract_all({_LOWER}, {_WORD}))) AS s FROM l),
+c AS (SELECT s, min(p) AS p FROM w WHERE len(s) > 0 GROUP BY s),
+t AS (SELECT p, len(s) AS n, unnest(s) AS tok FROM c),
+f AS (SELECT tok, count(*) AS df FROM t GROUP BY tok),
+o AS (SELECT p, n, tok, row_number() OVER (PARTITION BY p ORDER BY df, tok) AS r FROM t JOIN f USING (tok)),
+x AS (SELECT * FROM o WHERE r <= n - (4 * n + 4) // 5 + 1),
+q AS (SELECT DISTINCT a.p AS ap, b.p AS bp FROM x a JOIN x b ON a.tok = b.tok AND a.p < b.p AND a.n * 100 >= 80 * b.n AND b.n * 100 >= 80 * a.n),
+bad AS (SELECT DISTINCT bp FROM q JOIN c a ON a.p = ap JOIN c b ON b.p = bp WHERE 100 * len(list_intersect(a.s, b.s)) >= 80 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))),
+k AS (SELECT p.d AS doc_id, count(*) AS n, string_agg(CAST(p.l AS VARCHAR), ',' ORDER BY p.l) AS kept FROM c WHERE p NOT IN (SELECT bp FROM bad) GROUP BY 1),
+n AS (SELECT p.d AS doc_id, count(*) AS n FROM w WHERE len(s) > 0 GROUP BY 1)
+SELECT d.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(n.n, 0) - coalesce(k.n, 0) AS n_removed, coalesce(kept, '') AS kept_lines
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+""",
+    "op3_quality_rules": rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda k: array_to_string(ws[k:k + 7], ' '))) AS x FROM w),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM g) y, range(0, 8) k(j) WHERE c > 1 GROUP BY 1),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM w) z WHERE regexp_matches(x, {_WORD}) GROUP BY 1),
+m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines,
+ coalesce(r.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, len(list_filter(ws, lambda v: lower(v) IN ({', '.join(f"'{v}'" for v in STOP_WORDS)}))) AS n_stop, length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) AS n_letters FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {_failed()} AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM v
+""",
     "op4_ngram_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
