@@ -6,6 +6,9 @@ it. Equal sets collapse to their earliest line. The sets' words are ordered by r
 a word among the first ``n - ceil(t*n) + 1`` of both, at places and with sizes that leave room for the
 overlap needed. Pairs that pass these filters are verified on the whole sets.
 
+Each word's lines are first held against its LEADERS earliest lines, which settles most members of a large
+group of variants by one pair each; what is left is held against the word's other lines.
+
 Rarity comes from the document frequencies of words: the most frequent HEAD words, an exact count of a fixed
 bound, are sent to the tasks; all others are rarer and ordered by their hash.
 """
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import documents, thin, written
@@ -25,6 +28,8 @@ from ._hashing import buffers, hash_units, set_keys
 PERCENT = 80
 #: Most words whose exact line counts are broadcast: 2**20 pairs of longs, 16 MB.
 HEAD = 1 << 20
+#: Earliest lines of each word that all its lines are held against first.
+LEADERS = 16
 _U = np.uint64
 
 
@@ -125,21 +130,39 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = written(docs.mapInArrow(_prefixes(head, percent, id_type), schema).groupBy("k1", "k2").agg(earliest).select("x.*"), "lines")
 
     words = sets.select("doc_id", "line", "n", F.explode(F.arrays_zip("prefix", "ranks")).alias("w")).select("doc_id", "line", "n", F.col("w.prefix").alias("word"), F.col("w.ranks").alias("rank"))
-    a = words.select(*(F.col(c).alias("a" + c) for c in ("doc_id", "line", "n", "word", "rank")))
-    b = words.select(*(F.col(c).alias("b" + c) for c in ("doc_id", "line", "n", "word", "rank")))
-    earlier = F.struct("adoc_id", "aline") < F.struct("bdoc_id", "bline")
+    placed = words.withColumn("place", F.row_number().over(Window.partitionBy("word").orderBy("doc_id", "line")))
+    deep = written(placed.filter(F.col("place") > LEADERS).drop("place"), "deep")
+    leaders = placed.filter(F.col("place") <= LEADERS).drop("place")
+    gone = written(_similar_later(_candidates(leaders, words, percent), docs, percent), "gone")
+    if not deep.isEmpty():
+        rest = deep.join(gone, ["doc_id", "line"], "left_anti")
+        more = _similar_later(_candidates(deep, rest, percent), docs, percent)
+        gone = gone.unionByName(written(more, "gone"))
+    return sets.select("doc_id", "line").join(gone, ["doc_id", "line"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+
+
+def _candidates(earlier: DataFrame, later: DataFrame, percent: int) -> DataFrame:
+    """Pairs of lines that share a prefix word and whose order, sizes and places allow the similarity."""
+    a = earlier.select(*(F.col(c).alias("a" + c) for c in ("doc_id", "line", "n", "word", "rank")))
+    b = later.select(*(F.col(c).alias("b" + c) for c in ("doc_id", "line", "n", "word", "rank")))
+    order = F.struct("adoc_id", "aline") < F.struct("bdoc_id", "bline")
     sizes = (F.col("an") * 100 >= F.col("bn") * percent) & (F.col("bn") * 100 >= F.col("an") * percent)
     room = F.least(F.col("an") - F.col("arank"), F.col("bn") - F.col("brank"))
     fits = room * (100 + percent) >= (F.col("an") + F.col("bn")) * percent
-    near = a.join(b, (F.col("aword") == F.col("bword")) & sizes & fits & earlier)
-    pairs = written(near.select(F.col("adoc_id").alias("adoc"), "aline", F.col("bdoc_id").alias("bdoc"), "bline").distinct(), "pairs")
+    near = a.join(b, (F.col("aword") == F.col("bword")) & sizes & fits & order)
+    return near.select(F.col("adoc_id").alias("adoc"), "aline", F.col("bdoc_id").alias("bdoc"), "bline").distinct()
+
 
+def _similar_later(candidates: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The later lines of the candidate pairs that are similar on their whole sets of words."""
+    kind = dict(docs.dtypes)["doc_id"]
+    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    pairs = written(candidates, "pairs")
     ends = pairs.select(F.col("adoc").alias("doc"), F.col("aline").alias("line")).union(pairs.select("bdoc", "bline")).distinct()
     split = thin(docs, "doc_id", ends.select("doc")).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
     texts = written(ends.join(split, ["doc", "line"]).distinct(), "texts")
     both = pairs.join(texts.select(F.col("doc").alias("adoc"), F.col("line").alias("aline"), F.col("words").alias("a")), ["adoc", "aline"]).join(texts.select(F.col("doc").alias("bdoc"), F.col("line").alias("bline"), F.col("words").alias("b")), ["bdoc", "bline"])
-    later = both.select("bdoc", "bline", "a", "b").mapInArrow(_similar(percent, id_type), f"doc_id {kind}, line int").distinct()
-    return sets.select("doc_id", "line").join(later, ["doc_id", "line"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    return both.select("bdoc", "bline", "a", "b").mapInArrow(_similar(percent, id_type), f"doc_id {kind}, line int").distinct()
 
 
 def _has_word(line: F.Column) -> F.Column:
