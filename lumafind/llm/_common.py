@@ -36,12 +36,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def thin(df: DataFrame, column: str, needed: DataFrame) -> DataFrame:
-    """Keep rows whose hashed key may occur in ``needed`` (one column): a native semi join against a
-    broadcast of at most 2**FILTER_BITS bucket numbers. Exact matching is left to a later join."""
+def thin(df: DataFrame, column: str, needed: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Keep rows whose hashed key may occur in ``needed`` (one column), or with ``left_anti`` those that surely
+    don't: a native join against a broadcast of at most 2**FILTER_BITS bucket numbers. Exact matching of what
+    may occur is left to a later join."""
     mask = F.lit((1 << FILTER_BITS) - 1)
     buckets = needed.select(F.xxhash64(needed.columns[0]).bitwiseAND(mask).alias("__bucket")).distinct()
-    return df.join(F.broadcast(buckets), F.xxhash64(F.col(column)).bitwiseAND(mask) == F.col("__bucket"), "left_semi")
+    return df.join(F.broadcast(buckets), F.xxhash64(F.col(column)).bitwiseAND(mask) == F.col("__bucket"), how)
 
 
 def is_fold(column: str, fold: int) -> F.Column:

@@ -206,8 +206,11 @@ def document_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     known = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     members = written(known.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "n_shingles", "node"), "members")
-    reps = members.filter("doc_id = node").groupBy("node").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-    marks = known.select(F.col("doc_id").alias("node"), "bands", "prefix").join(reps, "node")
+    reps = written(members.filter("doc_id = node").groupBy("node").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi")), "reps")
+    #: Rows of representatives: only those that may be copies are shuffled to find out.
+    copies = members.filter("doc_id <> node").select("doc_id")
+    sets = known.select(F.col("doc_id").alias("node"), "bands", "prefix")
+    marks = thin(sets, "node", copies, "left_anti").unionByName(thin(sets, "node", copies).join(reps.select("node"), "node", "left_semi"))
 
     links = written(verified(written(_near_leaders(marks), "near"), docs, percent), "links")
     grouped = written(_grouped(reps, links), "grouped")
@@ -220,9 +223,14 @@ def document_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return frame.select(*(F.col(c).alias(side + c) for c in frame.columns))
 
     #: A shingle in one group only can't join two; the rest of the matrix is small.
-    places = marks.join(grouped.select("node", "grp"), "node").select(F.explode("prefix").alias("token"), "grp", "node")
     by_token = Window.partitionBy("token")
-    matrix = written(places.withColumn("first", F.min("grp").over(by_token)).withColumn("last", F.max("grp").over(by_token)).filter("first < last").select("token", "grp", "node"), "matrix")
+
+    def shared(places: DataFrame, owner: str) -> DataFrame:
+        ends = places.withColumn("first", F.min(owner).over(by_token)).withColumn("last", F.max(owner).over(by_token))
+        return ends.filter("first < last").drop("first", "last")
+
+    places = shared(marks.select(F.explode("prefix").alias("token"), "node"), "node").join(grouped.select("node", "grp"), "node")
+    matrix = written(shared(places, "grp").select("token", "grp", "node"), "matrix")
     unions = matrix.select("token", "grp").distinct()
     met = named(unions, "a").join(named(unions, "b"), (F.col("atoken") == F.col("btoken")) & (F.col("agrp") < F.col("bgrp"))).groupBy("agrp", "bgrp").agg(F.count("*").alias("common"))
     bound = F.least(F.expr("1 + alo div 20"), F.expr("1 + blo div 20"))

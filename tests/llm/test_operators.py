@@ -256,3 +256,24 @@ def test_recall(spark):
         s[ids == q] = -9
         hits += len(found[q] & set(ids[np.lexsort((ids, -s))[:20]]))
     assert hits >= 0.9 * 20 * (ids % 20 == 0).sum()
+
+
+def test_components_of_chains_and_stars(spark):
+    from lumafind.llm.components import components
+
+    rnd = random.Random(1)
+    links = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(60, 90)] + [(None, 3), (4, None), (5, 5)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    assert {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()} == {x: root(x) for x in parent}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
