@@ -1,5 +1,6 @@
 """Every registered query against its SQL twin, on the driver's smallest tables."""
 
+import datetime as dt
 import glob
 import math
 from pathlib import Path
@@ -32,8 +33,8 @@ def plain(value):
         return str(value)
     if isinstance(value, (int, float)):
         return "~" if math.isnan(value) else f"{float(value):.9g}"
-    if isinstance(value, pd.Timestamp):
-        return str(value.tz_localize(None))
+    if isinstance(value, dt.date):
+        return str(pd.Timestamp(value).tz_localize(None))
     return str(value)
 
 
