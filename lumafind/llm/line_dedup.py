@@ -94,9 +94,12 @@ def _prefixes(head, percent: int, id_type: pa.DataType):
                 #: A word of one line only can't join two.
                 take = (rank < need[line]) & (count[order] > 1)
                 taken = np.searchsorted(line[take], np.append(chosen, len(sizes)))
+                bits = np.zeros(2 * len(sizes), _U)
+                np.bitwise_or.at(bits, 2 * line + (words >> _U(63)).astype(np.int64), _U(1) << (words >> _U(57) & _U(63)))
+                s1, s2 = (bits[k::2][chosen].view(np.int64) for k in (0, 1))
                 lists = [pa.ListArray.from_arrays(pa.array(taken, pa.int32()), pa.array(x)) for x in (words[order][take].view(np.int64), rank[take].astype(np.int32))]
-                columns = [batch.column(0).take(pa.array(owner[chosen])).cast(id_type), pa.array(number[chosen].astype(np.int32)), pa.array(sizes[chosen].astype(np.int32)), pa.array(k1), pa.array(k2), *lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "n", "k1", "k2", "prefix", "ranks"])
+                columns = [batch.column(0).take(pa.array(owner[chosen])).cast(id_type), pa.array(number[chosen].astype(np.int32)), pa.array(sizes[chosen].astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(s1), pa.array(s2), *lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "n", "k1", "k2", "s1", "s2", "prefix", "ranks"])
 
     return run
 
@@ -125,39 +128,52 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     head = docs.sparkSession.sparkContext.broadcast(head_words(docs))
-    schema = f"doc_id {kind}, line int, n int, k1 long, k2 long, prefix array<long>, ranks array<int>"
-    earliest = F.min(F.struct("doc_id", "line", "n", "prefix", "ranks")).alias("x")
+    schema = f"doc_id {kind}, line int, n int, k1 long, k2 long, s1 long, s2 long, prefix array<long>, ranks array<int>"
+    earliest = F.min(F.struct("doc_id", "line", "n", "s1", "s2", "prefix", "ranks")).alias("x")
     sets = written(docs.mapInArrow(_prefixes(head, percent, id_type), schema).groupBy("k1", "k2").agg(earliest).select("x.*"), "lines")
 
     words = sets.select("doc_id", "line", "n", F.explode(F.arrays_zip("prefix", "ranks")).alias("w")).select("doc_id", "line", "n", F.col("w.prefix").alias("word"), F.col("w.ranks").alias("rank"))
-    placed = words.withColumn("place", F.row_number().over(Window.partitionBy("word").orderBy("doc_id", "line")))
-    deep = written(placed.filter(F.col("place") > LEADERS).drop("place"), "deep")
-    leaders = placed.filter(F.col("place") <= LEADERS).drop("place")
-    gone = written(_similar_later(_candidates(leaders, words, percent), docs, percent), "gone")
+    in_order = Window.partitionBy("word").orderBy("doc_id", "line")
+    placed = words.withColumn("place", F.row_number().over(in_order))
+    me = F.struct(F.col("doc_id").alias("doc"), "line", "n", "rank")
+    before = F.collect_list(F.when(F.col("place") <= LEADERS, me)).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    #: One shuffle by word serves both rounds: the leaders that fit each line, and the lines beyond them.
+    first = F.filter("before", lambda a: _fits(a["n"], a["rank"], F.col("n"), F.col("rank"), percent))
+    placed = placed.withColumn("before", before).select("word", "doc_id", "line", "n", "rank", "place", F.transform(first, lambda a: F.struct(a["doc"].alias("doc"), a["line"].alias("line"))).alias("first"))
+    placed = written(placed.filter((F.size("first") > 0) | (F.col("place") > LEADERS)), "placed")
+    led = placed.select(F.col("doc_id").alias("bdoc"), F.col("line").alias("bline"), F.explode("first").alias("a")).select(F.col("a.doc").alias("adoc"), F.col("a.line").alias("aline"), "bdoc", "bline")
+    gone = written(_similar_later(led, sets, docs, percent), "gone")
+    deep = placed.filter(F.col("place") > LEADERS).select("word", "doc_id", "line", "n", "rank")
     if not deep.isEmpty():
         rest = deep.join(gone, ["doc_id", "line"], "left_anti")
-        more = _similar_later(_candidates(deep, rest, percent), docs, percent)
+        a = deep.select(*(F.col(c).alias("a" + c) for c in deep.columns))
+        b = rest.select(*(F.col(c).alias("b" + c) for c in rest.columns))
+        order = F.struct("adoc_id", "aline") < F.struct("bdoc_id", "bline")
+        near = a.join(b, (F.col("aword") == F.col("bword")) & _fits(F.col("an"), F.col("arank"), F.col("bn"), F.col("brank"), percent) & order)
+        more = _similar_later(near.select(F.col("adoc_id").alias("adoc"), "aline", F.col("bdoc_id").alias("bdoc"), "bline"), sets, docs, percent)
         gone = gone.unionByName(written(more, "gone"))
     return sets.select("doc_id", "line").join(gone, ["doc_id", "line"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def _candidates(earlier: DataFrame, later: DataFrame, percent: int) -> DataFrame:
-    """Pairs of lines that share a prefix word and whose order, sizes and places allow the similarity."""
-    a = earlier.select(*(F.col(c).alias("a" + c) for c in ("doc_id", "line", "n", "word", "rank")))
-    b = later.select(*(F.col(c).alias("b" + c) for c in ("doc_id", "line", "n", "word", "rank")))
-    order = F.struct("adoc_id", "aline") < F.struct("bdoc_id", "bline")
-    sizes = (F.col("an") * 100 >= F.col("bn") * percent) & (F.col("bn") * 100 >= F.col("an") * percent)
-    room = F.least(F.col("an") - F.col("arank"), F.col("bn") - F.col("brank"))
-    fits = room * (100 + percent) >= (F.col("an") + F.col("bn")) * percent
-    near = a.join(b, (F.col("aword") == F.col("bword")) & sizes & fits & order)
-    return near.select(F.col("adoc_id").alias("adoc"), "aline", F.col("bdoc_id").alias("bdoc"), "bline").distinct()
+def _fits(n: F.Column, rank: F.Column, m: F.Column, other: F.Column, percent: int) -> F.Column:
+    """Whether sizes n and m, and the places of a shared word in both orders, leave room for the similarity."""
+    sizes = (n * 100 >= m * percent) & (m * 100 >= n * percent)
+    return sizes & (F.least(n - rank, m - other) * (100 + percent) >= (n + m) * percent)
 
 
-def _similar_later(candidates: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The later lines of the candidate pairs that are similar on their whole sets of words."""
+def _similar_later(candidates: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The later lines of the candidate pairs that are similar on their whole sets of words. Each differing bit
+    of two sets' 128-bit signatures stands for at least one differing word, which rules most pairs out before
+    texts are fetched."""
     kind = dict(docs.dtypes)["doc_id"]
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    pairs = written(candidates, "pairs")
+    sign = ("n", "s1", "s2")
+    signed = candidates.distinct()
+    for side in ("a", "b"):
+        signed = signed.join(sets.select(F.col("doc_id").alias(side + "doc"), F.col("line").alias(side + "line"), *(F.col(c).alias(side + c) for c in sign)), [side + "doc", side + "line"])
+    apart = F.bit_count(F.col("as1").bitwiseXOR(F.col("bs1"))) + F.bit_count(F.col("as2").bitwiseXOR(F.col("bs2")))
+    possible = apart * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent)
+    pairs = written(signed.filter(possible).select("adoc", "aline", "bdoc", "bline"), "pairs")
     ends = pairs.select(F.col("adoc").alias("doc"), F.col("aline").alias("line")).union(pairs.select("bdoc", "bline")).distinct()
     split = thin(docs, "doc_id", ends.select("doc")).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
     texts = written(ends.join(split, ["doc", "line"]).distinct(), "texts")
