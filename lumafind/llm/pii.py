@@ -1,11 +1,14 @@
 """Personal data: validated patterns, and boosted trees over proposed spans. DataFrame functions only.
 
 Base spans come from fixed patterns with checks. Generators with high recall propose further, overlapping
-spans; each gets features of its format and of the text around it. Gradient-boosted trees, fitted here on a
-bounded sample of proposals, score them: a proposal that a base span covers, or a long token right after the
-name of a secret, is a positive example, any other a negative one. For each generator the threshold is the
-least score at which a second sample reaches the wanted precision; what passes and overlaps nothing better
-is added to the base spans.
+spans; each gets features of its format and of the text around it, and a label where there is evidence: a
+valid number plan or checksum, the name of a secret or a spoken cue before it, the issued form or the mixture
+of characters of a token, a top-level domain with a cue of mail speak for it; a date, an impossible number, a
+compound of words or an unknown domain against it. Base spans have no part in the labels. Proposals with
+evidence for them are added, those with evidence against them are not, and gradient-boosted trees, fitted
+here on a bounded sample of the labelled ones, decide the unlabelled: for each generator the threshold is the
+least score at which a second sample, of proposals outside base spans, reaches the wanted precision.
+Of overlapping additions the better one stays.
 
 The patterns are written so that the Java engine neither recurses nor rescans on long runs: a separator
 between digits, or a dot between label characters, is first replaced by a private character, which turns
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import documents, written
 from .quality import let
 
-#: Proposals used to fit the trees, and as many again to set the thresholds.
+#: Labelled proposals used to fit the trees, and as many again to set the thresholds.
 SAMPLE = 20_000
 PRECISION = 0.95
 ROUNDS, DEPTH = 8, 3
@@ -44,7 +47,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SECRET = "(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+"
 NUMBER = f"(?<![0-9{JOIN}])[0-9][0-9{JOIN}]{{7,}}+"
 GROUPED = r"(?<![0-9+])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{4}(?![0-9])"
-SPELLED = r"[A-Za-z0-9._%+-]{1,64}+ ?[(\[]?(?:at|AT)[)\]]? ?[A-Za-z0-9-]{1,63}+ ?[(\[]?(?:dot|DOT)[)\]]? ?[A-Za-z]{2,24}"
+SPELLED = r"[A-Za-z0-9._%+-]{1,64}+ ?[(\[]?(?:at|AT)[)\]]? ?[A-Za-z0-9-]{1,63}+(?: ?[(\[]?(?:dot|DOT)[)\]]? ?[A-Za-z0-9-]{1,63}+){0,3} ?[(\[]?(?:dot|DOT)[)\]]? ?[A-Za-z]{2,24}"
 GENERATORS = ("secret", "number", "phone", "email")
 _NAMES = r"(?i)(token|secret|passw(or)?d|api.?key|key)['\"]?\s*[=:]\s*['\"]?$"
 
@@ -116,16 +119,66 @@ def proposals(docs: DataFrame, carried: list[str]) -> DataFrame:
 
 
     def featured(k: int, generator: str) -> Column:
-        return F.transform("__" + generator, lambda s: F.struct(F.lit(k).alias("gen"), *_features(s)))
+        return F.transform("__" + generator, lambda s: F.struct(F.lit(k).alias("gen"), *_features(s, generator)))
 
     cands = F.concat(*(featured(k, g) for k, g in enumerate(GENERATORS)))
     return spans.select(*carried, "base", cands.alias("cands"))
 
 
-FEATURES = ("gen", "length", "n_digits", "n_letters", "n_upper", "n_marks", "hexadecimal", "quoted", "assigned", "named", "spoken", "glued")
+FEATURES = ("gen", "length", "n_digits", "n_letters", "n_upper", "n_marks", "n_switches", "hexadecimal", "quoted", "assigned", "plausible", "glued")
+_SWITCH = "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"
+_SPOKEN = r"(?i)\b(call|phone|mobile|cell|tel|fax|card|account|contact|iban|ssn|passport|whatsapp)\b\W*((number|no|nr|me|us|is|at|on)\b\W*){0,2}$"
+_MAIL = r"(?i)\b(e-?mails?|mail|write|contact|reach|address|inbox)\b.*$"
+_TLD = r"(?i)dot[)\]]? ?(com|org|net|edu|gov|mil|int|info|biz|name|app|dev|ac|ae|ai|ar|at|au|be|bg|br|ca|cc|ch|cl|cn|co|cz|de|dk|ee|eg|es|eu|fi|fr|gr|hk|hr|hu|id|ie|il|in|io|ir|is|it|jp|ke|kr|lt|lu|lv|me|mx|my|ng|nl|no|nz|pe|ph|pk|pl|pt|ro|rs|ru|sa|se|sg|si|sk|th|tr|tv|tw|ua|uk|us|vn|za)$"
+#: "look at the dot com" names no host.
+_NO_HOST = r"(?i)\bat[)\]]? ?(a|an|the|this|that|each|every|any|one|my|your|his|her|its|our|their)\b"
+#: Forms in which tokens are issued, and the form of a UUID, which names but doesn't open.
+_ISSUED = "^(A[KS]IA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|sk[_-](live|test|proj)[_-][A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})$"
+_UUID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: National numbers: North American ones by their plan, others by their trunk prefix.
+_PLAN = r"^(\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}$|^(\(0[1-9][0-9]{0,2}\) ?|0[1-9][0-9]{0,2}[.-])[0-9]{3,4}[.-][0-9]{4}$"
+_NO_PLAN = "^\\(?(1[0-9]{2}|[1-9][0-9]|[1-9][0-9]{3})[) .-]"
+_SOCIAL = "^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
+_DATE = "^((19|20)[0-9]{2}[ -]?(0[1-9]|1[0-2])[ -]?(0[1-9]|[12][0-9]|3[01])|(0[1-9]|[12][0-9]|3[01])[ -]?(0[1-9]|1[0-2])[ -]?(19|20)[0-9]{2}|((19|20)[0-9]{2}[ -]?){2,})$"
+#: Thousands, round numbers, and rows of short numbers.
+_AMOUNT = "^[0-9]{1,3}( [0-9]{3})+$|0{5,}$|^[0-9]{1,2}( [0-9]{1,2})+$"
+
+
+def _switches(text: Column) -> Column:
+    """How often digits, small and capital letters follow each other."""
+    return F.length(F.regexp_replace(text, _SWITCH, "\x01")) - F.length(text)
+
+
+def _evidence(generator: str, s: Column) -> Column:
+    """1 where there is evidence for personal data or a secret, 0 where there is evidence against it, else null."""
+    text, before, after = s["text"], s["before"], s["after"]
+    spoken, row = before.rlike(_SPOKEN), before.rlike("[0-9][ .,-]*$") | after.rlike("^[ .,-]?[0-9]")
+    if generator == "secret":
+        n, length = _switches(text), F.length(text)
+        mixed = (length.between(20, 128) & (n >= length * 0.4) & (F.length(F.regexp_replace(text, "[^A-Z]", "")) >= 2)
+                 & (F.length(F.regexp_replace(text, "[^a-z]", "")) >= 2) & (F.length(F.regexp_replace(text, "[^0-9]", "")) >= 2) & ~before.rlike("[/+.=]$|(?i)base64,$") & ~after.rlike("^[/+.]"))
+        proof = before.rlike(_NAMES) | text.rlike(_ISSUED) | mixed
+        contrary = (n <= length / 8) | text.rlike(_UUID)
+    elif generator == "number":
+        plain = F.translate(text, JOIN, "-")
+        spaced, digits = F.translate(text, JOIN, " "), _digits(text)
+        size = F.length(digits)
+        contrary = (size > 19) | plain.rlike(_DATE) | spaced.rlike(_AMOUNT)
+        proof = ~contrary & (spoken | plain.rlike(_SOCIAL) | F.coalesce(F.when(size.between(13, 19), _luhn(digits)), F.lit(False)))
+        contrary = contrary | (size >= 13) | row | before.rlike("[A-Za-z]$") | after.rlike("^[A-Za-z]")
+    elif generator == "phone":
+        abroad = before.rlike(r"\+[0-9]{1,3}[ .-]?$")
+        row = row & ~abroad
+        proof = spoken | abroad | (text.rlike(_PLAN) & ~row & ~before.rlike("[A-Za-z0-9_.+-]$") & ~after.rlike("^[A-Za-z0-9_]"))
+        contrary = row | text.rlike(_NO_PLAN)
+    else:
+        host = text.rlike(_TLD) & ~text.rlike(_NO_HOST)
+        proof = host & (before.rlike(_MAIL) | text.rlike(r"[(\[]") | text.rlike("^[A-Za-z0-9%+-]+[._][A-Za-z0-9._%+-]*[A-Za-z0-9] "))
+        contrary = ~host
+    return F.when(proof, 1.0).when(contrary, 0.0)
 
 
-def _features(s: Column) -> list[Column]:
+def _features(s: Column, generator: str) -> list[Column]:
     text, before, after = s["text"], s["before"], s["after"]
     count = lambda letters: (F.length(text) - F.length(F.regexp_replace(text, letters, ""))).cast("double")
     flag = lambda test: test.cast("double")
@@ -137,28 +190,29 @@ def _features(s: Column) -> list[Column]:
         count("[A-Za-z]").alias("n_letters"),
         count("[A-Z]").alias("n_upper"),
         count("[^A-Za-z0-9]").alias("n_marks"),
+        _switches(text).cast("double").alias("n_switches"),
         flag(text.rlike("^[0-9a-fA-F]+$")).alias("hexadecimal"),
         flag(before.rlike("['\"]$") & after.rlike("^['\"]")).alias("quoted"),
         flag(before.rlike(r"[=:]\s*['\"]?$")).alias("assigned"),
-        flag(before.rlike(_NAMES)).alias("named"),
-        flag(before.rlike(r"(?i)(call|phone|tel|fax|card|mail|account|contact)\W*$")).alias("spoken"),
+        flag((text.rlike(_TLD) & ~text.rlike(_NO_HOST)) | F.translate(text, " ", "-").rlike(_PLAN)).alias("plausible"),
         flag(before.rlike("[A-Za-z0-9._+-]$") | after.rlike("^[A-Za-z0-9_+-]")).alias("glued"),
+        _evidence(generator, s).alias("label"),
     ]
 
 
-def learn(cands: DataFrame) -> tuple[GBTClassificationModel | None, list[float]]:
-    """Trees and a threshold for each generator from cands(features..., positive, draw). Without examples of
-    both sorts there is no model and nothing passes."""
-    sample = written(cands.orderBy("draw").limit(2 * SAMPLE), "sample")
+def learn(labelled: DataFrame) -> tuple[GBTClassificationModel | None, list[float]]:
+    """Trees and a threshold for each generator from labelled(features..., label, covered, draw). Without examples
+    of both sorts there is no model."""
+    sample = written(labelled.orderBy("draw").limit(2 * SAMPLE), "sample")
     odd = F.col("draw") % 2 == 0
-    seen = {r.positive: r.n for r in sample.filter(odd).groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    seen = {r.label: r.n for r in sample.filter(odd).groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
         return None, [2.0] * len(GENERATORS)
     gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    fitted = GBTClassifier(labelCol="positive", featuresCol="features", maxIter=ROUNDS, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=1, cacheNodeIds=False).fit(gather.transform(sample.filter(odd)))
-    scored = fitted.transform(gather.transform(sample.filter(~odd))).select("gen", F.round(vector_to_array("probability")[1], 3).alias("p"), "positive")
+    fitted = GBTClassifier(labelCol="label", featuresCol="features", maxIter=ROUNDS, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=1, cacheNodeIds=False).fit(gather.transform(sample.filter(odd)))
+    scored = fitted.transform(gather.transform(sample.filter(~odd & ~F.col("covered")))).select("gen", F.round(vector_to_array("probability")[1], 3).alias("p"), "label")
     #: At most 1001 scores for each generator.
-    levels = scored.groupBy("gen", "p").agg(F.count("*").alias("n"), F.sum("positive").alias("good")).collect()
+    levels = scored.groupBy("gen", "p").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
     thresholds = []
     for g in range(len(GENERATORS)):
         n, good, least = 0, 0.0, 2.0
@@ -179,20 +233,22 @@ def find_spans(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
     found = written(proposals(docs, carried), "proposals").withColumn("__row", F.monotonically_increasing_id())
     each = found.select("__row", "base", F.posexplode("cands").alias("place", "c")).select("__row", "place", "base", "c.*")
     inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    named = (F.col("gen") == 0) & (F.col("named") == 1)
-    each = each.select("__row", "start", "end", F.col("gen").cast("double").alias("gen"), *FEATURES[1:], inside.alias("covered"), F.xxhash64("__row", "place").alias("draw"))
-    each = each.withColumn("positive", (F.col("covered") | named).cast("double"))
-    model, thresholds = learn(each)
+    each = each.select("__row", "start", "end", F.col("gen").cast("double").alias("gen"), *FEATURES[1:], "label", inside.alias("covered"), F.xxhash64("__row", "place").alias("draw"))
+    model, thresholds = learn(each.filter("label is not null"))
+    free = each.filter("not covered")
     if model is None:
-        chosen = each.filter("false").select("__row", "gen", "start", "end", F.lit(0.0).alias("p"))
+        chosen = free.filter("label = 1").select("__row", "gen", "start", "end", F.lit(1.0).alias("p"))
     else:
-        scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(each.filter("not covered"))).select("__row", "gen", "start", "end", F.round(vector_to_array("probability")[1], 3).alias("p"))
+        scores = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(free))
+        scored = scores.select("__row", "gen", "start", "end", "label", F.round(vector_to_array("probability")[1], 3).alias("p"))
         passes = F.element_at(F.array(*(F.lit(float(t)) for t in thresholds)), F.col("gen").cast("int") + 1)
-        chosen = scored.filter(F.col("p") >= passes)
+        chosen = scored.filter((F.col("label") == 1) | (F.col("label").isNull() & (F.col("p") >= passes))).withColumn("p", F.when(F.col("label") == 1, 1.0).otherwise(F.col("p")))
     kind = F.element_at(F.array(*(F.lit(g) for g in GENERATORS)), F.col("gen").cast("int") + 1)
-    added = chosen.groupBy("__row").agg(F.collect_list(F.struct(F.col("p"), F.col("start"), F.col("end"), kind.alias("kind"))).alias("more"))
-    better = F.filter("more", lambda a: ~F.exists("more", lambda b: (b["start"] < a["end"]) & (b["end"] > a["start"]) & ((b["p"] > a["p"]) | ((b["p"] == a["p"]) & (F.struct(b["start"], b["end"], b["kind"]) < F.struct(a["start"], a["end"], a["kind"]))))))
-    extra = F.transform(F.coalesce(better, F.array().cast("array<struct<p:double,start:int,end:int,kind:string>>")), lambda a: F.struct(a["kind"].alias("kind"), a["start"].alias("start"), a["end"].alias("end")))
+    added = chosen.groupBy("__row").agg(F.collect_list(F.struct("p", "gen", "start", "end", kind.alias("kind"))).alias("more"))
+    #: The higher score first; of equal ones the more special generator, then the earlier span.
+    order = lambda a: F.struct(-a["p"], -a["gen"], a["start"], a["end"])
+    better = F.filter("more", lambda a: ~F.exists("more", lambda b: (b["start"] < a["end"]) & (b["end"] > a["start"]) & (order(b) < order(a))))
+    extra = F.transform(F.coalesce(better, F.array().cast("array<struct<p:double,gen:double,start:int,end:int,kind:string>>")), lambda a: F.struct(a["kind"].alias("kind"), a["start"].alias("start"), a["end"].alias("end")))
     both = found.join(added, "__row", "left").select(*carried, "base", F.concat("base", extra).alias("all"))
 
     def ordered(spans: str) -> Column:
