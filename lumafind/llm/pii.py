@@ -7,7 +7,7 @@ of characters of a token, a top-level domain with a cue of mail speak for it; a
 compound of words or an unknown domain against it. Base spans have no part in the labels. Proposals with
 evidence for them are added, those with evidence against them are not, and gradient-boosted trees, fitted
 here on a bounded sample of the labelled ones, decide the unlabelled: for each generator the threshold is the
-least score at which a second sample, of proposals outside base spans, reaches the wanted precision.
+least score at which the labelled proposals outside base spans, that may be added, reach the wanted precision.
 Of overlapping additions the better one stays.
 
 The patterns are written so that the Java engine neither recurses nor rescans on long runs: a separator
@@ -22,13 +22,13 @@ from collections.abc import Callable
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import documents, written
 from .quality import let
 
-#: Labelled proposals used to fit the trees, and as many again to set the thresholds.
+#: Proposals used to fit the trees, in equal shares for each generator and label.
 SAMPLE = 20_000
 PRECISION = 0.95
 ROUNDS, DEPTH = 8, 3
@@ -200,27 +200,30 @@ def _features(s: Column, generator: str) -> list[Column]:
     ]
 
 
-def learn(labelled: DataFrame) -> tuple[GBTClassificationModel | None, list[float]]:
-    """Trees and a threshold for each generator from labelled(features..., label, covered, draw). Without examples
-    of both sorts there is no model."""
-    sample = written(labelled.orderBy("draw").limit(2 * SAMPLE), "sample")
-    odd = F.col("draw") % 2 == 0
-    seen = {r.label: r.n for r in sample.filter(odd).groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(seen) < 2:
-        return None, [2.0] * len(GENERATORS)
+def fit(labelled: DataFrame) -> GBTClassificationModel | None:
+    """Trees from labelled(features..., label, draw): the first of each generator and label by draw. Without
+    examples of both sorts there is no model."""
+    first = Window.partitionBy("gen", "label").orderBy("draw")
+    share = SAMPLE // (2 * len(GENERATORS))
+    sample = written(labelled.select(*FEATURES, "label", F.row_number().over(first).alias("place"), "draw").filter(F.col("place") <= share), "sample")
+    if sample.select("label").distinct().count() < 2:
+        return None
     gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    fitted = GBTClassifier(labelCol="label", featuresCol="features", maxIter=ROUNDS, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=1, cacheNodeIds=False).fit(gather.transform(sample.filter(odd)))
-    scored = fitted.transform(gather.transform(sample.filter(~odd & ~F.col("covered")))).select("gen", F.round(vector_to_array("probability")[1], 3).alias("p"), "label")
-    #: At most 1001 scores for each generator.
-    levels = scored.groupBy("gen", "p").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
-    thresholds = []
+    return GBTClassifier(labelCol="label", featuresCol="features", maxIter=ROUNDS, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=1, cacheNodeIds=False).fit(gather.transform(sample))
+
+
+def thresholds(scored: DataFrame) -> list[float]:
+    """For each generator the least score at which all its labelled rows of scored(gen, p, label) reach PRECISION;
+    2.0, which no score reaches, without any. At most 1001 levels for each generator."""
+    levels = scored.filter("label is not null").groupBy("gen", "p").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+    found = []
     for g in range(len(GENERATORS)):
         n, good, least = 0, 0.0, 2.0
         for r in sorted((r for r in levels if r.gen == g), key=lambda r: -r.p):
             n, good = n + r.n, good + r.good
             least = r.p if good >= PRECISION * n else least
-        thresholds.append(max(0.5, least))
-    return fitted, thresholds
+        found.append(max(0.5, least))
+    return found
 
 
 def find_spans(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
@@ -234,14 +237,14 @@ def find_spans(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
     each = found.select("__row", "base", F.posexplode("cands").alias("place", "c")).select("__row", "place", "base", "c.*")
     inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     each = each.select("__row", "start", "end", F.col("gen").cast("double").alias("gen"), *FEATURES[1:], "label", inside.alias("covered"), F.xxhash64("__row", "place").alias("draw"))
-    model, thresholds = learn(each.filter("label is not null"))
+    model = fit(each.filter("label is not null"))
     free = each.filter("not covered")
     if model is None:
         chosen = free.filter("label = 1").select("__row", "gen", "start", "end", F.lit(1.0).alias("p"))
     else:
         scores = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(free))
-        scored = scores.select("__row", "gen", "start", "end", "label", F.round(vector_to_array("probability")[1], 3).alias("p"))
-        passes = F.element_at(F.array(*(F.lit(float(t)) for t in thresholds)), F.col("gen").cast("int") + 1)
+        scored = written(scores.select("__row", "gen", "start", "end", "label", F.round(vector_to_array("probability")[1], 3).alias("p")), "scored")
+        passes = F.element_at(F.array(*(F.lit(float(t)) for t in thresholds(scored))), F.col("gen").cast("int") + 1)
         chosen = scored.filter((F.col("label") == 1) | (F.col("label").isNull() & (F.col("p") >= passes))).withColumn("p", F.when(F.col("label") == 1, 1.0).otherwise(F.col("p")))
     kind = F.element_at(F.array(*(F.lit(g) for g in GENERATORS)), F.col("gen").cast("int") + 1)
     added = chosen.groupBy("__row").agg(F.collect_list(F.struct("p", "gen", "start", "end", kind.alias("kind"))).alias("more"))

@@ -67,3 +67,18 @@ def test_what_no_base_pattern_covers(spark):
 def test_alone(spark, text, kind):
     """Evidence needs no other documents."""
     assert [s[0] for s in found(spark, [(text,)])[0][1]] == [kind]
+
+
+def test_rare_generator_beside_many_others(spark, monkeypatch):
+    """The bounded sample only fits the trees: thresholds come from all labelled proposals, so a rare generator
+    isn't lost among the others."""
+    monkeypatch.setattr(pii, "SAMPLE", 80)
+    rnd = random.Random(5)
+    docs = [(f"token: {token(rnd)} report-of-the-{k}-group-meeting 2024-06-{rnd.randint(10, 28)} end",) for k in range(400)]
+    docs += [(f"please mail to {a} at {b} dot com soon",) for a in ("bob", "joan", "eli") for b in ("example", "host")]
+    docs += [(f"look at {a} dot com boom",) for a in ("the", "every", "your", "this")]
+    docs += [("then ann at host dot org was seen",)]
+    spans = found(spark, docs)
+    assert [s[0] for s in spans[len(docs) - 1][1]] == ["email"]
+    assert spans[len(docs) - 2][1] == []
+    assert all([s[0] for s in spans[k][1]] == ["secret"] for k in range(400))
