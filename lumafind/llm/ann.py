@@ -4,9 +4,10 @@ Vectors are scaled by the largest norm and given one more coordinate, so that th
 the least Euclidean distance. Each of TABLES tables cuts HASHES Gaussian projections into cells of one width;
 a cell of every projection makes a bucket. For a query the buckets of a table are visited in falling order
 of their estimated chance to hold a near neighbour, until these chances add up to ``aim``. The chance takes
-a neighbour's projection as normal around the query's, shrunk by the similarity expected of a k-th
-neighbour, which is measured on a sample of at most SAMPLE rows. The tables' candidates are merged and
-ranked by exact inner products of the original vectors.
+a neighbour's projection as normal around the query's, shrunk by the similarity expected of this query's k-th
+neighbour, which is estimated from a sample of at most SAMPLE rows of the index. If the k-th score found is
+below the estimate, the query is probed again by that score, which no true k-th neighbour falls below. The
+tables' candidates are merged and ranked by exact inner products of the original vectors.
 
 The index is cut into shards and the queries into blocks; a task meets one shard with one block and returns
 its best k for each query, so nothing grows with a bucket. Copies of a vector beyond the k + 1 smallest ids
@@ -63,29 +64,42 @@ def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, size)
 
 
-def _meet(k: int, largest: float, similar: dict[int, float], aim: float):
+def _kth(scores: np.ndarray, k: int) -> float:
+    return float(np.partition(scores, -k)[-k]) if len(scores) >= k else -np.inf
+
+
+def _meet(k: int, largest: float, samples: dict[int, tuple[np.ndarray, int]], aim: float):
     def run(index: pa.Table, asked: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if index.num_rows and asked.num_rows:
             size = index.column("size")[0].as_py()
             vectors, queries = _matrix(index.column("v"), size), _matrix(asked.column("v"), size)
             ids, query_ids = index.column("id").to_numpy(), asked.column("id").to_numpy()
-            shrink = similar[size]
-            spread = max(1 - shrink * shrink, 1e-4) ** 0.5
             unit = vectors / largest
             unit = np.hstack((unit, np.sqrt(np.maximum(0, 1 - (unit * unit).sum(axis=1)))[:, None]))
             turned = np.hstack((queries / np.sqrt((queries * queries).sum(axis=1))[:, None], np.zeros((len(queries), 1))))
             tables = [(a, b, _cells(unit @ a + b)) for a, b in (_projections(size, t) for t in range(TABLES))]
+            expected = expected_similarity(*samples[size], queries, largest, k)
             for n, (q, direction) in enumerate(zip(queries, turned)):
-                chosen = np.zeros(len(ids), bool)
-                for a, b, buckets in tables:
-                    order, chance = probe_order(shrink * (direction @ a) + b, spread)
-                    visited = np.zeros(len(order), bool)
-                    visited[order[: int(np.searchsorted(np.cumsum(chance), aim)) + 1]] = True
-                    chosen |= visited[buckets]
-                chosen &= ids != query_ids[n]
+
+                def probed(similarity: float) -> np.ndarray:
+                    shrink = min(max(similarity, -0.999), 0.999)
+                    spread = max(1 - shrink * shrink, 1e-4) ** 0.5
+                    chosen = np.zeros(len(ids), bool)
+                    for a, b, buckets in tables:
+                        order, chance = probe_order(shrink * (direction @ a) + b, spread)
+                        visited = np.zeros(len(order), bool)
+                        visited[order[: int(np.searchsorted(np.cumsum(chance), aim)) + 1]] = True
+                        chosen |= visited[buckets]
+                    return chosen & (ids != query_ids[n])
+
+                chosen = probed(expected[n])
                 at = np.flatnonzero(chosen)
                 rough = vectors[at] @ q
+                reached = _kth(rough, k) / (largest * np.sqrt(q @ q))
+                if -np.inf < reached < expected[n]:
+                    at = np.flatnonzero(chosen | probed(reached))
+                    rough = vectors[at] @ q
                 if len(at) > k:
                     at = at[rough >= np.partition(rough, -k)[-k] - 1e-9 * largest]
                 exact = (vectors[at] * q).sum(axis=1)
@@ -105,16 +119,24 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce(finite & nonzero, F.lit(False))).select("id", "v", F.size("v").alias("size")).distinct()
 
 
-def expected_similarity(rows: DataFrame, total: dict[int, int], k: int) -> dict[int, float]:
-    """Median cosine of a k-th neighbour by vector size, from at most SAMPLE rows of each size: among n of N
-    rows it is the neighbour of rank k * n / N, the first at least, which errs to wider probing."""
+def sampled(index: DataFrame, total: dict[int, int]) -> dict[int, tuple[np.ndarray, int]]:
+    """At most SAMPLE vectors of each size from the index, and how many it holds."""
     found = {}
     for size, n in total.items():
-        sample = np.array([r.v for r in rows.filter(F.col("size") == size).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()])
-        unit = sample / np.sqrt((sample * sample).sum(axis=1))[:, None]
-        rank = max(1, k * len(sample) // n)
-        cosines = np.sort(unit[:256] @ unit.T, axis=1)[:, ::-1]
-        found[size] = float(np.clip(np.median(cosines[:, min(rank, len(sample) - 1)]), 0, 0.999)) if len(sample) > 1 else 0.0
+        rows = index.filter(F.col("size") == size).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+        found[size] = np.array([r.v for r in rows], np.float64), n
+    return found
+
+
+def expected_similarity(sample: np.ndarray, n: int, queries: np.ndarray, largest: float, k: int) -> np.ndarray:
+    """For each query the cosine of its k-th neighbour among the n scaled rows: that of rank k * len(sample) / n in
+    the sample, the first at least, which errs to wider probing. A query in the sample takes one rank itself."""
+    rank = min(max(1, k * len(sample) // n) + 1, len(sample))
+    found = np.empty(len(queries))
+    for at in range(0, len(queries), 256):
+        part = queries[at : at + 256]
+        scores = part @ sample.T / (largest * np.sqrt((part * part).sum(axis=1)))[:, None]
+        found[at : at + 256] = np.partition(scores, -rank, axis=1)[:, -rank]
     return found
 
 
@@ -134,13 +156,14 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, aim: float = AI
     if not facts:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     largest = max(r.norm for r in facts)
-    similar = expected_similarity(rows, {r["size"]: r.n for r in facts}, k)
+    held_rows = {r["size"]: r.n for r in index.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    samples = sampled(index, held_rows)
     shards = max(1, -(-sum(r.n for r in facts) // SHARD))
     blocks = max(1, -(-sum(r.asked for r in facts) // BLOCK))
     key = ["size", "shard", "block"]
     held = index.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = rows.filter(is_query).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    best = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_meet(k, largest, similar, aim), "query_id long, vec_id long, score double")
+    best = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_meet(k, largest, samples, aim), "query_id long, vec_id long, score double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
