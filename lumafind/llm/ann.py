@@ -6,8 +6,8 @@ a cell of every projection makes a bucket. For a query the buckets of a table ar
 of their estimated chance to hold a near neighbour, until these chances add up to ``aim``. The chance takes
 a neighbour's projection as normal around the query's, shrunk by the similarity expected of this query's k-th
 neighbour, which is estimated from a sample of at most SAMPLE rows of the index. If the k-th score found is
-below the estimate, the query is probed again by that score, which no true k-th neighbour falls below. The
-tables' candidates are merged and ranked by exact inner products of the original vectors.
+below the estimate, the query is probed again by that score, which no true k-th neighbour falls below; where
+fewer than k are found, all buckets are visited. The tables' candidates are merged and ranked by exact inner products of the original vectors.
 
 The index is cut into shards and the queries into blocks; a task meets one shard with one block and returns
 its best k for each query, so nothing grows with a bucket. Copies of a vector beyond the k + 1 smallest ids
@@ -97,8 +97,8 @@ def _meet(k: int, largest: float, samples: dict[int, tuple[np.ndarray, int]], ai
                 at = np.flatnonzero(chosen)
                 rough = vectors[at] @ q
                 reached = _kth(rough, k) / (largest * np.sqrt(q @ q))
-                if -np.inf < reached < expected[n]:
-                    at = np.flatnonzero(chosen | probed(reached))
+                if reached < expected[n]:
+                    at = np.flatnonzero(chosen | probed(reached) if reached > -np.inf else ids != query_ids[n])
                     rough = vectors[at] @ q
                 if len(at) > k:
                     at = at[rough >= np.partition(rough, -k)[-k] - 1e-9 * largest]

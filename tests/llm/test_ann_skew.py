@@ -32,3 +32,10 @@ def test_recall_beside_a_dense_group(spark, dense):
         if not members[q]:
             shares.append(len(set(found[q]) & set(np.argsort(-scores)[:20].tolist())) / 20)
     assert np.mean(shares) >= 0.9
+
+
+def test_all_candidates_of_small_tables(spark):
+    rng = np.random.default_rng(11)
+    for n in (2, 18, 21):
+        found = search(spark, rng.standard_normal((n, 16)), 1)
+        assert {q: sorted(ids) for q, ids in found.items()} == {q: [i for i in range(n) if i != q] for q in range(n)}
