@@ -53,8 +53,8 @@ def match_key(col: Column) -> Column:
 
 
 def base_name(col: Column) -> Column:
-    """The match key without notes in round or square brackets."""
-    return match_key(F.regexp_replace(F.coalesce(col, F.lit("")), r"\([^)]*\)|\[[^\]]*\]|（[^）]*）", ""))
+    """The match key without notes in plain round or square brackets; full-width notes stay."""
+    return match_key(F.regexp_replace(F.coalesce(col, F.lit("")), r"\([^)]*\)|\[[^\]]*\]", ""))
 
 
 def category_parent(col: Column) -> Column:
@@ -66,8 +66,10 @@ def category_child(col: Column) -> Column:
 
 
 def parse_date(col: Column) -> Column:
-    text = F.trim(col)
-    return F.coalesce(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd")), F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd")))
+    """Year, month and day between dashes, the latter two with or without a leading zero, else eight digits."""
+    text = norm_text(col)
+    dashed = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "yyyy-M-d"))
+    return F.coalesce(dashed, F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd")))
 
 
 def blank(col: Column) -> Column:
@@ -75,8 +77,9 @@ def blank(col: Column) -> Column:
 
 
 def embedding_input(color: Column, name: Column) -> Column:
-    """The Hangul in the colour's parentheses, else a colour that has Hangul and no Latin, before the name."""
-    inside = F.regexp_extract(color, r"\(\s*([가-힣]+)\s*\)", 1)
+    """What the colour has in parentheses that hold Hangul, else a colour that has Hangul and no Latin, before the
+    name."""
+    inside = F.regexp_extract(color, r"\(([^)]*[가-힣][^)]*)\)", 1)
     own = F.when(color.rlike("[가-힣]") & ~color.rlike("[A-Za-z]"), color)
     return squeeze(F.concat_ws(" ", F.coalesce(F.nullif(inside, F.lit("")), own), name))
 
@@ -94,18 +97,25 @@ def retention_start(day: Column, months: Column | int) -> Column:
     return F.add_months(day, -months)
 
 
-def has_photo(url: Column, placeholder: str = "img02_no_img") -> Column:
-    return ~blank(url) & ~F.coalesce(url.contains(placeholder), F.lit(False))
+def has_photo(url: Column, placeholder: str = "/img02_no_img.gif") -> Column:
+    """A URL that isn't blank and whose path, without query and fragment, doesn't end in the placeholder."""
+    path = F.split(F.trim(url), "[?#]", 2)[0]
+    return ~blank(url) & ~F.coalesce(F.endswith(path, F.lit(placeholder)), F.lit(False))
 
 
-#: Icon classes by exact parent category.
-CLASSES = {"지갑": "wallet", "가방": "bag", "쇼핑백": "bag", "휴대폰": "phone", "전자기기": "device", "컴퓨터": "device", "카드": "card", "의류": "clothing"}
+#: Icon classes by exact parent category, for two of them by exact child.
+CLASSES = {"가방": "bag", "지갑": "wallet", "휴대폰": "phone", "카드": "card"}
+CHILD_CLASSES = {"의류": ("모자", "cap"), "전자기기": ("무선이어폰", "buds")}
 
 
-def category_class(raw: Column, classes: dict[str, str] | None = None, rest: str = "other") -> Column:
+def category_class(raw: Column, classes: dict[str, str] | None = None, children: dict[str, tuple[str, str]] | None = None, rest: str = "box") -> Column:
+    parts = F.transform(F.split(F.coalesce(raw, F.lit("")), ">"), lambda p: F.trim(p))
+    parent, child = parts[0], F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
     found = F.lit(rest)
-    for name, kind in (classes or CLASSES).items():
-        found = F.when(category_parent(raw) == name, kind).otherwise(found)
+    for name, kind in (CLASSES if classes is None else classes).items():
+        found = F.when(parent == name, kind).otherwise(found)
+    for name, (below, kind) in (CHILD_CLASSES if children is None else children).items():
+        found = F.when((parent == name) & (child == below), kind).otherwise(found)
     return found
 
 

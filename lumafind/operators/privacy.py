@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import masks as M
 from ..functions.scalars import category_parent
 
-TEXTS = ("item_name", "raw_category_name", "color_name", "description")
+TEXTS = ("item_name", "description", "normalized_search_text", "search_text")
 
 
 def is_high_risk(raw: Column, risky: tuple[str, ...] = M.HIGH_RISK) -> Column:
@@ -16,18 +16,19 @@ def is_high_risk(raw: Column, risky: tuple[str, ...] = M.HIGH_RISK) -> Column:
 
 
 def mask_table(df: DataFrame, columns: tuple[str, ...] = TEXTS, risky: tuple[str, ...] = M.HIGH_RISK) -> DataFrame:
-    """The text columns masked, names in brackets too where the parent category is at high risk."""
+    """The text columns masked as far as df has them, names in brackets too where the parent category is at high
+    risk. All others stay as they are."""
     risk = is_high_risk(F.col("raw_category_name"), risky)
-    return df.withColumns({c: M.mask_text(F.col(c), risk) for c in columns})
+    return df.withColumns({c: M.mask_text(F.col(c), risk) for c in columns if c in df.columns})
 
 
 def needs_masking(df: DataFrame, columns: tuple[str, ...] = TEXTS, risky: tuple[str, ...] = M.HIGH_RISK) -> DataFrame:
     """One row: rows scanned and rows that masking would change."""
     risk = is_high_risk(F.col("raw_category_name"), risky)
-    changed = [~M.mask_text(F.col(c), risk).eqNullSafe(F.col(c)) for c in columns]
-    flag = changed[0]
-    for c in changed[1:]:
-        flag = flag | c
+    flag = F.lit(False)
+    for c in columns:
+        if c in df.columns:
+            flag = flag | ~M.mask_text(F.col(c), risk).eqNullSafe(F.col(c))
     return df.select(flag.alias("changed")).agg(F.count("*").alias("scanned"), F.count_if("changed").alias("to_mask"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import masks as M
 from ..operators import privacy as P
-from .adapt import ITEMS, frame, tables
+from ..operators.ingest import search_text as ingest_search_text
+from .adapt import ITEMS, frame, masked_numbers, tables
 from .registry import query
 
 #: Phone book rows: each customer's number written as a registration, mobile or card number beside a name.
@@ -65,14 +66,19 @@ def mask_text(spark, sf):
     return rows(spark, sf).select("id", M.mask_text(F.col("description"), P.is_high_risk(F.col("raw_category_name"))).alias("t"))
 
 
-@query("H8_mask_table", f"SELECT id, {MASKED} AS description, raw_category_name, source FROM ({ROWS}) x")
+#: The four texts that leave the system; category and colour stay as they are.
+FOUR = "id, description AS item_name, description, description AS normalized_search_text, description AS search_text, raw_category_name, description AS color_name"
+
+
+@query("H8_mask_table", f"SELECT id, {MASKED} AS item_name, {MASKED} AS description, {MASKED} AS normalized_search_text, {MASKED} AS search_text, raw_category_name, description AS color_name FROM ({ROWS}) x")
 def mask_table(spark, sf):
-    return P.mask_table(rows(spark, sf), ("description",))
+    return P.mask_table(rows(spark, sf).selectExpr(*FOUR.split(", ")))
 
 
-@query("H9_needs_masking", "SELECT count(*) AS scanned, count(*) FILTER (c_custkey % 2 = 0) AS to_mask FROM customer")
+@query("H9_needs_masking", "SELECT count(*) AS scanned, count(*) FILTER (c_custkey % 2 = 0 OR c_custkey % 3 = 0) AS to_mask FROM customer")
 def needs_masking(spark, sf):
-    return P.needs_masking(rows(spark, sf).withColumn("description", F.expr("if(id % 2 = 0, description, 'none')")), ("description",))
+    stored = rows(spark, sf).selectExpr("raw_category_name", "if(id % 2 = 0, description, 'none') AS item_name", "if(id % 3 = 0, description, 'none') AS search_text", "description AS color_name")
+    return P.needs_masking(stored)
 
 
 @query("H10_has_identifier", "SELECT c_custkey AS id, c_custkey % 4 <> 3 AS found FROM customer")
@@ -101,10 +107,11 @@ def masking_report(spark, sf):
     return P.masking_report(rows(spark, sf), "description", "source")
 
 
-@query("B11_search_text", f"WITH i AS ({ITEMS}) SELECT id, length(trim(regexp_replace(concat_ws(' ', item_name, substr(description, 25, 30), color_name, raw_category_name), '\\s+', ' ', 'g'))) AS n FROM i WHERE regexp_full_match(item_name || substr(description, 25, 30), '[a-zA-Z .,\\n]*')")
-def search_text(spark, sf):
-    from ..functions.scalars import norm_text
+SEARCH = masked_numbers(r"trim(regexp_replace(concat_ws(' ', item_name, description, color_name, raw_category_name), '\s+', ' ', 'g'))")
 
-    items = frame(spark, sf, ITEMS).withColumn("subject", F.expr("substr(description, 25, 30)")).filter(r"concat(item_name, subject) rlike '^[a-zA-Z .,\n]*$'")
-    text = M.mask_text(norm_text(F.concat_ws(" ", "item_name", "subject", "color_name", "raw_category_name")), P.is_high_risk(F.col("raw_category_name")))
-    return items.select("id", F.length(text).cast("long").alias("n"))
+
+@query("B11_search_text", f"WITH i AS ({ITEMS}) SELECT id, length(t) AS n, md5(t) AS digest FROM (SELECT id, {SEARCH} AS t FROM i) x")
+def search_text(spark, sf):
+    items = frame(spark, sf, ITEMS)
+    rows = items.select("id", ingest_search_text(items).alias("t"))
+    return rows.select("id", F.length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))

@@ -7,47 +7,64 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumafind.functions import masks, scalars, terms
-from lumafind.operators import alerts, ingest, places, search, vectors
+from lumafind.operators import alerts, ingest, places, privacy, search, vectors
 from lumafind.sources import pages
 
 
-@pytest.mark.parametrize(
-    ("text", "risky", "want"),
-    [
-        ("1234-5678-9012-3456", False, "1234-****-****-3456"),
-        ("1234567890123456", False, "1234********3456"),
-        ("3782-822463-10005", False, "3782-******-*0005"),
-        ("4000123412341234567", False, "4000***********4567"),
-        ("1234-5678-90123", False, "1234-****-*0123"),
-        ("1234-56**-****-5678", False, "1234-****-****-5678"),
-        ("****-5678-9012-3456", False, "****-****-****-3456"),
-        ("123456789012", False, "123456789012"),
-        ("12345678901234567890", False, "12345678901234567890"),
-        ("2026-11-20", False, "2026-11-20"),
-        ("국민카드(홍길동 명의)", False, "국민카드(홍*동 명의)"),
-        ("성명: 홍길동", False, "성명: 홍*동"),
-        ("학생증 이름 김민", False, "학생증 이름 김*"),
-        ("카드 (홍길동)", True, "카드 (홍*동)"),
-        ("카드 (홍길동)", False, "카드 (홍길동)"),
-        ("지갑 (학생증)", True, "지갑 (학생증)"),
-        ("", True, ""),
-        (None, True, None),
-    ],
-)
-def test_masks(text, risky, want):
-    once = masks.mask_value(text, risky)
-    assert once == want
-    assert masks.mask_value(once, risky) == once
+MASKS = [
+    ("5500-1111-2222-7788 paid", False, "5500-****-****-7788 paid"),
+    ("5500111122227788", False, "5500********7788"),
+    ("3411-222222-98765", False, "3411-******-*8765"),
+    ("6011222233334444555", False, "6011***********4555"),
+    ("5500-11**-****-7788", False, "5500-11**-****-7788".replace("11**", "****")),
+    ("****-1111-2222-7788", False, "****-****-****-7788"),
+    ("550011112222", False, "550011112222"),
+    ("55001111222277889900", False, "55001111222277889900"),
+    ("850412-2345678 and 8504122345678", False, "******-******* and ******-*******"),
+    ("017.222.3333, 010 9999 8888", False, "017-****-3333, 010-****-8888"),
+    ("통장(박보람 명의)", False, "통장(박*람 명의)"),
+    ("성명 : 최하나\n이름 윤슬", False, "성명 : 최*나\n이름 윤*"),
+    ("소유자 미상, 명의자: 법인", False, "소유자 미상, 명의자: 법인"),
+    ("지갑 [ 황보가람 ]", True, "지갑 [ 황**람 ]"),
+    ("카드 (정다운)", True, "카드 (정*운)"),
+    ("카드 (정다운)", False, "카드 (정다운)"),
+    ("카드 (정다운이) (면허증) (우리은) (카드홀더)", True, "카드 (정다운이) (면허증) (우리은) (카드홀더)"),
+    ("", True, ""),
+    (None, True, None),
+]
+
+
+def test_masks(spark):
+    rows = spark.createDataFrame(MASKS, "text string, risky boolean, want string")
+    once = rows.withColumn("got", masks.mask_text(F.col("text"), F.col("risky")))
+    twice = once.withColumn("again", masks.mask_text(F.col("got"), F.col("risky"))).withColumn("found", masks.has_identifier(F.col("text")))
+    for r in twice.collect():
+        assert (r.got, r.again) == (r.want, r.want), r.text
+        assert r.found == (r.text is not None and any(c in r.want for c in "*") and not any("가" <= c <= "힣" for c in r.text)), r.text
+
+
+def test_dictionary_words_are_no_names(spark):
+    text = spark.createDataFrame([("(마틴킴) (은하늘)",)], "t string")
+    assert text.select(masks.mask_bracketed(F.col("t"))).first()[0] == "(마틴킴) (은*늘)"
+    assert text.select(masks.mask_bracketed(F.col("t"), ("은하늘",))).first()[0] == "(마*킴) (은하늘)"
+
+
+def test_masked_columns(spark):
+    row = spark.createDataFrame([("5500111122227788",) * 6], "item_name string, description string, normalized_search_text string, search_text string, raw_category_name string, color_name string")
+    got = privacy.mask_table(row).first()
+    assert [c for c in row.columns if got[c] == "5500********7788"] == ["item_name", "description", "normalized_search_text", "search_text"]
 
 
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("검은색 마틴킴 카드 지갑", "검정 마뗑킴 카드지갑"),
-        ("검정색지갑", "검정 지갑"),
-        ("무선 이어폰 유닛 X", "무선이어폰 유닛없음"),
-        ("브라운 면도기", "브라운 면도기"),
-        ("블랙야크", "블랙야크"),
+        ("하얀색 Matin Kim 파우치", "흰색 마뗑킴 파우치"),
+        ("블랙백팩", "검정 백팩"),
+        ("블루투스 이어폰 왼쪽 유닛", "무선이어폰 왼쪽유닛"),
+        ("삼성 화이트 냉장고", "삼성 화이트 냉장고"),
+        ("톰브라운", "톰브라운"),
+        ("버즈프로2", "버즈 프로 2"),
+        ("black brown", "검정 갈색"),
     ],
 )
 def test_synonyms(text, want):
@@ -56,13 +73,20 @@ def test_synonyms(text, want):
     assert d.canonicalize(want) == want
 
 
-def test_query_colour_and_kinds():
+def test_query_colour_and_kinds(spark):
+    d = terms.Dictionary.load()
+    assert d.canonicalize("화이트 물건", query=True) == "흰색 물건"
+    want = {"비니 하나": ["모자"], "머니클립": ["지갑"], "갤럭시 에어팟": ["이어폰"], "갤럭시 스마트폰 버즈": ["이어폰", "휴대폰"], "현금을 넣 는 것": ["지갑"], "책 한 권": ["책"], "책상": [], "": []}
+    rows = spark.createDataFrame([(t,) for t in want], "t string").withColumn("kinds", terms.detect_kinds(F.col("t"), d))
+    assert {r.t: r.kinds for r in rows.collect()} == want
+
+
+def test_candidate_terms():
     d = terms.Dictionary.load()
-    assert d.canonicalize("검은색 물품", query=True) == "검정 물품"
-    assert d.detect("비니") == ["모자"]
-    assert d.detect("카드지갑") == ["지갑"]
-    assert d.detect("갤럭시 버즈") == ["이어폰"]
-    assert d.detect("돈을 넣 던 것") == ["지갑"]
+    assert d.candidates("지갑", ["지갑"]) == (["돈을 넣", "돈을넣", "머니클립", "지갑", "카드홀더", "현금을 넣", "현금을넣"], [])
+    assert d.candidates("ab 키", []) == (["ab"], ["키"])
+    found, _ = d.candidates("마뗑킴", [])
+    assert {"뗑킴", "마틴킴", "kim"} <= set(found)
 
 
 def test_dictionary_tables(spark):
@@ -132,11 +156,38 @@ def test_rescore_of_all_equals_exact(spark):
 def test_containment_and_gate(spark):
     rows = [(1, "검정 지갑"), (2, "머니클립"), (3, "무선이어폰")]
     d = terms.Dictionary.load()
-    found, words = d.candidates(d.canonicalize("지갑", query=True))
-    queries = spark.createDataFrame([(1, found, words)], "query_id long, terms array<string>, words array<string>")
-    docs = spark.createDataFrame([(k, 7, t) for k, t in rows], "id long, location_id long, search_text string")
-    scope = spark.createDataFrame([(1, 7)], "query_id long, location_id long")
-    assert {r.id for r in search.candidates(queries, scope, docs).collect()} == {1, 2}
+    queries = search.prepared(spark.createDataFrame([(1, "지갑"), (2, "아이폰"), (3, "키")], "query_id long, text string"), d)
+    items = spark.createDataFrame([(k, 7, t, t) for k, t in [*rows, (4, "갤럭시 휴대폰"), (5, "자동차 키."), (6, "키보드")]], "id long, location_id long, search_text string, name string")
+    docs = items.select("id", "location_id", "search_text", F.struct(F.col("name").alias("item_name"), F.lit(None).cast("string").alias("raw_category_name"), F.lit("").alias("description")).alias("detail"))
+    scope = spark.createDataFrame([(1, 7), (2, 7), (3, 7)], "query_id long, location_id long")
+    index = search.indexed(docs, d)
+    found = {(r.query_id, r.id) for r in search.candidates(queries, scope, index).collect()}
+    assert found == {(1, 1), (1, 2), (2, 4), (3, 5)}
+    scored = {(r.query_id, r.id) for r in search.lexical(queries, scope, index).collect()}
+    #: A phone of another maker doesn't fit the query for an iPhone.
+    assert scored == {(1, 1), (1, 2), (3, 5)}
+    pool = scope.join(index.select("id", "location_id"), "location_id")
+    assert search.check_containment(search.lexical(queries, scope, index, pool), search.candidates(queries, scope, index)).isEmpty()
+
+
+def test_radius_at_any_latitude(spark):
+    """Every pair within the radius is found near the poles and across the date line."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    spots = [(lat + float(a), (lon + float(b) + 180) % 360 - 180) for lat in (0, 45, 75, 88, -89.5, 64) for lon in (0, 179.9, -180, 90) for a, b in rng.uniform(-0.4, 0.4, (6, 2))]
+    spots += [(90.0, 0.0), (-90.0, 55.0), (89.9, 170.0), (89.9, -100.0)]
+    points = spark.createDataFrame([(k, *p) for k, p in enumerate(spots)], "id long, latitude double, longitude double")
+
+    def metres(a, b):
+        (p, x), (q, y) = (map(math.radians, s) for s in (a, b))
+        return 2 * 6_371_008.8 * math.asin(min(1, math.sqrt(math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((y - x) / 2) ** 2)))
+
+    for radius in (9_000.0, 60_000.0):
+        got = sorted((r.query_id, r.location_id) for r in places.within_radius(points.withColumnRenamed("id", "query_id"), points, radius).select("query_id", "location_id").collect())
+        assert got == sorted((a, b) for a in range(len(spots)) for b in range(len(spots)) if metres(spots[a], spots[b]) <= radius)
 
 
 def test_reservation_steps():
