@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.terms import plain, tokens
+from ..functions.masks import mask_numbers
+from ..functions.scalars import embedding_input_v1
+from ..functions.terms import Dictionary, candidate_terms, canonicalize, detect_kinds, tokens
+from ..sources.staged import spread, staged
 
 K1, B = 1.2, 0.75
 
 
-def build_documents(items: DataFrame, previous: DataFrame | None, now: str, mask=None) -> DataFrame:
-    """The search projection of matched, located items: lower-cased masked text, detail, hash, visible_since
-    (kept from the previous projection)."""
-    joined = F.lower(F.concat_ws(" ", "item_name", "raw_category_name", "color_name", "description"))
+def build_documents(items: DataFrame, previous: DataFrame | None, now: str) -> DataFrame:
+    """The search projection of matched, located items: lower-cased text with its numbers masked, detail, the hash
+    of the first embedding input, visible_since (kept from the previous projection)."""
+    joined = F.lower(mask_numbers(F.concat_ws(" ", "item_name", "raw_category_name", "color_name", "description")))
     live = items.filter("status = 'matched' and storage_location_id is not null")
     detail = F.struct("item_name", "raw_category_name", "color_name", "description", "registered_on")
-    docs = live.select("id", F.col("storage_location_id").alias("location_id"), F.sha2(F.coalesce("item_name", F.lit("")), 256).alias("content_hash"), (mask(joined) if mask else joined).alias("search_text"), detail.alias("detail"))
+    text = F.col("normalized_search_text") if "normalized_search_text" in items.columns else F.lit(None).cast("string")
+    hashed = F.sha2(F.coalesce(embedding_input_v1(text, F.col("item_name")), F.lit("")), 256)
+    docs = live.select("id", F.col("storage_location_id").alias("location_id"), hashed.alias("content_hash"), joined.alias("search_text"), detail.alias("detail"))
     time = F.lit(now).cast("timestamp")
     if previous is None:
         return docs.withColumn("visible_since", time)
@@ -28,13 +33,49 @@ def seed_documents(items: DataFrame, after: int, limit: int, now: str) -> DataFr
     return build_documents(items.filter(F.col("id") > after).orderBy("id").limit(limit), None, now)
 
 
+def prepared(queries: DataFrame, dictionary: Dictionary) -> DataFrame:
+    """queries(query_id, text) -> query_id, text (canonical), wanted (kinds), terms, words, tokens (distinct: those
+    of the text and of its kinds' terms)."""
+    kinds_text = {k: " ".join(ts) for k, ts in dictionary.kinds.items()}
+    #: Written between, since one Arrow function works on what another one made.
+    named = staged(queries.select("query_id", canonicalize(F.col("text"), dictionary, True).alias("text")), "queries")
+    named = staged(named.withColumn("wanted", detect_kinds(F.col("text"), dictionary)), "queries")
+    spelled = F.array_join(F.transform("wanted", lambda k: F.create_map(*(F.lit(x) for kt in kinds_text.items() for x in kt))[k]), " ") if kinds_text else F.lit("")
+    named = named.withColumn("c", candidate_terms(F.col("text"), F.col("wanted"), dictionary)).withColumn("again", canonicalize(F.concat_ws(" ", "text", spelled), dictionary))
+    return named.select("query_id", "text", "wanted", "c.terms", "c.words", F.array_distinct(tokens(F.col("again"))).alias("tokens"))
+
+
+def indexed(docs: DataFrame, dictionary: Dictionary) -> DataFrame:
+    """docs(id, location_id, search_text: masked, detail) -> id, location_id, search_text, canonical text, its number of
+    tokens, and what the kind gate asks for. Each text is folded once."""
+    canonical = spread(docs, "id").select(
+        "id", "location_id", "search_text", canonicalize(F.col("search_text"), dictionary).alias("canonical"), canonicalize(F.col("detail.item_name"), dictionary).alias("name"),
+        canonicalize(F.col("detail.raw_category_name"), dictionary).alias("category"), canonicalize(F.col("detail.description"), dictionary).alias("description"),
+    )
+    described = F.when(F.col("description") != "", F.col("description")).otherwise(F.col("canonical"))
+    kinds = {"name_kinds": F.col("name"), "category_kinds": F.col("category"), "description_kinds": described}
+    words = F.filter(F.split("canonical", " "), lambda w: w != "")
+    #: A word of n characters has itself and n - 1 pairs as tokens.
+    length = F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w))
+    rows = canonical.select("id", "location_id", "search_text", "canonical", length.alias("length"), F.concat("name", "category").alias("identity"), *(detect_kinds(c, dictionary).alias(n) for n, c in kinds.items()))
+    return staged(rows, "search-index")
+
+
 def candidates(queries: DataFrame, scope: DataFrame, docs: DataFrame) -> DataFrame:
     """queries(query_id, terms, words), scope(query_id, location_id), docs(id, location_id, search_text): pairs in
-    scope whose text has any of the terms, or any of the one-letter words between other than letters and digits."""
-    pairs = queries.select("query_id", "terms", "words").join(scope, "query_id").join(docs, "location_id")
-    inside = F.exists("terms", lambda t: F.col("search_text").contains(t))
-    alone = F.exists("words", lambda w: F.rlike("search_text", F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), w, F.lit(r"\E(?![\p{L}\p{N}])"))))
-    return pairs.filter(inside | alone).drop("terms", "words")
+    scope whose text has any of the terms, or any of the one-letter words between other than letters and digits.
+
+    Each distinct term asked for at an institution is looked for once in a text; only ids leave it."""
+    asked = queries.join(scope, "query_id").select("query_id", "location_id", F.explode(F.concat(F.transform("terms", lambda t: F.concat(F.lit("t"), t)), F.transform("words", lambda w: F.concat(F.lit("w"), w)))).alias("term")).distinct()
+    here = asked.groupBy("location_id").agg(F.collect_set("term").alias("asked"))
+
+    def inside(t: Column) -> Column:
+        term = F.substring(t, F.lit(2), F.length(t))
+        alone = F.rlike("search_text", F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), term, F.lit(r"\E(?![\p{L}\p{N}])")))
+        return F.when(F.startswith(t, F.lit("t")), F.contains(F.col("search_text"), term)).otherwise(alone)
+
+    found = docs.select("id", "location_id", "search_text").join(here, "location_id").select("id", "location_id", F.explode(F.filter("asked", inside)).alias("term"))
+    return found.join(asked, ["location_id", "term"]).select("query_id", "id", "location_id").distinct()
 
 
 def kind_gate(pairs: DataFrame) -> DataFrame:
@@ -47,18 +88,19 @@ def kind_gate(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("passes", ~clash & (fits | (~phone & F.arrays_overlap("wanted", "description_kinds"))))
 
 
-def bm25(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """queries(query_id, tokens: distinct array), pool(query_id, id, tokens) -> query_id, id, score > 0.
+def bm25(queries: DataFrame, pool: DataFrame, docs: DataFrame) -> DataFrame:
+    """queries(query_id, tokens: distinct array), pool(query_id, id, location_id), docs(id, location_id, canonical,
+    length) -> query_id, id, score > 0.
 
-    Frequencies, sizes and the mean length come from each query's whole pool. Only tokens that some query
-    has are counted; lengths come from the arrays, so nothing else of a text is exploded.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    size = pool.groupBy("query_id").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    hits = pool.join(queries.select("query_id", F.col("tokens").alias("__asked")), "query_id")
-    hits = hits.select("query_id", "id", F.size("tokens").alias("length"), F.explode(F.array_intersect("__asked", "tokens")).alias("token"), "tokens")
-    hits = hits.select("query_id", "id", "length", "token", F.size(F.filter("tokens", lambda t: t == F.col("token"))).alias("tf"))
-    found = asked.join(hits, ["query_id", "token"]).groupBy("query_id", "token").agg(F.count("*").alias("df"))
+    Frequencies, sizes and the mean length come from each query's whole pool. A text is tokenised once; of its
+    tokens only those that some query asks for are counted, and they meet the queries at their institution."""
+    size = pool.join(docs.select("id", "length"), "id").groupBy("query_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    asked = queries.select("query_id", F.explode("tokens").alias("token")).distinct()
+    each = docs.select("id", "location_id", "length", F.explode(tokens(F.col("canonical"))).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    each = each.groupBy("id", "location_id", "length", "token").agg(F.count("*").alias("tf"))
+    here = asked.join(pool.select("query_id", "location_id").distinct(), "query_id")
+    hits = here.join(each, ["location_id", "token"]).join(pool.select("query_id", "id"), ["query_id", "id"])
+    found = hits.groupBy("query_id", "token").agg(F.count("*").alias("df"))
     k = hits.join(found, ["query_id", "token"]).join(size, "query_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -66,10 +108,18 @@ def bm25(queries: DataFrame, pool: DataFrame) -> DataFrame:
     return total.filter("raw > 0").select("query_id", "id", F.round(F.col("raw") / (F.col("raw") + 1), 6).alias("score"))
 
 
-def lexical(queries: DataFrame, scope: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidates and their scores for queries(query_id, text, terms, words)."""
-    pool = candidates(queries, scope, docs).select("query_id", "id", tokens(plain(F.col("search_text"))).alias("tokens"))
-    return bm25(queries.select("query_id", tokens(F.col("text")).alias("tokens")), pool)
+def fitting(queries: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs(query_id, id) that pass the kind gate. docs is indexed, queries are prepared."""
+    kinds = ("identity", "name_kinds", "category_kinds", "description_kinds")
+    asked = queries.select("query_id", "wanted", F.col("text").alias("query"))
+    return kind_gate(pairs.select("query_id", "id").join(docs.select("id", *kinds), "id").join(asked, "query_id")).filter("passes").select("query_id", "id")
+
+
+def lexical(queries: DataFrame, scope: DataFrame, docs: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+    """Scores of the candidates, or of a pool, that pass the kind gate. queries are prepared, docs is indexed."""
+    pool = candidates(queries, scope, docs) if pool is None else pool
+    scores = bm25(queries, pool, docs)
+    return scores.join(fitting(queries, scores, docs), ["query_id", "id"], "left_semi")
 
 
 def semantic_score(cos: Column) -> Column:
@@ -78,7 +128,8 @@ def semantic_score(cos: Column) -> Column:
 
 def hybrid_rank(lex: DataFrame, sem: DataFrame, available: DataFrame, weight: float = 0.75) -> DataFrame:
     """lex(query_id, id, score), sem(query_id, id, cos), available(query_id, ok): all lexical hits; semantic ones
-    with a positive score; unweighted lexical scores where the query has no vector."""
+    with a positive score; unweighted lexical scores where the query has no vector. ``sem`` lies in scope and
+    passes the kind gate (semantic_hits)."""
     s = sem.select("query_id", "id", semantic_score(F.col("cos")).alias("semantic"))
     joined = lex.join(s, ["query_id", "id"], "full_outer").join(available, "query_id", "left")
     ok = F.coalesce("ok", F.lit(False))
@@ -87,6 +138,12 @@ def hybrid_rank(lex: DataFrame, sem: DataFrame, available: DataFrame, weight: fl
     return ranked(kept)
 
 
+def semantic_hits(queries: DataFrame, scope: DataFrame, docs: DataFrame, near: DataFrame) -> DataFrame:
+    """near(query_id, id, cos) as far as it lies in the query's scope and passes the kind gate."""
+    inside = near.join(docs.select("id", "location_id"), "id").join(scope, ["query_id", "location_id"], "left_semi")
+    return inside.join(fitting(queries, inside, docs), ["query_id", "id"], "left_semi").select("query_id", "id", "cos")
+
+
 def ranked(scored: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id"))))
 
@@ -138,5 +195,5 @@ def search_with_retry(attempts: DataFrame) -> DataFrame:
 
 
 def check_containment(scored: DataFrame, cands: DataFrame) -> DataFrame:
-    """Scored pairs that are no candidates: must be empty."""
+    """Pairs with a score in the whole scope that are no candidates: must be empty."""
     return scored.join(cands, ["query_id", "id"], "left_anti")

@@ -6,36 +6,49 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..operators import search as R
-from .adapt import ITEMS, frame, tables
+from ..operators import vectors as V
+from ..sources.staged import staged
+from .adapt import ITEMS, frame, masked_numbers, tables
 from .registry import query
 
 NOW = "2025-01-01 00:00:00"
 PLAIN = r"trim(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-TEXT = "lower(concat_ws(' ', item_name, raw_category_name, color_name, description))"
+#: Folded as terms are; beyond lower case only the sharp s matters in the driver's texts.
+FOLDED = r"trim(regexp_replace(replace(lower(coalesce({}, '')), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+TEXT = f"lower({masked_numbers("concat_ws(' ', item_name, raw_category_name, color_name, description)")})"
 DOCS = f"i AS ({ITEMS}), d AS (SELECT id, storage_location_id AS location_id, {TEXT} AS search_text, registered_on FROM i WHERE status = 'matched' AND storage_location_id IS NOT NULL)"
 TOKENS = "flatten(list_transform(list_filter(string_split({0}, ' '), lambda w: w <> ''), lambda w: list_concat(['w:' || w], list_transform(range(1, length(w)), lambda k: 'c:' || substr(w, k, 2)))))"
-QUERIES = "q AS (SELECT query_id, text, string_split(text, ' ') AS terms FROM (SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[a-z]{4,}')[1:2], ' ') AS text FROM benchmark) b WHERE text <> ''), s AS (SELECT query_id, l AS location_id FROM q, range(0, 20) r(l) WHERE (query_id + l) % 4 = 0)"
+PAIRS = "list_distinct(flatten(list_transform(string_split(text, ' '), lambda w: list_transform(range(1, length(w)), lambda k: substr(w, k, 2)))))"
+#: The names of parts are the queries: short texts of whole words, none of them in the dictionaries.
+QUERIES = f"q AS (SELECT query_id, text, {PAIRS} AS terms FROM (SELECT min(p_partkey) AS query_id, p_name AS text FROM part GROUP BY p_name) b), s AS (SELECT query_id, l AS location_id FROM q, range(0, 20) r(l) WHERE (query_id + l) % 4 = 0)"
 POOL = f"WITH {DOCS}, {QUERIES}, c AS (SELECT q.query_id, d.id, d.search_text FROM q JOIN s USING (query_id) JOIN d USING (location_id) WHERE len(list_filter(terms, lambda t: contains(search_text, t))) > 0)"
-SCORED = POOL + f""", p AS (SELECT query_id, id, {TOKENS.format(PLAIN.format('search_text'))} AS t FROM c), z AS (SELECT query_id, count(*) AS n, avg(len(t)) AS mean FROM p GROUP BY 1),
- a AS (SELECT DISTINCT query_id, unnest({TOKENS.format('text')}) AS token FROM q), h AS (SELECT a.query_id, p.id, len(t) AS length, token, len(list_filter(t, lambda x: x = token)) AS tf FROM a JOIN p USING (query_id) WHERE list_contains(t, token)),
+SCORED = POOL + f""", y AS (SELECT id, {TOKENS.format(FOLDED.format('search_text'))} AS t FROM d), e AS (SELECT id, len(t) AS length, unnest(t) AS token FROM y), v AS (SELECT id, length, token, count(*) AS tf FROM e GROUP BY 1, 2, 3),
+ z AS (SELECT query_id, count(*) AS n, avg(len(t)) AS mean FROM c JOIN y USING (id) GROUP BY 1),
+ a AS (SELECT DISTINCT query_id, unnest({TOKENS.format('text')}) AS token FROM q), h AS (SELECT query_id, id, length, token, tf FROM a JOIN c USING (query_id) JOIN v USING (id, token)),
  f AS (SELECT query_id, token, count(*) AS df FROM h GROUP BY 1, 2), w AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS raw FROM h JOIN f USING (query_id, token) JOIN z USING (query_id) GROUP BY 1, 2),
  b AS (SELECT query_id, id, round(raw / (raw + 1), 6) AS score FROM w WHERE raw > 0)"""
 
 
 def inputs(spark, sf):
-    (bench,) = tables(spark, sf, "benchmark")
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)), 1, 2)
-    queries = bench.select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text")).filter("text <> ''").select("query_id", "text", F.split("text", " ").alias("terms"), F.array().cast("array<string>").alias("words"))
+    """Prepared queries, their scope and the projection of the items."""
+    (part,) = tables(spark, sf, "part")
+    queries = part.groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("query_id"))
+    queries = staged(R.prepared(queries.select("query_id", "text"), T.Dictionary.load()), "queries")
     scope = queries.select("query_id", F.explode(F.expr("sequence(0L, 19L)")).alias("location_id")).filter("(query_id + location_id) % 4 = 0")
-    docs = R.build_documents(frame(spark, sf, ITEMS), None, NOW)
-    return queries, scope, docs
+    return queries, scope, R.build_documents(frame(spark, sf, ITEMS), None, NOW)
+
+
+def searched(spark, sf):
+    """The same with the items indexed."""
+    queries, scope, docs = inputs(spark, sf)
+    return queries, scope, R.indexed(docs, T.Dictionary.load())
 
 
 def scored(spark, sf):
-    return R.lexical(*inputs(spark, sf))
+    return R.lexical(*searched(spark, sf))
 
 
-@query("F1_build_documents", f"WITH {DOCS} SELECT id, location_id, search_text, sha256(coalesce(substr((SELECT text FROM documents x WHERE x.doc_id = id), 1, 24), '')) AS content_hash, CASE WHEN id % 2 = 0 THEN 2023 ELSE 2025 END AS since FROM d")
+@query("F1_build_documents", f"WITH {DOCS} SELECT d.id, location_id, search_text, sha256(coalesce(nullif(trim(item_name), ''), '')) AS content_hash, CASE WHEN d.id % 2 = 0 THEN 2023 ELSE 2025 END AS since FROM d JOIN i ON i.id = d.id")
 def build_documents(spark, sf):
     items = frame(spark, sf, ITEMS)
     old = items.filter("id % 2 = 0").select("id", F.lit("2023-05-05").cast("timestamp").alias("visible_since"))
@@ -47,11 +60,11 @@ def seed_documents(spark, sf):
     return R.seed_documents(frame(spark, sf, ITEMS), 100, 500, NOW).select("id", "location_id")
 
 
-@query("F3_tokenize", f"SELECT doc_id, len({TOKENS.format(PLAIN.format('text'))}) AS n, array_to_string(({TOKENS.format(PLAIN.format('text'))})[1:40], '|') AS first FROM documents")
+@query("F3_tokenize", f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, '|')) AS digest FROM (SELECT doc_id, {TOKENS.format(PLAIN.format('text'))} AS t FROM documents) x")
 def tokenize(spark, sf):
     (d,) = tables(spark, sf, "documents")
     t = d.select("doc_id", T.tokens(T.plain(F.col("text"))).alias("t"))
-    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice("t", 1, 40), "|").alias("first"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", "|").cast("binary")).alias("digest"))
 
 
 #: A dictionary over the invented words, so that the dictionary operators meet the driver's texts.
@@ -60,40 +73,42 @@ WORDS = T.Dictionary(
     [{"name": "one", "categories": [], "terms": ["onthe", "inger"]}, {"name": "two", "categories": [], "terms": ["tionth", "ander"]}],
     {"three": ["ofthe"]},
 )
-HEAD = "trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', ' ', 'g'))"
-ENGLISH = f"SELECT doc_id, {HEAD} AS t FROM documents WHERE lang = 'en' AND regexp_full_match(substr(text, 1, 60), '[\\x00-\\x7F]*')"
+#: Whole texts; blanks are doubled, so that neighbouring words are replaced alike.
+DOUBLED = f"' ' || replace({FOLDED.format('text')}, ' ', '  ') || ' '"
 
 
-def english(spark, sf):
+@query("F4_canonicalize", f"WITH p AS (SELECT doc_id, regexp_replace(regexp_replace({DOUBLED}, ' of  the ', ' thing ', 'g'), ' (tion|ofthe) ', ' thing ', 'g') AS t FROM documents) SELECT doc_id, trim(regexp_replace(regexp_replace(t, ' (der|la) ', ' dark ', 'g'), ' +', ' ', 'g')) AS t FROM p")
+def canonicalize(spark, sf):
     (d,) = tables(spark, sf, "documents")
-    head = F.substring("text", 1, 60)
-    return d.filter((F.col("lang") == "en") & head.rlike(r"^[\x00-\x7F]*$")).select("doc_id", head.alias("t"))
+    return d.select("doc_id", T.canonicalize(F.col("text"), WORDS, True).alias("t"))
 
 
-@query("F4_canonicalize", f"WITH e AS ({ENGLISH}), p AS (SELECT doc_id, regexp_replace(regexp_replace(' ' || replace(t, ' ', '  ') || ' ', ' of  the ', ' thing ', 'g'), ' tion ', ' thing ', 'g') AS t FROM e) SELECT doc_id, trim(regexp_replace(regexp_replace(t, ' (der|la) ', ' dark ', 'g'), ' +', ' ', 'g')) AS t FROM p")
-def canonicalize(spark, sf):
-    return english(spark, sf).select("doc_id", T.canonicalize(F.col("t"), WORDS, True).alias("t"))
+#: Hangul-marked compounds made of each document's number and words, of parts that are all known or not.
+COMPOUNDS = "SELECT doc_id, unnest(['카드' || doc_id || '지갑', '카드' || doc_id || '지', '지갑카드' || len(text), '케이스' || lang]) AS word FROM documents"
 
 
-@query("F5_segment")
+@query("F5_segment", f"SELECT doc_id, word, CASE WHEN regexp_full_match(word, '(카드|지갑|케이스|[0-9]+)+') THEN array_to_string(regexp_extract_all(word, '카드|지갑|케이스|[0-9]+'), ' ') ELSE word END AS parts FROM ({COMPOUNDS}) x WHERE word IS NOT NULL")
 def segment(spark, sf):
-    """Compounds of the names of supplier nations written as Hangul-marked words: no SQL form."""
-    (n,) = tables(spark, sf, "documents")
+    (d,) = tables(spark, sf, "documents")
     words = T.Dictionary([{"domain": "item", "canonical": "카드", "terms": [], "scope": []}], [{"name": "지갑", "categories": [], "terms": ["지갑"]}], {})
-    return n.select("doc_id", T.segment(F.concat(F.lit("카드"), F.col("doc_id").cast("string"), F.expr("if(doc_id % 2 = 0, '지갑', '지')")), words).alias("parts"))
+    made = F.expr("array(concat('카드', doc_id, '지갑'), concat('카드', doc_id, '지'), concat('지갑카드', length(text)), concat('케이스', lang))")
+    rows = d.select("doc_id", F.explode(made).alias("word")).filter("word is not null")
+    return rows.select("doc_id", "word", F.array_join(T.segment(F.col("word"), words), " ").alias("parts"))
 
 
-@query("F6_detect_kinds", f"WITH e AS (SELECT doc_id, replace(t, ' ', '') AS raw, replace(replace(t, ' ', ''), 'ofthe', '|') AS c FROM ({ENGLISH}) x), k AS (SELECT doc_id, raw, regexp_extract_all(c, 'tionth|ander|inger|onthe') AS m FROM e) SELECT doc_id, CASE WHEN len(m) = 0 THEN CASE WHEN contains(raw, 'ofthe') THEN 'three' ELSE '' END ELSE concat_ws(',', CASE WHEN list_has_any(m, ['onthe', 'inger']) THEN 'one' END, CASE WHEN list_has_any(m, ['tionth', 'ander']) THEN 'two' END) END AS kinds FROM k")
+@query("F6_detect_kinds", f"WITH e AS (SELECT doc_id, replace({PLAIN.format('text')}, ' ', '') AS raw FROM documents), k AS (SELECT doc_id, raw, regexp_extract_all(replace(raw, 'ofthe', '|'), 'tionth|ander|inger|onthe') AS m FROM e) SELECT doc_id, CASE WHEN len(m) = 0 THEN CASE WHEN contains(raw, 'ofthe') THEN 'three' ELSE '' END ELSE concat_ws(',', CASE WHEN list_has_any(m, ['onthe', 'inger']) THEN 'one' END, CASE WHEN list_has_any(m, ['tionth', 'ander']) THEN 'two' END) END AS kinds FROM k")
 def detect_kinds(spark, sf):
-    text = T.plain(F.col("t"))
-    return english(spark, sf).select("doc_id", F.array_join(T.detect_kinds(text, WORDS), ",").alias("kinds"))
+    (d,) = tables(spark, sf, "documents")
+    return d.select("doc_id", F.array_join(T.detect_kinds(T.plain(F.col("text")), WORDS), ",").alias("kinds"))
 
 
-@query("F7_candidate_terms")
+#: The pairs of characters of all words: whatever else a query without a kind offers contains one of them.
+@query("F7_candidate_terms", f"SELECT query_id, text, array_to_string(list_sort({PAIRS}), ',') AS terms, '' AS words FROM (SELECT item_id AS query_id, {FOLDED.format('text')} AS text FROM benchmark) b WHERE NOT regexp_matches(' ' || text || ' ', ' . ')")
 def candidate_terms(spark, sf):
-    """Candidate terms of the benchmark queries over the small dictionary."""
-    queries, _, _ = inputs(spark, sf)
-    return queries.select("query_id", "text", T.candidate_terms(F.col("text"), WORDS).alias("c")).select("query_id", "text", F.array_join("c.terms", ",").alias("terms"), F.array_join("c.words", ",").alias("words"))
+    """Candidate terms of whole benchmark texts without one-letter words, which the twin leaves out."""
+    (bench,) = tables(spark, sf, "benchmark")
+    ready = R.prepared(bench.select(F.col("item_id").alias("query_id"), "text"), T.Dictionary.load())
+    return ready.filter("not concat(' ', text, ' ') rlike ' . '").select("query_id", "text", F.array_join("terms", ",").alias("terms"), F.array_join("words", ",").alias("words"))
 
 
 @query("F8_candidates", POOL + " SELECT query_id, id FROM c")
@@ -121,15 +136,21 @@ def semantic_score(spark, sf):
     return e.select("vec_id", F.round(R.semantic_score(cos), 6).alias("score"))
 
 
-SEM = "sem AS (SELECT query_id, id, 0.5 + (id % 50) / 100.0 AS cos FROM q, (SELECT id FROM d WHERE id % 20 < 3) k)"
+COS = "list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))"
+SEM = f"sem AS (SELECT query_id, id, 0.5 + {COS} / 2 AS cos FROM s JOIN d USING (location_id) JOIN embeddings x ON x.vec_id = query_id JOIN embeddings y ON y.vec_id = id)"
 FUSED = SCORED + f", {SEM}, j AS (SELECT query_id, id, b.score, greatest(0, (cos - 0.6) / 0.4) AS semantic, query_id % 5 <> 0 AS ok FROM b FULL OUTER JOIN sem USING (query_id, id)), u AS (SELECT query_id, id, CAST(round(CAST(CASE WHEN ok THEN 0.75 * coalesce(score, 0) + 0.25 * coalesce(semantic, 0) ELSE coalesce(score, 0) END AS DECIMAL(20, 12)), 6) AS DOUBLE) AS score FROM j WHERE score IS NOT NULL OR (ok AND semantic > 0))"
 
 
 def fused(spark, sf):
-    queries, scope, docs = inputs(spark, sf)
-    lex = R.lexical(queries, scope, docs)
-    sem = queries.select("query_id").join(docs.filter("id % 20 < 3").select("id"), how="cross").select("query_id", "id", (0.5 + (F.col("id") % 50) / 100.0).alias("cos"))
-    return R.hybrid_rank(lex, sem, queries.select("query_id", (F.col("query_id") % 5 != 0).alias("ok")))
+    """Each query and item has the vector of its number; a cosine is moved to 0..1 to pass for a similarity."""
+    queries, scope, docs = searched(spark, sf)
+    (e,) = tables(spark, sf, "embeddings")
+    vectors = e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    pairs = scope.join(docs.select("id", "location_id"), "location_id").select("query_id", "id")
+    pairs = pairs.join(vectors.toDF("query_id", "a"), "query_id").join(vectors.toDF("id", "b"), "id")
+    near = pairs.select("query_id", "id", (0.5 + V.cosine(F.col("a"), F.col("b")) / 2).alias("cos"))
+    available = queries.select("query_id", (F.col("query_id") % 5 != 0).alias("ok"))
+    return R.hybrid_rank(R.lexical(queries, scope, docs), R.semantic_hits(queries, scope, docs, near), available)
 
 
 @query("F12_hybrid_rank", FUSED + " SELECT query_id, id, score FROM u")
@@ -152,7 +173,7 @@ def list_items(spark, sf):
 @query("F15_attach_details", SCORED + ", g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank FROM b) SELECT g.query_id, g.id, i.item_name, i.registered_on FROM g JOIN i ON i.id = g.id WHERE rank <= 5")
 def attach_details(spark, sf):
     queries, scope, docs = inputs(spark, sf)
-    page = R.ranked_page(R.lexical(queries, scope, docs), 0, 5)
+    page = R.ranked_page(R.lexical(queries, scope, R.indexed(docs, T.Dictionary.load())), 0, 5)
     return R.attach_details(page, docs, scope).select("query_id", "id", "detail.item_name", "detail.registered_on")
 
 
@@ -175,16 +196,18 @@ def admit_queries(spark, sf):
 
 @query("F18_search_with_retry", SCORED + ", t AS (SELECT query_id, 1 AS attempt, id, score FROM b WHERE query_id % 3 = 0 UNION ALL SELECT query_id, 2, id, score FROM b WHERE id % 2 = 0), k AS (SELECT q.query_id, coalesce(min(attempt), 2) AS attempt FROM q LEFT JOIN t USING (query_id) GROUP BY 1), g AS (SELECT t.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank FROM t JOIN k USING (query_id, attempt)) SELECT k.query_id, k.attempt, count(g.id) AS total, array_to_string(coalesce(list(g.id ORDER BY rank) FILTER (rank <= 3), []), ',') AS ids FROM k LEFT JOIN g USING (query_id, attempt) GROUP BY 1, 2")
 def search_with_retry(spark, sf):
-    queries, scope, docs = inputs(spark, sf)
-    lex = R.lexical(queries, scope, docs)
+    queries, scope, docs = searched(spark, sf)
+    lex = staged(R.lexical(queries, scope, docs), "scores")
     first = queries.select("query_id").join(lex.filter("query_id % 3 = 0"), "query_id", "left").select("query_id", F.lit(1).alias("attempt"), "id", "score")
     second = queries.select("query_id").join(lex.filter("id % 2 = 0"), "query_id", "left").select("query_id", F.lit(2).alias("attempt"), "id", "score")
     return R.search_with_retry(first.union(second)).select("query_id", "attempt", "total", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("F19_check_containment", "SELECT 0::BIGINT AS missing, count(*) AS scored FROM (" + SCORED + " SELECT * FROM b) y")
+@query("F19_check_containment", f"WITH {DOCS}, {QUERIES}, y AS (SELECT d.id, location_id, {TOKENS.format(FOLDED.format('search_text'))} AS t FROM d), a AS (SELECT DISTINCT query_id, location_id, unnest({TOKENS.format('text')}) AS token FROM q JOIN s USING (query_id)) SELECT 0::BIGINT AS missing, count(*) AS scored FROM (SELECT DISTINCT query_id, id FROM a JOIN (SELECT DISTINCT id, location_id, unnest(t) AS token FROM y) k USING (location_id, token)) n")
 def check_containment(spark, sf):
-    queries, scope, docs = inputs(spark, sf)
-    lex, cands = R.lexical(queries, scope, docs), R.candidates(queries, scope, docs)
-    missing = R.check_containment(lex, cands).agg(F.count("*").alias("missing"))
-    return missing.crossJoin(lex.agg(F.count("*").alias("scored")))
+    """All items of each scope are scored, and those with a score looked for among the candidates."""
+    queries, scope, docs = searched(spark, sf)
+    pool = scope.join(docs.select("id", "location_id"), "location_id")
+    everything = staged(R.lexical(queries, scope, docs, pool), "scores")
+    missing = R.check_containment(everything, R.candidates(queries, scope, docs)).agg(F.count("*").alias("missing"))
+    return missing.join(everything.agg(F.count("*").alias("scored")))
