@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.masks import mask_text
 from ..functions.scalars import blank, category_parent, match_key, norm_text, parse_date
+from .privacy import is_high_risk
 
 KEYS = ["item_source_code", "atc_id", "found_sequence"]
 
@@ -67,11 +69,18 @@ def validate_items(df: DataFrame, start: str, end: str) -> DataFrame:
 ROW_COLUMNS = "item_source_code atc_id found_sequence service_category_code service_category_name raw_category_name color_name item_name description image_url raw_storage_name registered_on normalized_search_text raw_payload".split()
 
 
+def search_text(df: DataFrame) -> Column:
+    """Name, subject, colour and category with white space collapsed, masked by the category's risk; columns that
+    df lacks count as empty."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("item_name", "description", "color_name", "raw_category_name") if c in df.columns]
+    risk = is_high_risk(F.col("raw_category_name")) if "raw_category_name" in df.columns else False
+    return mask_text(norm_text(F.concat_ws(" ", *parts)), risk)
+
+
 def to_item_rows(df: DataFrame) -> DataFrame:
     """The canonical 14 columns, all text; absent ones null, the payload as JSON of the landed columns."""
     payload = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))
-    text = F.concat_ws(" ", *(c for c in ("item_name", "description", "color_name", "raw_category_name") if c in df.columns))
-    made = {"raw_payload": payload, "normalized_search_text": norm_text(text)}
+    made = {"raw_payload": payload, "normalized_search_text": search_text(df)}
     return df.select(*((made[c] if c in made else F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")).alias(c) for c in ROW_COLUMNS))
 
 

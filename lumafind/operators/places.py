@@ -43,7 +43,8 @@ def match_alias(names: DataFrame, aliases: DataFrame, locations: DataFrame) -> D
 
 
 def match_exact(names: DataFrame, locations: DataFrame) -> DataFrame:
-    return _stage(names, locations.select("key", "id"), 2)
+    """The key of the name as written or as normalised."""
+    return _stage(names, locations.select("key", "id").union(locations.select("normalized", "id")).filter("key <> ''").distinct(), 2)
 
 
 def match_base(names: DataFrame, locations: DataFrame) -> DataFrame:
@@ -55,16 +56,19 @@ def _suffixes(df: DataFrame, column: str) -> DataFrame:
 
 
 def match_suffix(names: DataFrame, locations: DataFrame) -> DataFrame:
-    """Either key ends with the other: every suffix of one side meets the whole keys of the other."""
-    n, p = names.filter("key <> ''").select("name", "key"), locations.filter("key <> ''").select("id", "key")
+    """Either key, the institution's of its normalised name, ends with the other: every suffix of one side meets
+    the whole keys of the other."""
+    n, p = names.filter("key <> ''").select("name", "key"), locations.filter("normalized <> ''").select("id", F.col("normalized").alias("key"))
     ours = _suffixes(n.withColumnRenamed("key", "full"), "full").select("name", "key").join(p, "key").select("name", "id")
     theirs = _suffixes(p.withColumnRenamed("key", "full"), "full").select("id", "key").join(n, "key").select("name", "id")
     return ours.union(theirs).groupBy("name").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).select("name", F.lit(4).alias("stage"), "n", "id")
 
 
 def keyed(locations: DataFrame) -> DataFrame:
-    """Active institutions with their match key and base name, computed once a row."""
-    return locations.filter("is_active").select("id", match_key(F.col("name")).alias("key"), base_name(F.col("name")).alias("base"))
+    """Active institutions with the match keys of their name and normalised name (where there is none, of the name
+    again), and their base name, computed once a row."""
+    normalized = F.col("normalized_name") if "normalized_name" in locations.columns else F.col("name")
+    return locations.filter("is_active").select("id", match_key(F.col("name")).alias("key"), match_key(normalized).alias("normalized"), base_name(F.col("name")).alias("base"))
 
 
 def resolve_locations(items: DataFrame, aliases: DataFrame, locations: DataFrame, name: str = "raw_storage_name") -> DataFrame:
@@ -119,17 +123,28 @@ def _cells(lat: Column, lon: Column, size: float) -> tuple[Column, Column]:
     return F.floor(lat / size), F.floor(lon / size)
 
 
-def within_radius(places: DataFrame, locations: DataFrame, metres: float, widest_latitude: float = 60.0) -> DataFrame:
-    """places(query_id, ...) with institutions at most ``metres`` away and their distance. Places go to the
-    grid cells around theirs, so the join is on cells; the cells are as wide as the radius is at the highest
-    latitude (in degrees, south or north) that the data reach."""
-    from math import cos, radians
+def _columns(band: Column, size: float) -> Column:
+    """Grid cells around the globe in a band of latitudes: each at least as wide as the radius reaches from any
+    point of the band or its neighbours; near a pole there is one."""
+    edge = F.least(F.lit(90.0), F.greatest(F.abs(band), F.abs(band + 1)) * size + size)
+    return F.greatest(F.lit(1), F.floor(F.lit(360 / 1.01) * F.cos(F.radians(edge)) / size)).cast("long")
 
-    size_lat = metres / 111_000
-    size_lon = size_lat / cos(radians(widest_latitude))
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    p = places.withColumn("__dy", near).withColumn("__dx", near).withColumn("__y", F.floor(F.col("latitude") / size_lat) + F.col("__dy")).withColumn("__x", F.floor(F.col("longitude") / size_lon) + F.col("__dx")).drop("__dx", "__dy")
-    q = locations.select(F.col("id").alias("location_id"), F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon"), F.floor(F.col("latitude") / size_lat).alias("__y"), F.floor(F.col("longitude") / size_lon).alias("__x"))
+
+def within_radius(places: DataFrame, locations: DataFrame, metres: float) -> DataFrame:
+    """places(query_id, ...) with institutions at most ``metres`` away and their distance, on all of the globe.
+    Places go to the cells around theirs in three bands of latitude, so the join is on cells; the cells of a
+    band are as wide as its own latitude asks, and the last one lies beside the first."""
+    size = metres / 111_000
+
+    def cell(longitude: Column, columns: Column) -> Column:
+        return F.floor((longitude + 180) * columns / 360)
+
+    bands = places.withColumn("__y", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.floor(F.col("latitude") / size) + d))).withColumn("__n", _columns(F.col("__y"), size))
+    around = F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.pmod(cell(F.col("longitude"), F.col("__n")) + d, F.col("__n"))))
+    p = bands.withColumn("__x", F.explode(around)).drop("__n")
+    y = F.floor(F.col("latitude") / size)
+    n = _columns(y, size)
+    q = locations.select(F.col("id").alias("location_id"), F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon"), y.alias("__y"), F.pmod(cell(F.col("longitude"), n), n).alias("__x"))
     joined = p.join(q, ["__y", "__x"]).withColumn("distance", haversine(F.col("latitude"), F.col("longitude"), F.col("__lat"), F.col("__lon")))
     return joined.filter(F.col("distance") <= metres).drop("__y", "__x", "__lat", "__lon")
 

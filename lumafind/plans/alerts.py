@@ -40,7 +40,7 @@ def validate_reservations(spark, sf):
 @query("I2_admit_reservations")
 def admit_reservations(spark, sf):
     (o,) = tables(spark, sf, "orders")
-    requests = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("m"), F.col("o_custkey") % 900).alias("email"), F.concat(F.lit("a"), F.col("o_custkey") % 50).alias("address"), F.expr("timestamp '2024-06-01' + make_dt_interval(0, 0, cast(o_orderkey % 90000 as int))").alias("at"))
+    requests = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("m"), F.col("o_custkey") % 900).alias("email"), F.concat(F.lit("a"), F.col("o_custkey")).alias("address"), F.expr("timestamp '2024-06-01' + make_dt_interval(0, 0, cast(o_orderkey % 90000 as int))").alias("at"))
     open_now = frame(spark, sf, RES).select(F.concat(F.lit("m"), F.col("id") % 900).alias("email")).filter("email < 'm5'")
     return A.admit_reservations(requests, open_now)
 
@@ -50,11 +50,11 @@ def alert_period(spark, sf):
     return A.alert_period(reservations(spark, sf)).select("id", "expires_at", "first_day", "last_day")
 
 
-QUEUE = f"r AS ({RES}), m AS ({MSG}), k AS (SELECT id AS reservation_id, TIMESTAMP '2024-06-10 00:00:00' AS checked_until FROM r WHERE id % 3 = 0), qu AS (SELECT r.*, checked_until FROM r LEFT JOIN k ON k.reservation_id = r.id WHERE status = 'active' AND expires_at > TIMESTAMP '{NOW}' AND CAST(created_at + INTERVAL 9 HOUR AS DATE) < DATE '2024-06-15' AND NOT EXISTS (FROM m WHERE kind = 'notice' AND m.reservation_id = r.id AND for_expiry = expires_at AND m.id % 2 = 0))"
+QUEUE = f"r AS ({RES}), m AS ({MSG}), k AS (SELECT id AS reservation_id, TIMESTAMP '2024-06-10 00:00:00' AS checked_until FROM r WHERE id % 3 = 0), qu AS (SELECT r.*, checked_until FROM r LEFT JOIN k ON k.reservation_id = r.id WHERE status = 'active' AND expires_at > TIMESTAMP '{NOW}' AND CAST(created_at + INTERVAL 9 HOUR AS DATE) < DATE '2024-06-15' AND NOT EXISTS (FROM m WHERE kind = 'notice' AND m.reservation_id = r.id AND for_expiry = expires_at))"
 
 
 def queue(spark, sf):
-    r, m = reservations(spark, sf), messages(spark, sf).filter("id % 2 = 0")
+    r, m = reservations(spark, sf), messages(spark, sf)
     cursors = r.filter("id % 3 = 0").select(F.col("id").alias("reservation_id"), F.lit("police_api").alias("source"), F.lit("2024-06-10").cast("timestamp").alias("checked_until"))
     return A.match_queue(r, cursors, m, "police_api", NOW), cursors
 
@@ -65,15 +65,15 @@ def match_queue(spark, sf):
 
 
 METRES = 50000.0
-ALERT_ITEMS = f"SELECT id, item_source_code, storage_location_id AS location_id, TIMESTAMP '2024-06-05 00:00:00' + (id % 240) * INTERVAL '1' HOUR AS visible_since, TIMESTAMP '2024-06-04 00:00:00' + (id % 240) * INTERVAL '1' HOUR AS first_seen_at FROM ({ITEMS}) x WHERE id % 4 = 0"
+ALERT_ITEMS = f"SELECT id, item_source_code, storage_location_id AS location_id, TIMESTAMP '2024-06-05 00:00:00' + (id % 240) * INTERVAL '1' HOUR AS visible_since, TIMESTAMP '2024-06-04 00:00:00' + (id % 240) * INTERVAL '1' HOUR AS first_seen_at FROM ({ITEMS}) x"
 DIST = "2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(l.latitude - p.latitude) / 2), 2) + cos(radians(p.latitude)) * cos(radians(l.latitude)) * pow(sin(radians(l.longitude - p.longitude) / 2), 2))))"
-CANDS = f"WITH {QUEUE}, p AS ({PLACES}), l AS ({INSTITUTIONS}), ai AS ({ALERT_ITEMS}), cand AS (SELECT DISTINCT qu.id AS reservation_id, ai.id AS item_id, visible_since FROM qu JOIN p ON p.query_id = qu.id JOIN l ON is_active AND abs(l.latitude - p.latitude) < 0.6 JOIN ai ON ai.location_id = l.id AND item_source_code = 'police_api' WHERE {DIST} <= {METRES} AND (checked_until IS NULL OR visible_since > checked_until) AND first_seen_at > created_at AND NOT (qu.id % 6 = 0 AND ai.id % 8 = 0))"
+CANDS = f"WITH {QUEUE}, p AS ({PLACES}), l AS ({INSTITUTIONS}), ai AS ({ALERT_ITEMS}), cand AS (SELECT DISTINCT qu.id AS reservation_id, ai.id AS item_id, visible_since FROM qu JOIN p ON p.query_id = qu.id JOIN l ON is_active AND abs(l.latitude - p.latitude) < 0.6 JOIN ai ON ai.location_id = l.id AND item_source_code = 'police_api' WHERE {DIST} <= {METRES} AND (checked_until IS NULL OR visible_since > checked_until) AND first_seen_at > created_at AND NOT (qu.id % 6 = 0 AND ai.id = qu.id))"
 
 
 def candidates(spark, sf):
     q, _ = queue(spark, sf)
     items = timed(spark, sf, ALERT_ITEMS)
-    notified = q.filter("id % 6 = 0").select(F.col("id").alias("reservation_id")).crossJoin(items.filter("id % 8 = 0").select(F.col("id").alias("item_id")))
+    notified = q.filter("id % 6 = 0").select(F.col("id").alias("reservation_id"), F.col("id").alias("item_id"))
     return A.alert_candidates(q, frame(spark, sf, PLACES), frame(spark, sf, INSTITUTIONS), items, notified, "police_api", METRES)
 
 
@@ -110,9 +110,9 @@ def advance_cursors(spark, sf):
     return A.advance_cursors(queue(spark, sf)[1], candidates(spark, sf), "police_api")
 
 
-@query("I10_expiry_notices", f"WITH r AS ({RES}), m AS ({MSG}) SELECT r.id AS reservation_id, CASE WHEN w.message_id IS NULL THEN 'insert' ELSE 'convert' END AS action, w.message_id FROM r LEFT JOIN (SELECT reservation_id, min(id) AS message_id FROM m WHERE kind = 'match' AND status = 'pending' GROUP BY 1) w ON w.reservation_id = r.id WHERE status = 'active' AND expires_at > TIMESTAMP '{NOW}' AND expires_at <= TIMESTAMP '{NOW}' + INTERVAL 24 HOUR AND NOT EXISTS (FROM m WHERE kind = 'notice' AND m.reservation_id = r.id AND for_expiry = expires_at AND m.id % 4 = 0)")
+@query("I10_expiry_notices", f"WITH r AS ({RES}), m AS ({MSG}) SELECT r.id AS reservation_id, CASE WHEN w.message_id IS NULL THEN 'insert' ELSE 'convert' END AS action, w.message_id FROM r LEFT JOIN (SELECT reservation_id, min(id) AS message_id FROM m WHERE kind = 'match' AND status = 'pending' GROUP BY 1) w ON w.reservation_id = r.id WHERE status = 'active' AND expires_at > TIMESTAMP '{NOW}' AND expires_at <= TIMESTAMP '{NOW}' + INTERVAL 24 HOUR AND NOT EXISTS (FROM m WHERE kind = 'notice' AND m.reservation_id = r.id AND for_expiry = expires_at)")
 def expiry_notices(spark, sf):
-    m = messages(spark, sf).filter("kind <> 'notice' or id % 4 = 0")
+    m = messages(spark, sf)
     return A.expiry_notices(reservations(spark, sf), m, NOW).select("reservation_id", "action", "message_id")
 
 
@@ -121,10 +121,10 @@ def claim_batch(spark, sf):
     return A.claim_batch(messages(spark, sf), NOW, 300, 20000)
 
 
-@query("I12_payloads", f"WITH m AS ({MSG}), p AS ({PLACES}), n AS (SELECT o_custkey AS reservation_id, doc_id AS item_id, max(CAST(o_shippriority_ AS DOUBLE)) AS score FROM (SELECT o_custkey, o_orderkey % 997 AS d, o_orderkey % 7 AS o_shippriority_ FROM orders) o JOIN documents ON doc_id = d GROUP BY 1, 2), w AS (SELECT m.id, m.reservation_id, list(n.item_id ORDER BY score DESC, DATE '2024-01-01' + CAST(n.item_id % 300 AS INT) DESC, n.item_id DESC) AS items FROM m JOIN n USING (reservation_id) WHERE m.status = 'sending' GROUP BY 1, 2) SELECT w.id, array_to_string(items, ',') AS items, (SELECT count(*) FROM p WHERE query_id = w.reservation_id) AS n_places FROM w")
+@query("I12_payloads", f"WITH m AS ({MSG}), p AS ({PLACES}), n AS (SELECT o_custkey AS reservation_id, doc_id AS item_id, max(CAST(o_shippriority_ AS DOUBLE)) AS score FROM (SELECT o_custkey, o_orderkey AS d, o_orderkey % 7 AS o_shippriority_ FROM orders) o JOIN documents ON doc_id = d GROUP BY 1, 2), w AS (SELECT m.id, m.reservation_id, list(n.item_id ORDER BY score DESC, DATE '2024-01-01' + CAST(n.item_id % 300 AS INT) DESC, n.item_id DESC) AS items FROM m JOIN n USING (reservation_id) WHERE m.status = 'sending' GROUP BY 1, 2) SELECT w.id, array_to_string(items, ',') AS items, (SELECT count(*) FROM p WHERE query_id = w.reservation_id) AS n_places FROM w")
 def payloads(spark, sf):
     o, d = tables(spark, sf, "orders", "documents")
-    notified = o.select(F.col("o_custkey").alias("reservation_id"), (F.col("o_orderkey") % 997).alias("item_id"), (F.col("o_orderkey") % 7).cast("double").alias("score")).join(d.select(F.col("doc_id").alias("item_id")), "item_id").groupBy("reservation_id", "item_id").agg(F.max("score").alias("score"))
+    notified = o.select(F.col("o_custkey").alias("reservation_id"), F.col("o_orderkey").alias("item_id"), (F.col("o_orderkey") % 7).cast("double").alias("score")).join(d.select(F.col("doc_id").alias("item_id")), "item_id").groupBy("reservation_id", "item_id").agg(F.max("score").alias("score"))
     rows = A.payloads(messages(spark, sf).filter("status = 'sending'"), notified, frame(spark, sf, ITEMS), frame(spark, sf, PLACES))
     return rows.select("id", F.array_join(F.transform("items", lambda x: x["item_id"].cast("string")), ",").alias("items"), F.size("places").cast("long").alias("n_places"))
 

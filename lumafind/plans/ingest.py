@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import ingest as I
 from ..sources import pages as P
+from ..sources.staged import shared_dir
 
 from .adapt import INSTITUTIONS, ITEMS, LANDED, STORED, frame, tables
 from .registry import query
@@ -20,8 +20,7 @@ TODAY = "1998-06-30"
 
 
 def shared(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lumafind-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("A1_read_item_pages", """SELECT CAST(doc_id AS STRING) AS atcId, concat(lang, ' > ', source) AS prdtClNm, concat('page-', doc_id // 50) AS page_name, length(text) AS n FROM documents WHERE (doc_id // 50) % 10 <> 9""")
@@ -191,16 +190,20 @@ def backfill_windows(spark, sf):
     return I.backfill_windows(requests, "2000-01-01")
 
 
-@query("B18_has_photo", "SELECT page_id, page_id % 3 = 1 AS photo FROM pages")
+@query("B18_has_photo", "SELECT page_id, page_id % 3 = 1 OR (page_id % 3 = 2 AND regexp_matches(url, '[?#]')) AS photo FROM pages")
 def has_photo(spark, sf):
     (p,) = tables(spark, sf, "pages")
     return p.select("page_id", S.has_photo(F.expr("CASE page_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN concat(url, '.jpg') ELSE concat(url, '/img02_no_img.gif') END")).alias("photo"))
 
 
-@query("B19_category_class", "SELECT p_partkey, CASE p_type WHEN 'STEEL' THEN 'metal' WHEN 'BRASS' THEN 'metal' WHEN 'TIN' THEN 'light' ELSE 'other' END AS class FROM part")
+#: Categories by part size, with every parent and child that has a class of its own, and others.
+RAW = "CASE p_size % 10 WHEN 0 THEN '가방 > ' WHEN 1 THEN '지갑 > 모자' WHEN 2 THEN ' 휴대폰' WHEN 3 THEN '카드 > x > y' WHEN 4 THEN '의류 > 모자' WHEN 5 THEN '의류 > 신발' WHEN 6 THEN '전자기기>무선이어폰' WHEN 7 THEN '전자기기 > 태블릿' WHEN 8 THEN concat(p_type, ' > ', p_brand) END"
+
+
+@query("B19_category_class", "SELECT p_partkey, CASE p_size % 10 WHEN 0 THEN 'bag' WHEN 1 THEN 'wallet' WHEN 2 THEN 'phone' WHEN 3 THEN 'card' WHEN 4 THEN 'cap' WHEN 6 THEN 'buds' ELSE 'box' END AS class FROM part")
 def category_class(spark, sf):
     (p,) = tables(spark, sf, "part")
-    return p.select("p_partkey", S.category_class(F.concat("p_type", F.lit(" > "), "p_brand"), {"STEEL": "metal", "BRASS": "metal", "TIN": "light"}).alias("class"))
+    return p.select("p_partkey", S.category_class(F.expr(RAW)).alias("class"))
 
 
 @query("B20_normalize_places", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS name, c_mktsegment AS address, CAST(c_custkey % 100 AS DOUBLE) AS latitude, CAST(c_custkey % 200 AS DOUBLE) AS longitude FROM customer WHERE c_custkey % 100 <= 90 AND c_custkey % 200 <= 180")

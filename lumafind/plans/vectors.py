@@ -82,13 +82,14 @@ def approx2_topk(spark, sf):
     return V.approx2_topk(q2.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), q2, DIM, 20)
 
 
-@query("G8_rerank", BASE + f", c AS (SELECT query_id, k AS id FROM q, range(0, 600, 7) r(k)) SELECT c.query_id, c.id, {COS.format(a='q.v', b='e.v')} AS cos FROM c JOIN q USING (query_id) LEFT JOIN e ON e.id = c.id")
+@query("G8_rerank", HAM + f" SELECT t.query_id, t.id, {COS.format(a='q.v', b='e.v')} AS cos FROM t JOIN q USING (query_id) JOIN e ON e.id = t.id WHERE rank <= 20")
 def rerank(spark, sf):
-    v, q = vecs(spark, sf)
-    return V.rerank(q.select("query_id", F.explode(F.expr("sequence(0L, 599L, 7L)")).alias("id")), q, v)
+    v, q = coded(spark, sf)
+    near = V.hamming_topk(q.select("query_id", "scope", "code"), v.select("id", "scope", "code"), 20)
+    return V.rerank(near.select("query_id", "id"), q, v)
 
 
-STATE = "SELECT doc_id AS id, substr(text, 1, 12) AS input, CAST(1 + doc_id % 2 AS INT) AS input_version, doc_id % 5 <> 0 AS is_current, TIMESTAMP '2024-01-01 00:00:00' AS embedded_at FROM documents"
+STATE = "SELECT doc_id AS id, text AS input, CAST(1 + doc_id % 2 AS INT) AS input_version, doc_id % 5 <> 0 AS is_current, TIMESTAMP '2024-01-01 00:00:00' AS embedded_at FROM documents"
 
 
 def state(spark, sf):
@@ -115,10 +116,10 @@ def reuse_vectors(spark, sf):
     return V.reuse_vectors(items.filter("id % 4 = 0"), old, 2).select("id", "input", "hash")
 
 
-@query("G11_embed", "SELECT DISTINCT substr(text, 1, 12) AS input, 16 AS n, 1.0::DOUBLE AS norm FROM documents")
+@query("G11_embed", "SELECT DISTINCT text AS input, 16 AS n, 1.0::DOUBLE AS norm FROM documents")
 def embed(spark, sf):
     (d,) = tables(spark, sf, "documents")
-    return V.embed(d.select(F.expr("substr(text, 1, 12)").alias("input"))).select("input", F.size("v").alias("n"), F.round(V.dot(F.col("v"), F.col("v")), 6).alias("norm"))
+    return V.embed(d.select(F.col("text").alias("input"))).select("input", F.size("v").alias("n"), F.round(V.dot(F.col("v"), F.col("v")), 6).alias("norm"))
 
 
 @query("G12_save_vectors", DOCS + " SELECT id, input AS embedded_input FROM s WHERE id % 4 = 0 AND id % 3 <> 0")
