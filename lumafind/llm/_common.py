@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +18,27 @@ _LOCAL: dict[str, str] = {}
 FILTER_BITS = 20
 
 
+#: Bytes of text that a task turns into words, ids or hashes at a time; a longer text is taken alone.
+SLICE = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most ``limit`` bytes in the string column, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    at = 0
+    while at < batch.num_rows:
+        last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, last - at)
+        at = last
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares; a temporary one only where the session names none (tests)."""
+    """The folder the cluster shares; a temporary one only where a local session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="lumafind-")
     return _LOCAL["dir"]

@@ -1,39 +1,50 @@
 """Token ids of whole texts with a public tokenizer file, memoised by piece.
 
 Both pre-tokenizers end a token wherever a visible character is followed by a space or newline, so a text
-is encoded piece by piece and the pieces' ids are joined. Texts with rarer white space go to the library
-whole, unless the tokenizer drops white space altogether. Pieces of plain Latin text are split by the
+is encoded piece by piece and the pieces' ids are joined: Arrow splits the texts and finds the distinct
+pieces, only these are looked up. Texts with rarer white space go to the library whole, unless the tokenizer
+drops white space altogether. Pieces of plain Latin text are split by the
 tokenizer's own pattern here and only their runs go to the library's BPE model; all others pass through the
 library's whole chain. The memos are bounded and only save time.
 """
 
 from __future__ import annotations
 
+import codecs
+import gc
 import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 MEMO = 500_000
-CHUNK = 400_000
+#: Longest word kept in a memo.
+LONGEST = 100
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_RUN_ON = re.compile("  |\n\n|\n |\x00")
+_RARE_SPACE = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_RUN_ON = r"^[ \n]|[ \n]$|  |\n\n|\n |\x00"
 _LATIN = re.compile("[\n\x20-\x7e\xa1-\xac\xae-\u024f]*").fullmatch
 #: The default pattern of byte-level pre-tokenizers, which their files don't spell out.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _byte_letters() -> dict[int, str]:
+#: Marks that may follow a word's letters; together they are one run of either pattern.
+_MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+
+
+def _byte_letters() -> str:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 stands for itself,
     the others, in order, for the code points from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return "".join(letters[b] for b in range(256))
 
 
 def load(path: str):
@@ -46,7 +57,7 @@ def load(path: str):
 
 
 class Encoder:
-    """encode(texts) -> for each text its ids as little-endian unsigned 32-bit bytes."""
+    """encode(texts) -> the ids of all texts in a row, unsigned 32-bit, and where each text's begin."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
@@ -70,18 +81,26 @@ class Encoder:
     def run_ids(self, run: str) -> bytes:
         if run.isascii() and run.isalpha():
             shown = run
-        elif run[1:].isascii() and run[1:].isalpha() and run[0] == " ":
-            shown = self.letters[32] + run[1:]
         else:
-            shown = run.encode().decode("latin-1").translate(self.letters)
+            shown = codecs.charmap_decode(run.encode(), "strict", self.letters)[0]
         return b"".join([self.four[t.id] for t in self.model.tokenize(shown)])
 
     def _plain(self, piece: str) -> bytes:
+        """A piece of Latin text; mostly letters, maybe after a space, and then marks, which needs no pattern."""
+        if self.drops_space:
+            piece = piece.lower()
+        core = piece.rstrip(_MARKS)
+        if (core[1:] if core[:1] == " " else core).isalpha():
+            runs = (core,) if core == piece else (core, piece[len(core) :])
+        else:
+            runs = self.runs(piece)
         out = []
-        for run in self.runs(piece.lower() if self.drops_space else piece):
+        for run in runs:
             ids = self.run_memo.get(run)
             if ids is None:
-                ids = self.run_memo[run] = self.run_ids(run)
+                ids = self.run_ids(run)
+                if len(run) <= LONGEST:
+                    self.run_memo[run] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -93,46 +112,60 @@ class Encoder:
         rest = iter(self.whole([p for p, yes in zip(pieces, plain) if not yes]))
         return [self._plain(p) if yes else next(rest) for p, yes in zip(pieces, plain)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        k = 0
-        while k < len(texts):
-            size, last = 0, k
-            while last < len(texts) and (last == k or size + len(texts[last]) <= CHUNK):
-                size += len(texts[last])
-                last += 1
-            out += self._encode(texts[k:last])
-            k = last
-        return out
-
-    def _keys(self, text: str) -> list[str] | None:
-        """Memo keys: a word stands for itself after one space, a word with its newline for both, and
-        what follows a zero byte for exactly that."""
-        if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        if _RARE_SPACE.search(text):
-            return None
-        text = text.replace("\n", " \n") if " \n" not in text else "  "
-        if not text or text[0] == " " or text[-1] in " \n" or _RUN_ON.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return ["\0" + first, *rest]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        keys: list[list[str] | None] = []
-        for t in texts:
-            k = self._keys(t)
-            if k is None and not _RARE_SPACE.search(t):
-                k = ["\0" + p for p in _PIECE.findall(t)]
-            keys.append(k)
+    def _known(self, keys: list[str]) -> list[bytes]:
+        """Ids of distinct words. A byte-level key stands for the word after one space; one that begins with a
+        newline or, after a zero byte, anything else stands for exactly that."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo = self.memo
-        new = list({p for k in keys if k for p in set(k).difference(memo)})
-        if new:
-            memo.update(zip(new, self.units([p if self.drops_space else p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in new])))
-        take = memo.__getitem__
-        return [self.whole([t])[0] if k is None else b"".join(map(take, k)) for t, k in zip(texts, keys)]
+        found = list(map(self.memo.get, keys))
+        #: Millions of new lists and strings would set off collections that find nothing.
+        collects = gc.isenabled()
+        gc.disable()
+        new = [k for k, raw in enumerate(found) if raw is None]
+        shown = [keys[k] if self.drops_space else keys[k][1:] if keys[k][:1] == "\0" else keys[k] if keys[k][:1] == "\n" else " " + keys[k] for k in new]
+        for k, raw in zip(new, self.units(shown)):
+            found[k] = raw
+            if len(keys[k]) <= LONGEST:
+                self.memo[keys[k]] = raw
+        if collects:
+            gc.enable()
+        return found
+
+    def _coded(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lists of words: each distinct word is looked up once, and its ids are copied to its places."""
+        coded = words.flatten().dictionary_encode()
+        raws = self._known(coded.dictionary.to_pylist())
+        codes = coded.indices.to_numpy()
+        pool = np.frombuffer(b"".join(raws), "<u4")
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        after = np.concatenate(([0], np.cumsum(n)))
+        ids = pool[np.repeat(begins[codes] - after[:-1], n) + np.arange(after[-1])]
+        ends = np.concatenate(([0], np.cumsum(pc.list_value_length(words).to_numpy())))
+        return ids, after[ends]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A null text is empty. Callers bound the bytes of a call."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.drops_space:
+            return self._coded(pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "))
+        rare = pc.match_substring_regex(texts, _RARE_SPACE)
+        odd = pc.or_(rare, pc.or_(pc.equal(texts, ""), pc.match_substring_regex(texts, _RUN_ON)))
+        zero, none = pa.scalar("\0", pa.large_string()), pa.scalar("", pa.large_string())
+        plain = pc.binary_join_element_wise(zero, pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n"), none)
+        ids, bounds = self._coded(pc.split_pattern(plain, " "))
+        if not pc.any(odd).as_py():
+            return ids, bounds
+        k, parts = 0, []
+        for is_odd, is_rare, text in zip(odd.to_pylist(), rare.to_pylist(), pc.if_else(odd, texts, None).to_pylist()):
+            if is_odd:
+                raw = self.whole([text])[0] if is_rare else b"".join(self._known(["\0" + p for p in _PIECE.findall(text)]))
+                parts.append(np.frombuffer(raw, "<u4"))
+            else:
+                parts.append(ids[bounds[k] : bounds[k + 1]])
+                k += 1
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
 
 _LOADED: dict[tuple, Encoder] = {}

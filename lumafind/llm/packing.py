@@ -11,11 +11,12 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, written
+from ._common import documents, slices, written
 from ._tokens import encoder
 
 WINDOW = 1024
@@ -75,21 +76,23 @@ PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
 
 def _cut(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, step, end = encoder(path).encode, 4 * WINDOW, END.to_bytes(4, "little")
+        encode = encoder(path).encode
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                rows, starts, lengths, sums, totals, ids = [], [], [], [], [], []
-                for k, raw in enumerate(encode([t or "" for t in batch.column(1).to_pylist()])):
-                    raw += end
-                    for a in range(0, len(raw), step):
-                        piece = raw[a : a + step]
-                        rows.append(k), starts.append(a // 4), lengths.append(len(piece) // 4), sums.append(zlib.crc32(piece)), totals.append(len(raw) // 4)
-                        if with_ids:
-                            ids.append(piece)
-                columns = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals))]
+            for batch in slices(whole, 1):
+                ids, bounds = encode(batch.column(1))
+                ids = np.insert(ids, bounds[1:], END)
+                bounds = bounds + np.arange(len(bounds))
+                raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                totals = np.diff(bounds)
+                pieces = -(-totals // WINDOW)
+                row = np.repeat(np.arange(len(totals)), pieces)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * WINDOW
+                length = np.minimum(WINDOW, totals[row] - start)
+                at = (bounds[row] + start).tolist()
+                parts = [raw[4 * a : 4 * (a + n)] for a, n in zip(at, length.tolist())]
+                columns = [batch.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, list(map(zlib.crc32, parts)), totals[row]))]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names + ["ids"] * with_ids)
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(map(bytes, parts), pa.binary())] * with_ids, names + ["ids"] * with_ids)
 
     return run
 
@@ -115,7 +118,8 @@ def pack(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     whole = pieces.filter(F.col("length") == WINDOW).withColumn("sequence_id", 2 * F.monotonically_increasing_id() + 1).withColumn("offset", F.lit(0).cast("long"))
     rest = pieces.filter(F.col("length") < WINDOW)
     boxes = max(1, -(-rest.count() // BOX))
-    boxed = rest.withColumn("box", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(boxes)))
+    #: Dealt by place in the written table, so that repeated texts and ids spread like all others.
+    boxed = rest.withColumn("box", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(boxes)))
     return whole.unionByName(boxed.groupBy("box").applyInArrow(_pack, schema + ", sequence_id long, offset long"))
 
 
