@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import documents, shared_dir
+from ._common import documents, shared_dir, slices
 from ._tokens import encoder
 
 BLOCK = 128
@@ -118,21 +118,22 @@ def decode_ids(payload: bytes) -> np.ndarray:
 
 def _segments(path: str, end: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, part = encoder(path).encode, end.to_bytes(4, "little"), TaskContext.get().partitionId()
+        encode, part = encoder(path).encode, TaskContext.get().partitionId()
         docs, lengths, waiting, size, before = [], [], [], 0, 0
 
         def segment() -> pa.RecordBatch:
-            payload = encode_ids(np.frombuffer(b"".join(waiting), "<u4"))
+            payload = encode_ids(np.concatenate(waiting))
             columns = [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([docs], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([payload], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["part", "before", "n_ids", "docs", "lengths", "payload"])
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                for doc, raw in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
-                    docs.append(doc), lengths.append(len(raw) // 4 + 1)
-                    waiting += (raw, last)
-                    size += lengths[-1]
+            for batch in slices(whole, 1):
+                ids, bounds = encode(batch.column(1))
+                ids = np.insert(ids, bounds[1:], end)
+                bounds = (bounds + np.arange(len(bounds))).tolist()
+                for doc, a, b in zip(batch.column(0).to_pylist(), bounds, bounds[1:]):
+                    docs.append(doc), lengths.append(b - a), waiting.append(ids[a:b])
+                    size += b - a
                     if size >= SEGMENT:
                         yield segment()
                         before += size
@@ -150,7 +151,9 @@ def write_tokens(docs: DataFrame, out: str, path: str, end: int = END) -> None:
     kind = dict(docs.dtypes)["doc_id"]
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     schema = f"part int, before long, n_ids long, docs array<{kind}>, lengths array<long>, payload binary"
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    #: Rows that share a doc_id, or have none, may fill many partitions: they are cut by hash, copies by place.
+    place = ("doc_id", F.xxhash64("text"), F.monotonically_increasing_id())
+    dealt = docs.select("doc_id", "text").repartitionByRange(*place).sortWithinPartitions(*place)
     dealt.mapInArrow(_segments(path, end, id_type), schema).write.option("compression", "none").parquet(out)
 
 
@@ -177,7 +180,8 @@ def read_tokens(spark: SparkSession, out: str, with_ids: bool = False) -> DataFr
     files = spark.read.parquet(out)
     kind = dict(files.dtypes)["docs"][6:-1]
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("total"))
-    earlier = totals.alias("a").join(F.broadcast(totals.select(F.col("part").alias("p"), F.col("total").alias("t"))), F.col("p") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("t"), F.lit(0)).alias("shift"))
+    running = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = totals.select("part", F.coalesce(running, F.lit(0)).alias("shift"))
     schema = f"part int, doc_id {kind}, at long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     rows = files.select("part", "before", "docs", "lengths", "payload").mapInArrow(_read(with_ids), schema)
     return rows.join(F.broadcast(earlier), "part").select("doc_id", (F.col("at") + F.col("shift")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
