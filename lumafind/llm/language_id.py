@@ -14,14 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, is_fold
+from ._common import documents, is_fold, slices
 
-#: Counters a language: n-grams of UTF-8 bytes by hash. 2**16 doubles are 0.5 MB, at most MOST_LANGS of them.
+#: Counters a language: n-grams of UTF-8 bytes by hash. 2**16 doubles are 0.5 MB for each language.
 BUCKETS = 1 << 16
-MOST_LANGS = 256
+#: Distinct words that a task counts before it passes them on, and bytes of words whose n-grams it takes at once.
+FLUSH = 200_000
+LOT = 1 << 19
+#: Bytes of text that are labelled at a time, or one longer text.
+TEXTS = 1 << 21
 GRAMS = 4
 SWITCH = 4.0
 MEMO = 300_000
@@ -66,32 +71,56 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def _lots(words: list[str]) -> Iterator[slice]:
+    """Runs of words with some LOT bytes, or one longer word."""
+    at = size = 0
+    for k, w in enumerate(words):
+        size += len(w)
+        if size > LOT:
+            yield slice(at, k + 1)
+            at, size = k + 1, 0
+    if at < len(words):
+        yield slice(at, len(words))
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: dict[str, Counter] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.setdefault(lang, Counter()).update(text.split())
-        for lang, found in counts.items():
-            clean: dict[str, int] = {}
-            for raw, n in found.items():
-                if w := letters(raw):
-                    clean[w] = clean.get(w, 0) + n
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(clean), pa.string()), "word": pa.array(clean.keys(), pa.string()), "n": pa.array(clean.values(), pa.int64())})
+    counts: Counter = Counter()
+
+    def rows() -> pa.RecordBatch:
+        clean: Counter = Counter()
+        for (lang, raw), n in counts.items():
+            if w := letters(raw):
+                clean[lang, w] += n
+        return pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in clean], pa.string()), "word": pa.array([k[1] for k in clean], pa.string()), "n": pa.array(clean.values(), pa.int64())})
+
+    for whole in batches:
+        for batch in slices(whole, 1):
+            langs = batch.column(0)
+            for lang in langs.unique():
+                texts = batch.column(1).filter(pc.equal(langs, lang))
+                found = pc.utf8_split_whitespace(texts).flatten().value_counts()
+                name = lang.as_py()
+                counts.update({(name, w): n for w, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist())})
+                if len(counts) > FLUSH:
+                    yield rows()
+                    counts.clear()
+    if counts:
+        yield rows()
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables: dict[str, np.ndarray] = {}
-    scripts: dict[tuple[str, str], int] = {}
+    scripts: Counter = Counter()
     for batch in batches:
-        langs, words, counts = (c.to_pylist() for c in batch.columns)
-        for lang in set(langs):
-            own = [(w, n) for g, w, n in zip(langs, words, counts) if g == lang]
-            buckets, owners = grams([w for w, _ in own])
-            table = tables.setdefault(lang, np.zeros(BUCKETS))
-            table += np.bincount(buckets, np.array([n for _, n in own], np.float64)[owners], BUCKETS)
-            for w, n in own:
-                key = lang, script(w)
-                scripts[key] = scripts.get(key, 0) + n
+        for lang in batch.column(0).unique():
+            mine, name = batch.filter(pc.equal(batch.column(0), lang)), lang.as_py()
+            words, counts = mine.column(1).to_pylist(), mine.column(2).to_numpy()
+            table = tables.setdefault(name, np.zeros(BUCKETS))
+            for lot in _lots(words):
+                buckets, owners = grams(words[lot])
+                table += np.bincount(buckets, counts[lot].astype(np.float64)[owners], BUCKETS)
+            for w, n in zip(words, counts.tolist()):
+                scripts[name, script(w)] += n
     for lang, table in tables.items():
         used = np.flatnonzero(table)
         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(used), pa.string()), "script": pa.nulls(len(used), pa.string()), "bucket": pa.array(used, pa.int32()), "n": pa.array(table[used].astype(np.int64))})
@@ -104,13 +133,12 @@ def learn(docs: DataFrame) -> dict:
     seen = docs.filter("text is not null and lang is not null").select("lang", "text")
     words = seen.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     found = words.mapInArrow(_features, "lang string, script string, bucket int, n long").groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n"))
-    langs = [r.lang for r in docs.filter("text is not null and lang is not null").select("lang").distinct().orderBy("lang").limit(MOST_LANGS + 1).collect()]
-    if len(langs) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
+    langs = sorted(r.lang for r in seen.select("lang").distinct().collect())
+    place = {lang: k for k, lang in enumerate(langs)}
     counts, scripts = np.zeros((len(langs), BUCKETS)), {lang: {} for lang in langs}
     for r in found.toLocalIterator():
         if r.script is None:
-            counts[langs.index(r.lang), r.bucket] = r.n
+            counts[place[r.lang], r.bucket] = r.n
         else:
             scripts[r.lang][r.script] = r.n
     logs = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
@@ -130,8 +158,9 @@ class Scorer:
         """Score new words; one without letters has place 0. Scores are mean n-gram log-likelihoods times the
         root of the word's length, so that long words don't drown their neighbours."""
         clean = [letters(r) for r in raws]
-        own = [w for w in dict.fromkeys(clean) if w and "\0" + w not in self.memo]
-        if own:
+        new = [w for w in dict.fromkeys(clean) if w and "\0" + w not in self.memo]
+        for lot in _lots(new):
+            own = new[lot]
             buckets, owners = grams(own)
             n = np.bincount(owners, minlength=len(own))
             lengths = np.array([len(w) for w in own])
@@ -150,52 +179,65 @@ class Scorer:
         for raw, w in zip(raws, clean):
             self.memo[raw] = self.memo["\0" + w] if w else 0
 
-    def places(self, texts: list[str]) -> list[np.ndarray]:
+    def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The scored place of each word of all texts in a row, and where each text's words begin."""
         if len(self.memo) > MEMO or not self.used:
             self.memo.clear()
             self.used, self.parts, self.part_sizes = 1, [np.zeros((1, len(self.langs)), np.float32)], [np.zeros(1, np.int64)]
-        split = [t.split() for t in texts]
-        memo = self.memo
-        if new := list(set().union(*split).difference(memo)):
+        split = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if new := [w for w in words if w not in self.memo]:
             self.add(new)
             self.rows, self.sizes = np.concatenate(self.parts), np.concatenate(self.part_sizes)
             self.parts, self.part_sizes = [self.rows], [self.sizes]
-        return [np.fromiter(map(memo.__getitem__, words), np.int64, len(words)) for words in split]
-
-
-def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
-    """Best labels of many sequences at once. scores: (longest, sequences, labels), sequences falling in
-    length. Returns (longest, sequences) labels; what lies beyond a sequence's length has no meaning."""
-    steps, many, labels = scores.shape
-    best = scores[0].copy() if steps else np.zeros((many, labels))
-    back = np.zeros((steps, many, labels), np.uint8)
+        found = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        ends = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))
+        #: Leading or trailing white space leaves an empty piece, which is no word.
+        worded = pc.not_equal(split.flatten(), "").to_numpy(zero_copy_only=False)
+        return found[worded], np.concatenate(([0], np.cumsum(worded)))[ends]
+
+
+def viterbi(rows: np.ndarray, index: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
+    """Best labels of many sequences at once. rows: (places, labels) scores; index: (longest, sequences) places,
+    the sequences falling in length. Returns (longest, sequences) labels; what lies beyond a sequence's length
+    has no meaning. A step keeps its best label and one bit a label, which tells whether that label stayed."""
+    steps, many = index.shape
+    labels = rows.shape[1]
+    kind = np.uint8 if labels <= 256 else np.int32
+    best = rows[index[0]].copy() if steps else np.zeros((many, labels), rows.dtype)
+    tops = np.zeros((steps, many), kind)
+    stays = np.zeros((steps, many, -(-labels // 8)), np.uint8)
     alive = np.searchsorted(-lengths, -np.arange(steps), side="left")
     for t in range(1, steps):
         n = alive[t]
         top = best[:n].argmax(axis=1)
         jump = best[np.arange(n), top] - switch
         stay = best[:n] >= jump[:, None]
-        back[t, :n] = np.where(stay, np.arange(labels), top[:, None])
-        best[:n] = np.where(stay, best[:n], jump[:, None]) + scores[t, :n]
-    out = np.zeros((steps, many), np.uint8)
+        tops[t, :n], stays[t, :n] = top, np.packbits(stay, axis=1, bitorder="little")
+        best[:n] = np.where(stay, best[:n], jump[:, None]) + rows[index[t, :n]]
+    out = np.zeros((steps, many), kind)
     label = best.argmax(axis=1)
     for t in range(steps - 1, -1, -1):
         n = alive[t]
-        out[t, :n] = label[:n]
-        label[:n] = back[t, np.arange(n), label[:n]]
+        out[t, :n] = now = label[:n]
+        stayed = stays[t, np.arange(n), now >> 3] >> (now & 7) & 1
+        label[:n] = np.where(stayed, now, tops[t, :n])
     return out
 
 
+#: Words, filled up to the longest text of a lot, that are labelled together.
 PART = 1 << 19
 
 
-def label_texts(scorer: Scorer, texts: list[str | None], switch: float = SWITCH) -> list[tuple[str, float, list]]:
+def label_texts(scorer: Scorer, texts: pa.Array, switch: float = SWITCH) -> list[tuple[str, float, list]]:
     """(language, score, spans) of each text; a span is (first word, one past the last word, language)."""
     found: list = [("und", 0.0, [])] * len(texts)
     if not scorer.langs:
         return found
-    places = scorer.places([t or "" for t in texts])
-    rows, sizes = scorer.rows, scorer.sizes
+    flat, bounds = scorer.places(texts)
+    rows, sizes, labels = scorer.rows, scorer.sizes, len(scorer.langs)
+    places = [flat[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
     order = sorted((k for k, p in enumerate(places) if p.any()), key=lambda k: -len(places[k]))
     at = 0
     while at < len(order):
@@ -206,12 +248,14 @@ def label_texts(scorer: Scorer, texts: list[str | None], switch: float = SWITCH)
         index = np.zeros((longest, len(lot)), np.int64)
         for c, k in enumerate(lot):
             index[: lengths[c], c] = places[k]
-        labels = viterbi(rows[index], lengths, switch)
+        paths = viterbi(rows, index, lengths, switch)
         for c, k in enumerate(lot):
-            path, words = labels[: lengths[c], c], places[k]
-            weight = np.bincount(path, sizes[words], minlength=len(scorer.langs))
+            path, words = paths[: lengths[c], c], places[k]
+            weight = np.bincount(path, sizes[words], minlength=labels)
             best = int(weight.argmax())
-            means = rows[words[words > 0]].mean(axis=0).astype(np.float64)
+            own = words[words > 0]
+            total = sum(rows[own[x : x + PART]].sum(axis=0, dtype=np.float64) for x in range(0, len(own), PART))
+            means = total / len(own)
             share = np.exp((means - means.max()) * min(len(words), 20))
             edges = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1, [len(path)])).tolist()
             found[k] = (scorer.langs[best], float(weight[best] / weight.sum() * share[best] / share.sum()), [(a, b, scorer.langs[path[a]]) for a, b in zip(edges, edges[1:])])
@@ -234,9 +278,8 @@ def _predict(model, spans: bool, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                found = label_texts(scorer, batch.column("text").to_pylist())
+            for batch in slices(whole, whole.schema.get_field_index("text"), TEXTS):
+                found = label_texts(scorer, batch.column("text"))
                 columns = [*(batch.column(c) for c in carried), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                 if spans:
                     columns.append(pa.array([[{"start": a, "end": b, "lang": s} for a, b, s in f[2]] for f in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
@@ -261,14 +304,13 @@ def identify(docs: DataFrame, model: dict, spans: bool = False, carried: tuple[s
 
 def keep_identified(docs: DataFrame, model: dict) -> DataFrame:
     """docs without those that have no language (``und``). Columns are those of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(sent)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                yield batch.filter(pa.array([f[0] != "und" for f in label_texts(scorer, batch.column("text").to_pylist())], pa.bool_()))
+            for batch in slices(whole, place, TEXTS):
+                yield batch.filter(pa.array([f[0] != "und" for f in label_texts(scorer, batch.column(place))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
