@@ -12,6 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+from ._common import slices
 
 SLICE = 1 << 20
 _U = np.uint64
@@ -30,7 +33,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
+    if len(_POWERS.get("up", ())) < max(n, 1):
         size = max(n, SLICE)
         up = np.full(size, _BASE, _U)
         down = np.full(size, pow(_BASE, -1, 1 << 64), _U)
@@ -118,3 +121,42 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
 def set_keys(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit keys of each set of distinct hashes; ``starts`` are the first positions of nonempty sets."""
     return tuple(np.add.reduceat(mix(values ^ _U(seed)), starts).view(np.int64) for seed in (0x243F6A8885A308D3, 0x13198A2E03707344))
+
+
+#: Size of a count table of hashes (a fixed 2**20 counters) and of the pieces it is merged in.
+SKETCH_BITS, PIECE_BITS = 20, 15
+_COUNTS = "piece int, counts binary"
+
+
+def _tables(count):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for part in slices(batch, 0):
+                count(table, part.column(0))
+        for k, piece in enumerate(table.reshape(-1, 1 << PIECE_BITS)):
+            if piece.any():
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counts": pa.array([piece.astype(np.int32).tobytes() if piece.max() < 2**31 else piece.tobytes()], pa.binary())})
+
+    return run
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            kind = np.int32 if len(raw) == 4 << PIECE_BITS else np.int64
+            sums[k] = sums.get(k, 0) + np.frombuffer(raw, kind).astype(np.int64)
+    for k, v in sums.items():
+        yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counts": pa.array([v.tobytes()], pa.binary())})
+
+
+def sketch(texts: DataFrame, count) -> np.ndarray:
+    """What count(table, texts) adds up over all rows of a text column: always 2**SKETCH_BITS counters, merged
+    by streaming tasks, whatever the size of the input."""
+    pieces = 1 << (SKETCH_BITS - PIECE_BITS)
+    parts = texts.mapInArrow(_tables(count), _COUNTS).repartition(pieces, "piece").mapInArrow(_add_up, _COUNTS)
+    table = np.zeros((pieces, 1 << PIECE_BITS), np.int64)
+    for row in parts.toLocalIterator():
+        table[row.piece] += np.frombuffer(row.counts, np.int64)
+    return table.reshape(-1)

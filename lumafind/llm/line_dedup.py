@@ -1,16 +1,20 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its distinct words (lower-cased A-Z, split at 0x20 and 0x09-0x0D). It is removed when an
-earlier line of any document, in order of doc_id and line number, has Jaccard similarity of 0.8 or more with
-it. Equal sets collapse to their earliest line. The sets' words are ordered by rarity; two similar sets share
-a word among the first ``n - ceil(t*n) + 1`` of both, at places and with sizes that leave room for the
-overlap needed. Pairs that pass these filters are verified on the whole sets.
-
-Each word's lines are first held against its LEADERS earliest lines, which settles most members of a large
-group of variants by one pair each; what is left is held against the word's other lines.
-
-Rarity comes from the document frequencies of words: the most frequent HEAD words, an exact count of a fixed
-bound, are sent to the tasks; all others are rarer and ordered by their hash.
+earlier line of any document has Jaccard similarity of 0.8 or more with it, also one that is removed itself.
+Lines are named, and ordered, by doc_id, a hash of the whole text and their number. Equal sets collapse to
+their earliest line, first inside each task, so that a line found everywhere is shuffled once a task.
+
+The sets' words are ordered by rarity; two similar sets share a word among the first ``n - ceil(t*n) + 1`` of
+both, at places and with sizes that leave room for the overlap needed. The lines that have a word in their
+prefix meet in one shuffle by word. There the size, place and signature filters are applied before anything
+is written, and only a line's first candidates leave for each word: in a large group of variants these are a
+few pairs for each line. Candidates are verified on the words themselves. Lines that have further candidates,
+and none of the first was similar, are held against all of them in a second round.
+
+A word that is frequent by its counter is cut into blocks, and each pair of blocks meets in a task of its own.
+Rarity is the level, six of them to an octave, of a word's counter in a table of 2**20 counters over all lines,
+then the word's hash.
 """
 
 from __future__ import annotations
@@ -19,22 +23,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, thin, written
-from ._hashing import buffers, hash_units, set_keys
+from ._common import documents, slices, thin, written
+from ._hashing import buffers, hash_units, mix, set_keys, sketch
 
 PERCENT = 80
-#: Most words whose exact line counts are broadcast: 2**20 pairs of longs, 16 MB.
-HEAD = 1 << 20
-#: Earliest lines of each word that all its lines are held against first.
-LEADERS = 16
+#: Bytes of text whose lines are ordered at a time, or one longer text.
+TEXTS = 1 << 20
+#: Uses of a word for each of the blocks that it is cut into.
+BLOCK = 1 << 20
+#: Pairs that are tested at a time, and the lines of a word from which on the earliest come first, by so many.
+PAIRS, MANY, LEADERS = 1 << 21, 2048, 128
+#: Candidates of a line that leave for each word in the first round.
+FIRST = 4
+#: Sets that a task remembers to leave out their later lines.
+SEEN = 200_000
 _U = np.uint64
+NAME = ("doc_id", "h", "line")
+
+
+def _id_type(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(kind, pa.string())
 
 
-def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text and number of each line, and the distinct word hashes of all lines with where each begins."""
+def _line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text and number of each line, all words' hashes in order, and where each line's words begin."""
     offsets, data = buffers(texts)
     breaks = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate((offsets[:-1], breaks + 1)))
@@ -43,63 +59,221 @@ def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     owner = np.searchsorted(offsets, starts, side="right") - 1
     number = np.arange(len(starts)) - np.searchsorted(starts, offsets[:-1])[owner] if len(starts) else starts
     words, first = hash_units(data, np.append(starts, len(data)))
-    line = np.repeat(np.arange(len(starts)), np.diff(first))
-    order = np.lexsort((words, line))
-    words, line = words[order], line[order]
+    return owner, number, words, first
+
+
+def _count(table: np.ndarray, texts: pa.Array) -> None:
+    words = hash_units(*buffers(texts)[::-1])[0]
+    table += np.bincount((words & _U(len(table) - 1)).astype(np.int64), minlength=len(table))
+
+
+def _in_order(words: np.ndarray, line: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of each line by level, then hash; and the line of each."""
+    level = levels[(words & _U(len(levels) - 1)).astype(np.int64)]
+    count = int(line[-1]) + 1 if len(line) else 0
+    key = (line.astype(_U) << _U(45)) | (level.astype(_U) << _U(37)) | (words >> _U(27))
+    order = np.argsort(key)
+    sorted_words = words[order]
+    same = key[order[1:]] == key[order[:-1]]
+    #: Where lines don't fit their bits, or different words agree in theirs, the whole hash decides.
+    if count >= 1 << 19 or (same & (sorted_words[1:] != sorted_words[:-1])).any():
+        order = np.lexsort((words, level, line))
+        sorted_words = words[order]
+    line = line[order]
     fresh = np.ones(len(words), bool)
-    fresh[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
-    words, line = words[fresh], line[fresh]
-    return owner, number, words, np.searchsorted(line, np.arange(len(starts) + 1))
+    fresh[1:] = (sorted_words[1:] != sorted_words[:-1]) | (line[1:] != line[:-1])
+    return sorted_words[fresh], line[fresh]
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            words, n = np.unique(_lines(batch.column(0).slice(at, 2000))[2], return_counts=True)
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words.view(np.int64)), "n": pa.array(n)})
-
-
-def head_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """The most frequent words' hashes in order, the lines each is in, and the least count among them. Counts
-    are over all lines; as many words are taken as whole counts fit into HEAD."""
-    counts = written(docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    room, least = HEAD, 1 << 62
-    #: Few distinct counts lie above the square root of all; read from the top, the sum stops at HEAD words.
-    for row in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
-        if row.words > room:
-            break
-        room, least = room - row.words, row.n
-    top = counts.filter(F.col("n") >= least).toArrow()
-    words = top.column("word").to_numpy().view(_U)
-    order = np.argsort(words)
-    return words[order], top.column("n").to_numpy()[order], least
-
-
-def _prefixes(head, percent: int, id_type: pa.DataType):
+def _sets(levels, percent: int, id_type: pa.DataType):
+    """Lines with words: name, size, keys and signature of the set, and the words of its prefix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts, least = head.value
+        seen: dict[tuple, tuple] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                owner, number, words, first = _lines(batch.column(1))
-                sizes = np.diff(first)
-                chosen = np.flatnonzero(sizes)
-                k1, k2 = set_keys(words, first[chosen]) if len(chosen) else (np.zeros(0, np.int64),) * 2
-                place = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
-                count = np.where(known[place] == words, counts[place], least - 1) if len(known) else np.full(len(words), least - 1)
-                line = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((words, count, line))
-                rank = np.arange(len(words)) - first[line]
+            for batch in slices(whole, 2, TEXTS):
+                owner, number, words, first = _line_words(batch.column(2))
+                line = np.repeat(np.arange(len(owner)), np.diff(first))
+                words, line = _in_order(words, line, levels.value)
+                chosen, first = np.unique(line, return_index=True)
+                if not len(chosen):
+                    continue
+                sizes = np.diff(np.append(first, len(line)))
+                k1, k2 = set_keys(words, first)
+                ids, hashes = batch.column(0).take(pa.array(owner[chosen])).cast(id_type), batch.column(1).take(pa.array(owner[chosen]))
+                names = list(zip(ids.to_pylist(), hashes.to_pylist(), number[chosen].tolist()))
+                fresh = np.zeros(len(chosen), bool)
+                for k, (key, name) in enumerate(zip(zip(k1.tolist(), k2.tolist()), names)):
+                    before = seen.get(key)
+                    if before is None or name < before:
+                        seen[key] = name
+                        fresh[k] = True
+                if len(seen) > SEEN:
+                    seen.clear()
+                bit = _U(1) << (words >> _U(57) & _U(63))
+                high = (words >> _U(63)).astype(bool)
+                s1, s2 = (np.bitwise_xor.reduceat(np.where(half, bit, _U(0)), first).view(np.int64) for half in (high, ~high))
+                rank = np.arange(len(words)) - np.repeat(first, sizes)
                 need = sizes - (-(-sizes * percent // 100)) + 1
-                #: A word of one line only can't join two.
-                take = (rank < need[line]) & (count[order] > 1)
-                taken = np.searchsorted(line[take], np.append(chosen, len(sizes)))
-                bits = np.zeros(2 * len(sizes), _U)
-                np.bitwise_or.at(bits, 2 * line + (words >> _U(63)).astype(np.int64), _U(1) << (words >> _U(57) & _U(63)))
-                s1, s2 = (bits[k::2][chosen].view(np.int64) for k in (0, 1))
-                lists = [pa.ListArray.from_arrays(pa.array(taken, pa.int32()), pa.array(x)) for x in (words[order][take].view(np.int64), rank[take].astype(np.int32))]
-                columns = [batch.column(0).take(pa.array(owner[chosen])).cast(id_type), pa.array(number[chosen].astype(np.int32)), pa.array(sizes[chosen].astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(s1), pa.array(s2), *lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "n", "k1", "k2", "s1", "s2", "prefix", "ranks"])
+                need[~fresh] = 0
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(need[fresh]))), pa.int32()), pa.array(words[rank < np.repeat(need, sizes)].view(np.int64)))
+                keep = pa.array(fresh)
+                yield pa.RecordBatch.from_arrays([ids.filter(keep), hashes.filter(keep), *(pa.array(x[fresh]) for x in (number[chosen].astype(np.int32), sizes.astype(np.int32), k1, k2, s1, s2)), prefix], [*NAME, "n", "k1", "k2", "s1", "s2", "prefix"])
+
+    return run
+
+
+def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each set, from rows in order of set and name."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            k1, k2 = (batch.column(k).to_numpy() for k in ("k1", "k2"))
+            fresh = np.ones(len(k1), bool)
+            fresh[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            fresh[0] = last != (k1[0], k2[0])
+            last = k1[-1], k2[-1]
+            yield batch.drop_columns(["k1", "k2"]).filter(pa.array(fresh))
+
+
+def _words(blocks):
+    """One row for each word of a prefix, and for a frequent word for each block that it meets: the word, or
+    one of its pairs of blocks, and on which side of that pair the line stands, 2 for both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = blocks.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1 << 14):
+                batch = whole.slice(at, 1 << 14)
+                prefix = batch.column("prefix")
+                owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(prefix).to_numpy())
+                word = prefix.flatten().to_numpy().view(_U)
+                size = np.diff(np.searchsorted(owner, np.arange(batch.num_rows + 1)))
+                rank = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+                many = cut[(word & _U(len(cut) - 1)).astype(np.int64)].astype(np.int64)
+                mine = (mix(batch.column("s1").to_numpy().view(_U) ^ batch.column("s2").to_numpy().view(_U))[owner] % many.astype(_U)).astype(np.int64)
+                row = np.repeat(np.arange(len(owner)), many)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                low, high = np.minimum(mine[row], other), np.maximum(mine[row], other)
+                cell = np.where(many[row] > 1, mix(word[row] + low.astype(_U) * _U(0x9E3779B97F4A7C15) + high.astype(_U) * _U(0xC2B2AE3D27D4EB4F)), word[row])
+                side = np.where(low == high, 2, mine[row] == high).astype(np.int8)
+                own = pa.array(owner[row])
+                packed = (batch.column("n").to_numpy().astype(np.int64)[owner] << 32 | rank)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *(batch.column(c).take(own) for c in NAME), pa.array(packed), pa.array(side), *(batch.column(c).take(own) for c in ("s1", "s2"))], ["cell", *NAME, "size_rank", "side", "s1", "s2"])
+
+    return run
+
+
+class _Rows:
+    """Lines of some words, by word and then in order of their names."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.names = batch.select([*NAME])
+        cell, packed, self.side, self.s1, self.s2 = (batch.column(c).to_numpy() for c in ("cell", "size_rank", "side", "s1", "s2"))
+        self.n, self.rank = packed >> 32, packed & 0xFFFFFFFF
+        #: Bits are counted of absolute values, so the signatures must be unsigned.
+        self.s1, self.s2 = self.s1.view(_U), self.s2.view(_U)
+        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        self.begin = np.append(starts, len(cell))
+        self.asked = batch.column("asked").to_numpy(zero_copy_only=False) if "asked" in batch.schema.names else None
+
+
+def _near(r: _Rows, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows may be similar by their sizes, places, blocks and signatures."""
+    n, m = r.n[a], r.n[b]
+    ok = (n * 100 >= m * percent) & (m * 100 >= n * percent)
+    ok &= np.minimum(n - r.rank[a], m - r.rank[b]) * (100 + percent) >= (n + m) * percent
+    ok &= (r.side[a] == 2) | (r.side[a] != r.side[b])
+    at = np.flatnonzero(ok)
+    a, b = a[at], b[at]
+    #: A differing bit of the parities stands for at least one differing word.
+    apart = np.bitwise_count(r.s1[a] ^ r.s1[b]).astype(np.int64) + np.bitwise_count(r.s2[a] ^ r.s2[b])
+    return at[apart * (100 + percent) <= (r.n[a] + r.n[b]) * (100 - percent)]
+
+
+def _pairs(r: _Rows, first_only: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (earlier, later) that may be similar: all for the later ones asked for, or at least the FIRST of each
+    later one, and then whether it may have more."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+
+    def add(a: np.ndarray, b: np.ndarray, more: bool = False) -> None:
+        if r.asked is not None:
+            wanted = r.asked[b]
+            a, b = a[wanted], b[wanted]
+        at = _near(r, a, b, percent)
+        a, b = a[at], b[at]
+        over = np.full(len(b), more)
+        if first_only and len(b):
+            order = np.lexsort((a, b))
+            a, b = a[order], b[order]
+            starts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+            n = np.diff(np.append(starts, len(b)))
+            keep = np.arange(len(b)) - np.repeat(starts, n) < FIRST
+            a, b, over = a[keep], b[keep], (over | np.repeat(n > FIRST, n))[keep]
+        found.append((a, b, over))
+
+    size = np.diff(r.begin)
+    #: Words of few lines: in order of size each line meets those before it that aren't too short.
+    small = np.repeat(size < MANY, size)
+    rows, group = np.flatnonzero(small), np.repeat(np.arange(len(size)), size)[small]
+    rows = rows[np.lexsort((r.n[rows], group))]
+    key = group.astype(np.int64) << 32
+    least = np.searchsorted(key + r.n[rows], key + -(-r.n[rows] * percent // 100))
+    count = np.arange(len(rows)) - least
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(rows):
+        last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        c = count[at:last]
+        one = np.repeat(np.arange(at, last), c)
+        two = np.repeat(least[at:last] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        one, two = rows[one], rows[two]
+        add(np.minimum(one, two), np.maximum(one, two))
+        at = last
+    #: Words of many: the earliest lines meet all later ones first, which settles most of a group of variants.
+    for g in np.flatnonzero(size >= MANY).tolist():
+        open_rows = np.arange(r.begin[g], r.begin[g + 1])
+        if r.asked is not None:
+            open_rows = open_rows[r.asked[open_rows]]
+        for lead in range(int(r.begin[g]), int(r.begin[g + 1]), LEADERS):
+            leaders = np.arange(lead, min(lead + LEADERS, int(r.begin[g + 1])))
+            open_rows = open_rows[open_rows > lead]
+            before = len(found)
+            for x in range(0, len(open_rows), PAIRS // LEADERS):
+                part = open_rows[x : x + PAIRS // LEADERS]
+                b, a = np.repeat(part, len(leaders)), np.tile(leaders, len(part))
+                earlier = a < b
+                add(a[earlier], b[earlier], more=first_only)
+            if first_only:
+                open_rows = np.setdiff1d(open_rows, np.concatenate([f[1] for f in found[before:]] + [open_rows[:0]]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _meetings(first_only: bool, percent: int):
+    """Candidate pairs from rows in order of word and name. A word's rows wait for its last one."""
+
+    def pairs(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        r = _Rows(pa.Table.from_batches(batches).combine_chunks().to_batches()[0])
+        a, b, more = _pairs(r, first_only, percent)
+        columns = [r.names.column(c).take(pa.array(x)) for x in (a, b) for c in NAME]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(more)], [*(s + c for s in "ab" for c in NAME), "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = batch.column("cell").to_numpy()
+            last = int(np.searchsorted(cell, cell[-1]))
+            if last:
+                yield pairs([*waiting, batch.slice(0, last)])
+                waiting = []
+            elif waiting and waiting[0].column("cell")[0].as_py() != cell[0]:
+                yield pairs(waiting)
+                waiting = []
+            waiting.append(batch.slice(last))
+        if waiting:
+            yield pairs(waiting)
 
     return run
 
@@ -111,98 +285,116 @@ def _similar(percent: int, id_type: pa.DataType):
         return [np.unique(words[a:b]) for a, b in zip(first[:-1], first[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(sets(batch.column("a")), sets(batch.column("b"))):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in ("bdoc", "bline")], ["doc_id", "line"])
+        for whole in batches:
+            for batch in slices(whole, 3, TEXTS):
+                keep = []
+                for a, b in zip(sets(batch.column(3)), sets(batch.column(4))):
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
+                names = [batch.column(k).filter(pa.array(keep, pa.bool_())) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([names[0].cast(id_type), *names[1:]], [*NAME])
 
     return run
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, h and text of the rows that take part. Rows equal in both are one document."""
+    return docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
+
+
 def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, lines: numbers, from 0, of the lines with words that stay. Documents
-    without such lines are absent. Lines of rows with a null doc_id take no part."""
-    docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    """docs(doc_id, text) -> doc_id, h (hash of the text), lines: numbers, from 0, of the lines with words that
+    stay. Documents without such lines are absent. Rows with a null doc_id or text take no part; rows that
+    share a doc_id are told apart by their texts, equal ones are one document; of equal lines in one text the
+    first counts; an empty table gives no rows."""
+    docs = named(docs.select("doc_id", "text"))
     kind = dict(docs.dtypes)["doc_id"]
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    head = docs.sparkSession.sparkContext.broadcast(head_words(docs))
-    schema = f"doc_id {kind}, line int, n int, k1 long, k2 long, s1 long, s2 long, prefix array<long>, ranks array<int>"
-    earliest = F.min(F.struct("doc_id", "line", "n", "s1", "s2", "prefix", "ranks")).alias("x")
-    sets = written(docs.mapInArrow(_prefixes(head, percent, id_type), schema).groupBy("k1", "k2").agg(earliest).select("x.*"), "lines")
-
-    words = sets.select("doc_id", "line", "n", F.explode(F.arrays_zip("prefix", "ranks")).alias("w")).select("doc_id", "line", "n", F.col("w.prefix").alias("word"), F.col("w.ranks").alias("rank"))
-    in_order = Window.partitionBy("word").orderBy("doc_id", "line")
-    placed = words.withColumn("place", F.row_number().over(in_order))
-    me = F.struct(F.col("doc_id").alias("doc"), "line", "n", "rank")
-    before = F.collect_list(F.when(F.col("place") <= LEADERS, me)).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    #: One shuffle by word serves both rounds: the leaders that fit each line, and the lines beyond them.
-    first = F.filter("before", lambda a: _fits(a["n"], a["rank"], F.col("n"), F.col("rank"), percent))
-    placed = placed.withColumn("before", before).select("word", "doc_id", "line", "n", "rank", "place", F.transform(first, lambda a: F.struct(a["doc"].alias("doc"), a["line"].alias("line"))).alias("first"))
-    placed = written(placed.filter((F.size("first") > 0) | (F.col("place") > LEADERS)), "placed")
-    led = placed.select(F.col("doc_id").alias("bdoc"), F.col("line").alias("bline"), F.explode("first").alias("a")).select(F.col("a.doc").alias("adoc"), F.col("a.line").alias("aline"), "bdoc", "bline")
-    gone = written(_similar_later(led, sets, docs, percent), "gone")
-    deep = placed.filter(F.col("place") > LEADERS).select("word", "doc_id", "line", "n", "rank")
-    if not deep.isEmpty():
-        rest = deep.join(gone, ["doc_id", "line"], "left_anti")
-        a = deep.select(*(F.col(c).alias("a" + c) for c in deep.columns))
-        b = rest.select(*(F.col(c).alias("b" + c) for c in rest.columns))
-        order = F.struct("adoc_id", "aline") < F.struct("bdoc_id", "bline")
-        near = a.join(b, (F.col("aword") == F.col("bword")) & _fits(F.col("an"), F.col("arank"), F.col("bn"), F.col("brank"), percent) & order)
-        more = _similar_later(near.select(F.col("adoc_id").alias("adoc"), "aline", F.col("bdoc_id").alias("bdoc"), "bline"), sets, docs, percent)
-        gone = gone.unionByName(written(more, "gone"))
-    return sets.select("doc_id", "line").join(gone, ["doc_id", "line"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-
-
-def _fits(n: F.Column, rank: F.Column, m: F.Column, other: F.Column, percent: int) -> F.Column:
-    """Whether sizes n and m, and the places of a shared word in both orders, leave room for the similarity."""
-    sizes = (n * 100 >= m * percent) & (m * 100 >= n * percent)
-    return sizes & (F.least(n - rank, m - other) * (100 + percent) >= (n + m) * percent)
-
-
-def _similar_later(candidates: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The later lines of the candidate pairs that are similar on their whole sets of words. Each differing bit
-    of two sets' 128-bit signatures stands for at least one differing word, which rules most pairs out before
-    texts are fetched."""
+    id_type, context = _id_type(kind), docs.sparkSession.sparkContext
+    counts = sketch(docs.select("text"), _count)
+    levels = context.broadcast(np.minimum(255, np.log2(counts + 1.0) * 6).astype(np.uint8))
+    blocks = context.broadcast((1 + counts // BLOCK).astype(np.int32))
+    schema = f"doc_id {kind}, h long, line int, n int, k1 long, k2 long, s1 long, s2 long, prefix array<long>"
+    lines = docs.mapInArrow(_sets(levels, percent, id_type), schema).repartition("k1", "k2").sortWithinPartitions("k1", "k2", *NAME)
+    sets = written(lines.mapInArrow(_earliest, schema.replace(" k1 long, k2 long,", "")), "lines")
+
+    ends = [s + c for s in "ab" for c in NAME]
+    pairs = ", ".join(f"{e} {t}" for e, t in zip(ends, (kind, "long", "int") * 2)) + ", more boolean"
+    rows = f"cell long, doc_id {kind}, h long, line int, size_rank long, side tinyint, s1 long, s2 long"
+
+    def candidates(words: DataFrame, first_only: bool) -> DataFrame:
+        met = words.repartition("cell").sortWithinPartitions("cell", *NAME).mapInArrow(_meetings(first_only, percent), pairs)
+        return met.groupBy(*ends).agg(F.max("more").alias("more"))
+
+    words = sets.mapInArrow(_words(blocks), rows)
+    near = written(candidates(words, True), "near")
+    gone = written(_later(near, docs, percent), "gone")
+    doubtful = written(near.filter("more").select(*(F.col("b" + c).alias(c) for c in NAME)).distinct().join(gone, [*NAME], "left_anti"), "doubtful")
+    if not doubtful.isEmpty():
+        cells = written(sets.join(doubtful, [*NAME], "left_semi").mapInArrow(_words(blocks), rows).select("cell").distinct(), "cells")
+        again = thin(words, "cell", cells).join(cells, "cell", "left_semi").join(doubtful.withColumn("asked", F.lit(True)), [*NAME], "left")
+        again = again.select("cell", *NAME, "size_rank", "side", "s1", "s2", F.coalesce("asked", F.lit(False)).alias("asked"))
+        more = written(candidates(again, False).join(near, ends, "left_anti"), "near")
+        gone = gone.unionByName(written(_later(more, docs, percent), "gone"))
+    return sets.select(*NAME).join(gone, [*NAME], "left_anti").groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+
+
+def _later(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The later lines of the pairs that are similar on their whole sets of words."""
     kind = dict(docs.dtypes)["doc_id"]
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    sign = ("n", "s1", "s2")
-    signed = candidates.distinct()
-    for side in ("a", "b"):
-        signed = signed.join(sets.select(F.col("doc_id").alias(side + "doc"), F.col("line").alias(side + "line"), *(F.col(c).alias(side + c) for c in sign)), [side + "doc", side + "line"])
-    apart = F.bit_count(F.col("as1").bitwiseXOR(F.col("bs1"))) + F.bit_count(F.col("as2").bitwiseXOR(F.col("bs2")))
-    possible = apart * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent)
-    pairs = written(signed.filter(possible).select("adoc", "aline", "bdoc", "bline"), "pairs")
-    ends = pairs.select(F.col("adoc").alias("doc"), F.col("aline").alias("line")).union(pairs.select("bdoc", "bline")).distinct()
-    split = thin(docs, "doc_id", ends.select("doc")).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    texts = written(ends.join(split, ["doc", "line"]).distinct(), "texts")
-    both = pairs.join(texts.select(F.col("doc").alias("adoc"), F.col("line").alias("aline"), F.col("words").alias("a")), ["adoc", "aline"]).join(texts.select(F.col("doc").alias("bdoc"), F.col("line").alias("bline"), F.col("words").alias("b")), ["bdoc", "bline"])
-    return both.select("bdoc", "bline", "a", "b").mapInArrow(_similar(percent, id_type), f"doc_id {kind}, line int").distinct()
-
-
-def _has_word(line: F.Column) -> F.Column:
-    return F.translate(line, " \t\n\x0b\x0c\r", "") != ""
+    ends = pairs.select(*(F.col("a" + c).alias(c) for c in NAME)).union(pairs.select(*("b" + c for c in NAME))).distinct()
+    asked = ends.groupBy("doc_id", "h").agg(F.collect_list("line").alias("asked"))
+    split = F.split("text", "\n")
+    held = thin(docs, "doc_id", ends.select("doc_id")).join(asked, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    #: Only the lines asked for leave their text.
+    texts = held.select("doc_id", "h", F.explode(F.transform("asked", lambda k: F.struct(k.alias("line"), F.get(split, k).alias("words")))).alias("x")).select("doc_id", "h", "x.line", "x.words")
+    texts = written(texts, "texts")
+
+    def side(s: str) -> DataFrame:
+        return texts.select(*(F.col(c).alias(s + c) for c in NAME), F.col("words").alias(s))
+
+    both = pairs.join(side("a"), ["a" + c for c in NAME]).join(side("b"), ["b" + c for c in NAME])
+    return both.select(*("b" + c for c in NAME), "a", "b").mapInArrow(_similar(percent, _id_type(kind)), f"doc_id {kind}, h long, line int").distinct()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines, and lines with words, of each text; a null text has none, an empty one a line without words."""
+    for whole in batches:
+        for batch in slices(whole, 2):
+            offsets, data = buffers(batch.column(2))
+            breaks = np.concatenate(([0], np.cumsum(data == 10)))
+            lines = np.diff(breaks[offsets]) + batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            inside = np.flatnonzero((data != 32) & ((data < 9) | (data > 13)))
+            text = np.searchsorted(offsets, inside, side="right") - 1
+            fresh = np.append(True, (breaks[inside[1:]] != breaks[inside[:-1]]) | (text[1:] != text[:-1]))[: len(inside)]
+            worded = np.bincount(text[fresh], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines.astype(np.int64)), pa.array(worded.astype(np.int64))], ["doc_id", "h", "n_lines", "n_worded"])
 
 
 def decisions(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs(doc_id, text, ...) -> its columns in ``doc``, and __lines (kept lines with words), n_lines (lines), n_worded
-    (lines with words). Rows that share a doc_id are each held against that id's kept lines."""
-    kept = kept_lines(docs, percent).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"))
-    split = F.split("doc.text", "\n")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").alias("__key"))
-    return rows.join(kept, F.col("__key") == F.col("__id"), "left").select("doc", "__lines", F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce(F.size(F.filter(split, _has_word)), F.lit(0)).alias("n_worded"))
+    """docs(doc_id, text) -> doc_id, n_lines, n_worded (lines with words), lines (numbers of those kept, or null).
+
+    A null text has no lines, an empty one has one without words; of rows with a null doc_id all lines stay,
+    and ``lines`` is null. Rows that share a doc_id have their own results, rows equal in doc_id and text the
+    same one; an empty table gives no rows; other columns are ignored."""
+    kept = kept_lines(docs, percent).select(F.col("doc_id").alias("__id"), F.col("h").alias("__hash"), "lines")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    counted = rows.mapInArrow(_counted, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, n_lines long, n_worded long")
+    return counted.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("h") == F.col("__hash")), "left").select("doc_id", "n_lines", "n_worded", "lines")
 
 
 def _rebuilt(names: list[str], place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, lines in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                stay = set(lines or ())
-                out.append(None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k in stay or not x.strip(" \t\n\x0b\x0c\r")))
-            columns = [pa.array(out, c.type) if k == place else c for k, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        for whole in batches:
+            for batch in slices(whole, place):
+                out, stays = [], []
+                for text, lines in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                    stay = set(lines or ())
+                    split = [] if text is None else text.split("\n")
+                    worded = [bool(x.strip(" \t\n\x0b\x0c\r")) for x in split]
+                    out.append(None if text is None else "\n".join(x for k, (x, full) in enumerate(zip(split, worded)) if k in stay or not full))
+                    stays.append(bool(stay) or not any(worded))
+                columns = [pa.array(out, c.type) if k == place else c for k, c in enumerate(batch.columns[:-1])]
+                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stays, pa.bool_()))
 
     return run
 
@@ -210,14 +402,19 @@ def _rebuilt(names: list[str], place: int):
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with the later matches taken out of their texts. Lines without words stay; a document that had
     lines with words and lost them all leaves; null and wordless texts and rows with a null doc_id stay as
-    they are. Columns are those of docs."""
-    known = decisions(docs.filter("doc_id is not null"), percent).filter("n_worded = 0 or size(__lines) > 0")
-    rows = known.select(*(F.col(f"doc.`{c}`").alias(f"__{k}") for k, c in enumerate(docs.columns)), F.col("__lines").alias("__kept"))
-    return rows.mapInArrow(_rebuilt(docs.columns, docs.columns.index("text")), docs.schema).unionByName(docs.filter("doc_id is null"))
+    they are; rows that share a doc_id are told apart by their texts. Columns are those of docs."""
+    names = [f"__{k}" for k in range(len(docs.columns))]
+    where = docs.columns.index("text")
+    kept = kept_lines(docs, percent).select(F.col("doc_id").alias("id"), F.col("h").alias("hash"), "lines")
+    rows = docs.filter("doc_id is not null").toDF(*names).withColumn("h", F.xxhash64(names[where]))
+    known = rows.join(kept, (F.col(names[docs.columns.index("doc_id")]) == F.col("id")) & (F.col("h") == F.col("hash")), "left")
+    rebuilt = known.select(*names, "lines").mapInArrow(_rebuilt(docs.columns, where), docs.schema)
+    return rebuilt.unionByName(docs.filter("doc_id is null"))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     """For each document: its lines, those removed, and the numbers of the kept lines with words."""
-    rows = decisions(documents(spark, sf_dir))
-    kept = F.coalesce(F.size("__lines"), F.lit(0))
-    return rows.select(F.col("doc.doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.when(F.col("doc.doc_id").isNull(), F.lit(0)).otherwise(F.col("n_worded") - kept).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.transform("__lines", lambda x: x.cast("string")), ","), F.lit("")).alias("kept_lines"))
+    kept = F.coalesce(F.size("lines"), F.lit(0))
+    removed = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.col("n_worded") - kept).cast("long").alias("n_removed")
+    kept_numbers = F.coalesce(F.array_join(F.transform("lines", lambda x: x.cast("string")), ","), F.lit("")).alias("kept_lines")
+    return decisions(documents(spark, sf_dir)).select("doc_id", "n_lines", removed, kept_numbers)

@@ -26,14 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import documents, thin, written
-from ._hashing import mix, set_keys, shingle_sets
+from ._hashing import mix, set_keys, shingle_sets, sketch
 from .components import components
 
 SHINGLE = 5
 PERCENT = 80
 BANDS = 6
-#: Size of the count table of shingle hashes (a fixed 2**20 counters) and of the pieces it is merged in.
-SKETCH_BITS, PIECE_BITS = 20, 15
 _U = np.uint64
 
 
@@ -46,38 +44,11 @@ def slack(n: int) -> int:
     return 1 + n // 20
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(1 << SKETCH_BITS, np.int64)
+def _count(table: np.ndarray, texts: pa.Array) -> None:
     low = _U(len(table) - 1)
-    for batch in batches:
-        for s in shingle_sets(batch.column(0), SHINGLE):
-            #: The hashes of one set are distinct, but their low bits need not be.
-            np.add.at(table, (s & low).astype(np.int64), 1)
-    for k, piece in enumerate(table.reshape(-1, 1 << PIECE_BITS)):
-        if piece.any():
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counts": pa.array([piece.astype(np.int32).tobytes() if piece.max() < 2**31 else piece.tobytes()], pa.binary())})
-
-
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            kind = np.int32 if len(raw) == 4 << PIECE_BITS else np.int64
-            sums[k] = sums.get(k, 0) + np.frombuffer(raw, kind).astype(np.int64)
-    for k, v in sums.items():
-        yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counts": pa.array([v.tobytes()], pa.binary())})
-
-
-def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of shingle hashes by their low bits over all documents: always 2**SKETCH_BITS counters,
-    merged by streaming tasks, whatever the size of the input."""
-    schema = "piece int, counts binary"
-    pieces = 1 << (SKETCH_BITS - PIECE_BITS)
-    parts = docs.select("text").mapInArrow(_count, schema).repartition(pieces, "piece").mapInArrow(_add_up, schema)
-    table = np.zeros((pieces, 1 << PIECE_BITS), np.int64)
-    for row in parts.toLocalIterator():
-        table[row.piece] += np.frombuffer(row.counts, np.int64)
-    return table.reshape(-1)
+    for s in shingle_sets(texts, SHINGLE):
+        #: The hashes of one set are distinct, but their low bits need not be.
+        np.add.at(table, (s & low).astype(np.int64), 1)
 
 
 SKETCHED = "doc_id {id}, n_shingles long, k1 long, k2 long, bands array<long>, prefix array<long>"
@@ -201,7 +172,7 @@ def document_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    counts = spark.sparkContext.broadcast(shingle_counts(docs))
+    counts = spark.sparkContext.broadcast(sketch(docs.select("text"), _count))
     rows = written(docs.mapInArrow(_sketched(percent, counts, id_type), SKETCHED.format(id=kind)), "sketched")
     known = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
