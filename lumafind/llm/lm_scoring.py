@@ -1,12 +1,16 @@
 """Language-model scores from the subword lattice of an existing piece vocabulary.
 
-The vocabulary file's pieces and scores are taken as they are: its scores (ranks, in a BPE file) give a prior
-over pieces, which the piece counts of the training documents' words sharpen. A word's probability is the
-sum over all its segmentations into pieces, by forward recursion in log space; pieces never cross a space,
-so a text's probability is the product over its words and its end, and each distinct word is solved once.
+The vocabulary file's scores weight its pieces: as they are ranks, a piece's weight is one over one plus its rank,
+and the weights are scaled to a distribution once. A word's lattice probability is the sum over all its
+segmentations into pieces, by forward recursion in log space; pieces never cross a space, so the words of a
+text and its end are independent, and each distinct word is solved once, in a table of all words.
 
-The base score is a word unigram with add-half smoothing. Exact counts of the HEAD most frequent words are
-broadcast; the rest of each text's words meet their counts in a join on the word.
+The model's probability of a word joins what was counted to that: (c + A * lattice) / (N + A), with its count
+c among the N training tokens and A = 0.5 * (V + 1) for V distinct ones, the mass that the base score spreads
+evenly. The marginal probability of a text by the lattice alone is returned beside it.
+
+The base score is a word unigram with add-half smoothing. Values of the HEAD most frequent words are
+broadcast; the rest of each text's words meet theirs in a join on the word.
 """
 
 from __future__ import annotations
@@ -17,86 +21,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, is_fold, written
+from ._common import documents, is_fold, slices, written
 
-#: Words whose exact counts are broadcast: at most 2**17.
+#: Words whose values are broadcast: at most 2**17, none longer than LONGEST bytes.
 HEAD = 1 << 17
+LONGEST = 64
 FLUSH = 300_000
 MEMO = 400_000
-#: Weight of the vocabulary's own scores, in pieces, against the corpus counts.
-PRIOR = 10_000
 END = b""
 SPACE = "▁"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words in UTF-8 with A-Z lower-cased; bytes.split() ends them at 0x20 and 0x09-0x0D."""
-    return (text or "").encode().lower().split()
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words in UTF-8 with A-Z lower-cased, ended by 0x20 and 0x09-0x0D, of all texts, and the text of each."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    owner = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy())
+    real = pc.not_equal(words.flatten(), "")
+    return words.flatten().filter(real).cast(pa.large_binary()), owner[real.to_numpy(zero_copy_only=False)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
+    trained: Counter = Counter()
 
     def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.binary()), "n": pa.array(counts.values(), pa.int64())})
-
-    for batch in batches:
-        for text in batch.column(0):
-            counts.update(words_of(text.as_py()))
-            counts[END] += 1
+        return pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.binary()), "n": pa.array(counts.values(), pa.int64()), "c": pa.array([trained[w] for w in counts], pa.int64())})
+
+    for whole in batches:
+        for batch in slices(whole, 1):
+            for into, texts in ((counts, batch.column(1)), (trained, batch.column(1).filter(batch.column(0)))):
+                found = _split(texts)[0].value_counts()
+                into.update(dict(zip(found.field(0).to_pylist(), found.field(1).to_pylist())))
+                into[END] += len(texts)
             if len(counts) > FLUSH:
                 yield rows()
-                counts = Counter()
+                counts.clear(), trained.clear()
     if counts:
         yield rows()
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """training(text) -> word, c: counts over all rows, with the end of a text as the empty word."""
-    return written(training.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
-
-
-def _vocabulary(path: str):
+def vocabulary_weights(path: str) -> dict:
+    """Log probabilities of the vocabulary's pieces and bytes, from the file's scores alone."""
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
-
-
-def _piece_counts(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _vocabulary(path)
-        totals = np.zeros(model.vocab_size(), np.int64)
-        for batch in batches:
-            counts = batch.column(1).to_numpy()
-            texts = [w.decode(errors="replace") for w in batch.column(0).to_pylist()]
-            for ids, n in zip(model.encode(texts, num_threads=1), counts.tolist()):
-                for k in ids:
-                    totals[k] += n
-        used = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(used, pa.int64()), "n": pa.array(totals[used])})
-
-    return run
-
-
-def learn(counts: DataFrame, path: str) -> dict:
-    """Log probabilities of the vocabulary's pieces and of the end; bounded by the vocabulary's size."""
-    model = _vocabulary(path)
-    size = model.vocab_size()
-    n = np.zeros(size)
-    for r in counts.filter(F.length("word") > 0).mapInArrow(_piece_counts(path), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
-        n[r.piece] = r.n
-    ends = counts.filter(F.length("word") == 0).agg(F.sum("c")).first()[0] or 0
-    usable = np.array([not (model.is_control(k) or model.is_unknown(k)) for k in range(size)])
-    prior = np.array([1 / (1 - min(0.0, model.get_score(k))) for k in range(size)]) * usable
-    weight = n * usable + PRIOR * prior / prior.sum()
-    total = weight.sum() + ends + 1
-    logs = np.log(np.where(usable, weight, 1) / total)
-    pieces = {model.id_to_piece(k): float(logs[k]) for k in range(size) if usable[k] and not model.is_byte(k)}
-    byte = {int(model.id_to_piece(k)[3:5], 16): float(logs[k]) for k in range(size) if model.is_byte(k)}
-    return {"pieces": pieces, "bytes": byte, "end": math.log((ends + 1) / total)}
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    usable = [k for k in range(model.vocab_size()) if not (model.is_control(k) or model.is_unknown(k))]
+    weight = {k: 1 / (1 - min(0.0, model.get_score(k))) for k in usable}
+    total = math.log(sum(weight.values()))
+    logs = {k: math.log(w) - total for k, w in weight.items()}
+    pieces = {model.id_to_piece(k): logs[k] for k in usable if not model.is_byte(k)}
+    return {"pieces": pieces, "bytes": {int(model.id_to_piece(k)[3:5], 16): logs[k] for k in usable if model.is_byte(k)}}
 
 
 class Lattice:
@@ -161,72 +140,109 @@ class Lattice:
         return top + log(sum([exp(x - top) for x in reach[n]]))
 
 
+def _solve(path: str):
+    """Natural log of each word's lattice probability; the end has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(vocabulary_weights(path))
+        for batch in batches:
+            logs = [lattice.word(w.decode(errors="replace")) if w else 0.0 for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], ["word", "n", "c", "lattice"])
+
+    return run
+
+
+def word_table(docs: DataFrame, path: str) -> DataFrame:
+    """docs(held_out, text) -> word, n (uses in all texts), c (uses in training), lattice: one row for each
+    distinct word, with the end of a text as the empty word. A null held_out counts as held out."""
+    rows = docs.select(F.coalesce(~F.col("held_out"), F.lit(False)).alias("trains"), "text")
+    counts = rows.mapInArrow(_count, "word binary, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    return written(counts.mapInArrow(_solve(path), "word binary, n long, c long, lattice double"), "words")
+
+
+class Model:
+    """Log10 shares of words from their training counts and lattice values."""
+
+    def __init__(self, total: int, distinct: int, ends: int):
+        self.total, self.floor, self.mass = total, total + 0.5 * (distinct + 1), 0.5 * (distinct + 1)
+        #: The end's part of the mass that the lattice spreads.
+        self.end = ends / total if total else 0.5
+
+    def values(self, c: np.ndarray, lattice: np.ndarray, is_end: np.ndarray) -> dict[str, np.ndarray]:
+        spread = np.where(is_end, np.log(max(self.end, 1e-300)), lattice + np.log(max(1 - self.end, 1e-300)))
+        unseen = np.log(self.mass) + spread
+        score = np.where(c > 0, np.logaddexp(np.log(np.maximum(c, 1)), unseen), unseen) - np.log(self.total + self.mass)
+        return {"known": (c > 0).astype(np.float64), "base": np.log10((c + 0.5) / self.floor), "score": score / math.log(10), "lattice": np.where(is_end, np.log(max(self.end, 1e-300)), lattice) / math.log(10)}
+
+
+VALUES = ("known", "base", "score", "lattice")
+
+
 def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head, total, floor = sent.value
-        scale, lattice = math.log(10), Lattice(model)
-        memo: dict[bytes, tuple[float, float | None]] = {}
+        words, table, end = sent.value
+        place = {w: k for k, w in enumerate(words)}
+        row = TaskContext.get().partitionId() << 33
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                rows: dict[str, list] = {k: [] for k in ("n_tokens", "known", "base", "score", "rest")}
-                if len(memo) > MEMO:
-                    memo = {}
-                for text in batch.column("text").to_pylist():
-                    found = Counter(words_of(text))
-                    n, known, base, score, rest = 1, 0, [], [model["end"]], []
-                    found[END] = 1
-                    for w, k in found.items():
-                        got = memo.get(w)
-                        if got is None:
-                            c = head.get(w)
-                            log = lattice.word(w.decode()) if w else 0.0
-                            got = memo[w] = (log, None if c is None else math.log10((c + 0.5) / floor))
-                        log, own = got
-                        score.append(k * log)
-                        n += k
-                        if own is None:
-                            rest.append({"word": w, "k": k})
-                        else:
-                            known += k
-                            base.append(k * own)
-                    rows["n_tokens"].append(n - 1)
-                    rows["known"].append(known)
-                    rows["base"].append(math.fsum(base))
-                    rows["score"].append(math.fsum(score) / scale)
-                    rows["rest"].append(rest)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(v, t) for v, t in zip(rows.values(), kinds))], ["doc_id", "held_out", *rows])
+            for batch in slices(whole, 2):
+                found, owner = _split(batch.column(2))
+                coded = found.dictionary_encode()
+                own = coded.dictionary.to_pylist()
+                at = np.fromiter((place.get(w, -1) for w in own), np.int64, len(own))[coded.indices.to_numpy()]
+                known, size = at >= 0, batch.num_rows
+                sums = [np.bincount(owner[known], table[v][at[known]], size) + end[v] for v in VALUES]
+                key, times = np.unique(owner[~known] * np.int64(max(len(own), 1)) + coded.indices.to_numpy()[~known], return_counts=True)
+                text, code = key // max(len(own), 1), key % max(len(own), 1)
+                rest = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(code)).cast(pa.binary()), pa.array(times.astype(np.int64))], ["word", "k"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(size + 1)), pa.int32()), rest)
+                columns = [pa.array(row + np.arange(size)), batch.column(0), batch.column(1), pa.array(np.bincount(owner, minlength=size) + 1), *(pa.array(x) for x in sums), lists]
+                row += size
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", *VALUES, "rest"])
+
+    return run
+
+
+def _valued(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, c, lattice = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("k", "c", "lattice"))
+            found = model.values(c, lattice, np.zeros(len(c), bool))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(k * found[v]) for v in VALUES)], ["row", *VALUES])
 
     return run
 
 
-def score_texts(docs: DataFrame, training: DataFrame, path: str) -> DataFrame:
-    """docs(doc_id, held_out, text), training(text) -> doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score.
+def score_texts(docs: DataFrame, path: str) -> DataFrame:
+    """docs(doc_id, held_out, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    lattice_score; learned from the rows that are not held out.
 
     A null text is empty: one token, its end. Null doc_ids and repeated rows stay; without training rows all
-    counts are 0; other columns are ignored.
+    counts are 0 and the score is the lattice's; an empty table gives no rows; other columns are ignored.
     """
-    counts = word_counts(training)
-    total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    total = total or 0
-    floor = total + 0.5 * (distinct + 1)
+    table = word_table(docs, path)
+    facts = table.agg(F.sum("c").alias("total"), F.count_if(F.col("c") > 0).alias("distinct"), F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("ends")).first()
+    model = Model(facts.total or 0, facts.distinct, facts.ends or 0)
+    short = table.filter(F.length("word").between(1, LONGEST))
     room, least = HEAD, 1 << 62
-    for row in counts.groupBy("c").agg(F.count("*").alias("words")).orderBy(F.desc("c")).toLocalIterator():
-        if row.words > room:
+    for r in short.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        if r.words > room:
             break
-        room, least = room - row.words, row.c
-    top = counts.filter(F.col("c") >= least).toArrow()
-    head = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist()))
-    sent = docs.sparkSession.sparkContext.broadcast((learn(counts, path), head, total, floor))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<word:binary,k:long>>"
-    rows = written(docs.select("doc_id", "held_out", "text").mapInArrow(_score(sent), schema), "scored").withColumn("row", F.monotonically_increasing_id())
+        room, least = room - r.words, r.n
+    top = short.filter(F.col("n") >= least).toArrow()
+    words, c, lattice = top.column("word").to_pylist(), top.column("c").to_numpy(), top.column("lattice").to_numpy()
+    end = {v: float(x[0]) for v, x in model.values(np.array([facts.ends or 0]), np.zeros(1), np.ones(1, bool)).items()}
+    sent = docs.sparkSession.sparkContext.broadcast((words, model.values(c, lattice, np.zeros(len(c), bool)), end))
+    kind = dict(docs.dtypes)["doc_id"]
+    sums = ", ".join(f"{v} double" for v in VALUES)
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, {sums}, rest array<struct<word:binary,k:long>>"
+    rows = written(docs.select("doc_id", "held_out", "text").mapInArrow(_score(sent), schema), "scored")
     rest = rows.select("row", F.explode("rest").alias("w")).select("row", "w.word", "w.k")
-    each = rest.join(counts, "word", "left").select("row", F.when(F.col("c") > 0, F.col("k")).otherwise(0).alias("known"), (F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(floor))).alias("base"))
-    more = each.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"))
+    each = rest.join(table, "word").select("row", "k", "c", "lattice").mapInArrow(_valued(model), f"row long, {sums}")
+    more = each.groupBy("row").agg(*(F.sum(v).alias("more_" + v) for v in VALUES))
+    total = {v: F.col(v) + F.coalesce("more_" + v, F.lit(0.0)) for v in VALUES}
     return rows.drop("rest").join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score"
+        "doc_id", "held_out", "n_tokens", F.round(total["known"]).cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        total["base"].alias("base_score"), total["score"].alias("score"), total["lattice"].alias("lattice_score"),
     )
 
 
@@ -234,5 +250,4 @@ def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = documents(spark, sf_dir)
-    rows = docs.select("doc_id", is_fold("doc_id", 1).alias("held_out"), "text")
-    return score_texts(rows, rows.filter("not held_out"), public_tokenizers.path("piece_bpe_32k.model"))
+    return score_texts(docs.select("doc_id", is_fold("doc_id", 1).alias("held_out"), "text"), public_tokenizers.path("piece_bpe_32k.model"))

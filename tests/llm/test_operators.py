@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,15 +158,26 @@ def test_joins_of_unsplit_runs():
     for _ in range(300):
         runs.append("".join(rnd.choice("abcdeé'!?-_ß中0") for _ in range(rnd.randint(20, 600))))
         runs.append("".join(rnd.choice(["the", "ing", "tion", "a", "e", "s", "é"]) for _ in range(rnd.randint(20, 300))))
-    for text, raw, want in zip(runs, tree.encode(runs), tree.tokenizer.encode_batch(runs, add_special_tokens=False)):
-        assert np.frombuffer(raw, "<u4").tolist() == want.ids, text[:60]
+    runs += ["it's'll 're " * 90, "H̱é " * 200, "각" * 120, "日本語 テキスト" * 80, "  \n\t " * 60 + "x  　y" * 99, "🙂👍🏽" * 50, "İIıΣς" * 60]
+    ids, bounds = tree.encode(pa.array(runs))
+    for k, (text, want) in enumerate(zip(runs, tree.tokenizer.encode_batch(runs, add_special_tokens=False))):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == want.ids, text[:60]
+
+
+def test_whole_texts_by_trees(texts):
+    """Every text of the table, nearly all of them longer than a leaf."""
+    tree, plain = bpe.TreeEncoder(P.path("word_bpe_49k.json"), leaf=50), list(texts.values())
+    ids, bounds = tree.encode(pa.array(plain))
+    for k, want in enumerate(tree.tokenizer.encode_batch([t or "" for t in plain], add_special_tokens=False)):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == want.ids
 
 
 def test_pieces_equal_the_library():
     odd = ["", " ", "\n\n", "a  b\n\n c \n", " x\t y\xa0 z  ", "don't  <|endoftext|> it's", "\0a \0b", "ﬁ Å é"]
     encoder = Encoder(P.path("byte_bpe_50k.json"))
-    for text, raw, want in zip(odd, encoder.encode(odd), encoder.tokenizer.encode_batch(odd, add_special_tokens=False)):
-        assert np.frombuffer(raw, "<u4").tolist() == want.ids, text
+    ids, bounds = encoder.encode(pa.array(odd))
+    for k, (text, want) in enumerate(zip(odd, encoder.tokenizer.encode_batch(odd, add_special_tokens=False))):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == want.ids, text
 
 
 def test_base_score(spark, texts):
@@ -173,11 +185,39 @@ def test_base_score(spark, texts):
     counts = Counter(x for d, ws in tokens.items() if zlib.crc32(str(d).encode()) % 5 != 1 for x in ws)
     total = sum(counts.values())
     floor = total + 0.5 * (len(counts) + 1)
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    usable = {model.id_to_piece(k): 1 / (1 - min(0.0, model.get_score(k))) for k in range(model.vocab_size()) if not (model.is_control(k) or model.is_unknown(k))}
+    weights = {k: w / sum(usable.values()) for k, w in usable.items()}
+    pieces = {k: w for k, w in weights.items() if not k.startswith("<0x")}
+    bytes_of = {int(k[3:5], 16): w for k, w in weights.items() if k.startswith("<0x")}
+    memo = {}
+
+    def log10_lattice(w):
+        """Sum over all segmentations, by every substring, in exact scaled fractions of plain floats."""
+        if w not in memo:
+            text, found = "▁" + w, [0.0]
+            for end in range(1, len(text) + 1):
+                ways = [found[a] + math.log(pieces[text[a:end]]) for a in range(end) if text[a:end] in pieces]
+                if text[end - 1] not in pieces:
+                    ways.append(found[end - 1] + sum(math.log(bytes_of[b]) for b in text[end - 1].encode()))
+                found.append(max(ways) + math.log(sum(math.exp(x - max(ways)) for x in ways)))
+            memo[w] = found[-1] / math.log(10)
+        return memo[w]
+
+    ends, mass = counts[None], 0.5 * (len(counts) + 1)
+
+    def share(w):
+        spread = 10 ** log10_lattice(w) * (1 - ends / total) if w else ends / total
+        return max((counts[w] + mass * spread) / (total + mass), 1e-320)
+
     for r in lm_scoring.op5_lm_scoring(spark, SF).collect():
         ws = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1, len(ws), sum(counts[w] > 0 for w in ws), total)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / floor) for w in ws), rel=1e-9)
-        assert -20 * sum(len(w or "") + 1 for w in ws) < r.score < 0
+        assert r.score == pytest.approx(sum(math.log10(share(w)) for w in ws), rel=1e-9)
+        assert r.lattice_score == pytest.approx(sum(log10_lattice(w) if w else math.log10(ends / total) for w in ws), rel=1e-9)
 
 
 def test_lattice_sums_all_segmentations():
@@ -206,7 +246,7 @@ def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(3)
     lengths = np.array([6, 4, 1])
     scores = rng.normal(size=(6, 3, 3))
-    labels = language_id.viterbi(scores, lengths, 0.8)
+    labels = language_id.viterbi(scores.reshape(-1, scores.shape[2]), np.arange(scores.shape[0] * scores.shape[1]).reshape(scores.shape[:2]), lengths, 0.8)
     for c, n in enumerate(lengths):
         best = max(np.ndindex(*[3] * n), key=lambda p: sum(scores[t, c, p[t]] for t in range(n)) - 0.8 * sum(p[t] != p[t - 1] for t in range(1, n)))
         assert tuple(labels[:n, c].tolist()) == best
@@ -214,7 +254,7 @@ def test_viterbi_finds_the_best_path():
 
 def test_mixed_text_has_spans(spark):
     model = language_id.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    (found,) = language_id.label_texts(language_id.Scorer(model), ["The and of which was in the thing. Der und die nicht mit ein Verheit schich. Le de la pour que dans eaux."])
+    (found,) = language_id.label_texts(language_id.Scorer(model), pa.array(["The and of which was in the thing. Der und die nicht mit ein Verheit schich. Le de la pour que dans eaux."]))
     assert [s[2] for s in found[2]] == ["en", "de", "fr"]
 
 
