@@ -36,11 +36,11 @@ TEXTS = 1 << 20
 #: Uses of a word for each of the blocks that it is cut into.
 BLOCK = 1 << 20
 #: Pairs that are tested at a time, and the lines of a word from which on the earliest come first, by so many.
-PAIRS, MANY, LEADERS = 1 << 21, 2048, 128
+PAIRS, MANY, LEADERS = 1 << 19, 2048, 128
 #: Candidates of a line that leave for each word in the first round.
-FIRST = 4
+FIRST = 2
 #: Sets that a task remembers to leave out their later lines.
-SEEN = 200_000
+SEEN = 50_000
 _U = np.uint64
 NAME = ("doc_id", "h", "line")
 
@@ -335,7 +335,11 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         again = again.select("cell", *NAME, "size_rank", "side", "s1", "s2", F.coalesce("asked", F.lit(False)).alias("asked"))
         more = written(candidates(again, False).join(near, ends, "left_anti"), "near")
         gone = gone.unionByName(written(_later(more, docs, percent), "gone"))
-    return sets.select(*NAME).join(gone, [*NAME], "left_anti").groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    #: Both sides meet in one shuffle by document.
+    marked = sets.select(*NAME, F.lit(True).alias("stays")).union(gone.select(*NAME, F.lit(False)))
+    of = lambda stays: F.collect_set(F.when(F.col("stays") == stays, F.col("line")))
+    kept = marked.groupBy("doc_id", "h").agg(of(True).alias("held"), of(False).alias("gone"))
+    return kept.select("doc_id", "h", F.array_sort(F.array_except("held", "gone")).alias("lines")).filter("size(lines) > 0")
 
 
 def _later(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -359,7 +363,7 @@ def _later(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines, and lines with words, of each text; a null text has none, an empty one a line without words."""
     for whole in batches:
-        for batch in slices(whole, 2):
+        for batch in slices(whole, 2, TEXTS):
             offsets, data = buffers(batch.column(2))
             breaks = np.concatenate(([0], np.cumsum(data == 10)))
             lines = np.diff(breaks[offsets]) + batch.column(2).is_valid().to_numpy(zero_copy_only=False)
