@@ -29,7 +29,7 @@ LOT = 1 << 19
 TEXTS = 1 << 21
 GRAMS = 4
 SWITCH = 4.0
-MEMO = 300_000
+MEMO = 100_000
 #: First and last code point of letter ranges by script.
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF),

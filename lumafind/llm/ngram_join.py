@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import documents, thin, written
+from ._common import documents, slices, thin, written
 from ._hashing import mix, set_keys, shingle_sets, sketch
 from .components import components
 
 SHINGLE = 5
 PERCENT = 80
 BANDS = 6
+#: Bytes of text that are shingled at a time, or one longer text.
+TEXTS = 1 << 20
 _U = np.uint64
 
 
@@ -65,8 +67,7 @@ def _sketched(percent: int, counts, id_type: pa.DataType):
         #: Only counts that stand out from the table's mean order shingles; the rest go by their hash.
         usual = int(table.mean() + 4 * table.mean() ** 0.5) + 8
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in slices(whole, 1, TEXTS):
                 sets = list(shingle_sets(batch.column(1), SHINGLE))
                 keys = [[int(k[0]) for k in set_keys(s, np.zeros(1, np.int64))] if len(s) else (0, 0) for s in sets]
                 bands = []
@@ -83,12 +84,13 @@ def _sketched(percent: int, counts, id_type: pa.DataType):
 
 def _similar(percent: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(shingle_sets(batch.column(2), SHINGLE), shingle_sets(batch.column(3), SHINGLE)):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())).cast(id_type) for k in (0, 1)], ["u", "v"])
+        for whole in batches:
+            for batch in slices(whole, 2, TEXTS):
+                keep = []
+                for a, b in zip(shingle_sets(batch.column(2), SHINGLE), shingle_sets(batch.column(3), SHINGLE)):
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())).cast(id_type) for k in (0, 1)], ["u", "v"])
 
     return run
 
