@@ -79,6 +79,7 @@ def vocabulary_weights(path: str) -> dict:
 
 #: Characters of words that are solved together, and the base of the running hash by which pieces are known.
 CHARACTERS = 1 << 16
+FEW = 24
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,7 +88,8 @@ class Lattice:
     many words of one length at once. Pieces are looked up by 64-bit hashes, a sorted table for each length."""
 
     def __init__(self, model: dict):
-        self.bytes = model["bytes"]
+        self.bytes, self.pieces = model["bytes"], model["pieces"]
+        self.longest = max(map(len, self.pieces), default=1)
         by_length: dict[int, list[tuple[str, float]]] = {}
         for piece, log in model["pieces"].items():
             by_length.setdefault(len(piece), []).append((piece, log))
@@ -132,6 +134,17 @@ class Lattice:
             reached[end] = np.logaddexp.reduce([reached[end - k] + w[:, end - k] for k, w in steps.items() if k <= end], axis=0)
         return reached[n]
 
+    def alone(self, text: str) -> float:
+        """The same for one text, letter by letter: cheaper where few words have its length."""
+        reached = [0.0]
+        for end in range(1, len(text) + 1):
+            ways = [reached[end - k] + log for k in range(1, min(end, self.longest) + 1) if (log := self.pieces.get(text[end - k : end])) is not None]
+            if text[end - 1] not in self.pieces:
+                ways.append(reached[end - 1] + sum(self.bytes.get(b, -20.0) for b in text[end - 1].encode(errors="replace")))
+            top = max(ways)
+            reached.append(top if len(ways) == 1 else top + math.log(sum([math.exp(x - top) for x in ways])))
+        return reached[-1]
+
     def words(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(words))
         texts = [SPACE + w for w in words]
@@ -143,7 +156,10 @@ class Lattice:
             while last < len(order) and len(texts[order[last]]) == length and (last == at or (last - at + 1) * length <= CHARACTERS):
                 last += 1
             chosen = order[at:last]
-            out[chosen] = self.forward(self._letters([texts[k] for k in chosen], length))
+            if len(chosen) < FEW:
+                out[chosen] = [self.alone(texts[k]) for k in chosen]
+            else:
+                out[chosen] = self.forward(self._letters([texts[k] for k in chosen], length))
             at = last
         return out
 
