@@ -32,6 +32,7 @@ from ._common import documents, is_fold, slices, written
 HEAD = 1 << 17
 LONGEST = 64
 FLUSH = 300_000
+MEMO = 400_000
 END = b""
 SPACE = "▁"
 
@@ -77,94 +78,66 @@ def vocabulary_weights(path: str) -> dict:
     return {"pieces": pieces, "bytes": {int(model.id_to_piece(k)[3:5], 16): logs[k] for k in usable if model.is_byte(k)}}
 
 
-#: Characters of words that are solved together, and the base of the running hash by which pieces are known.
-CHARACTERS = 1 << 16
-FEW = 24
-BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
 class Lattice:
-    """Log probabilities of words: the sum over all their segmentations, by forward recursion in log space over
-    many words of one length at once. Pieces are looked up by 64-bit hashes, a sorted table for each length."""
+    """Log probabilities of words: the sum over all their segmentations, by forward recursion."""
 
     def __init__(self, model: dict):
-        self.bytes, self.pieces = model["bytes"], model["pieces"]
-        self.longest = max(map(len, self.pieces), default=1)
-        by_length: dict[int, list[tuple[str, float]]] = {}
+        self.bytes = model["bytes"]
+        self.trie: dict = {}
         for piece, log in model["pieces"].items():
-            by_length.setdefault(len(piece), []).append((piece, log))
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for length, own in sorted(by_length.items()):
-            hashes = self._running(self._letters([p for p, _ in own], length))[:, -1]
-            order = np.argsort(hashes)
-            self.tables[length] = hashes[order], np.array([log for _, log in own])[order]
-
-    @staticmethod
-    def _letters(words: list[str], length: int) -> np.ndarray:
-        return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), length)
-
-    @staticmethod
-    def _running(letters: np.ndarray) -> np.ndarray:
-        """Hashes of the first 0, 1, ... letters of each row."""
-        out = np.zeros((letters.shape[0], letters.shape[1] + 1), np.uint64)
-        for k in range(letters.shape[1]):
-            out[:, k + 1] = out[:, k] * BASE + letters[:, k] + np.uint64(1)
-        return out
-
-    def _steps(self, letters: np.ndarray) -> dict[int, np.ndarray]:
-        """For each length of pieces: the log of the piece at each place, minus infinity for none. A letter that
-        is no piece stands for its bytes."""
-        running, n = self._running(letters), letters.shape[1]
-        steps = {}
-        for length, (hashes, logs) in {1: (np.zeros(0, np.uint64), np.zeros(0)), **self.tables}.items():
-            if length <= n:
-                power = np.uint64(pow(int(BASE), length, 1 << 64))
-                found = running[:, length:] - running[:, : n + 1 - length] * power
-                at = np.minimum(np.searchsorted(hashes, found), max(len(hashes) - 1, 0))
-                steps[length] = np.where(hashes[at] == found, logs[at], -np.inf) if len(hashes) else np.full(found.shape, -np.inf)
-        for c in np.unique(letters[np.isinf(steps[1])]).tolist():
-            steps[1][letters == c] = sum(self.bytes.get(b, -20.0) for b in chr(c).encode(errors="replace"))
-        return steps
-
-    def forward(self, letters: np.ndarray) -> np.ndarray:
-        steps, n = self._steps(letters), letters.shape[1]
-        reached = np.full((n + 1, len(letters)), -np.inf)
-        reached[0] = 0
-        for end in range(1, n + 1):
-            reached[end] = np.logaddexp.reduce([reached[end - k] + w[:, end - k] for k, w in steps.items() if k <= end], axis=0)
-        return reached[n]
-
-    def alone(self, text: str) -> float:
-        """The same for one text, letter by letter: cheaper where few words have its length."""
-        reached = [0.0]
-        for end in range(1, len(text) + 1):
-            ways = [reached[end - k] + log for k in range(1, min(end, self.longest) + 1) if (log := self.pieces.get(text[end - k : end])) is not None]
-            if text[end - 1] not in self.pieces:
-                ways.append(reached[end - 1] + sum(self.bytes.get(b, -20.0) for b in text[end - 1].encode(errors="replace")))
-            top = max(ways)
-            reached.append(top if len(ways) == 1 else top + math.log(sum([math.exp(x - top) for x in ways])))
-        return reached[-1]
-
-    def words(self, words: list[str]) -> np.ndarray:
-        out = np.zeros(len(words))
-        texts = [SPACE + w for w in words]
-        order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
-        at = 0
-        while at < len(order):
-            length = len(texts[order[at]])
-            last = at
-            while last < len(order) and len(texts[order[last]]) == length and (last == at or (last - at + 1) * length <= CHARACTERS):
-                last += 1
-            chosen = order[at:last]
-            if len(chosen) < FEW:
-                out[chosen] = [self.alone(texts[k]) for k in chosen]
-            else:
-                out[chosen] = self.forward(self._letters([texts[k] for k in chosen], length))
-            at = last
-        return out
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = log
+        #: The last two characters of longer pieces: a character that ends no piece with its neighbour
+        #: stands alone, so its word extends the one before it.
+        self.ends = {p[-2:] for p in model["pieces"] if len(p) > 1}
+        self.stems: dict[str, float] = {}
+
+    def single(self, c: str) -> float:
+        node = self.trie.get(c)
+        if node is not None and "" in node:
+            return node[""]
+        return sum(self.bytes.get(b, -20.0) for b in c.encode())
 
     def word(self, word: str) -> float:
-        return float(self.words([word])[0])
+        text = SPACE + word
+        if text[-2:] in self.ends:
+            return self.forward(text)
+        stem = text[:-1]
+        log = self.stems.get(stem)
+        if log is None:
+            if len(self.stems) > MEMO:
+                self.stems.clear()
+            log = self.stems[stem] = self.forward(stem)
+        return log + self.single(text[-1])
+
+    def forward(self, text: str) -> float:
+        n = len(text)
+        reach: list[list[float]] = [[] for _ in range(n + 1)]
+        trie, exp, log = self.trie, math.exp, math.log
+        here = 0.0
+        for start in range(n):
+            if start:
+                found = reach[start]
+                if len(found) == 1:
+                    here = found[0]
+                else:
+                    top = max(found)
+                    here = top + log(sum([exp(x - top) for x in found]))
+            node, end, alone = trie, start, True
+            while end < n:
+                node = node.get(text[end])
+                if node is None:
+                    break
+                end += 1
+                if "" in node:
+                    reach[end].append(here + node[""])
+                    alone = alone and end > start + 1
+            if alone:
+                reach[start + 1].append(here + self.single(text[start]))
+        top = max(reach[n])
+        return top + log(sum([exp(x - top) for x in reach[n]]))
 
 
 def _solve(path: str):
@@ -173,8 +146,7 @@ def _solve(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary_weights(path))
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            logs = np.where([len(w) > 0 for w in words], lattice.words([w.decode(errors="replace") for w in words]), 0.0)
+            logs = [lattice.word(w.decode(errors="replace")) if w else 0.0 for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], ["word", "n", "c", "lattice"])
 
     return run
