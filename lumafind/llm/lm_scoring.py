@@ -32,7 +32,6 @@ from ._common import documents, is_fold, slices, written
 HEAD = 1 << 17
 LONGEST = 64
 FLUSH = 300_000
-MEMO = 400_000
 END = b""
 SPACE = "▁"
 
@@ -78,66 +77,104 @@ def vocabulary_weights(path: str) -> dict:
     return {"pieces": pieces, "bytes": {int(model.id_to_piece(k)[3:5], 16): logs[k] for k in usable if model.is_byte(k)}}
 
 
+#: Longest word, in characters, that is solved beside others, and the base of the hash by which pieces are known.
+TOGETHER = 64
+BASE = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.uint64(48)
+
+
 class Lattice:
-    """Log probabilities of words: the sum over all their segmentations, by forward recursion."""
+    """Log probabilities of words: the sum over all their segmentations, by forward recursion in log space. Words
+    of up to TOGETHER characters go through it side by side, one place after the other; longer ones alone."""
 
     def __init__(self, model: dict):
-        self.bytes = model["bytes"]
-        self.trie: dict = {}
-        for piece, log in model["pieces"].items():
-            node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = log
-        #: The last two characters of longer pieces: a character that ends no piece with its neighbour
-        #: stands alone, so its word extends the one before it.
-        self.ends = {p[-2:] for p in model["pieces"] if len(p) > 1}
-        self.stems: dict[str, float] = {}
+        self.bytes, self.pieces = model["bytes"], model["pieces"]
+        self.longest = max(map(len, self.pieces), default=1)
+        by_length: dict[int, list[tuple[str, float]]] = {}
+        for piece, log in self.pieces.items():
+            by_length.setdefault(len(piece), []).append((piece, log))
+        #: Logs of single characters by code point, found when first met.
+        self.singles = np.full(0x110000, np.nan)
+        #: For each length above one: the hash's factor, a mark for the leading 16 bits of the hashes, the hashes, the logs.
+        self.tables: dict[int, tuple[np.uint64, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in sorted(by_length.keys() - {1}):
+            pieces, logs = zip(*by_length[length])
+            hashes = self._hashes(self._letters(pieces, length))[-1]
+            order = np.argsort(hashes)
+            marks = np.zeros(1 << 16, bool)
+            marks[(hashes >> _SHIFT).astype(np.int64)] = True
+            self.tables[length] = np.uint64(pow(int(BASE), length, 1 << 64)), marks, hashes[order], np.array(logs)[order]
 
     def single(self, c: str) -> float:
-        node = self.trie.get(c)
-        if node is not None and "" in node:
-            return node[""]
-        return sum(self.bytes.get(b, -20.0) for b in c.encode())
+        """A character's piece, or else its bytes."""
+        log = self.pieces.get(c)
+        return sum(self.bytes.get(b, -20.0) for b in c.encode(errors="replace")) if log is None else log
+
+    @staticmethod
+    def _letters(texts, length: int) -> np.ndarray:
+        """Code points by place and text, 0 beyond a text's end."""
+        return np.ascontiguousarray(np.array(texts, f"U{length}").view(np.uint32).reshape(len(texts), length).T)
+
+    @staticmethod
+    def _hashes(letters: np.ndarray) -> np.ndarray:
+        """Running hashes after 0, 1, ... places."""
+        out = np.zeros((letters.shape[0] + 1, letters.shape[1]), np.uint64)
+        for k, row in enumerate(letters):
+            out[k + 1] = out[k] * BASE + row + np.uint64(1)
+        return out
+
+    def together(self, texts: list[str]) -> np.ndarray:
+        """texts by falling length, each with a character at least."""
+        lengths = np.array([len(t) for t in texts])
+        letters = self._letters(texts, lengths[0])
+        hashes = self._hashes(letters)
+        alone = self.singles[letters]
+        if (new := np.isnan(alone)).any():
+            for c in np.unique(letters[new]).tolist():
+                self.singles[c] = self.single(chr(c))
+            alone = self.singles[letters]
+        reached = np.zeros(hashes.shape)
+        for end in range(1, lengths[0] + 1):
+            live = int(np.searchsorted(-lengths, -end, side="right"))
+            here = reached[end - 1, :live] + alone[end - 1, :live]
+            for length, (factor, marks, own, logs) in self.tables.items():
+                if length > end:
+                    break
+                found = hashes[end, :live] - hashes[end - length, :live] * factor
+                rows = np.flatnonzero(marks[(found >> _SHIFT).astype(np.int64)])
+                at = np.minimum(np.searchsorted(own, found[rows]), len(own) - 1)
+                exact = own[at] == found[rows]
+                rows, at = rows[exact], at[exact]
+                here[rows] = np.logaddexp(here[rows], reached[end - length, rows] + logs[at])
+            reached[end, :live] = here
+        return reached[lengths, np.arange(len(texts))]
+
+    def alone(self, text: str) -> float:
+        """The same for one text of any length, character by character."""
+        reached = [0.0]
+        for end in range(1, len(text) + 1):
+            ways = [reached[end - 1] + self.single(text[end - 1])]
+            ways += [reached[end - k] + log for k in range(2, min(end, self.longest) + 1) if (log := self.pieces.get(text[end - k : end])) is not None]
+            top = max(ways)
+            reached.append(top if len(ways) == 1 else top + math.log(sum([math.exp(x - top) for x in ways])))
+        return reached[-1]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        texts = [SPACE + w for w in words]
+        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+        #: Code point 0 pads shorter texts, so a text that ends with it goes alone.
+        side = [k for k in order if len(texts[k]) <= TOGETHER and texts[k][-1] != "\0"]
+        beside = set(side)
+        out = np.zeros(len(texts))
+        if side:
+            out[side] = self.together([texts[k] for k in side])
+        for k in order:
+            if k not in beside:
+                out[k] = self.alone(texts[k])
+        return out
 
     def word(self, word: str) -> float:
-        text = SPACE + word
-        if text[-2:] in self.ends:
-            return self.forward(text)
-        stem = text[:-1]
-        log = self.stems.get(stem)
-        if log is None:
-            if len(self.stems) > MEMO:
-                self.stems.clear()
-            log = self.stems[stem] = self.forward(stem)
-        return log + self.single(text[-1])
-
-    def forward(self, text: str) -> float:
-        n = len(text)
-        reach: list[list[float]] = [[] for _ in range(n + 1)]
-        trie, exp, log = self.trie, math.exp, math.log
-        here = 0.0
-        for start in range(n):
-            if start:
-                found = reach[start]
-                if len(found) == 1:
-                    here = found[0]
-                else:
-                    top = max(found)
-                    here = top + log(sum([exp(x - top) for x in found]))
-            node, end, alone = trie, start, True
-            while end < n:
-                node = node.get(text[end])
-                if node is None:
-                    break
-                end += 1
-                if "" in node:
-                    reach[end].append(here + node[""])
-                    alone = alone and end > start + 1
-            if alone:
-                reach[start + 1].append(here + self.single(text[start]))
-        top = max(reach[n])
-        return top + log(sum([exp(x - top) for x in reach[n]]))
+        return float(self.words([word])[0])
 
 
 def _solve(path: str):
@@ -146,7 +183,8 @@ def _solve(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary_weights(path))
         for batch in batches:
-            logs = [lattice.word(w.decode(errors="replace")) if w else 0.0 for w in batch.column(0).to_pylist()]
+            words = [w.decode(errors="replace") for w in batch.column(0).to_pylist()]
+            logs = np.where([w != "" for w in words], lattice.words(words), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], ["word", "n", "c", "lattice"])
 
     return run

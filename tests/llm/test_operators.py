@@ -236,6 +236,13 @@ def test_lattice_sums_all_segmentations():
         assert lattice.word(word) == pytest.approx(math.log(brute("▁" + word)))
 
 
+def test_lattice_side_by_side_and_alone():
+    lattice = lm_scoring.Lattice(lm_scoring.vocabulary_weights(P.path("piece_bpe_32k.model")))
+    words = ["a", "the", "élève", "中文😀", "a\0", "\0", "x" * 63, "x" * 64, "thing" * 500, "a\0b", "the"]
+    assert list(lattice.words(words)) == pytest.approx([lattice.alone("▁" + w) for w in words])
+    assert len(lattice.words([])) == 0
+
+
 def test_language_accuracy(spark):
     rows = language_id.op6_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = rows.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
