@@ -38,7 +38,8 @@ SPACE = "▁"
 
 def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words in UTF-8 with A-Z lower-cased, ended by 0x20 and 0x09-0x0D, of all texts, and the text of each."""
-    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    #: Lowered before it is widened: of a widened slice of an array the kernel reads the wrong bytes.
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()))
     owner = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy())
     real = pc.not_equal(words.flatten(), "")
     return words.flatten().filter(real).cast(pa.large_binary()), owner[real.to_numpy(zero_copy_only=False)]

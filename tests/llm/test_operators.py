@@ -236,6 +236,13 @@ def test_lattice_sums_all_segmentations():
         assert lattice.word(word) == pytest.approx(math.log(brute("▁" + word)))
 
 
+@pytest.mark.parametrize("texts", [["Abc def", "Ghi jkl", "ZZ yy", "Pqr é"] * 3, ["Abc def", None, "ZZ yy", "Pqr é"] * 3])
+def test_words_of_a_slice(texts):
+    words, owner = lm_scoring._split(pa.array(texts).slice(5, 6))
+    want = [(w.encode(), k) for k, t in enumerate(texts[5:11]) for w in low(t).split()]
+    assert list(zip(words.to_pylist(), owner.tolist())) == want
+
+
 def test_lattice_side_by_side_and_alone():
     lattice = lm_scoring.Lattice(lm_scoring.vocabulary_weights(P.path("piece_bpe_32k.model")))
     words = ["a", "the", "élève", "中文😀", "a\0", "\0", "x" * 63, "x" * 64, "thing" * 500, "a\0b", "the"]
