@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op8_ann
 from .bpe import op10_bpe
+from .conversation_repair import op12_conversation_repair
 from .language_id import op6_language_id
 from .line_dedup import op1_line_dedup
 from .lm_scoring import op5_lm_scoring
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -41,6 +43,12 @@ def _failed() -> str:
     return f"concat_ws(',', {', '.join(tests)})"
 
 
+def _crc(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit."""
+    step = "list_reduce(list_concat([xor(a, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda ch: unicode(ch)::BIGINT)), lambda a, b: {step}), 4294967295::BIGINT)"
+
+
 SQL: dict[str, str] = {
     "op1_line_dedup": rf"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
@@ -80,5 +88,23 @@ e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
 r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT e.v, r.seen FROM r JOIN e ON e.u = r.node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.c AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(seen) AS c FROM r GROUP BY node) k ON k.node = d.doc_id
+""",
+    "op12_conversation_repair": rf"""
+WITH RECURSIVE k AS (SELECT conv_id AS c, turn AS t, coalesce(role, ' ') AS r0, coalesce(text, ' ') AS x0, {_crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS e FROM conversations),
+w AS (SELECT c, t, r0, x0, CASE WHEN e = 4 THEN 'user' ELSE r0 END AS r, CASE e WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x0, '[.!?]', '', 'g') ELSE x0 END AS x, unnest(CASE WHEN e = 3 THEN [0, 1] ELSE [0] END) AS cp FROM k WHERE e <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY t NULLS FIRST, r0, x0, cp) AS i FROM w),
+f AS (SELECT c, t, i, r, x, left(r, 1) AS f, lag(left(r, 1)) OVER (PARTITION BY c ORDER BY i) AS g,
+ CASE WHEN NOT regexp_matches(x, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY c, r, x ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(x, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault FROM p),
+o AS (SELECT * FROM (VALUES (0, 0, 0, '', []::VARCHAR[]), (0, 2, 5, 'I', ['user:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []), (1, 2, 5, 'I', ['user:']), (1, 3, 10, 'II', ['user:', 'assistant:']),
+ (2, 2, 0, '', []), (2, 3, 5, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 5, 'I', ['user:'])) v(a, b, cost, labels, lines)),
+d AS (SELECT c, i, q AS a, q AS b, 2 AS cost, 'D' AS label, []::VARCHAR[] AS lines FROM f, range(4) z(q)
+ UNION ALL SELECT c, i, a, b, CASE WHEN fault IS NULL THEN 0 ELSE 5 END, 'K', [r || ':' || x] FROM f JOIN (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)) v(l, a, b) ON l = f WHERE fault IS NULL OR fault = 'truncated'
+ UNION ALL SELECT c, i, a, b, CASE WHEN fault IS NULL THEN 1 ELSE 6 END, 'R', [CASE b WHEN 2 THEN 'user:' ELSE 'assistant:' END || x] FROM f, (VALUES (0, 2), (1, 2), (3, 2), (2, 3)) v(a, b) WHERE fault IS NULL OR fault = 'truncated'),
+s AS (SELECT DISTINCT c, 0::BIGINT AS i, 0 AS q, {{'cost': 0, 'labels': '', 'lines': []::VARCHAR[]}} AS m FROM f
+ UNION ALL SELECT s.c, s.i + 1, d.b, min({{'cost': CAST(m.cost + o.cost + d.cost AS INTEGER), 'labels': m.labels || o.labels || d.label, 'lines': list_concat(m.lines, o.lines, d.lines)}}) FROM s JOIN o ON o.a = s.q JOIN d ON d.c = s.c AND d.i = s.i + 1 AND d.a = o.b GROUP BY 1, 2, 3),
+n AS (SELECT c, max(i) AS n, CAST(coalesce(max(t) - min(t) + 1 - count(DISTINCT t), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND g || f NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c),
+e AS (SELECT s.c, min({{'cost': m.cost + o.cost, 'labels': m.labels || o.labels, 'lines': list_concat(m.lines, o.lines)}}) AS m FROM s JOIN n ON n.c = s.c AND n.n = s.i JOIN o ON o.a = s.q AND o.b IN (0, 3) GROUP BY 1)
+SELECT a.c AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(m.cost, 0) AS BIGINT) AS cost, coalesce(m.labels, '') AS audit, sha256(coalesce(array_to_string(m.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id AS c FROM conversations) a LEFT JOIN n ON n.c = a.c LEFT JOIN e ON e.c = a.c
 """,
 }
