@@ -11,6 +11,7 @@ from .lm_scoring import op5_lm_scoring
 from .ngram_join import op4_ngram_join
 from .packing import op2_packing
 from .pii import op7_pii
+from .prefix_trie import op11_prefix_trie
 from .quality import RULES, STOP_WORDS, op3_quality_rules
 from .token_files import op9_token_files
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_conversation_repair": op12_conversation_repair,
 }
 
@@ -88,6 +90,18 @@ e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
 r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT e.v, r.seen FROM r JOIN e ON e.u = r.node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.c AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(seen) AS c FROM r GROUP BY node) k ON k.node = d.doc_id
+""",
+    "op11_prefix_trie": rf"""
+WITH t AS (SELECT conv_id AS c, struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) AS m, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list(m ORDER BY p) AS ms FROM t GROUP BY c),
+h AS (SELECT c, ms, {_crc("CAST(c AS VARCHAR)")} % 4 AS h FROM l),
+b AS (SELECT h.c, list_concat(coalesce(g.ms, [])[1:h.h], h.ms[h.h + 1:]) AS s FROM h LEFT JOIN h g ON g.c = h.c - h.c % 20),
+n AS (SELECT s[1:d] AS k, d, min(c) AS conv_id, count(*) AS n_convs, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = len(s)) AS ends FROM b, range(0, len(s) + 1) z(d) GROUP BY 1, 2),
+v AS (SELECT *, CASE WHEN d > 0 THEN k[1:d - 1] END AS u, CASE WHEN d > 0 THEN (n_convs - 1) * len(regexp_extract_all(k[d].x, {_WORD})) ELSE 0 END AS saved FROM n),
+q AS (SELECT u, count(*) AS n FROM v WHERE d > 0 GROUP BY u),
+a AS (SELECT v.k[1:d2] AS k, sum(saved) AS saved_tokens, count(*) FILTER (q.n IS NULL) AS n_leaves FROM v LEFT JOIN q ON q.u = v.k, range(0, v.d + 1) z(d2) GROUP BY 1)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(q.n, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN a ON a.k = v.k LEFT JOIN q ON q.u = v.k LEFT JOIN v p ON p.k = v.u AND v.d > 0
 """,
     "op12_conversation_repair": rf"""
 WITH RECURSIVE k AS (SELECT conv_id AS c, turn AS t, coalesce(role, ' ') AS r0, coalesce(text, ' ') AS x0, {_crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS e FROM conversations),
