@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op8_ann
 from .bpe import op10_bpe
+from .cap_filters import op13_near_duplicates
 from .conversation_repair import op12_conversation_repair
 from .language_id import op6_language_id
 from .line_dedup import op1_line_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_bpe": op10_bpe,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_near_duplicates": op13_near_duplicates,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -120,5 +122,14 @@ n AS (SELECT c, max(i) AS n, CAST(coalesce(max(t) - min(t) + 1 - count(DISTINCT
 e AS (SELECT s.c, min({{'cost': m.cost + o.cost, 'labels': m.labels || o.labels, 'lines': list_concat(m.lines, o.lines)}}) AS m FROM s JOIN n ON n.c = s.c AND n.n = s.i JOIN o ON o.a = s.q AND o.b IN (0, 3) GROUP BY 1)
 SELECT a.c AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(m.cost, 0) AS BIGINT) AS cost, coalesce(m.labels, '') AS audit, sha256(coalesce(array_to_string(m.lines, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id AS c FROM conversations) a LEFT JOIN n ON n.c = a.c LEFT JOIN e ON e.c = a.c
+""",
+    "op13_near_duplicates": """
+WITH RECURSIVE g AS (SELECT vec_id AS i, label AS l, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.i AS u, b.i AS w FROM g a JOIN g b ON a.l = b.l AND a.i < b.i AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+e AS (SELECT u, w FROM p UNION ALL SELECT w, u FROM p),
+n AS (SELECT u, count(*) AS n FROM e GROUP BY u),
+r AS (SELECT i AS node, i AS seen FROM g UNION SELECT e.w, r.seen FROM r JOIN e ON e.u = r.node),
+k AS (SELECT node, min(seen) AS c FROM r GROUP BY node)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(k.c, vec_id) AS component_id, coalesce(k.c, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN k ON k.node = vec_id
 """,
 }
