@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.masks import mask_numbers
+from ..functions.postings import gram_lists, term_grams, token_lists
 from ..functions.scalars import embedding_input_v1
 from ..functions.terms import Dictionary, candidate_terms, canonicalize, detect_kinds, tokens
-from ..sources.staged import spread, staged
+from ..sources.staged import lean, spread, staged
 
 K1, B = 1.2, 0.75
+#: Lists that are intersected for one term, the shortest ones; what is left is verified in the texts.
+LISTS = 3
+
+
+class Index(NamedTuple):
+    """The search index: one row a document (``docs``), its grams for candidates (``grams``) and its tokens with their
+    counts for ranking (``tokens``)."""
+
+    docs: DataFrame
+    grams: DataFrame
+    tokens: DataFrame
 
 
 def build_documents(items: DataFrame, previous: DataFrame | None, now: str) -> DataFrame:
@@ -45,9 +59,9 @@ def prepared(queries: DataFrame, dictionary: Dictionary) -> DataFrame:
     return named.select("query_id", "text", "wanted", "c.terms", "c.words", F.array_distinct(tokens(F.col("again"))).alias("tokens"))
 
 
-def indexed(docs: DataFrame, dictionary: Dictionary) -> DataFrame:
-    """docs(id, location_id, search_text: masked, detail) -> id, location_id, search_text, canonical text, its number of
-    tokens, and what the kind gate asks for. Each text is folded once."""
+def indexed(docs: DataFrame, dictionary: Dictionary) -> Index:
+    """docs(id, location_id, search_text: masked, detail) -> the index. Its documents have id, location_id, search_text,
+    canonical text, its number of tokens, and what the kind gate asks for. Each text is folded once."""
     canonical = spread(docs, "id").select(
         "id", "location_id", "search_text", canonicalize(F.col("search_text"), dictionary).alias("canonical"), canonicalize(F.col("detail.item_name"), dictionary).alias("name"),
         canonicalize(F.col("detail.raw_category_name"), dictionary).alias("category"), canonicalize(F.col("detail.description"), dictionary).alias("description"),
@@ -58,23 +72,42 @@ def indexed(docs: DataFrame, dictionary: Dictionary) -> DataFrame:
     #: A word of n characters has itself and n - 1 pairs as tokens.
     length = F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w))
     rows = canonical.select("id", "location_id", "search_text", "canonical", length.alias("length"), F.concat("name", "category").alias("identity"), *(detect_kinds(c, dictionary).alias(n) for n, c in kinds.items()))
-    return staged(rows, "search-index")
-
-
-def candidates(queries: DataFrame, scope: DataFrame, docs: DataFrame) -> DataFrame:
-    """queries(query_id, terms, words), scope(query_id, location_id), docs(id, location_id, search_text): pairs in
-    scope whose text has any of the terms, or any of the one-letter words between other than letters and digits.
-
-    Each distinct term asked for at an institution is looked for once in a text; only ids leave it."""
-    asked = queries.join(scope, "query_id").select("query_id", "location_id", F.explode(F.concat(F.transform("terms", lambda t: F.concat(F.lit("t"), t)), F.transform("words", lambda w: F.concat(F.lit("w"), w)))).alias("term")).distinct()
-    here = asked.groupBy("location_id").agg(F.collect_set("term").alias("asked"))
-
-    def inside(t: Column) -> Column:
-        term = F.substring(t, F.lit(2), F.length(t))
-        alone = F.rlike("search_text", F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), term, F.lit(r"\E(?![\p{L}\p{N}])")))
-        return F.when(F.startswith(t, F.lit("t")), F.contains(F.col("search_text"), term)).otherwise(alone)
-
-    found = docs.select("id", "location_id", "search_text").join(here, "location_id").select("id", "location_id", F.explode(F.filter("asked", inside)).alias("term"))
+    found = staged(rows, "search-index")
+    return Index(found, staged(gram_lists(found), "grams"), staged(token_lists(found), "tokens"))
+
+
+def asked_terms(queries: DataFrame, scope: DataFrame) -> DataFrame:
+    """queries(query_id, terms, words), scope(query_id, location_id) -> query_id, location_id, term: ``t`` and what to
+    look for inside texts, ``w`` and a letter to look for on its own."""
+    marked = F.concat(F.transform("terms", lambda t: F.concat(F.lit("t"), t)), F.transform("words", lambda w: F.concat(F.lit("w"), w)))
+    return queries.join(scope, "query_id").select("query_id", "location_id", F.explode(marked).alias("term")).distinct()
+
+
+def candidates(queries: DataFrame, scope: DataFrame, docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """Pairs in scope whose text has any of the query's terms, or any of its one-letter words between other than
+    letters and digits. docs(id, location_id, search_text), grams(location_id, gram, id).
+
+    A distinct term of an institution is answered once: the LISTS shortest of its grams' lists are intersected, and
+    only texts left over for terms of more than two characters are read. Lists are never gathered: each of their rows
+    is a row here, so a frequent gram of a large institution is spread as a join splits it."""
+    asked = staged(asked_terms(queries, scope), "asked")
+    terms = asked.select("location_id", "term").distinct()
+    spelled = term_grams(terms.select("term").distinct())
+    wanted = terms.join(spelled, "term").select("location_id", "term", "exact", F.explode("grams").alias("gram"), F.size("grams").alias("n_grams"))
+    wanted = staged(wanted, "wanted")
+    met = staged(grams.join(lean(wanted.select("location_id", "gram").distinct(), "wanted-grams"), ["location_id", "gram"]), "lists")
+    lengths = met.groupBy("location_id", "gram").agg(F.count("*").alias("n"))
+    every = Window.partitionBy("location_id", "term")
+    sized = wanted.join(lengths, ["location_id", "gram"]).withColumn("there", F.count("*").over(every)).filter("there = n_grams")
+    shortest = sized.withColumn("rank", F.row_number().over(every.orderBy("n", "gram"))).filter(F.col("rank") <= LISTS)
+    shortest = shortest.select("location_id", "term", "gram", F.least(F.col("n_grams"), F.lit(LISTS)).alias("need"), "exact")
+    hits = shortest.join(met, ["location_id", "gram"])
+    at_once = hits.filter("need = 1").select("location_id", "term", "id", "exact")
+    common = hits.filter("need > 1").groupBy("location_id", "term", "id", "need", "exact").agg(F.count("*").alias("n")).filter("n = need")
+    left = at_once.unionByName(common.select("location_id", "term", "id", "exact"))
+    term = F.substring("term", F.lit(2), F.length("term"))
+    read = left.filter("not exact").join(docs.select("id", "location_id", "search_text"), ["id", "location_id"]).filter(F.contains("search_text", term))
+    found = left.filter("exact").select("location_id", "term", "id").unionByName(read.select("location_id", "term", "id"))
     return found.join(asked, ["location_id", "term"]).select("query_id", "id", "location_id").distinct()
 
 
@@ -88,20 +121,18 @@ def kind_gate(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("passes", ~clash & (fits | (~phone & F.arrays_overlap("wanted", "description_kinds"))))
 
 
-def bm25(queries: DataFrame, pool: DataFrame, docs: DataFrame) -> DataFrame:
-    """queries(query_id, tokens: distinct array), pool(query_id, id, location_id), docs(id, location_id, canonical,
-    length) -> query_id, id, score > 0.
+def bm25(queries: DataFrame, pool: DataFrame, index: Index) -> DataFrame:
+    """queries(query_id, tokens: distinct array), pool(query_id, id, location_id) -> query_id, id, score > 0.
 
-    Frequencies, sizes and the mean length come from each query's whole pool. A text is tokenised once; of its
-    tokens only those that some query asks for are counted, and they meet the queries at their institution."""
-    size = pool.join(docs.select("id", "length"), "id").groupBy("query_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    Frequencies, sizes and the mean length come from each query's whole pool. The index counts each text's tokens;
+    those that a query asks for meet it at their institution."""
+    size = pool.join(index.docs.select("id", "length"), "id").groupBy("query_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     asked = queries.select("query_id", F.explode("tokens").alias("token")).distinct()
-    each = docs.select("id", "location_id", "length", F.explode(tokens(F.col("canonical"))).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    each = each.groupBy("id", "location_id", "length", "token").agg(F.count("*").alias("tf"))
-    here = asked.join(pool.select("query_id", "location_id").distinct(), "query_id")
-    hits = here.join(each, ["location_id", "token"]).join(pool.select("query_id", "id"), ["query_id", "id"])
+    here = lean(asked.join(pool.select("query_id", "location_id").distinct(), "query_id"), "asked-tokens")
+    hits = index.tokens.join(here, ["location_id", "token"]).join(pool.select("query_id", "id"), ["query_id", "id"])
+    hits = staged(hits.select("query_id", "id", "token", "tf"), "hits")
     found = hits.groupBy("query_id", "token").agg(F.count("*").alias("df"))
-    k = hits.join(found, ["query_id", "token"]).join(size, "query_id")
+    k = hits.join(found, ["query_id", "token"]).join(size, "query_id").join(index.docs.select("id", "length"), "id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     total = k.groupBy("query_id", "id").agg(F.sum(weight).alias("raw"))
@@ -115,11 +146,11 @@ def fitting(queries: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return kind_gate(pairs.select("query_id", "id").join(docs.select("id", *kinds), "id").join(asked, "query_id")).filter("passes").select("query_id", "id")
 
 
-def lexical(queries: DataFrame, scope: DataFrame, docs: DataFrame, pool: DataFrame | None = None) -> DataFrame:
-    """Scores of the candidates, or of a pool, that pass the kind gate. queries are prepared, docs is indexed."""
-    pool = candidates(queries, scope, docs) if pool is None else pool
-    scores = bm25(queries, pool, docs)
-    return scores.join(fitting(queries, scores, docs), ["query_id", "id"], "left_semi")
+def lexical(queries: DataFrame, scope: DataFrame, index: Index, pool: DataFrame | None = None) -> DataFrame:
+    """Scores of the candidates, or of a pool, that pass the kind gate. queries are prepared."""
+    pool = staged(candidates(queries, scope, index.docs, index.grams), "pool") if pool is None else pool
+    scores = staged(bm25(queries, pool, index), "scored")
+    return scores.join(fitting(queries, scores, index.docs), ["query_id", "id"], "left_semi")
 
 
 def semantic_score(cos: Column) -> Column:

@@ -113,7 +113,9 @@ def candidate_terms(spark, sf):
 
 @query("F8_candidates", POOL + " SELECT query_id, id FROM c")
 def candidates(spark, sf):
-    return R.candidates(*inputs(spark, sf)).select("query_id", "id")
+    queries, scope, docs = inputs(spark, sf)
+    docs = staged(docs, "documents")
+    return R.candidates(queries, scope, docs, R.gram_lists(docs)).select("query_id", "id")
 
 
 @query("F9_kind_gate", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN true WHEN doc_id % 3 = 0 THEN contains(lang, 'e') ELSE lang = 'en' OR contains(source, '1') END AS passes FROM documents")
@@ -143,14 +145,15 @@ FUSED = SCORED + f", {SEM}, j AS (SELECT query_id, id, b.score, greatest(0, (cos
 
 def fused(spark, sf):
     """Each query and item has the vector of its number; a cosine is moved to 0..1 to pass for a similarity."""
-    queries, scope, docs = searched(spark, sf)
+    queries, scope, index = searched(spark, sf)
+    docs = index.docs
     (e,) = tables(spark, sf, "embeddings")
     vectors = e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     pairs = scope.join(docs.select("id", "location_id"), "location_id").select("query_id", "id")
     pairs = pairs.join(vectors.toDF("query_id", "a"), "query_id").join(vectors.toDF("id", "b"), "id")
     near = pairs.select("query_id", "id", (0.5 + V.cosine(F.col("a"), F.col("b")) / 2).alias("cos"))
     available = queries.select("query_id", (F.col("query_id") % 5 != 0).alias("ok"))
-    return R.hybrid_rank(R.lexical(queries, scope, docs), R.semantic_hits(queries, scope, docs, near), available)
+    return R.hybrid_rank(R.lexical(queries, scope, index), R.semantic_hits(queries, scope, docs, near), available)
 
 
 @query("F12_hybrid_rank", FUSED + " SELECT query_id, id, score FROM u")
@@ -196,8 +199,8 @@ def admit_queries(spark, sf):
 
 @query("F18_search_with_retry", SCORED + ", t AS (SELECT query_id, 1 AS attempt, id, score FROM b WHERE query_id % 3 = 0 UNION ALL SELECT query_id, 2, id, score FROM b WHERE id % 2 = 0), k AS (SELECT q.query_id, coalesce(min(attempt), 2) AS attempt FROM q LEFT JOIN t USING (query_id) GROUP BY 1), g AS (SELECT t.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank FROM t JOIN k USING (query_id, attempt)) SELECT k.query_id, k.attempt, count(g.id) AS total, array_to_string(coalesce(list(g.id ORDER BY rank) FILTER (rank <= 3), []), ',') AS ids FROM k LEFT JOIN g USING (query_id, attempt) GROUP BY 1, 2")
 def search_with_retry(spark, sf):
-    queries, scope, docs = searched(spark, sf)
-    lex = staged(R.lexical(queries, scope, docs), "scores")
+    queries, scope, index = searched(spark, sf)
+    lex = staged(R.lexical(queries, scope, index), "scores")
     first = queries.select("query_id").join(lex.filter("query_id % 3 = 0"), "query_id", "left").select("query_id", F.lit(1).alias("attempt"), "id", "score")
     second = queries.select("query_id").join(lex.filter("id % 2 = 0"), "query_id", "left").select("query_id", F.lit(2).alias("attempt"), "id", "score")
     return R.search_with_retry(first.union(second)).select("query_id", "attempt", "total", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
@@ -206,8 +209,8 @@ def search_with_retry(spark, sf):
 @query("F19_check_containment", f"WITH {DOCS}, {QUERIES}, y AS (SELECT d.id, location_id, {TOKENS.format(FOLDED.format('search_text'))} AS t FROM d), a AS (SELECT DISTINCT query_id, location_id, unnest({TOKENS.format('text')}) AS token FROM q JOIN s USING (query_id)) SELECT 0::BIGINT AS missing, count(*) AS scored FROM (SELECT DISTINCT query_id, id FROM a JOIN (SELECT DISTINCT id, location_id, unnest(t) AS token FROM y) k USING (location_id, token)) n")
 def check_containment(spark, sf):
     """All items of each scope are scored, and those with a score looked for among the candidates."""
-    queries, scope, docs = searched(spark, sf)
-    pool = scope.join(docs.select("id", "location_id"), "location_id")
-    everything = staged(R.lexical(queries, scope, docs, pool), "scores")
-    missing = R.check_containment(everything, R.candidates(queries, scope, docs)).agg(F.count("*").alias("missing"))
+    queries, scope, index = searched(spark, sf)
+    pool = scope.join(index.docs.select("id", "location_id"), "location_id")
+    everything = staged(R.lexical(queries, scope, index, pool), "scores")
+    missing = R.check_containment(everything, R.candidates(queries, scope, index.docs, index.grams)).agg(F.count("*").alias("missing"))
     return missing.join(everything.agg(F.count("*").alias("scored")))

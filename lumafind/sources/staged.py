@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -29,6 +30,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(df: DataFrame, name: str, most: int = 1 << 18) -> DataFrame:
+    """A staged frame of a few short columns, sent to all tasks only if its files tell that it has at most ``most``
+    rows; else Spark joins it as any other."""
+    held = staged(df, name)
+    return F.broadcast(held) if held.count() <= most else held
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """A frame of fewer partitions than cores dealt anew by its keys; larger ones stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -161,13 +161,13 @@ def test_containment_and_gate(spark):
     docs = items.select("id", "location_id", "search_text", F.struct(F.col("name").alias("item_name"), F.lit(None).cast("string").alias("raw_category_name"), F.lit("").alias("description")).alias("detail"))
     scope = spark.createDataFrame([(1, 7), (2, 7), (3, 7)], "query_id long, location_id long")
     index = search.indexed(docs, d)
-    found = {(r.query_id, r.id) for r in search.candidates(queries, scope, index).collect()}
+    found = {(r.query_id, r.id) for r in search.candidates(queries, scope, index.docs, index.grams).collect()}
     assert found == {(1, 1), (1, 2), (2, 4), (3, 5)}
     scored = {(r.query_id, r.id) for r in search.lexical(queries, scope, index).collect()}
     #: A phone of another maker doesn't fit the query for an iPhone.
     assert scored == {(1, 1), (1, 2), (3, 5)}
-    pool = scope.join(index.select("id", "location_id"), "location_id")
-    assert search.check_containment(search.lexical(queries, scope, index, pool), search.candidates(queries, scope, index)).isEmpty()
+    pool = scope.join(index.docs.select("id", "location_id"), "location_id")
+    assert search.check_containment(search.lexical(queries, scope, index, pool), search.candidates(queries, scope, index.docs, index.grams)).isEmpty()
 
 
 def test_radius_at_any_latitude(spark):
