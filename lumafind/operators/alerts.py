@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import KST
+from ..functions.terms import Dictionary
+from ..sources.staged import staged
+from .conditions import Conditions, meets, mentions, wanted
 from .places import within_radius
+from .search import Index, candidates, lexical, prepared
 
 RADII = (1000, 1500, 2000)
 DAY = "interval 24 hours"
@@ -91,23 +95,27 @@ def alert_candidates(queue: DataFrame, places: DataFrame, institutions: DataFram
     return rows.join(notified.select("reservation_id", "item_id"), ["reservation_id", "item_id"], "left_anti").select("reservation_id", "item_id", "visible_since")
 
 
-def judge(cands: DataFrame, scores: DataFrame, conditions: DataFrame | None = None, least: float = 0.0) -> DataFrame:
-    """Candidates with a lexical score above ``least`` that meet the conditions, if any are given."""
-    good = cands.join(scores, ["reservation_id", "item_id"]).filter(F.col("score") > least)
-    return good if conditions is None else good.join(conditions.filter("meets").select("reservation_id", "item_id"), ["reservation_id", "item_id"], "left_semi")
-
-
-def meets_conditions(wanted: DataFrame, item_words: DataFrame, forms: DataFrame) -> DataFrame:
-    """wanted(reservation_id, domain, canonical), item_words(reservation_id, item_id, words), forms(domain, canonical,
-    form): any wanted word of each domain must be among the item's words; a colour also passes if the item
-    names none. Dictionaries are dimensions."""
-    own = forms.groupBy("domain", "canonical").agg(F.collect_set("form").alias("forms"))
-    colors = forms.filter("domain = 'color'").agg(F.collect_set("form").alias("__colors"))
-    asked = wanted.join(F.broadcast(own), ["domain", "canonical"])
-    rows = item_words.join(asked, "reservation_id", "left").crossJoin(F.broadcast(colors))
-    hit = F.coalesce(F.arrays_overlap("words", "forms"), F.lit(False)) | ((F.col("domain") == "color") & ~F.arrays_overlap("words", "__colors"))
-    each = rows.groupBy("reservation_id", "item_id", "domain").agg(F.bool_or(hit).alias("ok"))
-    return each.groupBy("reservation_id", "item_id").agg(F.bool_and(F.col("domain").isNull() | F.col("ok")).alias("meets"))
+def search_judge(reservations: DataFrame, cands: DataFrame, index: Index, dictionary: Dictionary, conditions: Conditions | None = None) -> DataFrame:
+    """The default judge. reservations(reservation_id, text), cands(reservation_id, item_id) -> reservation_id, item_id,
+    score: what a search for the text finds among the reservation's own candidates, its statistics taken from those
+    that have any of its terms, as far as it meets the text's condition words."""
+    conditions = conditions or Conditions(dictionary)
+    asked = reservations.select(F.col("reservation_id").alias("query_id"), "text").join(cands.select(F.col("reservation_id").alias("query_id")).distinct(), "query_id", "left_semi")
+    queries = staged(prepared(asked, dictionary), "alert-queries")
+    pairs = staged(cands.select(F.col("reservation_id").alias("query_id"), F.col("item_id").alias("id")).distinct(), "alert-pairs")
+    there = pairs.join(index.docs.select("id", "location_id"), "id")
+    scope = there.select("query_id", "location_id").distinct()
+    pool = staged(candidates(queries, scope, index.docs, index.grams).join(pairs, ["query_id", "id"], "left_semi"), "alert-pool")
+    scores = lexical(queries, scope, index, pool)
+    named = mentions(index.docs.join(pool.select("id").distinct(), "id", "left_semi"), conditions)
+    kept = meets(scores, staged(wanted(asked, conditions), "conditions"), staged(named, "mentions"))
+    return kept.select(F.col("query_id").alias("reservation_id"), F.col("id").alias("item_id"), "score")
+
+
+def judge(cands: DataFrame, reservations: DataFrame, index: Index, dictionary: Dictionary, judge: Callable[..., DataFrame] = search_judge) -> DataFrame:
+    """cands(reservation_id, item_id, ...) that the judge finds alike, with its score. A judge takes reservations
+    (reservation_id, text), the candidates, the search index and the dictionary, and returns reservation_id, item_id, score."""
+    return cands.join(judge(reservations, cands, index, dictionary), ["reservation_id", "item_id"])
 
 
 def record_matches(matches: DataFrame, notified: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame]:

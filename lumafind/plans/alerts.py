@@ -6,7 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions.masks import has_identifier
 from ..operators import alerts as A
+from ..functions.terms import Dictionary
+from ..operators import conditions as W
+from ..operators import search as R
+from ..sources.staged import staged
 from .adapt import INSTITUTIONS, ITEMS, PLACES, frame, tables
+from .search import DOCS, FOLDED, PAIRS, TOKENS
 from .registry import query
 
 NOW = "2024-06-15 06:00:00"
@@ -64,10 +69,10 @@ def match_queue(spark, sf):
     return queue(spark, sf)[0].select("id", "checked_until")
 
 
-METRES = 50000.0
+METRES = 120000.0
 ALERT_ITEMS = f"SELECT id, item_source_code, storage_location_id AS location_id, TIMESTAMP '2024-06-05 00:00:00' + (id % 240) * INTERVAL '1' HOUR AS visible_since, TIMESTAMP '2024-06-04 00:00:00' + (id % 240) * INTERVAL '1' HOUR AS first_seen_at FROM ({ITEMS}) x"
 DIST = "2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(l.latitude - p.latitude) / 2), 2) + cos(radians(p.latitude)) * cos(radians(l.latitude)) * pow(sin(radians(l.longitude - p.longitude) / 2), 2))))"
-CANDS = f"WITH {QUEUE}, p AS ({PLACES}), l AS ({INSTITUTIONS}), ai AS ({ALERT_ITEMS}), cand AS (SELECT DISTINCT qu.id AS reservation_id, ai.id AS item_id, visible_since FROM qu JOIN p ON p.query_id = qu.id JOIN l ON is_active AND abs(l.latitude - p.latitude) < 0.6 JOIN ai ON ai.location_id = l.id AND item_source_code = 'police_api' WHERE {DIST} <= {METRES} AND (checked_until IS NULL OR visible_since > checked_until) AND first_seen_at > created_at AND NOT (qu.id % 6 = 0 AND ai.id = qu.id))"
+CANDS = f"WITH {QUEUE}, p AS ({PLACES}), l AS ({INSTITUTIONS}), ai AS ({ALERT_ITEMS}), cand AS (SELECT DISTINCT qu.id AS reservation_id, ai.id AS item_id, visible_since FROM qu JOIN p ON p.query_id = qu.id JOIN l ON is_active AND abs(l.latitude - p.latitude) < 1.2 JOIN ai ON ai.location_id = l.id AND item_source_code = 'police_api' WHERE {DIST} <= {METRES} AND (checked_until IS NULL OR visible_since > checked_until) AND first_seen_at > created_at AND NOT (qu.id % 6 = 0 AND ai.id = qu.id))"
 
 
 def candidates(spark, sf):
@@ -82,26 +87,68 @@ def alert_candidates(spark, sf):
     return candidates(spark, sf)
 
 
-@query("I6_judge", CANDS + " SELECT reservation_id, item_id, (item_id % 10) / 10.0::DOUBLE AS score FROM cand WHERE item_id % 10 > 3 AND item_id % 3 <> 0")
+#: A dictionary over the driver's words: the first words of parts as colours and brands, spelled as words of the documents.
+JUDGED = Dictionary(
+    [
+        {"domain": "color", "canonical": "blue", "terms": ["that"], "scope": []}, {"domain": "color", "canonical": "red", "terms": ["tion"], "scope": []},
+        {"domain": "brand", "canonical": "large", "terms": ["this"], "scope": []}, {"domain": "brand", "canonical": "small", "terms": ["from"], "scope": []}, {"domain": "brand", "canonical": "old", "terms": ["thon"], "scope": []},
+    ],
+    [],
+    {},
+)
+#: A maker stands for its models, which stand for nothing else: small also for old, and this for a word of its own.
+MAKERS = {"small": ("old",), "old": ("ther",)}
+CONCEPTS = "(VALUES ('blue', 'color', 'that'), ('red', 'color', 'tion'), ('large', 'brand', 'this'), ('small', 'brand', 'from'), ('old', 'brand', 'thon')) v(canonical, domain, term)"
+MET = "(VALUES ('blue', 'color', ['blue', 'that']), ('red', 'color', ['red', 'tion']), ('large', 'brand', ['large', 'this']), ('small', 'brand', ['small', 'from', 'old', 'thon', 'ther']), ('old', 'brand', ['old', 'thon', 'ther'])) f(canonical, domain, forms)"
+#: Reservations ask for the name of the part of their number.
+ASKED = "SELECT CAST(c_custkey AS BIGINT) AS reservation_id, p_name AS text FROM customer JOIN part ON p_partkey = c_custkey"
+BRANDED = "array_to_string(list_transform(string_split({}, ' '), lambda w: CASE w WHEN 'this' THEN 'large' WHEN 'from' THEN 'small' WHEN 'thon' THEN 'old' ELSE w END), ' ')"
+CONDITIONS = f"""fw AS (SELECT id, list_distinct(string_split({FOLDED.format('search_text')}, ' ')) AS ws FROM d), aq AS ({ASKED}),
+ wq AS (SELECT DISTINCT reservation_id, domain, canonical FROM (SELECT reservation_id, unnest(string_split(text, ' ')) AS w FROM aq) x JOIN {CONCEPTS} ON w IN (canonical, term)),
+ mn AS (SELECT id, domain, canonical FROM fw JOIN {MET} ON list_has_any(ws, forms)), dm AS (SELECT reservation_id, count(DISTINCT domain) AS n FROM wq GROUP BY 1)"""
+MEETS = "coalesce((SELECT n FROM dm WHERE dm.reservation_id = {0}.reservation_id), 0) = (SELECT count(DISTINCT wq.domain) FROM wq WHERE wq.reservation_id = {0}.reservation_id AND (EXISTS (FROM mn WHERE mn.id = {0}.item_id AND mn.domain = wq.domain AND mn.canonical = wq.canonical) OR (wq.domain = 'color' AND NOT EXISTS (FROM mn WHERE mn.id = {0}.item_id AND mn.domain = 'color'))))"
+JUDGE = CANDS + f""", {DOCS.replace('i AS (', 'it AS (', 1).replace('FROM i WHERE', 'FROM it WHERE', 1)}, {CONDITIONS},
+ qt AS (SELECT reservation_id, text, list_concat({PAIRS}, list_transform(list_filter(string_split(text, ' '), lambda w: w IN ('blue', 'red', 'large', 'small', 'old')), lambda w: CASE w WHEN 'blue' THEN 'that' WHEN 'red' THEN 'tion' WHEN 'large' THEN 'this' WHEN 'small' THEN 'from' ELSE 'thon' END)) AS terms FROM aq),
+ c AS (SELECT reservation_id, item_id, visible_since FROM cand JOIN qt USING (reservation_id) JOIN d ON d.id = item_id WHERE len(list_filter(terms, lambda t: contains(search_text, t))) > 0),
+ y AS (SELECT id, {TOKENS.format(BRANDED.format(FOLDED.format('search_text')))} AS t FROM d), e AS (SELECT id, len(t) AS length, unnest(t) AS token FROM y), v AS (SELECT id, length, token, count(*) AS tf FROM e GROUP BY 1, 2, 3),
+ z AS (SELECT reservation_id, count(*) AS n, avg(len(t)) AS mean FROM c JOIN y ON y.id = item_id GROUP BY 1),
+ a AS (SELECT DISTINCT reservation_id, unnest({TOKENS.format('text')}) AS token FROM qt), h AS (SELECT reservation_id, item_id, length, a.token, tf FROM a JOIN c USING (reservation_id) JOIN v ON v.id = item_id AND v.token = a.token),
+ df AS (SELECT reservation_id, token, count(*) AS df FROM h GROUP BY 1, 2), w AS (SELECT reservation_id, item_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS raw FROM h JOIN df USING (reservation_id, token) JOIN z USING (reservation_id) GROUP BY 1, 2),
+ judged AS (SELECT w.reservation_id, w.item_id, visible_since, round(raw / (raw + 1), 6) AS score FROM w JOIN c USING (reservation_id, item_id) WHERE raw > 0 AND {MEETS.format('w')})"""
+
+
+def judge_inputs(spark, sf):
+    """Candidates, what their reservations ask for, and the search index of all items."""
+    docs = R.build_documents(frame(spark, sf, ITEMS), None, NOW)
+    return staged(candidates(spark, sf), "alert-candidates"), frame(spark, sf, ASKED), R.indexed(docs, JUDGED)
+
+
+def judged(spark, sf):
+    c, asked, index = judge_inputs(spark, sf)
+    rules = W.Conditions(JUDGED, MAKERS)
+    return staged(A.judge(c, asked, index, JUDGED, lambda *given: A.search_judge(*given, rules)), "judged")
+
+
+@query("I6_judge", JUDGE + " SELECT reservation_id, item_id, score FROM judged")
 def judge(spark, sf):
-    c = candidates(spark, sf)
-    scores = c.select("reservation_id", "item_id", ((F.col("item_id") % 10) / 10.0).alias("score"))
-    return A.judge(c, scores, c.select("reservation_id", "item_id", (F.col("item_id") % 3 != 0).alias("meets")), 0.35).select("reservation_id", "item_id", "score")
+    return judged(spark, sf).select("reservation_id", "item_id", "score")
 
 
-@query("I7_meets_conditions", "SELECT doc_id AS item_id, (contains(t, ' dark ') OR NOT (contains(t, ' dark ') OR contains(t, ' pale '))) AND contains(t, ' acme ') AS meets FROM (SELECT doc_id, ' ' || concat_ws(' ', CASE WHEN doc_id % 3 = 0 THEN 'dark' WHEN doc_id % 3 = 1 THEN 'pale' END, CASE WHEN doc_id % 2 = 0 THEN 'acme' END, 'x') || ' ' AS t FROM documents) y")
+@query("I7_meets_conditions", CANDS + f", {DOCS.replace('i AS (', 'it AS (', 1).replace('FROM i WHERE', 'FROM it WHERE', 1)}, {CONDITIONS} SELECT reservation_id, item_id FROM cand c WHERE item_id IN (SELECT id FROM d) AND {MEETS.format('c')}")
 def meets_conditions(spark, sf):
-    (d,) = tables(spark, sf, "documents")
-    forms = spark.sql("SELECT * FROM VALUES ('color', 'dark', 'dark'), ('color', 'pale', 'pale'), ('brand', 'acme', 'acme'), ('brand', 'acme', 'akme') AS t(domain, canonical, form)")
-    wanted = spark.sql("SELECT * FROM VALUES (1, 'color', 'dark'), (1, 'brand', 'acme') AS t(reservation_id, domain, canonical)")
-    words = d.select(F.lit(1).alias("reservation_id"), F.col("doc_id").alias("item_id"), F.expr("array_compact(array(CASE WHEN doc_id % 3 = 0 THEN 'dark' WHEN doc_id % 3 = 1 THEN 'pale' END, CASE WHEN doc_id % 2 = 0 THEN 'acme' END, 'x'))").alias("words"))
-    return A.meets_conditions(wanted, words, forms).select("item_id", "meets")
+    """Conditions come from the reservations' texts and the dictionary, the words from the whole texts of the items."""
+    docs = staged(R.build_documents(frame(spark, sf, ITEMS), None, NOW).select("id", "search_text"), "documents")
+    pairs = candidates(spark, sf).select(F.col("reservation_id").alias("query_id"), F.col("item_id").alias("id")).join(docs.select("id"), "id", "left_semi")
+    rules = W.Conditions(JUDGED, MAKERS)
+    asked = W.wanted(frame(spark, sf, ASKED).withColumnRenamed("reservation_id", "query_id"), rules)
+    return W.meets(pairs, staged(asked, "conditions"), staged(W.mentions(docs, rules), "mentions")).select(F.col("query_id").alias("reservation_id"), F.col("id").alias("item_id"))
 
 
-@query("I8_record_matches", CANDS + ", f AS (SELECT * FROM cand WHERE item_id % 16 <> 0) SELECT reservation_id, count(*) AS items, NOT EXISTS (FROM m WHERE kind = 'match' AND m.status = 'pending' AND m.reservation_id = f.reservation_id) AS message FROM f GROUP BY 1")
+@query("I8_record_matches", JUDGE + ", f AS (SELECT * FROM judged WHERE item_id % 16 <> 0) SELECT reservation_id, count(*) AS items, NOT EXISTS (FROM m WHERE kind = 'match' AND m.status = 'pending' AND m.reservation_id = f.reservation_id) AS message FROM f GROUP BY 1")
 def record_matches(spark, sf):
-    c = candidates(spark, sf)
-    fresh, need = A.record_matches(c, c.filter("item_id % 16 = 0").select("reservation_id", "item_id"), messages(spark, sf))
+    """What the judge found, less the pairs of every 16th item, which were notified before."""
+    found = judged(spark, sf)
+    fresh, need = A.record_matches(found, found.filter("item_id % 16 = 0").select("reservation_id", "item_id"), messages(spark, sf))
     return fresh.groupBy("reservation_id").agg(F.count("*").alias("items")).join(need.withColumn("need", F.lit(True)), "reservation_id", "left").select("reservation_id", "items", F.coalesce("need", F.lit(False)).alias("message"))
 
 
@@ -158,6 +205,6 @@ def apply_commands(spark, sf):
     return A.apply_commands(rows, commands(spark, sf))
 
 
-@query("I16_alert_audit", CANDS + " SELECT count(*) AS matched_items, count(DISTINCT reservation_id) AS reservations, (SELECT count(*) FROM m WHERE status = 'sent') AS sent, (SELECT count(*) FROM m WHERE status = 'failed') AS failed, (SELECT count(*) FROM m WHERE status = 'pending') AS waiting, 'partial' AS status FROM cand")
+@query("I16_alert_audit", JUDGE + " SELECT count(*) AS matched_items, count(DISTINCT reservation_id) AS reservations, (SELECT count(*) FROM m WHERE status = 'sent') AS sent, (SELECT count(*) FROM m WHERE status = 'failed') AS failed, (SELECT count(*) FROM m WHERE status = 'pending') AS waiting, 'partial' AS status FROM judged")
 def alert_audit(spark, sf):
-    return A.alert_audit(candidates(spark, sf), messages(spark, sf))
+    return A.alert_audit(judged(spark, sf), messages(spark, sf))
