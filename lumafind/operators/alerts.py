@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,28 +47,56 @@ def validate_reservations(df: DataFrame, has_identifier: Callable[[Column], Colu
     return rows.withColumn("reason", reason)
 
 
-def admit_reservations(requests: DataFrame, open_now: DataFrame, per_mail: int = 3, per_address: int = 5) -> DataFrame:
-    """requests(id, email, address, at) in time order: at most ``per_address`` admitted requests of an address in
-    24 hours, and ``per_mail`` open ones a mail with those open before. An address's requests are folded in
-    order; a mail's are counted among what its addresses admitted."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"])
-        kept: list = []
-        out = []
-        for at in pdf["at"]:
-            kept = [k for k in kept if at - k < pd.Timedelta(hours=24)]
-            ok = len(kept) < per_address
-            if ok:
-                kept.append(at)
-            out.append(ok)
-        return pd.DataFrame({"id": pdf["id"], "address_ok": out})
-
-    first = requests.select("id", "address", "at").groupBy("address").applyInPandas(fold, "id long, address_ok boolean")
-    rows = requests.join(first, "id").join(open_now.groupBy("email").agg(F.count("*").alias("__open")), "email", "left")
-    place = F.sum(F.col("address_ok").cast("int")).over(Window.partitionBy("email").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0))
-    ok = F.col("address_ok") & (place + F.coalesce("__open", F.lit(0)) <= per_mail)
-    return rows.select("id", "email", F.when(~F.col("address_ok"), "address").when(~ok, "mail").alias("refused"))
+def _address_fold(per_address: int):
+    """Rows (id, email, address, at in microseconds, room, eligible, given), by address and time, with whether they are
+    admitted. Of an address only its last ``per_address`` admitted times are kept."""
+    day = 24 * 3600 * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = None, deque(maxlen=per_address)
+        for batch in batches:
+            admitted = []
+            for address, at, eligible, given in zip(*(batch.column(k).to_pylist() for k in (2, 3, 5, 6))):
+                if address is None or address != last:
+                    last, kept = address, deque(maxlen=per_address)
+                ok = given or (eligible and not (len(kept) == per_address and at - kept[0] < day))
+                if ok:
+                    kept.append(at)
+                admitted.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(admitted, pa.bool_())], [*batch.schema.names, "admitted"])
+
+    return run
+
+
+def admit_reservations(requests: DataFrame, open_now: DataFrame, earlier: DataFrame | None = None, per_mail: int = 3, per_address: int = 5) -> DataFrame:
+    """requests(id, email, address, at) in time order, ties by id: at most ``per_mail`` open reservations of a mail, tested
+    first, with those in open_now(email); then at most ``per_address`` admitted requests of an address in 24 hours,
+    with those in earlier(address, at). Only admitted requests count, for both. Returns id, email and what refused it:
+    mail, address or null. Without an address only the mail counts; requests without a mail are those of one mail.
+
+    A request depends on earlier ones of its address and of its mail. Each round folds every address in a sorted stream,
+    with a few times as its state however many requests an address has, and counts what that admits for each mail.
+    What a round decides rightly, later rounds keep, since all that it depends on lies before it in time; the rounds
+    end when the mails' counts confirm the fold."""
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    held = open_now.groupBy(F.col("email").alias("__mail")).agg(F.count("*").alias("__open"))
+    rows = requests.join(held, F.col("email").eqNullSafe(F.col("__mail")), "left").select("id", "email", "address", micros.alias("at"), (F.lit(per_mail) - F.coalesce("__open", F.lit(0))).cast("long").alias("room"))
+    rows = rows.withColumn("eligible", F.col("room") > 0).withColumn("given", F.lit(False))
+    if earlier is not None:
+        none = (F.lit(None).cast(dict(requests.dtypes)[c]).alias(c) for c in ("id", "email"))
+        past = earlier.filter("address is not null").select(*none, "address", micros.alias("at"), F.lit(0).cast("long").alias("room"), F.lit(False).alias("eligible"), F.lit(True).alias("given"))
+        rows = rows.unionByName(past)
+    rows = staged(rows, "requests")
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", admitted boolean"
+    before = Window.partitionBy("given", "email").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        folded = rows.repartition("address").sortWithinPartitions("address", "at", F.desc("given"), "id").mapInArrow(_address_fold(per_address), schema)
+        fits = ~F.col("given") & (F.coalesce(F.sum(F.col("admitted").cast("long")).over(before), F.lit(0)) < F.col("room"))
+        judged = staged(folded.withColumn("fits", fits), "admission")
+        if judged.filter("fits <> eligible").isEmpty():
+            break
+        rows = judged.select("id", "email", "address", "at", "room", F.col("fits").alias("eligible"), "given")
+    return judged.filter("not given").select("id", "email", F.when(~F.col("eligible"), "mail").when(~F.col("admitted"), "address").alias("refused"))
 
 
 def alert_period(df: DataFrame, days: int = 7) -> DataFrame:

@@ -20,12 +20,17 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 
 def cycle_ready(runs: DataFrame, sources: int = 2) -> DataFrame:
-    """Per business date and half day: whether all sources finished in that half and none runs."""
-    local = F.from_utc_timestamp("started_at", KST)
-    cycle = F.when(F.hour(local) < 12, "morning").otherwise("afternoon")
-    done = F.count_distinct(F.when(F.col("status").isin("succeeded", "partial"), F.col("source")))
-    rows = runs.withColumn("business_date", business_date()).withColumn("cycle", cycle)
-    return rows.groupBy("business_date", "cycle").agg((done == sources).alias("all_done"), F.bool_or(F.col("status") == "running").alias("busy")).select("business_date", "cycle", (F.col("all_done") & ~F.col("busy")).alias("ready"))
+    """Per business date and cycle: whether the latest run of each source in that cycle has ended, well or not, and no
+    run of any date is running. Runs with cleanup (the metadata's cleanup_enabled, true if absent) make the morning,
+    those without it the afternoon."""
+    cleanup = F.coalesce(F.get_json_object("metadata", "$.cleanup_enabled"), F.lit("true"))
+    cycle = F.when(cleanup == "true", "morning").when(cleanup == "false", "afternoon")
+    rows = runs.withColumn("business_date", business_date()).withColumn("cycle", cycle).filter("cycle is not null")
+    last = first_by(rows, ["source", "business_date", "cycle"], F.desc("started_at"), F.desc("id"))
+    ended = F.col("status").isin("succeeded", "partial", "failed") & F.col("finished_at").isNotNull()
+    busy = runs.agg(F.coalesce(F.bool_or(F.col("status") == "running"), F.lit(False)).alias("busy"))
+    done = last.groupBy("business_date", "cycle").agg((F.count_if(ended) == sources).alias("all_done"))
+    return done.join(F.broadcast(busy)).select("business_date", "cycle", (F.col("all_done") & ~F.col("busy")).alias("ready"))
 
 
 def cycle_counts(items: DataFrame, vecs: DataFrame, start: str, end: str) -> DataFrame:

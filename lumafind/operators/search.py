@@ -12,6 +12,7 @@ from ..functions.postings import gram_lists, term_grams, token_lists
 from ..functions.scalars import embedding_input_v1
 from ..functions.terms import Dictionary, candidate_terms, canonicalize, detect_kinds, tokens
 from ..sources.staged import lean, spread, staged
+from .places import multi_scope
 
 K1, B = 1.2, 0.75
 #: Lists that are intersected for one term, the shortest ones; what is left is verified in the texts.
@@ -215,14 +216,74 @@ def admit_queries(queries: DataFrame, has_identifier, longest: int = 30) -> Data
     return queries.withColumn("text", text).withColumn("reason", reason)
 
 
-def search_with_retry(attempts: DataFrame) -> DataFrame:
-    """attempts(query_id, attempt, id, score; id null when empty): the last attempt needed, the first with hits or
-    else the last one, supplies up to three ids."""
-    counts = attempts.groupBy("query_id", "attempt").agg(F.count("id").alias("n"))
-    chosen = counts.groupBy("query_id").agg(F.coalesce(F.min(F.when(F.col("n") > 0, F.col("attempt"))), F.max("attempt")).alias("attempt"))
-    picked = ranked(attempts.join(chosen, ["query_id", "attempt"]).filter("id is not null")).filter("rank <= 3")
-    top = picked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("ids"))
-    return chosen.join(counts, ["query_id", "attempt"]).join(top, "query_id", "left").select("query_id", "attempt", F.col("n").alias("total"), F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
+def _step(at_least: Column, steps: tuple[float, ...]) -> Column:
+    """Number of the first step of at least a distance, from 0; null beyond the last one."""
+    found = F.lit(None).cast("int")
+    for k, r in reversed(list(enumerate(steps))):
+        found = F.when(at_least <= r, k).otherwise(found)
+    return found
+
+
+def search_with_retry(queries: DataFrame, places: DataFrame, locations: DataFrame, rewrites: DataFrame, index: Index, dictionary: Dictionary, steps: tuple[float, ...] = (1000.0, 1500.0, 2000.0)) -> DataFrame:
+    """queries(query_id long, text, requested: least radius or null), places(query_id, latitude, longitude),
+    locations(id, latitude, longitude), rewrites(query_id, rewritten) -> query_id, status, attempt, radius, text, total
+    and the ids of the best three.
+
+    Attempts of a query form a lattice: the text as asked at the first radius with an institution, then its rewrite
+    there and at each wider radius, or the text itself at wider radii where there is no other rewrite. All of them are
+    answered by one pass over the widest scope: a hit doesn't depend on the pool, so each pair of a text and an item
+    tells of the first attempt that would find it, and the least of these is the attempt that counts. Only that one
+    is ranked, with the statistics of its own scope. Without hits the last attempt counts; without any institution
+    there is none. Blank rewrites, and those equal to the text, are none."""
+    asked = queries.select("query_id", F.trim(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce(_step(F.coalesce("requested", F.lit(0.0)), steps), F.lit(len(steps) - 1)).alias("least"))
+    other = rewrites.select("query_id", F.trim("rewritten").alias("rewritten")).filter("rewritten <> ''").groupBy("query_id").agg(F.min("rewritten").alias("rewritten"))
+    asked = asked.join(other, "query_id", "left").withColumn("rewritten", F.when(F.col("rewritten") != F.col("text"), F.col("rewritten")))
+    near = multi_scope(places.join(queries.select("query_id"), "query_id", "left_semi"), locations, max(steps))
+    scope = near.join(asked.select("query_id", "least"), "query_id").select("query_id", "location_id", F.greatest(_step(F.col("distance"), steps), F.col("least")).alias("step"))
+    scope = staged(scope, "retry-scope")
+    first = scope.groupBy("query_id").agg(F.min("step").alias("first"))
+    plan = staged(asked.join(first, "query_id", "left").withColumn("last", F.lit(len(steps)) - F.col("first") + F.col("rewritten").isNotNull().cast("int")), "retry-plan")
+    texts = F.array(F.struct(F.lit(0).alias("variant"), F.col("text").alias("t")), F.struct(F.lit(1).alias("variant"), F.col("rewritten").alias("t")))
+    spelled = plan.select("query_id", F.explode(texts).alias("v")).select("query_id", "v.variant", F.col("v.t").alias("text")).filter("text is not null")
+    variant = (F.col("query_id") * 2 + F.col("variant")).alias("query_id")
+    ready = staged(prepared(spelled.select(variant, "text"), dictionary), "retry-queries")
+    both = F.explode(F.array(F.lit(0), F.lit(1))).alias("variant")
+    wide = scope.select("query_id", "location_id", both).select(variant, "location_id").join(ready.select("query_id"), "query_id", "left_semi")
+    pool = staged(candidates(ready, wide, index.docs, index.grams), "retry-pool")
+    hits = fitting(ready, token_hits(ready, pool, index), index.docs)
+    own = (F.floor(F.col("query_id") / 2)).cast("long")
+    placed = hits.join(pool, ["query_id", "id"]).select(own.alias("query_id"), F.pmod("query_id", F.lit(2)).alias("variant"), "location_id").distinct()
+    placed = placed.join(scope, ["query_id", "location_id"]).join(plan.select("query_id", "first", "rewritten"), "query_id")
+    later = F.col("step") - F.col("first")
+    number = F.when(F.col("variant") == 1, later + 2).when(F.col("rewritten").isNull(), later + 1).when(later == 0, F.lit(1))
+    least = placed.groupBy("query_id").agg(F.min(number).alias("found"))
+    chosen = plan.join(least, "query_id", "left").withColumn("attempt", F.coalesce("found", "last"))
+    rewritten = F.col("rewritten").isNotNull() & (F.col("attempt") > 1)
+    chosen = chosen.withColumn("step", F.col("first") + F.col("attempt") - 1 - rewritten.cast("int")).withColumn("variant", rewritten.cast("int"))
+    chosen = staged(chosen, "retry-chosen")
+    within = chosen.filter("found is not null").select("query_id", "variant", F.col("step").alias("most")).join(scope, "query_id").filter("step <= most").select(variant, "location_id")
+    scores = staged(lexical(ready, within, index, staged(pool.join(within, ["query_id", "location_id"], "left_semi"), "retry-final")), "retry-scores")
+    total = scores.groupBy("query_id").agg(F.count("*").alias("total"))
+    best = ranked(scores).filter("rank <= 3").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("ids"))
+    found = total.join(best, "query_id").select(own.alias("query_id"), "total", "ids")
+    radius = F.element_at(F.array(*(F.lit(float(r)) for r in steps)), F.col("step") + 1)
+    status = F.when(F.col("attempt").isNull(), "no_institutions").when(F.col("found").isNull(), "no_matches").otherwise("results")
+    used = F.when(F.col("variant") == 1, F.col("rewritten")).otherwise(F.col("text"))
+    rows = chosen.select("query_id", status.alias("status"), "attempt", F.when(F.col("attempt").isNotNull(), radius).alias("radius"), used.alias("text"))
+    return rows.join(found, "query_id", "left").select("query_id", "status", "attempt", "radius", "text", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
+
+
+def token_hits(queries: DataFrame, pool: DataFrame, index: Index) -> DataFrame:
+    """Pairs of the pool whose text has any of the query's tokens."""
+    asked = queries.select("query_id", F.explode("tokens").alias("token")).join(pool.select("query_id", "location_id").distinct(), "query_id")
+    met = index.tokens.join(lean(asked, "asked-tokens"), ["location_id", "token"]).select("query_id", "id").distinct()
+    return pool.select("query_id", "id").join(met, ["query_id", "id"], "left_semi")
+
+
+def retry_log(found: DataFrame) -> DataFrame:
+    """Every attempt up to the one that counted, with its number of matches."""
+    rows = found.filter("attempt is not null").select("query_id", F.explode(F.sequence(F.lit(1), F.col("attempt"))).alias("number"), "attempt", "total")
+    return rows.select("query_id", F.col("number").alias("attempt"), F.when(F.col("number") == F.col("attempt"), F.col("total")).otherwise(0).alias("match_count"))
 
 
 def check_containment(scored: DataFrame, cands: DataFrame) -> DataFrame:

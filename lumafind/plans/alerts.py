@@ -42,12 +42,17 @@ def validate_reservations(spark, sf):
     return A.validate_reservations(rows, has_identifier).select("id", "reason", F.size("places").alias("n_places"))
 
 
-@query("I2_admit_reservations")
+#: Orders as requests: a mail a customer; a third of all requests come from one address, others share it five by five.
+REQUESTS = "SELECT CAST(o_orderkey AS BIGINT) AS id, concat('m', CAST(o_custkey AS STRING)) AS email, CASE WHEN o_custkey % 3 = 0 THEN 'hot' ELSE concat('a', CAST(o_custkey % 300 AS STRING)) END AS address, TIMESTAMP '2024-06-01 00:00:00' + (o_orderkey % 4000) * INTERVAL '1' MINUTE AS at FROM orders"
+OPEN = "SELECT concat('m', CAST(c_custkey AS STRING)) AS email FROM customer CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) z WHERE k <= c_custkey % 5"
+
+
+@query("I2_admit_reservations", f"""WITH RECURSIVE o AS (SELECT email, count(*) AS n FROM ({OPEN}) x GROUP BY 1), r AS (SELECT q.*, coalesce(n, 0) AS held, row_number() OVER (PARTITION BY address ORDER BY "at", id) AS k FROM ({REQUESTS}) q LEFT JOIN o USING (email)),
+ s AS (SELECT DISTINCT address, 0::BIGINT AS k, 0::BIGINT AS id, '' AS email, NULL::VARCHAR AS refused, []::STRUCT(m VARCHAR, t TIMESTAMP)[] AS log FROM r
+ UNION ALL SELECT address, k, id, email, refused, CASE WHEN refused IS NULL THEN list_append(log, {{'m': email, 't': "at"}}) ELSE log END FROM (SELECT r.address, r.k, r.id, r.email, r."at", log, CASE WHEN held + len(list_filter(log, lambda x: x.m = r.email)) >= 3 THEN 'mail' WHEN len(list_filter(log, lambda x: x.t > r."at" - INTERVAL 24 HOUR)) >= 5 THEN 'address' END AS refused FROM s JOIN r ON r.address = s.address AND r.k = s.k + 1) y)
+ SELECT id, email, refused FROM s WHERE k > 0""")
 def admit_reservations(spark, sf):
-    (o,) = tables(spark, sf, "orders")
-    requests = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("m"), F.col("o_custkey") % 900).alias("email"), F.concat(F.lit("a"), F.col("o_custkey")).alias("address"), F.expr("timestamp '2024-06-01' + make_dt_interval(0, 0, cast(o_orderkey % 90000 as int))").alias("at"))
-    open_now = frame(spark, sf, RES).select(F.concat(F.lit("m"), F.col("id") % 900).alias("email")).filter("email < 'm5'")
-    return A.admit_reservations(requests, open_now)
+    return A.admit_reservations(timed(spark, sf, REQUESTS), frame(spark, sf, OPEN))
 
 
 @query("I3_alert_period", f"SELECT id, CAST(CAST(created_at + INTERVAL 9 HOUR AS DATE) + 8 AS TIMESTAMP) - INTERVAL 9 HOUR AS expires_at, CAST(created_at + INTERVAL 9 HOUR AS DATE) + 1 AS first_day, CAST(created_at + INTERVAL 9 HOUR AS DATE) + 7 AS last_day FROM ({RES}) r")

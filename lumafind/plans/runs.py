@@ -23,9 +23,13 @@ def latest_runs(spark, sf):
     return J.latest_runs(runs(spark, sf)).select("source", "business_date", "id", "status")
 
 
-@query("J2_cycle_ready", f"WITH {DATED} SELECT business_date, CASE WHEN hour({LOCAL}) < 12 THEN 'morning' ELSE 'afternoon' END AS cycle, count(DISTINCT source) FILTER (status IN ('succeeded', 'partial')) = 2 AND NOT bool_or(status = 'running') AS ready FROM r GROUP BY 1, 2")
+#: The same runs after all of them ended, but for every 40th user's; purchases ran without cleanup.
+ENDED = f"SELECT id, source, started_at, CASE status WHEN 'running' THEN 'failed' ELSE status END AS status, CASE WHEN user_id % 40 <> 7 THEN started_at + INTERVAL '20' MINUTE END AS finished_at, CASE WHEN event_type = 'purchase' THEN '{{\"cleanup_enabled\": false}}' ELSE metadata END AS metadata FROM (SELECT x.*, user_id, event_type FROM ({RUNS}) x JOIN events ON event_id = id) y"
+
+
+@query("J2_cycle_ready", f"WITH r AS (SELECT *, coalesce(CAST(json_extract_string(metadata, '$.business_date') AS DATE), CAST({LOCAL} AS DATE)) AS business_date, CASE coalesce(json_extract_string(metadata, '$.cleanup_enabled'), 'true') WHEN 'true' THEN 'morning' WHEN 'false' THEN 'afternoon' END AS cycle FROM ({ENDED}) x), l AS (SELECT * FROM r WHERE cycle IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source, business_date, cycle ORDER BY started_at DESC, id DESC) = 1) SELECT business_date, cycle, count(*) FILTER (status IN ('succeeded', 'partial', 'failed') AND finished_at IS NOT NULL) = 2 AND NOT EXISTS (FROM r WHERE status = 'running') AS ready FROM l GROUP BY 1, 2")
 def cycle_ready(spark, sf):
-    return J.cycle_ready(runs(spark, sf))
+    return J.cycle_ready(frame(spark, sf, ENDED).withColumns({c: F.col(c).cast("timestamp") for c in ("started_at", "finished_at")}))
 
 
 @query("J3_cycle_counts", "SELECT max(doc_id) AS max_id, count(*) FILTER (doc_id % 13 = 0) AS empty_input, count(*) FILTER (doc_id % 5 = 2) AS first_seen, count(*) FILTER (doc_id % 13 <> 0 AND doc_id % 4 <> 0) AS remaining FROM documents")
