@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.masks import mask_text
 from ..functions.scalars import blank, category_parent, match_key, norm_text, parse_date
+from ..sources.staged import staged
 from .privacy import is_high_risk
 
 KEYS = ["item_source_code", "atc_id", "found_sequence"]
@@ -53,7 +54,7 @@ def resolve_category(df: DataFrame, mappings: DataFrame, categories: DataFrame,
     pair = mappings.select(F.col("raw_name").alias("__raw"), F.col("category_id").alias("__pair"))
     parent = categories.select(F.col("name").alias("__name"), F.col("id").alias("__parent"))
     rest = categories.filter(F.col("code") == fallback).agg(F.first("id").alias("__rest"))
-    joined = df.join(F.broadcast(pair), F.col("raw_category_name") == F.col("__raw"), "left").join(F.broadcast(parent), category_parent(F.col("raw_category_name")) == F.col("__name"), "left").crossJoin(F.broadcast(rest))
+    joined = df.join(pair, F.col("raw_category_name") == F.col("__raw"), "left").join(parent, category_parent(F.col("raw_category_name")) == F.col("__name"), "left").crossJoin(F.broadcast(rest))
     by = F.when(F.col("__pair").isNotNull(), "pair").when(F.col("__parent").isNotNull(), "parent").otherwise("fallback")
     found = F.coalesce("__pair", "__parent", "__rest", F.raise_error(F.lit("no fallback category")).cast("long"))
     return joined.select(*df.columns, found.alias("category_id"), by.alias("by"))
@@ -131,7 +132,40 @@ def upsert_items(existing: DataFrame, incoming: DataFrame, now: str, keys: list[
     return joined.select(*out)
 
 
-DETAIL = ["detail_org", "detail_department"]
+def in_buckets(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_buckets(table: DataFrame, path: str, buckets: int = 64, keys: list[str] = KEYS) -> None:
+    """A table cut into folders by a hash of the identity, each of about the same size."""
+    table.withColumn("bucket", in_buckets(keys, buckets)).repartition(buckets, "bucket").write.partitionBy("bucket").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
+def touched(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:
+    """The rows of some buckets; other folders are not read."""
+    return spark.read.parquet(path).filter(F.col("bucket").isin(numbers)).drop("bucket")
+
+
+def merge_buckets(spark: SparkSession, path: str, incoming: DataFrame, now: str, buckets: int = 64, keys: list[str] = KEYS) -> int:
+    """upsert_items into a bucketed table in place: only buckets that an incoming identity falls into are read, merged and
+    replaced, each as a whole; the number of replaced buckets is returned. What is merged is written beside the table
+    first, so a broken replacement can be run again; the same rows and time change nothing. The driver sees bucket
+    numbers only, at most ``buckets``."""
+    fresh = staged(incoming.withColumn("bucket", in_buckets(keys, buckets)), "incoming")
+    numbers = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())
+    if numbers:
+        merged = staged(upsert_items(touched(spark, path, numbers), fresh.drop("bucket"), now, keys), "merged")
+        placed = merged.withColumn("bucket", in_buckets(keys, buckets)).repartition(len(numbers), "bucket")
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return len(numbers)
+
+
+#: The six columns of a detail check that are carried over or cleared together.
+DETAIL = ["detail_org", "detail_department", "detail_status", "detail_place", "detail_phone", "detail_note"]
 
 
 def carry_detail(joined: DataFrame, columns: list[str] = DETAIL) -> DataFrame:
@@ -142,8 +176,38 @@ def carry_detail(joined: DataFrame, columns: list[str] = DETAIL) -> DataFrame:
     return joined.withColumns({c: F.when(same, F.coalesce(c, "old_" + c)).when(newer, F.col(c)) for c in [*columns, "checked_at"]})
 
 
-def finalize_status(df: DataFrame) -> DataFrame:
-    return df.withColumn("status", F.when(F.col("status") == "ambiguous", "unmatched").otherwise(F.col("status")))
+#: Counters of a run.
+COUNTERS = ("fetched", "selected", "inserted", "updated", "deleted", "unmatched", "invalid", "fallback", "masked", "overseas", "skipped")
+
+
+class Audit:
+    """Counters of a run, taken from the rows as they pass through its jobs: ``watch`` leaves a frame as it is and lets
+    Spark count beside, for each source; ``rows`` has the counts once the jobs have run. Sources are a dimension."""
+
+    def __init__(self, sources: list[str], column: str = "item_source_code"):
+        self.sources, self.column, self.seen = sources, column, []
+
+    def watch(self, rows: DataFrame, **counters: Column) -> DataFrame:
+        """Count rows for which a condition holds, by the counter's name."""
+        metrics = [F.count_if((F.col(self.column) == s) & F.coalesce(c, F.lit(False))).alias(f"{name}.{k}") for k, s in enumerate(self.sources) for name, c in counters.items()]
+        observation = Observation()
+        self.seen.append(observation)
+        return rows.observe(observation, *metrics)
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """source and all COUNTERS, 0 where nothing was watched."""
+        total = {(s, name): 0 for s in self.sources for name in COUNTERS}
+        for observation in self.seen:
+            for key, n in observation.get.items():
+                name, _, k = key.rpartition(".")
+                total[self.sources[int(k)], name] += n
+        return spark.createDataFrame([(s, *(total[s, name] for name in COUNTERS)) for s in self.sources], "source string, " + ", ".join(f"{c} long" for c in COUNTERS))
+
+
+def finalize_status(df: DataFrame, audit: Audit | None = None) -> DataFrame:
+    """Rows still ambiguous become unmatched; an audit counts these with the unmatched and the overseas ones as they pass."""
+    done = df.withColumn("status", F.when(F.col("status") == "ambiguous", "unmatched").otherwise(F.col("status")))
+    return done if audit is None else audit.watch(done, unmatched=F.col("status") == "unmatched", overseas=F.col("status") == "excluded_overseas")
 
 
 def insert_missing(existing: DataFrame, incoming: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -155,16 +219,37 @@ def expiry(items: DataFrame, sources: DataFrame, today: str, limit: int = 5000,
     selected sources. The limit is a top-k, so only ``limit`` identities are ranked together."""
     chosen = sources.filter("enabled") if source is None else sources.filter((F.col("code") == source) & F.col("enabled"))
     floor = chosen.select(F.col("code").alias("item_source_code"), F.add_months(F.lit(today).cast("date"), -F.col("retention_months")).alias("__floor"))
-    due = items.join(F.broadcast(floor), "item_source_code").filter(F.col("registered_on") < F.col("__floor"))
+    due = items.join(floor, "item_source_code").filter(F.col("registered_on") < F.col("__floor"))
     gone = due.orderBy("registered_on", *KEYS).limit(limit).select(*KEYS).withColumn("__gone", F.lit(True))
     return items.join(gone, KEYS, "left").withColumn("expired", F.coalesce("__gone", F.lit(False))).drop("__gone")
 
 
-def apply_evidence(items: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Evidence applies only where identity, place and previous check time still match an unresolved row."""
-    e = evidence.select(F.col("id").alias("__id"), F.col("place").alias("__place"), F.col("previous_checked_at").alias("__was"), F.col("location_id").alias("__location"))
+def expiry_counts(expired: DataFrame, sources: DataFrame, source: str | None = None) -> DataFrame:
+    """Number of expired rows of each selected source, 0 where none expired."""
+    chosen = sources.filter("enabled") if source is None else sources.filter((F.col("code") == source) & F.col("enabled"))
+    gone = expired.filter("expired").groupBy(F.col("item_source_code").alias("code")).agg(F.count("*").alias("n"))
+    return chosen.select("code").join(gone, "code", "left").select("code", F.coalesce("n", F.lit(0)).alias("deleted"))
+
+
+#: A correction has at least one row and at most so many.
+EVIDENCE = 100
+
+
+def apply_evidence(items: DataFrame, evidence: DataFrame, most: int = EVIDENCE) -> DataFrame:
+    """items(id, identity, place, checked_at, status, location_id, ...), evidence(id, identity, place, previous_checked_at,
+    location_id). It applies where id, identity, place and previous check time still match an unresolved row. Evidence
+    of no row or of more than ``most`` is refused, and so are two rows for one id."""
+    n = evidence.limit(most + 1).count()
+    if not 1 <= n <= most:
+        raise ValueError(f"evidence must have 1 to {most} rows")
+    if evidence.select("id").distinct().count() < n:
+        raise ValueError("evidence names an item twice")
+    e = evidence.select(F.col("id").alias("__id"), *(F.col(k).alias("__" + k) for k in KEYS), F.col("place").alias("__place"), F.col("previous_checked_at").alias("__was"), F.col("location_id").alias("__location"))
+    same = [F.col(k) == F.col("__" + k) for k in KEYS]
     hit = (F.col("id") == F.col("__id")) & F.col("place").eqNullSafe(F.col("__place")) & F.col("checked_at").eqNullSafe(F.col("__was")) & F.col("status").isin("ambiguous", "unmatched")
-    joined = items.join(e, hit, "left")
+    for s in same:
+        hit &= s
+    joined = items.join(F.broadcast(e), hit, "left")
     applied = F.col("__id").isNotNull()
     return joined.select(*(c for c in items.columns if c not in ("status", "location_id")), F.when(applied, "matched").otherwise(F.col("status")).alias("status"), F.when(applied, F.col("__location")).otherwise(F.col("location_id")).alias("location_id"))
 

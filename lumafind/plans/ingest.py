@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import ingest as I
 from ..sources import pages as P
-from ..sources.staged import shared_dir
+from ..functions.masks import mask_numbers
+from ..sources.staged import shared_dir, staged
 
 from .adapt import INSTITUTIONS, ITEMS, LANDED, STORED, frame, tables
 from .registry import query
@@ -263,16 +264,38 @@ def upsert_items(spark, sf):
     return I.upsert_items(old, incoming, "2001-01-01 00:00:00")
 
 
-@query("C4_carry_detail", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'new' END WHEN o_orderkey % 5 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE 'new' END END AS detail_org FROM orders")
+@query("C3_merge_buckets", f"WITH landed AS ({LANDED}), d AS ({DEDUPED}), s AS ({STORED}) SELECT {KEY}, coalesce(d.registered_on, s.registered_on) AS registered_on, coalesce(d.price, s.price) AS price, coalesce(s.first_seen_at, TIMESTAMP '2001-01-01 00:00:00') AS first_seen_at, CASE WHEN d.price IS NOT NULL THEN TIMESTAMP '2001-01-01 00:00:00' ELSE s.last_seen_at END AS last_seen_at FROM d FULL OUTER JOIN s USING ({KEY})")
+def merge_buckets(spark, sf):
+    """The same upsert into a bucketed table, in place."""
+    old = frame(spark, sf, STORED).withColumns({c: F.col(c).cast("timestamp") for c in ("first_seen_at", "last_seen_at")})
+    path = shared(spark, "items")
+    I.write_buckets(old, path, 16)
+    I.merge_buckets(spark, path, deduped(spark, sf), "2001-01-01 00:00:00", 16)
+    return I.read_buckets(spark, path)
+
+
+#: The last line of an order as the row before, the first one as what came in: places are suppliers' parities, checks are
+#: ship dates, details are what the lines say of themselves.
+DETAILED = """SELECT o_orderkey AS id, CASE WHEN a.l_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS place, CASE WHEN b.l_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS old_place, a.l_shipdate AS checked_at, b.l_shipdate AS old_checked_at,
+ nullif(a.l_returnflag, 'N') AS detail_org, nullif(b.l_returnflag, 'A') AS old_detail_org, nullif(a.l_linestatus, 'F') AS detail_department, b.l_linestatus AS old_detail_department, CASE WHEN a.l_discount > 0.05 THEN 'cheap' END AS detail_status, 'full' AS old_detail_status,
+ CASE WHEN a.l_tax > 0.04 THEN CAST(a.l_suppkey AS STRING) END AS detail_place, CAST(b.l_suppkey AS STRING) AS old_detail_place, CASE WHEN a.l_quantity > 25 THEN CAST(a.l_partkey AS STRING) END AS detail_phone, CAST(b.l_partkey AS STRING) AS old_detail_phone, CAST(NULL AS STRING) AS detail_note, b.l_returnflag AS old_detail_note
+ FROM orders JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem) a ON a.l_orderkey = o_orderkey AND a.k = 1
+ JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem) b ON b.l_orderkey = o_orderkey AND b.k = 1"""
+
+
+@query("C4_carry_detail", f"SELECT id, {', '.join(f'CASE WHEN place = old_place THEN coalesce({c}, old_{c}) WHEN checked_at > old_checked_at THEN {c} END AS {c}' for c in [*I.DETAIL, 'checked_at'])} FROM ({DETAILED}) x")
 def carry_detail(spark, sf):
-    (o,) = tables(spark, sf, "orders")
-    rows = o.select(F.col("o_orderkey").alias("id"), F.expr("if(o_orderkey % 3 = 0, 'a', 'b')").alias("place"), F.lit("a").alias("old_place"), F.expr("if(o_orderkey % 2 = 0, null, 'new')").alias("detail_org"), F.lit("old").alias("old_detail_org"), F.expr("if(o_orderkey % 5 = 0, timestamp '2001-01-01', timestamp '1999-01-01')").alias("checked_at"), F.expr("timestamp '2000-01-01'").alias("old_checked_at"))
-    return I.carry_detail(rows, ["detail_org"]).select("id", "detail_org")
+    rows = frame(spark, sf, DETAILED).withColumns({c: F.col(c).cast("timestamp") for c in ("checked_at", "old_checked_at")})
+    return I.carry_detail(rows).select("id", *I.DETAIL, "checked_at")
 
 
-@query("C5_finalize_status", f"WITH items AS ({ITEMS}) SELECT CASE status WHEN 'ambiguous' THEN 'unmatched' ELSE status END AS status, count(*) AS n FROM items GROUP BY 1")
+@query("C5_finalize_status", f"WITH items AS ({ITEMS}) SELECT item_source_code AS source, count(*) AS rows, count(*) FILTER (status IN ('ambiguous', 'unmatched')) AS unmatched, count(*) FILTER (status = 'excluded_overseas') AS overseas, count(*) FILTER (status = 'matched') AS matched FROM items GROUP BY 1")
 def finalize_status(spark, sf):
-    return I.finalize_status(frame(spark, sf, ITEMS)).groupBy("status").agg(F.count("*").alias("n"))
+    """What the audit counted while the rows were written, beside a count of what was written."""
+    audit = I.Audit(["police_api", "partner_api"])
+    done = staged(I.finalize_status(frame(spark, sf, ITEMS), audit).select("item_source_code", "status"), "final")
+    kept = done.groupBy(F.col("item_source_code").alias("source")).agg(F.count("*").alias("rows"), F.count_if(F.col("status") == "matched").alias("matched"))
+    return audit.rows(spark).select("source", "unmatched", "overseas").join(kept, "source")
 
 
 @query("C6_insert_missing", f"WITH landed AS ({LANDED}), d AS ({DEDUPED}), s AS ({STORED}) SELECT d.* FROM d ANTI JOIN s USING ({KEY})")
@@ -285,11 +308,21 @@ def expire_items(spark, sf):
     return I.expiry(frame(spark, sf, STORED), spark.sql(SOURCES), TODAY, 1000).select(*I.KEYS, "registered_on", "expired")
 
 
-@query("C8_apply_evidence", "SELECT doc_id AS id, CASE WHEN doc_id % 13 = 0 AND doc_id % 11 <> 0 AND doc_id % 2 = 0 THEN 'matched' WHEN doc_id % 11 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'matched' ELSE 'unmatched' END WHEN doc_id % 13 = 0 THEN 'ambiguous' WHEN doc_id % 17 = 0 THEN 'excluded_overseas' ELSE 'matched' END AS status, CASE WHEN doc_id % 2 = 0 AND (doc_id % 11 = 0 OR doc_id % 13 = 0) THEN 7 END AS location_id FROM documents")
+@query("C7_expiry_counts", f"WITH s AS ({STORED}), src AS ({SOURCES} UNION ALL SELECT 'other' AS code, 6 AS retention_months, true AS enabled), due AS (SELECT item_source_code, row_number() OVER (ORDER BY registered_on, {KEY}) AS r FROM s JOIN src ON code = item_source_code WHERE registered_on < CAST(DATE '{TODAY}' - to_months(retention_months) AS DATE)) SELECT code, count(r) AS deleted FROM src LEFT JOIN due ON item_source_code = code AND r <= 1000 GROUP BY 1")
+def expiry_counts(spark, sf):
+    """A row for every selected source, also for one without any item."""
+    sources = spark.sql(SOURCES + " UNION ALL SELECT 'other' AS code, 6 AS retention_months, true AS enabled")
+    return I.expiry_counts(I.expiry(frame(spark, sf, STORED), sources, TODAY, 1000), sources)
+
+
+#: Evidence for the hundred first unresolved items: of every third the place has changed, of every fifth the identity.
+EVIDENCE = f"SELECT id, item_source_code, CASE WHEN id % 5 = 0 THEN 'other' ELSE atc_id END AS atc_id, found_sequence, CASE WHEN id % 3 = 0 THEN 'elsewhere' ELSE raw_category_name END AS place, CAST(NULL AS TIMESTAMP) AS previous_checked_at, storage_location_id AS location_id FROM ({ITEMS}) x WHERE status IN ('ambiguous', 'unmatched') ORDER BY id LIMIT 100"
+
+
+@query("C8_apply_evidence", f"WITH i AS ({ITEMS}), e AS ({EVIDENCE}) SELECT i.id, CASE WHEN e.id IS NULL THEN status ELSE 'matched' END AS status, e.location_id FROM i LEFT JOIN e ON e.id = i.id AND e.item_source_code = i.item_source_code AND e.atc_id = i.atc_id AND e.found_sequence = i.found_sequence AND e.place = i.raw_category_name AND status IN ('ambiguous', 'unmatched')")
 def apply_evidence(spark, sf):
-    items = frame(spark, sf, ITEMS).select("id", F.col("raw_category_name").alias("place"), F.lit(None).cast("timestamp").alias("checked_at"), "status", F.lit(None).cast("long").alias("location_id"))
-    evidence = items.select("id", F.expr("if(id % 2 = 0, place, 'elsewhere')").alias("place"), F.col("checked_at").alias("previous_checked_at"), F.lit(7).cast("long").alias("location_id"))
-    return I.apply_evidence(items, evidence).select("id", "status", "location_id")
+    items = frame(spark, sf, ITEMS).select("id", *I.KEYS, F.col("raw_category_name").alias("place"), F.lit(None).cast("timestamp").alias("checked_at"), "status", F.lit(None).cast("long").alias("location_id"))
+    return I.apply_evidence(items, staged(frame(spark, sf, EVIDENCE), "evidence")).select("id", "status", "location_id")
 
 
 @query("C9_subcategories", "SELECT DISTINCT lang AS category, source AS child FROM documents")
@@ -299,12 +332,30 @@ def subcategories(spark, sf):
     return I.update_subcategories(pairs.filter("doc_id % 2 = 0").distinct(), pairs)
 
 
-@query("C10_run_audit", f"WITH landed AS ({LANDED}), d AS ({DEDUPED}), s AS ({STORED}) SELECT d.item_source_code AS source, count(*) AS selected, count(*) FILTER (s.atc_id IS NULL) AS inserted, count(*) FILTER (s.atc_id IS NOT NULL) AS updated, (SELECT count(*) FROM landed l WHERE l.item_source_code = d.item_source_code) AS fetched FROM d LEFT JOIN s USING ({KEY}) GROUP BY d.item_source_code")
+#: A run over landed line items: blank categories and days outside the window leave, unknown categories fall back, places
+#: that aren't active stay unmatched, long numbers in the text are masked, stored items of before 1993 are deleted.
+RUN = """SELECT item_source_code, atc_id, found_sequence, page, pos, registered_on, price, quantity, CASE WHEN quantity = 7 THEN '' ELSE raw_category_name END AS raw_category_name, CAST(registered_on AS STRING) AS registered_text,
+ CASE WHEN raw_category_name LIKE 'O%' THEN 'etc' ELSE 'known' END AS category, CASE WHEN page % 10 = 0 THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN quantity > 40 THEN concat('no ', CAST(4000000000000 + pos AS STRING)) ELSE 'none' END AS text FROM ({0}) landed"""
+FROM, TO, CUT = "1996-01-01", "2000-12-31", "1997-01-01"
+
+
+@query("C10_run_audit", f"""WITH r AS ({RUN.format(LANDED)}), g AS (SELECT * FROM r WHERE raw_category_name <> '' AND registered_on BETWEEN DATE '{FROM}' AND DATE '{TO}'), d AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY {LAST}) = 1), s AS ({STORED})
+ SELECT source, (SELECT count(*) FROM r WHERE item_source_code = source) AS fetched, (SELECT count(*) FROM r WHERE item_source_code = source AND raw_category_name = '') AS invalid, (SELECT count(*) FROM r WHERE item_source_code = source AND raw_category_name <> '' AND registered_on NOT BETWEEN DATE '{FROM}' AND DATE '{TO}') AS skipped,
+ count(d.atc_id) AS selected, count(d.atc_id) FILTER (s.atc_id IS NULL) AS inserted, count(d.atc_id) FILTER (s.atc_id IS NOT NULL) AS updated, count(d.atc_id) FILTER (category = 'etc') AS fallback, count(d.atc_id) FILTER (status = 'ambiguous') AS unmatched, 0::BIGINT AS overseas, count(d.atc_id) FILTER (quantity > 40) AS masked,
+ (SELECT count(*) FROM s x WHERE x.item_source_code = source AND x.registered_on < DATE '{CUT}') AS deleted FROM (VALUES ('police_api'), ('partner_api')) v(source) LEFT JOIN d ON d.item_source_code = source LEFT JOIN s ON s.item_source_code = d.item_source_code AND s.atc_id = d.atc_id AND s.found_sequence = d.found_sequence GROUP BY 1""")
 def run_audit(spark, sf):
-    split = I.split_new(deduped(spark, sf), frame(spark, sf, STORED))
-    fetched = frame(spark, sf, LANDED).groupBy("item_source_code").agg(F.count("*").alias("fetched"))
-    counted = split.groupBy("item_source_code").agg(F.count("*").alias("selected"), F.count_if("is_new").alias("inserted"), F.count_if(~F.col("is_new")).alias("updated"))
-    return counted.join(fetched, "item_source_code").withColumnRenamed("item_source_code", "source")
+    """All counters come from the two jobs that write the run's items and the rows it leaves of the stored ones."""
+    audit = I.Audit(["police_api", "partner_api"])
+    stored = frame(spark, sf, STORED)
+    landed = I.validate_items(frame(spark, sf, RUN.format(LANDED)), FROM, TO)
+    landed = audit.watch(landed, fetched=F.lit(True), invalid=F.col("reject") == "invalid", skipped=F.col("reject") == "outside").filter("reject is null")
+    last = I.dedupe_items(landed, I.KEYS, F.desc("registered_on"), F.desc("price"), F.desc("quantity"))
+    split = I.finalize_status(I.split_new(last, stored), audit).withColumn("masked", mask_numbers(F.col("text")))
+    split = audit.watch(split, selected=F.lit(True), inserted=F.col("is_new"), updated=~F.col("is_new"), fallback=F.col("category") == "etc", masked=F.col("masked") != F.col("text"))
+    staged(split.select(*I.KEYS, "status", "masked"), "run")
+    left = audit.watch(stored, deleted=F.col("registered_on") < F.lit(CUT).cast("date")).filter(F.col("registered_on") >= F.lit(CUT).cast("date"))
+    staged(left, "kept")
+    return audit.rows(spark)
 
 
 @query("C11_match_rate", f"WITH items AS ({ITEMS}) SELECT item_source_code, count(*) FILTER (status = 'matched') AS matched, count(*) FILTER (status <> 'excluded_overseas') AS counted, round(count(*) FILTER (status = 'matched') / count(*) FILTER (status <> 'excluded_overseas'), 6) AS rate FROM items GROUP BY 1")
