@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -150,20 +152,24 @@ def touched(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("bucket").isin(numbers)).drop("bucket")
 
 
-def merge_buckets(spark: SparkSession, path: str, incoming: DataFrame, now: str, buckets: int = 64, keys: list[str] = KEYS) -> int:
-    """upsert_items into a bucketed table in place: only buckets that an incoming identity falls into are read, merged and
-    replaced, each as a whole; the number of replaced buckets is returned. What is merged is written beside the table
-    first, so a broken replacement can be run again; the same rows and time change nothing. The driver sees bucket
-    numbers only, at most ``buckets``."""
+def replace_buckets(spark: SparkSession, path: str, incoming: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame], buckets: int, keys: list[str]) -> int:
+    """Combine (old rows, incoming rows) of the buckets that an incoming key falls into, in place; returns how many were
+    replaced. Only these buckets are read, and each is replaced as a whole. What is combined is written beside the
+    table first, so a broken replacement can be run again. The driver sees bucket numbers only, at most ``buckets``."""
     fresh = staged(incoming.withColumn("bucket", in_buckets(keys, buckets)), "incoming")
     numbers = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())
     if numbers:
-        merged = staged(upsert_items(touched(spark, path, numbers), fresh.drop("bucket"), now, keys), "merged")
+        merged = staged(combine(touched(spark, path, numbers), fresh.drop("bucket")), "merged")
         placed = merged.withColumn("bucket", in_buckets(keys, buckets)).repartition(len(numbers), "bucket")
         placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     return len(numbers)
 
 
+def merge_buckets(spark: SparkSession, path: str, incoming: DataFrame, now: str, buckets: int = 64, keys: list[str] = KEYS) -> int:
+    """upsert_items into a bucketed table in place (replace_buckets); the same rows and time change nothing."""
+    return replace_buckets(spark, path, incoming, lambda old, new: upsert_items(old, new, now, keys), buckets, keys)
+
+
 #: The six columns of a detail check that are carried over or cleared together.
 DETAIL = ["detail_org", "detail_department", "detail_status", "detail_place", "detail_phone", "detail_note"]
 

@@ -28,15 +28,20 @@ class Index(NamedTuple):
     tokens: DataFrame
 
 
-def build_documents(items: DataFrame, previous: DataFrame | None, now: str) -> DataFrame:
-    """The search projection of matched, located items: lower-cased text with its numbers masked, detail, the hash
-    of the first embedding input, visible_since (kept from the previous projection)."""
+def project(items: DataFrame) -> DataFrame:
+    """items with location_id, content_hash (of the first embedding input), search_text (lower case, numbers masked) and
+    detail; works on tables and streams."""
     joined = F.lower(mask_numbers(F.concat_ws(" ", "item_name", "raw_category_name", "color_name", "description")))
-    live = items.filter("status = 'matched' and storage_location_id is not null")
     detail = F.struct("item_name", "raw_category_name", "color_name", "description", "registered_on")
     text = F.col("normalized_search_text") if "normalized_search_text" in items.columns else F.lit(None).cast("string")
     hashed = F.sha2(F.coalesce(embedding_input_v1(text, F.col("item_name")), F.lit("")), 256)
-    docs = live.select("id", F.col("storage_location_id").alias("location_id"), hashed.alias("content_hash"), joined.alias("search_text"), detail.alias("detail"))
+    return items.withColumns({"location_id": F.col("storage_location_id"), "content_hash": hashed, "search_text": joined, "detail": detail})
+
+
+def build_documents(items: DataFrame, previous: DataFrame | None, now: str) -> DataFrame:
+    """The search projection of matched, located items, with visible_since (kept from the previous projection)."""
+    live = items.filter("status = 'matched' and storage_location_id is not null")
+    docs = project(live).select("id", "location_id", "content_hash", "search_text", "detail")
     time = F.lit(now).cast("timestamp")
     if previous is None:
         return docs.withColumn("visible_since", time)
