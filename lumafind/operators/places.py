@@ -102,17 +102,36 @@ def apply_lookups(items: DataFrame, lookups: DataFrame, keys: list[str]) -> Data
     return joined.withColumn("location_id", F.when(reset, F.col("__found")).otherwise(F.col("location_id"))).withColumn("status", F.when(reset, F.when(F.col("__found").isNotNull(), "matched").otherwise("unmatched")).otherwise(F.col("status"))).drop("__found")
 
 
-def lookup_stats(attempts: DataFrame, keys: list[str]) -> DataFrame:
-    """attempts(keys, ok, reason) -> one row: requested identities, succeeded, failed, retried, failed attempts."""
+def lookup_stats(attempts: DataFrame, keys: list[str], eligible: DataFrame) -> DataFrame:
+    """attempts(keys, ok, reason), eligible(keys) -> one row: eligible identities, those requested, succeeded and failed,
+    those deferred (eligible but never requested), retried, and failed attempts, also of those that recovered."""
     each = attempts.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_or("ok").alias("ok"), F.count_if(~F.col("ok")).alias("bad"))
-    return each.agg(F.count("*").alias("requested"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(F.col("n") > 1).alias("retried"), F.sum("bad").alias("failed_attempts"))
+    joined = eligible.select(*keys).distinct().withColumn("__eligible", F.lit(True)).join(each, keys, "full_outer")
+    asked = F.col("n").isNotNull()
+    return joined.agg(
+        F.count("__eligible").alias("eligible"), F.count_if(asked).alias("requested"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"),
+        F.count_if(~asked).alias("deferred"), F.count_if(F.col("n") > 1).alias("retried"), F.coalesce(F.sum("bad"), F.lit(0)).alias("failed_attempts"),
+    )
 
 
-def apply_overseas(items: DataFrame) -> DataFrame:
-    """The checked department, if any, else the raw name decides; overseas rows keep no institution."""
-    where = F.coalesce(F.nullif(F.trim("detail_department"), F.lit("")), F.col("raw_storage_name"))
+def lookup_failures(attempts: DataFrame) -> DataFrame:
+    """Failed attempts by reason, recovered ones counted too; without a reason: unknown."""
+    return attempts.filter(~F.col("ok")).groupBy(F.coalesce("reason", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("attempts"))
+
+
+def apply_overseas(items: DataFrame, rules: DataFrame, locations: DataFrame) -> DataFrame:
+    """items(item_source_code, status, location_id, raw_storage_name, detail_checked_at, detail_department, detail_org,
+    ...): the checked department, if there is one, else the raw name decides; overseas rows keep no institution. Rows
+    that are no longer overseas are matched anew by their checked detail (as match_detail does), else unmatched."""
+    checked = F.col("detail_checked_at").isNotNull()
+    where = F.when(checked, F.coalesce(F.nullif(F.trim("detail_department"), F.lit("")), F.col("raw_storage_name"))).otherwise(F.col("raw_storage_name"))
     away = is_overseas(F.col("item_source_code"), where)
-    return items.withColumn("location_id", F.when(~away, F.col("location_id"))).withColumn("status", F.when(away, "excluded_overseas").when(F.col("status") == "excluded_overseas", "unmatched").otherwise(F.col("status")))
+    back = ~away & (F.col("status") == "excluded_overseas")
+    settled = items.withColumn("location_id", F.when(~away & ~back, F.col("location_id"))).withColumn("newer", back & checked)
+    settled = settled.withColumn("status", F.when(away, "excluded_overseas").when(back, "unmatched").otherwise(F.when(F.col("status") == "ambiguous", "__ambiguous").otherwise(F.col("status"))))
+    #: The rule is for rows that come back only; ambiguous ones wait for their own step.
+    matched = match_detail(settled, rules, locations)
+    return matched.withColumn("status", F.when(F.col("status") == "__ambiguous", "ambiguous").otherwise(F.col("status"))).select(*items.columns)
 
 
 def category_links(items: DataFrame, dim: DataFrame) -> DataFrame:

@@ -195,14 +195,23 @@ def ranked_page(scored: DataFrame, offset: int = 0, size: int = 50) -> DataFrame
 
 
 def list_items(items: DataFrame, scope: DataFrame, before: DataFrame | None, limit: int) -> DataFrame:
-    """Newest items of each query's scope before its keyset (day, id): the first of each institution, merged."""
+    """Newest items of each query's scope before its keyset (day, id): the first of each institution, merged. A first
+    page, of a query without a keyset, also has the scope's total, counted for each institution once; later ones
+    have none. The limit is 1 to 201."""
+    if not 1 <= limit <= 201:
+        raise ValueError("the limit must be 1 to 201")
     live = items.filter("status = 'matched'").select(F.col("storage_location_id").alias("location_id"), "id", "registered_on")
     rows = scope.join(live, "location_id")
+    first = scope.select("query_id").distinct()
     if before is not None:
         rows = rows.join(before, "query_id", "left").filter(F.col("before_id").isNull() | (F.struct("registered_on", "id") < F.struct("before_day", "before_id")))
+        first = first.join(before.filter("before_id is not null"), "query_id", "left_anti")
+    counts = live.groupBy("location_id").agg(F.count("*").alias("n"))
+    total = scope.join(first, "query_id", "left_semi").join(counts, "location_id").groupBy("query_id").agg(F.sum("n").alias("total"))
     order = (F.desc("registered_on"), F.desc("id"))
     inner = rows.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "location_id").orderBy(*order))).filter(F.col("k") <= limit)
-    return inner.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= limit).select("query_id", "id", "location_id", "registered_on", "rank")
+    page = inner.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= limit)
+    return page.select("query_id", "id", "location_id", "registered_on", "rank").join(total, "query_id", "left")
 
 
 def attach_details(page: DataFrame, docs: DataFrame, scope: DataFrame) -> DataFrame:

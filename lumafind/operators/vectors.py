@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.masks import mask_text
+
 HALF = 65504.0
 
 
@@ -18,6 +20,15 @@ def valid_vectors(df: DataFrame, dim: int) -> DataFrame:
     return df.withColumn("valid", F.coalesce(good, F.lit(False)))
 
 
+def valid_batches(vectors: DataFrame, expected: DataFrame, dim: int) -> DataFrame:
+    """vectors(batch, index, v), expected(batch, n) -> batch, complete: an answer holds exactly the indices 0 to n - 1, each
+    once, and all its vectors are valid. A batch without an answer isn't complete."""
+    each = valid_vectors(vectors, dim).groupBy("batch", "index").agg(F.count("*").alias("n"), F.bool_and("valid").alias("valid"))
+    got = each.groupBy("batch").agg(F.count("*").alias("found"), F.max("n").alias("most"), F.min("index").alias("low"), F.max("index").alias("high"), F.bool_and("valid").alias("valid"))
+    good = (F.col("found") == F.col("n")) & (F.col("most") == 1) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & F.col("valid")
+    return expected.join(got, "batch", "left").select("batch", F.coalesce(good, F.lit(False)).alias("complete"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -55,7 +66,10 @@ def hamming_topk(queries: DataFrame, vecs: DataFrame, r: int = 500) -> DataFrame
 
 
 def rescore(cands: DataFrame, queries: DataFrame, vecs: DataFrame, least: float = 0.60, k: int = 200) -> DataFrame:
-    """Exact cosine of candidate pairs, at least ``least``, the k best; ties to larger ids."""
+    """Exact cosine of candidate pairs, at least ``least``, the k best; ties to larger ids. k is 1 to 200, the cosine
+    bound lies between -1 and 1."""
+    if not 1 <= k <= 200 or not -1 <= least <= 1:
+        raise ValueError("k must be 1 to 200 and the least cosine between -1 and 1")
     joined = cands.select("query_id", "id").join(queries.select("query_id", F.col("v").alias("q")), "query_id").join(vecs.select("id", "v"), "id")
     scored = joined.select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("cos")).filter(F.col("cos") >= least)
     return top(scored, "query_id", k, F.desc("cos"), F.desc("id"))
@@ -67,6 +81,23 @@ def exact_topk(queries: DataFrame, vecs: DataFrame, least: float = 0.55, k: int
     return top(scored, "query_id", k, F.desc("cos"), F.desc("id"))
 
 
+#: Institutions of one search.
+SCOPES = 300
+
+
+def semantic_topk(queries: DataFrame, vecs: DataFrame, dim: int, least: float = 0.60, k: int = 200, r: int = 500) -> DataFrame:
+    """queries(query_id, scope, code, v: a row for each institution), vecs(id, scope, code, v): the r nearest codes of each
+    query, rescored. Arguments out of bounds are refused: k 1 to 200, r from k to 2000, queries of 1 to SCOPES
+    institutions and of ``dim`` components."""
+    if not 1 <= k <= 200 or not k <= r <= 2000:
+        raise ValueError("k must be 1 to 200 and r between k and 2000")
+    bad = queries.groupBy("query_id").agg(F.countDistinct("scope").alias("n"), F.bool_and(F.size("v") == dim).alias("fits")).filter((F.col("n") > SCOPES) | (F.col("n") < 1) | ~F.coalesce("fits", F.lit(False)))
+    if not bad.isEmpty():
+        raise ValueError(f"queries must have 1 to {SCOPES} institutions and vectors of {dim} components")
+    near = hamming_topk(queries.select("query_id", "scope", "code"), vecs.select("id", "scope", "code"), r)
+    return rescore(near, queries.select("query_id", "v").dropDuplicates(["query_id"]), vecs, least, k)
+
+
 def fit_thresholds(vecs: DataFrame, sample: Column) -> DataFrame:
     """The median absolute value of each dimension over the sampled rows: dim, threshold."""
     return vecs.filter(sample).select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.percentile(F.abs(F.col("x").cast("double")), 0.5).alias("threshold"))
@@ -125,15 +156,20 @@ def hash_encoder(texts: list[str], dim: int = 16) -> list[list[float]]:
 
 
 def embed(df: DataFrame, encoder: Callable[[list[str]], list[list[float]]] = hash_encoder, batch: int = 32) -> DataFrame:
-    """df(input) -> distinct input, v: each text once, at most ``batch`` a call."""
+    """df(input, high_risk: optional, null as true) -> input, high_risk, v. Only masked texts reach the encoder, each of
+    them once, at most ``batch`` a call; without high_risk all inputs count as of high risk. What is kept beside the
+    vector is the input as it was."""
+    risk = F.coalesce("high_risk", F.lit(True)) if "high_risk" in df.columns else F.lit(True)
+    inputs = df.select("input", risk.alias("high_risk")).distinct().withColumn("masked", mask_text(F.col("input"), F.col("high_risk")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            texts = f["input"].tolist()
+            texts = f["masked"].tolist()
             vectors = [v for k in range(0, len(texts), batch) for v in encoder(texts[k : k + batch])]
-            yield pd.DataFrame({"input": texts, "v": vectors})
+            yield pd.DataFrame({"masked": texts, "v": vectors})
 
-    return df.select("input").distinct().mapInPandas(run, "input string, v array<double>")
+    vectors = inputs.select("masked").filter("masked is not null").distinct().mapInPandas(run, "masked string, v array<double>")
+    return inputs.join(vectors, "masked").select("input", "high_risk", "v")
 
 
 def save_vectors(items: DataFrame, existing: DataFrame, made: DataFrame) -> DataFrame:
@@ -185,3 +221,16 @@ def recall_at_k(ranked: DataFrame, judged: DataFrame, ks: list[int]) -> DataFram
     places = judged.join(ranked.select("query_id", "id", "rank"), ["query_id", "id"], "left")
     each = places.groupBy("query_id").agg(*((F.count_if(F.col("rank") <= k) / F.count("*")).alias(f"r{k}") for k in ks))
     return each.agg(*(F.round(F.avg(f"r{k}"), 6).alias(f"recall_{k}") for k in ks))
+
+
+def weight_sweep(lexical: DataFrame, semantic: DataFrame, judged: DataFrame, weights: list[float], ks: list[int]) -> DataFrame:
+    """lexical and semantic (query_id, id, score), judged(query_id, id) -> weight and the recalls of the ranking that each
+    weight of the lexical score makes. Weights are a short list; each pair is ranked once for each of them."""
+    both = lexical.select("query_id", "id", F.col("score").alias("l")).join(semantic.select("query_id", "id", F.col("score").alias("s")), ["query_id", "id"], "full_outer")
+    spread = both.withColumn("weight", F.explode(F.array(*(F.lit(float(w)) for w in weights))))
+    fused = F.round((F.col("weight") * F.coalesce("l", F.lit(0.0)) + (1 - F.col("weight")) * F.coalesce("s", F.lit(0.0))).cast("decimal(20,12)"), 6)
+    placed = spread.withColumn("rank", F.row_number().over(Window.partitionBy("weight", "query_id").orderBy(fused.desc(), F.desc("id")))).filter(F.col("rank") <= max(ks))
+    wanted = judged.select("query_id", "id").withColumn("weight", F.explode(F.array(*(F.lit(float(w)) for w in weights))))
+    found = wanted.join(placed.select("weight", "query_id", "id", "rank"), ["weight", "query_id", "id"], "left")
+    each = found.groupBy("weight", "query_id").agg(*((F.count_if(F.col("rank") <= k) / F.count("*")).alias(f"r{k}") for k in ks))
+    return each.groupBy("weight").agg(*(F.round(F.avg(f"r{k}"), 6).alias(f"recall_{k}") for k in ks))

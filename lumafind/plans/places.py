@@ -72,16 +72,31 @@ def apply_lookups(spark, sf):
     return P.apply_lookups(items, lookups, ["atc_id", "found_sequence"]).select("id", "location_id", "status")
 
 
-@query("D8_lookup_stats", "WITH e AS (SELECT user_id, count(*) AS n, bool_or(event_type = 'purchase') AS ok, count(*) FILTER (event_type <> 'purchase') AS bad FROM events GROUP BY 1) SELECT count(*) AS requested, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (n > 1) AS retried, CAST(sum(bad) AS BIGINT) AS failed_attempts FROM e")
+@query("D8_lookup_stats", "WITH e AS (SELECT user_id, count(*) AS n, bool_or(event_type = 'purchase') AS ok, count(*) FILTER (event_type <> 'purchase') AS bad FROM events GROUP BY 1) SELECT (SELECT count(*) FROM customer) AS eligible, count(*) AS requested, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM e)) AS deferred, count(*) FILTER (n > 1) AS retried, CAST(sum(bad) AS BIGINT) AS failed_attempts FROM e")
 def lookup_stats(spark, sf):
+    """Every customer is eligible; events are the attempts of those who have any."""
+    e, c = tables(spark, sf, "events", "customer")
+    return P.lookup_stats(e.select("user_id", (F.col("event_type") == "purchase").alias("ok")), ["user_id"], c.select(F.col("c_custkey").alias("user_id")))
+
+
+@query("D8_lookup_failures", "SELECT event_type AS reason, count(*) AS attempts FROM events WHERE event_type <> 'purchase' GROUP BY 1")
+def lookup_failures(spark, sf):
     (e,) = tables(spark, sf, "events")
-    return P.lookup_stats(e.select("user_id", (F.col("event_type") == "purchase").alias("ok")), ["user_id"])
+    return P.lookup_failures(e.select((F.col("event_type") == "purchase").alias("ok"), F.col("event_type").alias("reason")))
+
+
+#: Checked departments abroad, at home with a rule (the language, at the item's own institution) and without one.
+CUSTODY = f"SELECT id, item_source_code, status, storage_location_id AS location_id, '주독일 대사관' AS raw_storage_name, CASE WHEN id % 4 <> 0 THEN DATE '2024-02-01' END AS detail_checked_at, CASE WHEN id % 3 = 0 THEN '주독일 대사관' WHEN id % 3 = 1 THEN color_name ELSE '' END AS detail_department, CAST(storage_location_id AS STRING) AS detail_org FROM ({ITEMS}) x"
 
 
-@query("D9_apply_overseas", f"WITH i AS ({ITEMS}) SELECT id, CASE WHEN item_source_code = 'partner_api' AND id % 3 = 0 THEN 'excluded_overseas' WHEN status = 'excluded_overseas' THEN 'unmatched' ELSE status END AS status, CASE WHEN NOT (item_source_code = 'partner_api' AND id % 3 = 0) THEN storage_location_id END AS location_id FROM i")
+@query("D9_apply_overseas", f"""WITH i AS ({CUSTODY}), r AS (SELECT DISTINCT item_source_code, color_name AS place, CAST(storage_location_id AS VARCHAR) AS org, storage_location_id AS rule FROM ({ITEMS}) y JOIN ({INSTITUTIONS}) l ON l.id = storage_location_id AND is_active WHERE color_name IS NOT NULL AND color_name <> 'es'),
+ w AS (SELECT i.*, item_source_code = 'partner_api' AND CASE WHEN detail_checked_at IS NULL THEN true ELSE coalesce(nullif(trim(detail_department), ''), raw_storage_name) = '주독일 대사관' END AS away FROM i)
+ SELECT id, CASE WHEN away THEN 'excluded_overseas' WHEN w.status = 'excluded_overseas' THEN CASE WHEN detail_checked_at IS NOT NULL AND rule IS NOT NULL THEN 'matched' ELSE 'unmatched' END ELSE w.status END AS status, CASE WHEN away THEN NULL WHEN w.status = 'excluded_overseas' THEN CASE WHEN detail_checked_at IS NOT NULL THEN rule END ELSE location_id END AS location_id
+ FROM w LEFT JOIN r ON r.item_source_code = w.item_source_code AND r.place = detail_department AND r.org = detail_org""")
 def apply_overseas(spark, sf):
-    items = frame(spark, sf, ITEMS).withColumn("detail_department", F.expr("if(id % 3 = 0, '주독일 대사관', if(id % 2 = 0, 'x', ''))")).withColumn("raw_storage_name", F.lit("x")).withColumnRenamed("storage_location_id", "location_id")
-    return P.apply_overseas(items).select("id", "status", "location_id")
+    items = frame(spark, sf, ITEMS)
+    rules = items.filter("color_name is not null and color_name <> 'es'").select("item_source_code", F.col("color_name").alias("normalized_place"), F.col("storage_location_id").cast("string").alias("detail_org"), F.col("storage_location_id").alias("location_id")).distinct()
+    return P.apply_overseas(frame(spark, sf, CUSTODY), rules, frame(spark, sf, INSTITUTIONS)).select("id", "status", "location_id")
 
 
 @query("D10_category_links", "SELECT doc_id, CASE WHEN source <> 'src3' THEN CAST(substr(source, 4) AS INT) END AS subcategory FROM documents")

@@ -166,7 +166,7 @@ def ranked_page(spark, sf):
     return R.ranked_page(scored(spark, sf), 0, 10)
 
 
-@query("F14_list_items", f"WITH {DOCS}, {QUERIES}, r AS (SELECT query_id, d.id, location_id, registered_on, row_number() OVER (PARTITION BY query_id ORDER BY registered_on DESC, d.id DESC) AS rank FROM s JOIN d USING (location_id) WHERE query_id % 2 = 0 OR (registered_on, d.id) < (DATE '2024-09-01', 500)) SELECT * FROM r WHERE rank <= 25")
+@query("F14_list_items", f"WITH {DOCS}, {QUERIES}, r AS (SELECT query_id, d.id, location_id, registered_on, row_number() OVER (PARTITION BY query_id ORDER BY registered_on DESC, d.id DESC) AS rank FROM s JOIN d USING (location_id) WHERE query_id % 2 = 0 OR (registered_on, d.id) < (DATE '2024-09-01', 500)), n AS (SELECT query_id, count(*) AS total FROM s JOIN d USING (location_id) WHERE query_id % 2 = 0 GROUP BY 1) SELECT r.*, total FROM r LEFT JOIN n USING (query_id) WHERE rank <= 25")
 def list_items(spark, sf):
     queries, scope, _ = inputs(spark, sf)
     before = queries.filter("query_id % 2 = 1").select("query_id", F.lit("2024-09-01").cast("date").alias("before_day"), F.lit(500).cast("long").alias("before_id"))

@@ -34,6 +34,17 @@ def valid_vectors(spark, sf):
     return V.valid_vectors(broken, DIM).select("id", "valid")
 
 
+#: Fifty vectors an answer; in some a vector is zero or an index comes twice, and some never came.
+ANSWERS = "SELECT CAST(floor(vec_id / 50) AS BIGINT) AS batch, CASE WHEN vec_id % 101 = 5 THEN vec_id % 50 - 1 ELSE vec_id % 50 END AS index, vec_id % 97 = 0 AS broken, embedding AS v FROM embeddings WHERE floor(vec_id / 50) % 7 <> 6"
+
+
+@query("G1_valid_batches", f"WITH x AS (SELECT DISTINCT CAST(floor(vec_id / 50) AS BIGINT) AS batch FROM embeddings), a AS (SELECT batch, count(*) = 50 AND count(DISTINCT a.index) = 50 AND min(a.index) = 0 AND max(a.index) = 49 AND NOT bool_or(broken) AS ok FROM ({ANSWERS}) a GROUP BY 1) SELECT x.batch, coalesce(ok, false) AS complete FROM x LEFT JOIN a USING (batch)")
+def valid_batches(spark, sf):
+    got = frame(spark, sf, ANSWERS).withColumn("v", F.expr("if(broken, transform(v, x -> float(0)), v)"))
+    asked = frame(spark, sf, VECS).select(F.expr("id div 50").alias("batch")).distinct().withColumn("n", F.lit(50))
+    return V.valid_batches(got, asked, DIM)
+
+
 @query("G2_binarize", "SELECT vec_id AS id, [CAST(list_sum(list_transform(range(1, 33), lambda i: CAST(embedding[i] > 0 AS BIGINT) << (32 - i))) AS BIGINT), CAST(list_sum(list_transform(range(33, 65), lambda i: CAST(embedding[i] > 0 AS BIGINT) << (64 - i))) AS BIGINT)] AS code FROM embeddings")
 def binarize(spark, sf):
     return coded(spark, sf)[0].select("id", "code")
@@ -48,7 +59,7 @@ def hamming_topk(spark, sf):
 @query("G4_rescore", HAM + f", s AS (SELECT t.query_id, t.id, {COS.format(a='q.v', b='e.v')} AS cos FROM t JOIN q USING (query_id) JOIN e ON e.id = t.id WHERE rank <= 20) SELECT query_id, id, cos, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id DESC) AS rank FROM s WHERE cos >= 0.1 QUALIFY rank <= 10")
 def rescore(spark, sf):
     v, q = coded(spark, sf)
-    return V.rescore(V.hamming_topk(q.select("query_id", "scope", "code"), v.select("id", "scope", "code"), 20), q, v, 0.1, 10)
+    return V.semantic_topk(q, v, DIM, 0.1, 10, 20)
 
 
 @query("G5_exact_topk", EXACT.format(0.2) + " SELECT query_id, id, cos, rank FROM x WHERE rank <= 10")
@@ -116,7 +127,7 @@ def reuse_vectors(spark, sf):
     return V.reuse_vectors(items.filter("id % 4 = 0"), old, 2).select("id", "input", "hash")
 
 
-@query("G11_embed", "SELECT DISTINCT text AS input, 16 AS n, 1.0::DOUBLE AS norm FROM documents")
+@query("G11_embed", "SELECT DISTINCT text AS input, 16 AS n, 1.0::DOUBLE AS norm FROM documents WHERE text IS NOT NULL")
 def embed(spark, sf):
     (d,) = tables(spark, sf, "documents")
     return V.embed(d.select(F.col("text").alias("input"))).select("input", F.size("v").alias("n"), F.round(V.dot(F.col("v"), F.col("v")), 6).alias("norm"))
@@ -171,3 +182,16 @@ def recall_at_k(spark, sf):
     v, q = vecs(spark, sf)
     judged = q.select("query_id", "scope").join(v.filter("id % 9 = 0").select("id", "scope"), "scope").select("query_id", "id")
     return V.recall_at_k(V.exact_topk(q, v, -1.0, 1000), judged, [5, 20])
+
+
+WEIGHTS = [k / 100 for k in range(50, 101, 10)]
+
+
+@query("G16_weight_sweep", BASE + f", p AS (SELECT query_id, e.id, {COS.format(a='q.v', b='e.v')} AS s, 1 - list_sum(list_transform(range(1, 65), lambda i: CAST((q.v[i] > 0) <> (e.v[i] > 0) AS INT))) / 64.0::DOUBLE AS l FROM q JOIN e USING (scope)), w AS (SELECT p.*, weight, row_number() OVER (PARTITION BY weight, query_id ORDER BY round(CAST(weight * l + (1 - weight) * s AS DECIMAL(20, 12)), 6) DESC, id DESC) AS rank FROM p, (SELECT unnest([{', '.join(f'{w}::DOUBLE' for w in WEIGHTS)}]) AS weight) z) SELECT weight, round(avg(a), 6) AS recall_5, round(avg(b), 6) AS recall_20 FROM (SELECT weight, query_id, count(*) FILTER (rank <= 5) / count(*) AS a, count(*) FILTER (rank <= 20) / count(*) AS b FROM w WHERE id % 9 = 0 GROUP BY 1, 2) y GROUP BY 1")
+def weight_sweep(spark, sf):
+    """Nearness of one-bit codes in the lexical score's place, cosines as the semantic one."""
+    v, q = coded(spark, sf)
+    codes = V.hamming_topk(q.select("query_id", "scope", "code"), v.select("id", "scope", "code"), 1 << 30).select("query_id", "id", (1 - F.col("distance") / DIM).alias("score"))
+    pairs = q.select("query_id", "scope", F.col("v").alias("a")).join(v.select("id", "scope", F.col("v").alias("b")), "scope")
+    cosines = pairs.select("query_id", "id", F.round(V.cosine(F.col("a"), F.col("b")), 6).alias("score"))
+    return V.weight_sweep(codes, cosines, pairs.filter("id % 9 = 0"), WEIGHTS, [5, 20])
