@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -14,7 +15,7 @@ from ..functions.scalars import KST
 from ..functions.terms import Dictionary
 from ..sources.staged import staged
 from .conditions import Conditions, meets, mentions, wanted
-from .places import within_radius
+from .places import nearest_place, within_radius
 from .search import Index, candidates, lexical, prepared
 
 RADII = (1000, 1500, 2000)
@@ -182,11 +183,19 @@ def claim_batch(messages: DataFrame, now: str, limit: int, cap: int) -> DataFram
     return place.crossJoin(F.broadcast(spent)).filter(F.col("__place") <= F.lit(cap) - F.col("__spent")).select("id", "kind", (F.col("attempts") + 1).alias("attempts"), F.col("__place").alias("place"))
 
 
-def payloads(messages: DataFrame, notified: DataFrame, items: DataFrame, places: DataFrame) -> DataFrame:
-    """Each message with its items, by score, date and id from the top, and its places in order."""
-    rows = messages.select("id", "reservation_id").join(notified, "reservation_id").join(items.select(F.col("id").alias("item_id"), "item_name", "registered_on"), "item_id")
-    key = F.struct(F.coalesce(F.col("score"), F.lit(-1.0)).alias("score"), "registered_on", "item_id", "item_name")
-    listed = rows.groupBy("id", "reservation_id").agg(F.sort_array(F.collect_list(key), asc=False).alias("items"))
+def payloads(messages: DataFrame, notified: DataFrame, items: DataFrame, places: DataFrame, locations: DataFrame) -> DataFrame:
+    """messages(id, reservation_id), notified(reservation_id, item_id, score), items(id, item_name, raw_category_name,
+    color_name, registered_on, location_id), places(query_id, position, place_name, latitude, longitude), locations(id,
+    name, latitude, longitude) -> each message with its items, by score (none last), date and id from the top, each
+    with its institution and the nearest of the reservation's places, and the places in order. A message is one row."""
+    at = locations.select(F.col("id").alias("location_id"), F.col("name").alias("location_name"), "latitude", "longitude")
+    detail = items.select(F.col("id").alias("item_id"), "item_name", "raw_category_name", "color_name", "registered_on", "location_id").join(at, "location_id", "left")
+    pairs = notified.join(messages.select("reservation_id").distinct(), "reservation_id", "left_semi").join(detail, "item_id")
+    near = nearest_place(pairs.filter("latitude is not null").select(F.col("reservation_id").alias("query_id"), "item_id", "latitude", "longitude"), places)
+    full = pairs.join(near.select(F.col("query_id").alias("reservation_id"), "item_id", F.col("place_name").alias("near_place_name")), ["reservation_id", "item_id"], "left")
+    item = F.struct("score", "registered_on", "item_id", "item_name", "raw_category_name", "color_name", "location_name", "near_place_name")
+    listed = messages.select("id", "reservation_id").join(full.select("reservation_id", item.alias("item")), "reservation_id", "left").groupBy("id", "reservation_id")
+    listed = listed.agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
     where = places.groupBy(F.col("query_id").alias("reservation_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "place_name"))), lambda p: p["place_name"]).alias("places"))
     return listed.join(where, "reservation_id", "left")
 
@@ -208,16 +217,31 @@ def sendable(messages: DataFrame, reservations: DataFrame, now: str) -> DataFram
     return messages.join(r, "reservation_id", "left").withColumn("sendable", F.coalesce(ok, F.lit(False))).drop("__status", "__created")
 
 
-def close_ended(reservations: DataFrame, messages: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
-    """(reservations with expired and unconfirmed ones closed and their mail cleared, messages without the pending
-    ones of closed reservations)."""
-    expired = (F.col("status") == "active") & (F.col("expires_at") <= ts(now))
-    late = (F.col("status") == "pending") & (F.col("created_at") <= ts(now) - F.expr(DAY))
-    status = F.when(expired, "expired").when(late, "unconfirmed").otherwise(F.col("status"))
-    closed = reservations.withColumn("status", status).withColumn("email", F.when(F.col("status").isin("active", "pending"), F.col("email")))
-    gone = closed.filter("status not in ('active', 'pending')").select(F.col("id").alias("reservation_id"))
-    waiting = messages.filter("status = 'pending'").join(gone, "reservation_id", "left_anti")
-    return closed, messages.filter("status <> 'pending'").unionByName(waiting.select(*messages.columns))
+class Closed(NamedTuple):
+    """What closing leaves: all reservations, messages, the log of requests, and one row of counts."""
+
+    reservations: DataFrame
+    messages: DataFrame
+    log: DataFrame
+    counts: DataFrame
+
+
+def close_ended(reservations: DataFrame, messages: DataFrame, log: DataFrame, now: str) -> Closed:
+    """reservations(id, status, email, created_at, expires_at), messages(reservation_id, status), log(address, at): active
+    ones past their expiry become expired, pending ones of 24 hours unconfirmed, both without their mail and their
+    pending messages; entries of the log of 24 hours go. Reservations closed before keep what they have."""
+    time = ts(now)
+    expired = (F.col("status") == "active") & (F.col("expires_at") <= time)
+    late = (F.col("status") == "pending") & (F.col("created_at") <= time - F.expr(DAY))
+    ends = F.when(expired, "expired").when(late, "unconfirmed")
+    closed = reservations.withColumn("__ends", ends)
+    closing = closed.filter("__ends is not null").select(F.col("id").alias("reservation_id"), F.lit(True).alias("__closing"))
+    marked = messages.join(closing, "reservation_id", "left").withColumn("__drop", F.coalesce("__closing", F.lit(False)) & (F.col("status") == "pending"))
+    old = F.col("at") <= time - F.expr(DAY)
+    counts = closed.agg(F.count_if(F.col("__ends") == "expired").alias("expired"), F.count_if(F.col("__ends") == "unconfirmed").alias("unconfirmed_closed"))
+    counts = counts.join(F.broadcast(marked.agg(F.count_if("__drop").alias("messages_dropped")))).join(F.broadcast(log.agg(F.count_if(old).alias("request_log_purged"))))
+    kept = closed.withColumn("status", F.coalesce("__ends", "status")).withColumn("email", F.when(F.col("__ends").isNull(), F.col("email"))).drop("__ends")
+    return Closed(kept, marked.filter(~F.col("__drop")).select(*messages.columns), log.filter(~F.coalesce(old, F.lit(False))), counts)
 
 
 def step(state: dict, command: str, at: pd.Timestamp) -> dict:

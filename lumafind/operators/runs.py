@@ -64,28 +64,50 @@ def finish_status(runs: DataFrame) -> DataFrame:
     return runs.withColumn("status", status).withColumn("retry_at", retry)
 
 
-def audit_projection(items: DataFrame, docs: DataFrame, vecs: DataFrame) -> DataFrame:
-    """One row of mismatch counts between items, their projection and their vectors."""
-    live = items.filter("status = 'matched' and storage_location_id is not null").select("id", F.col("storage_location_id").alias("want"), F.col("hash").alias("want_hash"))
-    joined = live.join(docs.select("id", "location_id", F.lit(True).alias("__doc")), "id", "full_outer").join(vecs.select("id", "content_hash", F.lit(True).alias("__vec")), "id", "left")
-    both = F.col("want").isNotNull() & F.col("__doc").isNotNull()
-    return joined.agg(
-        F.count_if(F.col("want").isNotNull() & F.col("__doc").isNull()).alias("missing"),
-        F.count_if(F.col("want").isNull() & F.col("__doc").isNotNull()).alias("stale"),
-        F.count_if(both & (F.col("want") != F.col("location_id"))).alias("scope_mismatch"),
-        F.count_if(F.col("__vec").isNotNull() & F.col("want").isNotNull() & (F.col("content_hash") != F.col("want_hash"))).alias("hash_mismatch"),
+def audit_projection(items: DataFrame, docs: DataFrame, vecs: DataFrame, sources: DataFrame, sample: int = 100, tolerance: float = 0.0) -> DataFrame:
+    """items(id, status, storage_location_id), docs(id, location_id, content_hash), vecs(id, location_id, content_hash, v: as
+    kept for search), sources(id, content_hash, is_current, v: as embedded) -> one row of counts: documents, vectors,
+    missing documents, documents out of scope, stale vectors, documents and vectors that differ in hash or scope, and, of
+    the ``sample`` documents with the least and the largest hash of their id, how many have a vector and how many of
+    these differ in any component by more than ``tolerance``. All but the sample are counts over all rows; the sample is
+    the same on every run and at any partitioning."""
+    one = lambda df, name: df.withColumn(name, F.lit(True))
+    i = one(items.select("id", "status", "storage_location_id"), "has_item")
+    d = one(docs.select("id", F.col("location_id").alias("doc_location"), F.col("content_hash").alias("doc_hash")), "has_doc")
+    v = one(vecs.select("id", F.col("location_id").alias("vec_location"), F.col("content_hash").alias("vec_hash")), "has_vec")
+    e = one(sources.select("id", "is_current", F.col("content_hash").alias("source_hash")), "has_source")
+    rows = i.join(d, "id", "full_outer").join(v, "id", "full_outer").join(e, "id", "left")
+    live = (F.col("status") == "matched") & F.col("storage_location_id").isNotNull()
+    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    counts = rows.agg(
+        F.count("has_doc").alias("documents"), F.count("has_vec").alias("vectors"), F.count_if(live & F.col("has_doc").isNull()).alias("missing_documents"),
+        F.count_if(F.col("has_doc") & F.col("has_item") & (differs("doc_location", "storage_location_id") | (F.col("status") != "matched"))).alias("scope_mismatch"),
+        F.count_if(F.col("has_vec") & F.col("has_source") & (~F.col("is_current") | (F.col("vec_hash") != F.col("source_hash")))).alias("stale_vectors"),
+        F.count_if(F.col("has_doc") & F.col("has_vec") & ((F.col("doc_hash") != F.col("vec_hash")) | differs("doc_location", "vec_location"))).alias("hash_mismatch"),
     )
+    drawn = docs.select("id").distinct().withColumn("draw", F.md5(F.col("id").cast("string").cast("binary")))
+    ends = drawn.orderBy("draw", "id").limit(sample).union(drawn.orderBy(F.desc("draw"), F.desc("id")).limit(sample)).select("id").distinct()
+    pairs = ends.join(vecs.select("id", F.col("v").alias("a")), "id").join(sources.select("id", F.col("v").alias("b")), "id")
+    apart = (F.size("a") != F.size("b")) | F.exists(F.zip_with("a", "b", lambda x, y: F.coalesce(F.abs(x.cast("double") - y.cast("double")) > tolerance, F.lit(True))), lambda x: x)
+    sampled = pairs.agg(F.count("*").alias("sampled"), F.count_if(F.coalesce(apart, F.lit(True))).alias("vector_mismatch"))
+    return counts.join(F.broadcast(sampled))
 
 
 def thumbnail_tasks(items: DataFrame, tasks: DataFrame, now: str) -> DataFrame:
-    """Tasks with an action: add for photos without one, delete for items that are gone, keep else."""
+    """Tasks with an action: add for photos without one, delete for items that are gone, keep else; and when it is due."""
     want = items.filter(has_photo(F.col("image_url"))).select("id", F.concat(F.col("id").cast("string"), F.lit("/"), F.sha2("image_url", 256), F.lit(".jpg")).alias("object_key"))
     have = tasks.select("id", "object_key", "retry_after", F.lit(True).alias("__have"))
     alive = items.select("id", F.lit(True).alias("__alive"))
     joined = want.withColumn("__want", F.lit(True)).join(have, ["id", "object_key"], "full_outer").join(alive, "id", "left")
     action = F.when(F.col("__have").isNull(), "add").when(F.col("__alive").isNull(), "delete").otherwise("keep")
     due = F.coalesce(F.col("retry_after") <= F.lit(now).cast("timestamp"), F.lit(True))
-    return joined.select("id", "object_key", action.alias("action"), due.alias("due"))
+    return joined.select("id", "object_key", action.alias("action"), due.alias("due"), "retry_after")
+
+
+def next_tasks(tasks: DataFrame, limit: int) -> DataFrame:
+    """Of thumbnail_tasks the next ones to work on: due additions and deletions, those without a time first, then by retry
+    time, id and key; at most ``limit``."""
+    return tasks.filter("due and action <> 'keep'").orderBy(F.asc_nulls_first("retry_after"), "id", "object_key").limit(limit)
 
 
 def sessionize(events: DataFrame, gap: str = "30 minutes", most: int = 100) -> DataFrame:

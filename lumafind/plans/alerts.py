@@ -173,12 +173,20 @@ def claim_batch(spark, sf):
     return A.claim_batch(messages(spark, sf), NOW, 300, 20000)
 
 
-@query("I12_payloads", f"WITH m AS ({MSG}), p AS ({PLACES}), n AS (SELECT o_custkey AS reservation_id, doc_id AS item_id, max(CAST(o_shippriority_ AS DOUBLE)) AS score FROM (SELECT o_custkey, o_orderkey AS d, o_orderkey % 7 AS o_shippriority_ FROM orders) o JOIN documents ON doc_id = d GROUP BY 1, 2), w AS (SELECT m.id, m.reservation_id, list(n.item_id ORDER BY score DESC, DATE '2024-01-01' + CAST(n.item_id % 300 AS INT) DESC, n.item_id DESC) AS items FROM m JOIN n USING (reservation_id) WHERE m.status = 'sending' GROUP BY 1, 2) SELECT w.id, array_to_string(items, ',') AS items, (SELECT count(*) FROM p WHERE query_id = w.reservation_id) AS n_places FROM w")
+#: Orders of an item's number notified it to their customer; of every fifth the score is unknown.
+NOTIFIED = "SELECT CAST(o_custkey AS BIGINT) AS reservation_id, CAST(o_orderkey AS BIGINT) AS item_id, CASE WHEN o_orderkey % 5 <> 0 THEN round(o_totalprice / 1000000, 6) END AS score FROM orders JOIN documents ON doc_id = o_orderkey"
+NEAR = DIST.replace("l.latitude", "g.latitude").replace("l.longitude", "g.longitude")
+
+
+@query("I12_payloads", f"""WITH m AS ({MSG}), p AS ({PLACES}), l AS ({INSTITUTIONS}), i AS ({ITEMS}), n AS ({NOTIFIED}),
+ g AS (SELECT n.*, item_name, registered_on, name, latitude, longitude FROM n JOIN i ON i.id = item_id LEFT JOIN l ON l.id = storage_location_id),
+ w AS (SELECT g.reservation_id, g.item_id, g.score, g.registered_on, g.name, (SELECT place_name FROM p WHERE p.query_id = g.reservation_id AND g.latitude IS NOT NULL ORDER BY round({NEAR}, 6), position LIMIT 1) AS near FROM g)
+ SELECT m.id, coalesce(string_agg(w.item_id || ':' || coalesce(w.name, '-') || ':' || coalesce(near, '-'), ',' ORDER BY w.score DESC NULLS LAST, w.registered_on DESC, w.item_id DESC), '') AS items, (SELECT string_agg(place_name, ',' ORDER BY position) FROM p WHERE p.query_id = m.reservation_id) AS places FROM m LEFT JOIN w USING (reservation_id) WHERE m.status = 'sending' GROUP BY m.id, m.reservation_id""")
 def payloads(spark, sf):
-    o, d = tables(spark, sf, "orders", "documents")
-    notified = o.select(F.col("o_custkey").alias("reservation_id"), F.col("o_orderkey").alias("item_id"), (F.col("o_orderkey") % 7).cast("double").alias("score")).join(d.select(F.col("doc_id").alias("item_id")), "item_id").groupBy("reservation_id", "item_id").agg(F.max("score").alias("score"))
-    rows = A.payloads(messages(spark, sf).filter("status = 'sending'"), notified, frame(spark, sf, ITEMS), frame(spark, sf, PLACES))
-    return rows.select("id", F.array_join(F.transform("items", lambda x: x["item_id"].cast("string")), ",").alias("items"), F.size("places").cast("long").alias("n_places"))
+    items = frame(spark, sf, ITEMS).withColumnRenamed("storage_location_id", "location_id")
+    rows = A.payloads(messages(spark, sf).filter("status = 'sending'"), frame(spark, sf, NOTIFIED), items, frame(spark, sf, PLACES), frame(spark, sf, INSTITUTIONS))
+    told = F.transform("items", lambda x: F.concat_ws(":", x["item_id"].cast("string"), F.coalesce(x["location_name"], F.lit("-")), F.coalesce(x["near_place_name"], F.lit("-"))))
+    return rows.select("id", F.array_join(told, ",").alias("items"), F.array_join("places", ",").alias("places"))
 
 
 @query("I13_apply_outcomes", f"WITH m AS ({MSG}) SELECT id, CASE WHEN status <> 'sending' THEN status WHEN id % 4 = 0 THEN 'sent' WHEN id % 4 = 1 THEN 'failed' WHEN id % 4 = 2 THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE status END AS status FROM m")
@@ -193,10 +201,25 @@ def sendable(spark, sf):
     return A.sendable(messages(spark, sf), reservations(spark, sf), NOW).select("id", "sendable")
 
 
-@query("I14_close_ended", f"WITH m AS ({MSG}), r AS ({RES}), c AS (SELECT id, CASE WHEN status = 'active' AND expires_at <= TIMESTAMP '{NOW}' THEN 'expired' WHEN status = 'pending' AND created_at <= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR THEN 'unconfirmed' ELSE status END AS status, email FROM r) SELECT c.status, count(*) AS n, count(CASE WHEN status IN ('active', 'pending') THEN email END) AS mails, (SELECT count(*) FROM m LEFT JOIN c x ON x.id = m.reservation_id WHERE m.status <> 'pending' OR x.id IS NULL OR x.status IN ('active', 'pending')) AS messages FROM c GROUP BY 1")
+CLOSING = f"m AS ({MSG}), r AS ({RES}), g AS ({REQUESTS}), c AS (SELECT *, CASE WHEN status = 'active' AND expires_at <= TIMESTAMP '{NOW}' THEN 'expired' WHEN status = 'pending' AND created_at <= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR THEN 'unconfirmed' END AS ends FROM r)"
+#: Request times are of the first days of June; the log is purged as of then.
+LOGGED = "2024-06-03 00:00:00"
+
+
+def closed(spark, sf):
+    log = timed(spark, sf, REQUESTS).select("address", (F.col("at") + F.expr(f"timestamp '{NOW}' - timestamp '{LOGGED}'")).alias("at"))
+    return A.close_ended(reservations(spark, sf), messages(spark, sf), log, NOW)
+
+
+@query("I14_close_ended", f"WITH {CLOSING} SELECT coalesce(ends, c.status) AS status, count(*) AS n, count(CASE WHEN ends IS NULL THEN email END) AS mails, (SELECT count(*) FROM m LEFT JOIN c x ON x.id = m.reservation_id WHERE m.status <> 'pending' OR x.ends IS NULL) AS messages FROM c GROUP BY 1")
 def close_ended(spark, sf):
-    closed, left = A.close_ended(reservations(spark, sf), messages(spark, sf), NOW)
-    return closed.groupBy("status").agg(F.count("*").alias("n"), F.count("email").alias("mails")).crossJoin(left.agg(F.count("*").alias("messages")))
+    done = closed(spark, sf)
+    return done.reservations.groupBy("status").agg(F.count("*").alias("n"), F.count("email").alias("mails")).crossJoin(done.messages.agg(F.count("*").alias("messages")))
+
+
+@query("I14_close_counts", f"WITH {CLOSING} SELECT count(*) FILTER (ends = 'expired') AS expired, count(*) FILTER (ends = 'unconfirmed') AS unconfirmed_closed, (SELECT count(*) FROM m JOIN c x ON x.id = m.reservation_id WHERE m.status = 'pending' AND ends IS NOT NULL) AS messages_dropped, (SELECT count(*) FROM g WHERE \"at\" <= TIMESTAMP '{LOGGED}' - INTERVAL 24 HOUR) AS request_log_purged FROM c")
+def close_counts(spark, sf):
+    return closed(spark, sf).counts
 
 
 def commands(spark, sf):

@@ -73,6 +73,26 @@ def table_io(spark, sf):
     return P.read_table(spark, out).filter("month >= '2024-03'").select("id", "registered_on", "status", F.col("month").cast("string").alias("month"))
 
 
+@query("A7_load_dictionaries", "SELECT 'kind' AS source, p_type AS name, p_name AS term, false AS hint, '' AS scope FROM part GROUP BY ALL UNION ALL SELECT 'kind', p_type, p_brand, true, '' FROM part GROUP BY ALL UNION ALL SELECT 'synonym', p_brand, p_name, false, p_type FROM (SELECT p_brand, p_name, min(p_type) AS p_type FROM part GROUP BY ALL) x UNION ALL SELECT 'excluded', 'word', p_name, false, '' FROM part GROUP BY ALL")
+def load_dictionaries(spark, sf):
+    """Dictionaries written from the parts' names, as JSON documents, and loaded as flat tables."""
+    (p,) = tables(spark, sf, "part")
+    listed = lambda c: F.array_sort(F.collect_set(c))
+    kinds = p.groupBy(F.col("p_type").alias("name")).agg(F.array().cast("array<string>").alias("categories"), listed("p_name").alias("terms"), listed("p_brand").alias("brands"))
+    whole = kinds.agg(F.collect_list(F.struct("name", "categories", "terms")).alias("kinds"), F.map_from_entries(F.collect_list(F.struct("name", "brands"))).alias("hints"))
+    named = p.groupBy("p_brand", "p_name").agg(F.min("p_type").alias("p_type"))
+    concepts = named.agg(F.collect_list(F.struct(F.lit("item").alias("domain"), F.col("p_brand").alias("canonical"), F.array("p_name").alias("terms"), F.array("p_type").alias("scope"))).alias("concepts"))
+    words = p.agg(F.map_from_arrays(F.array(F.lit("word")), F.array(listed("p_name"))).alias("exclusions"))
+    paths = {}
+    for name, df in (("kinds", whole), ("concepts", concepts), ("exclusions", words)):
+        paths[name] = shared(spark, name)
+        df.write.json(paths[name])
+    kind = P.load_kinds(spark, paths["kinds"]).select(F.lit("kind").alias("source"), F.col("kind").alias("name"), "term", "hint", F.lit("").alias("scope"))
+    synonym = P.load_synonyms(spark, paths["concepts"]).select(F.lit("synonym").alias("source"), F.col("canonical").alias("name"), "term", F.lit(False).alias("hint"), F.array_join("scope", ",").alias("scope"))
+    excluded = P.load_exclusions(spark, paths["exclusions"]).select(F.lit("excluded").alias("source"), F.col("list").alias("name"), "term", F.lit(False).alias("hint"), F.lit("").alias("scope"))
+    return kind.union(synonym).union(excluded)
+
+
 @query("A8_apply_reviewed", f"WITH i AS ({INSTITUTIONS}), r AS (SELECT id + 5 AS id, concat(name, CASE WHEN id % 3 = 0 THEN 'x' ELSE '' END) AS name FROM i) SELECT r.id, r.name, CASE WHEN i.id IS NULL THEN 'insert' ELSE 'conflict' END AS kind FROM r LEFT JOIN i USING (id) WHERE i.id IS NULL OR i.name <> r.name")
 def apply_reviewed(spark, sf):
     old = frame(spark, sf, INSTITUTIONS).select("id", "name")

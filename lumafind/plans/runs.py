@@ -57,23 +57,38 @@ def finish_status(spark, sf):
     return J.finish_status(rows).select("id", "status", "retry_at")
 
 
-@query("J7_audit_projection", f"WITH i AS (SELECT * FROM ({ITEMS}) x) SELECT count(*) FILTER (status = 'matched' AND id % 10 = 0) AS missing, count(*) FILTER (status <> 'matched' AND id % 10 <> 0) AS stale, count(*) FILTER (status = 'matched' AND id % 10 = 1) AS scope_mismatch, count(*) FILTER (status = 'matched' AND id % 3 = 0 AND id % 2 = 0) AS hash_mismatch FROM i")
+#: Items with a document and a vector each, some of them out of step: where, the hash, the flag or a component.
+KEPT = f"SELECT x.id, status, storage_location_id, CASE WHEN x.id % 10 = 1 THEN storage_location_id + 1 ELSE storage_location_id END AS location_id, CASE WHEN x.id % 14 = 3 THEN 'old' ELSE item_name END AS hash, x.id % 10 <> 0 AS has_doc, e.vec_id IS NOT NULL AND x.id % 9 <> 0 AS has_vec, CASE WHEN x.id % 15 = 2 THEN 'older' ELSE item_name END AS vec_hash, x.id % 8 <> 5 AS is_current, e.embedding, item_name AS source_hash FROM ({ITEMS}) x LEFT JOIN embeddings e ON e.vec_id = x.id"
+
+
+@query("J7_audit_projection", f"""WITH k AS ({KEPT}), h AS (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) AS up, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)) DESC, id DESC) AS down FROM k WHERE has_doc)
+ SELECT count(*) FILTER (has_doc) AS documents, count(*) FILTER (has_vec) AS vectors, count(*) FILTER (status = 'matched' AND NOT has_doc) AS missing_documents, count(*) FILTER (has_doc AND (location_id <> storage_location_id OR status <> 'matched')) AS scope_mismatch, count(*) FILTER (has_vec AND (NOT is_current OR vec_hash <> source_hash)) AS stale_vectors,
+ count(*) FILTER (has_doc AND has_vec AND (hash <> vec_hash OR location_id <> storage_location_id)) AS hash_mismatch, (SELECT count(*) FROM h JOIN k USING (id) WHERE has_vec AND (up <= 100 OR down <= 100)) AS sampled, (SELECT count(*) FROM h JOIN k USING (id) WHERE has_vec AND (up <= 100 OR down <= 100) AND id % 6 = 1) AS vector_mismatch FROM k""")
 def audit_projection(spark, sf):
-    items = frame(spark, sf, ITEMS).withColumn("hash", F.sha2("item_name", 256))
-    docs = items.filter("id % 10 <> 0").select("id", F.expr("if(id % 10 = 1, storage_location_id + 1, storage_location_id)").alias("location_id"))
-    vecs = items.filter("id % 3 = 0").select("id", F.expr("if(id % 2 = 0, 'other', hash)").alias("content_hash"))
-    return J.audit_projection(items, docs, vecs)
+    k = frame(spark, sf, KEPT)
+    docs = k.filter("has_doc").select("id", "location_id", F.col("hash").alias("content_hash"))
+    vecs = k.filter("has_vec").select("id", F.col("storage_location_id").alias("location_id"), F.col("vec_hash").alias("content_hash"), F.expr("if(id % 6 = 1, transform(embedding, (x, i) -> if(i = 40, x + 0.5, x)), embedding)").alias("v"))
+    return J.audit_projection(k, docs, vecs, k.filter("embedding is not null").select("id", F.col("source_hash").alias("content_hash"), "is_current", F.col("embedding").alias("v")))
 
 
 @query("J8_thumbnail_tasks", "SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN 'keep' ELSE 'add' END AS action, page_id % 2 = 1 OR page_id % 3 = 0 AS due FROM pages WHERE page_id % 5 <> 0 UNION ALL SELECT page_id + 1000000, 'delete', page_id % 3 = 0 FROM pages WHERE page_id % 2 = 0")
 def thumbnail_tasks(spark, sf):
+    return thumbnails(spark, sf).select("id", "action", "due")
+
+
+@query("J8_next_tasks", "SELECT id, action FROM (SELECT page_id AS id, 'add' AS action, NULL::TIMESTAMP AS retry FROM pages WHERE page_id % 5 <> 0 AND page_id % 2 = 1 UNION ALL SELECT page_id + 1000000, 'delete', TIMESTAMP '2024-01-01' + page_id % 7 * INTERVAL 1 DAY FROM pages WHERE page_id % 2 = 0 AND page_id % 3 = 0) x ORDER BY retry NULLS FIRST, id LIMIT 150")
+def next_tasks(spark, sf):
+    return J.next_tasks(thumbnails(spark, sf), 150).select("id", "action")
+
+
+def thumbnails(spark, sf):
     (p,) = tables(spark, sf, "pages")
     items = p.select(F.col("page_id").alias("id"), F.expr("if(page_id % 5 = 0, '', url)").alias("image_url"))
     key = F.concat(F.col("page_id").cast("string"), F.lit("/"), F.sha2("url", 256), F.lit(".jpg")).alias("object_key")
-    retry = F.expr("if(page_id % 3 = 0, timestamp '2024-01-01', timestamp '2026-01-01')").alias("retry_after")
+    retry = F.expr("if(page_id % 3 = 0, timestamp '2024-01-01' + make_dt_interval(cast(page_id % 7 as int)), timestamp '2026-01-01')").alias("retry_after")
     have = p.filter("page_id % 2 = 0 and page_id % 5 <> 0").select(F.col("page_id").alias("id"), key, retry)
     gone = p.filter("page_id % 2 = 0").select((F.col("page_id") + 1000000).alias("id"), key, retry)
-    return J.thumbnail_tasks(items, have.union(gone), "2025-01-01").select("id", "action", "due")
+    return J.thumbnail_tasks(items, have.union(gone), "2025-01-01")
 
 
 SESSIONS = "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)"

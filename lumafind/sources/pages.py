@@ -59,3 +59,9 @@ def load_synonyms(spark: SparkSession, path: str) -> DataFrame:
     """A synonym dictionary (concepts: domain, canonical, terms, scope) as rows domain, canonical, term, scope."""
     raw = spark.read.schema("concepts array<struct<domain:string,canonical:string,terms:array<string>,scope:array<string>>>").json(path, multiLine=True)
     return raw.select(F.explode("concepts").alias("c")).select("c.domain", "c.canonical", F.explode("c.terms").alias("term"), "c.scope")
+
+
+def load_exclusions(spark: SparkSession, path: str) -> DataFrame:
+    """Lists of words that are no names (exclusions: list -> words) as rows list, term."""
+    raw = spark.read.schema("exclusions map<string,array<string>>").json(path, multiLine=True)
+    return raw.select(F.explode("exclusions").alias("list", "terms")).select("list", F.explode("terms").alias("term"))
