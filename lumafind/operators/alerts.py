@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -244,14 +244,14 @@ def close_ended(reservations: DataFrame, messages: DataFrame, log: DataFrame, no
     return Closed(kept, marked.filter(~F.col("__drop")).select(*messages.columns), log.filter(~F.coalesce(old, F.lit(False))), counts)
 
 
-def step(state: dict, command: str, at: pd.Timestamp) -> dict:
+def step(state: dict, command: str, at) -> dict:
     """One command on one reservation: confirm in 24 hours, extend by 7 days up to three times while live, cancel
     and discard clear the mail. Used by the batch fold and by the stream."""
     live = state["status"] == "active" and at < state["expires_at"]
-    if command == "confirm" and state["status"] == "pending" and at < state["created_at"] + pd.Timedelta(hours=24):
+    if command == "confirm" and state["status"] == "pending" and at < state["created_at"] + timedelta(hours=24):
         state = {**state, "status": "active"}
     elif command == "extend" and live and state["extension_count"] < 3:
-        state = {**state, "expires_at": state["expires_at"] + pd.Timedelta(days=7), "extension_count": state["extension_count"] + 1}
+        state = {**state, "expires_at": state["expires_at"] + timedelta(days=7), "extension_count": state["extension_count"] + 1}
     elif command == "cancel" and (live or state["status"] == "pending"):
         state = {**state, "status": "cancelled", "email": None}
     elif command == "discard" and state["status"] == "pending":
@@ -259,21 +259,38 @@ def step(state: dict, command: str, at: pd.Timestamp) -> dict:
     return state
 
 
+def _command_fold(fields: list[str]):
+    """Rows sorted by id, a reservation before its commands -> the reservations after all of them, one state at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict | None = None
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                if row["kind"] == 0:
+                    done += [state] if state else []
+                    state = {f: row[f] for f in fields}
+                elif state and state["id"] == row["id"]:
+                    state = step(state, row["command"], row["at"])
+            yield pa.RecordBatch.from_pylist(done, schema=pa.schema([batch.schema.field(f) for f in fields]))
+        if state:
+            yield pa.RecordBatch.from_pylist([state], schema=pa.schema([batch.schema.field(f) for f in fields]))
+
+    return run
+
+
 def apply_commands(reservations: DataFrame, commands: DataFrame) -> DataFrame:
-    """reservations(id, status, email, created_at, expires_at, extension_count) after commands(id, command, at,
-    seq), folded in time order for each id."""
-    schema = "id long, status string, email string, created_at timestamp, expires_at timestamp, extension_count long"
-
-    def fold(key, res: pd.DataFrame, com: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for state in res.to_dict("records"):
-            for c in com.sort_values(["at", "seq"]).itertuples():
-                state = step(state, c.command, c.at)
-            rows.append(state)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    columns = [c.split()[0] for c in schema.split(", ")]
-    return reservations.select(*columns).groupBy("id").cogroup(commands.select("id", "command", "at", "seq").groupBy("id")).applyInPandas(fold, schema)
+    """reservations(id, status, email, created_at, expires_at, extension_count) after commands(id, command, at, seq) in time
+    order, ties by seq. Ids are unique; commands of unknown ids do nothing. Each id's rows pass by sorted, and one
+    state is held, so neither the number of commands nor their share of the table matters."""
+    fields = ["id", "status", "email", "created_at", "expires_at", "extension_count"]
+    kinds = dict(reservations.dtypes)
+    none = lambda names, df: [F.lit(None).cast(dict(df.dtypes)[c]).alias(c) for c in names]
+    rest = ["command", "at", "seq"]
+    rows = reservations.select(*fields, F.lit(0).alias("kind"), *none(rest, commands))
+    rows = rows.unionByName(commands.select("id", *none(fields[1:], reservations), F.lit(1).alias("kind"), *rest))
+    ordered = rows.repartition("id").sortWithinPartitions("id", "kind", "at", "seq")
+    return ordered.mapInArrow(_command_fold(fields), ", ".join(f"{f} {kinds[f]}" for f in fields))
 
 
 def alert_audit(matches: DataFrame, messages: DataFrame) -> DataFrame:

@@ -222,12 +222,18 @@ def close_counts(spark, sf):
     return closed(spark, sf).counts
 
 
+COMMANDS = "SELECT CAST(o_custkey AS BIGINT) AS id, CASE o_orderkey % 5 WHEN 0 THEN 'confirm' WHEN 4 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'cancel' ELSE 'discard' END ELSE 'extend' END AS command, TIMESTAMP '2024-06-01 00:00:00' + (o_orderkey % 500) * INTERVAL '1' HOUR AS at, CAST(o_orderkey AS BIGINT) AS seq FROM orders"
+#: Commands one by one: the k-th of each reservation on the state that the earlier ones left.
+FOLD = """s AS (SELECT *, 0::BIGINT AS k, 0::BIGINT AS extension_count FROM r0
+ UNION ALL SELECT id, CASE WHEN confirm THEN 'active' WHEN cancel THEN 'cancelled' WHEN discard THEN 'discarded' ELSE status END, CASE WHEN cancel OR discard THEN NULL ELSE email END, created_at, CASE WHEN extend THEN expires_at + INTERVAL 7 DAY ELSE expires_at END, k, extension_count + CASE WHEN extend THEN 1 ELSE 0 END FROM (
+  SELECT s.id, status, email, created_at, expires_at, c.k, extension_count, command = 'confirm' AND status = 'pending' AND c."at" < created_at + INTERVAL 24 HOUR AS confirm, command = 'extend' AND status = 'active' AND c."at" < expires_at AND extension_count < 3 AS extend, command = 'cancel' AND ((status = 'active' AND c."at" < expires_at) OR status = 'pending') AS cancel, command = 'discard' AND status = 'pending' AS discard FROM s JOIN c ON c.id = s.id AND c.k = s.k + 1) x)"""
+
+
 def commands(spark, sf):
-    (o,) = tables(spark, sf, "orders")
-    return o.select(F.col("o_custkey").alias("id"), F.expr("CASE o_orderkey % 5 WHEN 0 THEN 'confirm' WHEN 4 THEN if(o_orderkey % 4 = 0, 'cancel', 'discard') ELSE 'extend' END").alias("command"), F.expr("timestamp '2024-06-01' + make_dt_interval(0, cast(o_orderkey % 500 as int))").alias("at"), F.col("o_orderkey").alias("seq"))
+    return timed(spark, sf, COMMANDS)
 
 
-@query("I15_apply_commands")
+@query("I15_apply_commands", f"WITH RECURSIVE r0 AS (SELECT id, status, email, created_at, expires_at FROM ({RES}) x), c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY \"at\", seq) AS k FROM ({COMMANDS}) y), {FOLD} SELECT id, status, email, created_at, expires_at, extension_count FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1")
 def apply_commands(spark, sf):
     rows = reservations(spark, sf).withColumn("extension_count", F.lit(0).cast("long"))
     return A.apply_commands(rows, commands(spark, sf))
