@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,6 +33,26 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE) -> Iterator[p
         at = last
 
 
+#: What operators keep in a Python worker between its tasks, by operator.
+_KEPT: dict[str, list] = {}
+
+
+def kept(owner: str, store: dict) -> dict:
+    """A store that outlives a task, for ``owner`` only."""
+    _KEPT.setdefault(owner, []).append(store)
+    return store
+
+
+def let_go(owner: str) -> None:
+    """A worker serves one operator after the other: what those other than ``owner`` keep in it goes."""
+    others = [store for name, stores in _KEPT.items() if name != owner for store in stores if store]
+    for store in others:
+        store.clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares; a temporary one only where a local session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ._common import slices
+from ._common import kept, let_go, slices
 
 SLICE = 1 << 20
 _U = np.uint64
@@ -23,7 +23,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
 _VALUE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 _VALUE[65:91] = _VALUE[97:123]
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[str, np.ndarray] = kept("hashing", {})
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -57,6 +57,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def hash_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all units (texts or lines) in order, and where each unit's words begin."""
+    let_go("hashing")
     words, firsts, total, row, n = [], [np.zeros(1, np.int64)], 0, 0, len(offsets) - 1
     while row < n:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE, side="right")) - 1)

@@ -21,6 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from ._common import kept, let_go
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 MEMO = 500_000
@@ -168,11 +170,12 @@ class Encoder:
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
 
-_LOADED: dict[tuple, Encoder] = {}
+_LOADED: dict[tuple, Encoder] = kept("tokens", {})
 
 
 def encoder(path: str, kind: type = Encoder) -> Encoder:
     """One encoder a worker process and file."""
+    let_go("tokens")
     if (path, kind) not in _LOADED:
         _LOADED[path, kind] = kind(path)
     return _LOADED[path, kind]

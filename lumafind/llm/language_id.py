@@ -18,18 +18,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, is_fold, slices
+from ._common import documents, is_fold, kept, let_go, slices
 
 #: Counters a language: n-grams of UTF-8 bytes by hash. 2**16 doubles are 0.5 MB for each language.
 BUCKETS = 1 << 16
 #: Distinct words that a task counts before it passes them on, and bytes of words whose n-grams it takes at once.
-FLUSH = 200_000
+FLUSH = 60_000
 LOT = 1 << 19
 #: Bytes of text that are labelled at a time, or one longer text.
 TEXTS = 1 << 21
 GRAMS = 4
 SWITCH = 4.0
-MEMO = 100_000
+#: Words kept by a scorer between batches, and bytes of them; what one batch adds comes on top.
+MEMO, MEMO_BYTES = 60_000, 4 << 20
 #: First and last code point of letter ranges by script.
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF),
@@ -84,28 +85,35 @@ def _lots(words: list[str]) -> Iterator[slice]:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def rows() -> pa.RecordBatch:
-        clean: Counter = Counter()
-        for (lang, raw), n in counts.items():
-            if w := letters(raw):
-                clean[lang, w] += n
-        return pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in clean], pa.string()), "word": pa.array([k[1] for k in clean], pa.string()), "n": pa.array(clean.values(), pa.int64())})
+    let_go("language")
+    counts: dict[str, Counter] = {}
+    held = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        while counts:
+            lang, found = counts.popitem()
+            clean: Counter = Counter()
+            for raw, n in found.items():
+                if w := letters(raw):
+                    clean[w] += n
+            del found
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(clean), pa.string()), "word": pa.array(clean.keys(), pa.string()), "n": pa.array(clean.values(), pa.int64())})
 
     for whole in batches:
-        for batch in slices(whole, 1):
+        for batch in slices(whole, 1, TEXTS):
             langs = batch.column(0)
             for lang in langs.unique():
                 texts = batch.column(1).filter(pc.equal(langs, lang))
                 found = pc.utf8_split_whitespace(texts).flatten().value_counts()
                 name = lang.as_py()
-                counts.update({(name, w): n for w, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist())})
-                if len(counts) > FLUSH:
-                    yield rows()
-                    counts.clear()
-    if counts:
-        yield rows()
+                mine = counts.setdefault(name, Counter())
+                held -= len(mine)
+                mine.update(dict(zip(found.field(0).to_pylist(), found.field(1).to_pylist())))
+                held += len(mine)
+                if held > FLUSH:
+                    yield from rows()
+                    held = 0
+    yield from rows()
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +159,14 @@ class Scorer:
     def __init__(self, model: dict):
         self.langs, self.logs, self.writes = model["langs"], model["logs"], model["writes"]
         self.memo: dict[str, int] = {}
-        self.used = 0
+        self.used = self.bytes = 0
         self.rows, self.sizes = np.zeros((1, len(self.langs)), np.float32), np.zeros(1, np.int64)
 
     def add(self, raws: list[str]) -> None:
         """Score new words; one without letters has place 0. Scores are mean n-gram log-likelihoods times the
         root of the word's length, so that long words don't drown their neighbours."""
         clean = [letters(r) for r in raws]
+        self.bytes += sum(map(len, raws)) + sum(map(len, clean))
         new = [w for w in dict.fromkeys(clean) if w and "\0" + w not in self.memo]
         for lot in _lots(new):
             own = new[lot]
@@ -181,8 +190,9 @@ class Scorer:
 
     def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The scored place of each word of all texts in a row, and where each text's words begin."""
-        if len(self.memo) > MEMO or not self.used:
+        if len(self.memo) > MEMO or self.bytes > MEMO_BYTES or not self.used:
             self.memo.clear()
+            self.bytes = 0
             self.used, self.parts, self.part_sizes = 1, [np.zeros((1, len(self.langs)), np.float32)], [np.zeros(1, np.int64)]
         split = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = split.flatten().dictionary_encode()
@@ -262,11 +272,12 @@ def label_texts(scorer: Scorer, texts: pa.Array, switch: float = SWITCH) -> list
     return found
 
 
-_SCORERS: dict[str, Scorer] = {}
+_SCORERS: dict[str, Scorer] = kept("language", {})
 
 
 def _scorer(model) -> Scorer:
     """One scorer a worker and model."""
+    let_go("language")
     name = model.value["name"]
     if name not in _SCORERS:
         _SCORERS.clear()
