@@ -13,11 +13,15 @@ from lumafind.llm._common import written
 
 
 def identify_language(spark, docs, sf_dir):
-    """Documents without a language leave; the model is learned from all labelled documents."""
+    """Documents without a language leave; the model is learned from all labelled documents. Null and empty texts have
+    none; a text of any length is labelled whole; where two languages score alike the first by name counts; repeated
+    rows and null ids stay as they are; an empty table stays empty."""
     return language_id.keep_identified(docs, language_id.learn(docs))
 
 
 def dedup_lines(spark, docs, sf_dir):
+    """Lines similar to an earlier one leave their texts, by doc_id and line; rows that share a doc_id are told apart by
+    their texts. Null texts stay null, lines without words stay, texts of any length are cut line by line."""
     return line_dedup.dedup_lines(docs)
 
 
@@ -27,10 +31,14 @@ def join_near_duplicates(spark, docs, sf_dir):
 
 
 def redact_personal_data(spark, docs, sf_dir):
+    """Found spans give way to a mark of their kind, the leftmost first and of these the longest; rows and other columns
+    stay. Null texts stay null, texts of any length are searched whole, repeated rows alike."""
     return pii.redact(docs)
 
 
 def pack_sequences(spark, docs, sf_dir):
+    """Pieces of all documents in windows of 1,024 ids. Null texts are empty, long ones are cut into full windows first,
+    pieces of one length go by hash, repeated rows are packed each; an empty table has no pieces."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
