@@ -20,8 +20,9 @@ def identify_language(spark, docs, sf_dir):
 
 
 def dedup_lines(spark, docs, sf_dir):
-    """Lines similar to an earlier one leave their texts, by doc_id and line; rows that share a doc_id are told apart by
-    their texts. Null texts stay null, lines without words stay, texts of any length are cut line by line."""
+    """Lines similar to an earlier one leave their texts, by doc_id and line; a document that loses all its lines with
+    words leaves. Rows that share a doc_id are told apart by their texts; null and wordless texts, lines without words
+    and rows with a null doc_id stay; texts of any length are taken line by line."""
     return line_dedup.dedup_lines(docs)
 
 
@@ -31,8 +32,8 @@ def join_near_duplicates(spark, docs, sf_dir):
 
 
 def redact_personal_data(spark, docs, sf_dir):
-    """Found spans give way to a mark of their kind, the leftmost first and of these the longest; rows and other columns
-    stay. Null texts stay null, texts of any length are searched whole, repeated rows alike."""
+    """Found spans give way to their kind in brackets, overlapping ones as one, by the kind that begins first; rows and
+    other columns stay. Null texts stay null, texts of any length are searched whole, repeated rows alike."""
     return pii.redact(docs)
 
 
