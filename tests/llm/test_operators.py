@@ -34,7 +34,8 @@ def test_sql_twins(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.execute(queries.SQL[name])
     columns = [c[0] for c in want.description]
     got = queries.QUERIES[name](spark, SF).select(columns).collect()
