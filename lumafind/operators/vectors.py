@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.masks import mask_text
+from ..sources.staged import lean, staged
 
 HALF = 65504.0
 
@@ -59,10 +60,80 @@ def top(df: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def hamming_topk(queries: DataFrame, vecs: DataFrame, r: int = 500) -> DataFrame:
-    """queries(query_id, scope, code) x vecs(id, scope, code): the r nearest codes in scope, ties to larger ids."""
-    pairs = queries.withColumnRenamed("code", "qcode").join(vecs.withColumnRenamed("code", "vcode"), "scope")
-    return top(pairs.select("query_id", "id", hamming(F.col("qcode"), F.col("vcode")).alias("distance")), "query_id", r, "distance", F.desc("id"))
+def blocks(code: Column, width: int) -> Column:
+    """A code's words cut into blocks of ``width`` bits (a divisor of 32), low ones first."""
+    return F.flatten(F.transform(code, lambda w: F.array(*(F.shiftright(w, k).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for k in range(0, 32, width)))))
+
+
+def block_distances(a: Column, b: Column, width: int) -> Column:
+    return F.zip_with(blocks(a, width), blocks(b, width), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int"))
+
+
+def block_lists(vecs: DataFrame, width: int) -> DataFrame:
+    """vecs(id, scope, code) -> scope, block, value, id, code: a row for each block of each code. Lists are rows, so that
+    a value which many codes share is split as any skewed join key. Null codes and scopes have none."""
+    held = vecs.filter("code is not null and scope is not null")
+    return held.select("id", "scope", "code", F.posexplode(blocks(F.col("code"), width)).alias("block", "value"))
+
+
+def hamming_topk(queries: DataFrame, vecs: DataFrame, r: int = 500, width: int = 16, lookup: int = 64, lists: DataFrame | None = None) -> DataFrame:
+    """queries(query_id, scope, code) x vecs(id, scope, code): the r nearest codes of each query in its scopes, ties to
+    larger ids; null codes and scopes take no part, a repeated query row counts once.
+
+    Exact search over several indexes, one for each block of ``width`` bits: a code within a distance of m (p + 1) - 1,
+    for m blocks, differs from the query by at most p bits in some block. In round p = 0, 1, ... all block values p bits
+    away are looked up, and a pair is taken at its nearest block, so that it comes once. A query is done when its r-th
+    distance lies within what the rounds have covered. A scope is read whole, for what the rounds left, where
+    that is cheaper: where it has at most r codes, fewer than ``lookup`` for each value to look up, or where values to
+    look up are more than half of all. ``lists`` are block_lists kept from earlier."""
+    asked = queries.filter("code is not null and scope is not null").select("query_id", "scope", "code").dropDuplicates(["query_id", "scope"])
+    held = vecs.filter("code is not null and scope is not null").select("id", "scope", "code")
+    sizes = held.groupBy("scope").agg(F.count("*").alias("n"))
+    state = staged(asked.join(sizes, "scope").withColumn("reach", F.lit(-1)), "hamming-state")
+    first = state.select(F.size("code").alias("n")).first()
+    m = (first.n if first else 0) * (32 // width)
+    found = None
+    for p in range(width + 1):
+        values = m * sum(math.comb(width, k) for k in range(p + 1))
+        if not m or 2 * values > 1 << width:
+            break
+        worth = (F.col("n") > r) & (F.col("n") > lookup * values) & (F.col("reach") == p - 1)
+        active = state.filter(worth)
+        if active.isEmpty():
+            break
+        if lists is None:
+            lists = staged(block_lists(held, width), "block-lists")
+        flips = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << width) - 1).cast("long")), lambda x: F.bit_count(x) == p)
+        probes = active.select("query_id", "scope", F.col("code").alias("qcode"), F.posexplode(blocks(F.col("code"), width)).alias("block", "own"))
+        probes = probes.withColumn("flip", F.explode(flips)).select("query_id", "scope", "qcode", "block", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
+        apart = block_distances(F.col("qcode"), F.col("code"), width)
+        met = lists.select("scope", "block", "value", "id", "code").join(lean(probes, "probes"), ["scope", "block", "value"]).withColumn("apart", apart)
+        met = met.filter((F.array_min("apart") == p) & (F.array_position("apart", F.lit(p)) == F.col("block") + 1))
+        near = met.select("query_id", "id", hamming(F.col("qcode"), F.col("code")).alias("distance"))
+        near = near if found is None else near.unionByName(found)
+        found = staged(top(near, "query_id", r, "distance", F.desc("id")).drop("rank"), "hamming-found")
+        moved = state.withColumn("reach", F.when(worth, p).otherwise(F.col("reach")))
+        covered = moved.groupBy("query_id").agg((m * (F.min("reach") + 1) - 1).alias("covered"))
+        done = _worst(found, r).join(covered, "query_id").filter("worst <= covered")
+        state = staged(moved.join(done.select("query_id"), "query_id", "left_anti"), "hamming-state")
+    left = _unread(state, held, width, None if found is None else _worst(found, r))
+    near = left if found is None else left.unionByName(found)
+    return top(near, "query_id", r, "distance", F.desc("id"))
+
+
+def _worst(found: DataFrame, r: int) -> DataFrame:
+    """The r-th distance of the queries that have as many."""
+    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("worst")).filter(F.col("n") == r).select("query_id", "worst")
+
+
+def _unread(state: DataFrame, held: DataFrame, width: int, worst: DataFrame | None) -> DataFrame:
+    """Pairs of whole scopes that no lookup has met and that may be among the nearest."""
+    rest = state.select("query_id", "scope", F.col("code").alias("qcode"), "reach")
+    rest = rest.withColumn("worst", F.lit(None).cast("long")) if worst is None else rest.join(worst, "query_id", "left")
+    pairs = rest.join(held, "scope")
+    unmet = (F.col("reach") < 0) | (F.array_min(block_distances(F.col("qcode"), F.col("code"), width)) > F.col("reach"))
+    near = pairs.filter(unmet).select("query_id", "id", hamming(F.col("qcode"), F.col("code")).alias("distance"), "worst")
+    return near.filter("worst is null or distance <= worst").select("query_id", "id", "distance")
 
 
 def rescore(cands: DataFrame, queries: DataFrame, vecs: DataFrame, least: float = 0.60, k: int = 200) -> DataFrame:

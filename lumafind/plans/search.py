@@ -10,6 +10,7 @@ from ..operators import vectors as V
 from ..sources.staged import staged
 from .adapt import INSTITUTIONS, ITEMS, PLACES, frame, masked_numbers, tables
 from .registry import query
+from .vectors import DIM
 
 NOW = "2025-01-01 00:00:00"
 PLAIN = r"trim(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
@@ -138,22 +139,39 @@ def semantic_score(spark, sf):
     return e.select("vec_id", F.round(R.semantic_score(cos), 6).alias("score"))
 
 
-COS = "list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))"
-SEM = f"sem AS (SELECT query_id, id, 0.5 + {COS} / 2 AS cos FROM s JOIN d USING (location_id) JOIN embeddings x ON x.vec_id = query_id JOIN embeddings y ON y.vec_id = id)"
+COS = "round(list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b})), 6)".format(a="x.v", b="y.v")
+#: Each query and item has the vector of its number. The nearest 60 by codes are scored; cosines from 0.05 on count.
+NEAR, LEAST, MOST = 60, 0.05, 30
+VECTORS = "vv AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+SEM = f"""{VECTORS}, hm AS (SELECT s.query_id, d.id, x.v AS xv, y.v AS yv, {COS} AS cos, CAST(list_sum(list_transform(range(1, 65), lambda i: CAST((x.v[i] > 0) <> (y.v[i] > 0) AS INT))) AS BIGINT) AS far FROM s JOIN d USING (location_id) JOIN vv x ON x.vec_id = s.query_id JOIN vv y ON y.vec_id = d.id),
+ hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far, id DESC) AS place FROM hm), sem0 AS (SELECT query_id, id, cos, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id DESC) AS rank FROM hr WHERE place <= {NEAR} AND cos >= {LEAST}), sem AS (SELECT query_id, id, 0.5 + cos / 2 AS cos FROM sem0 WHERE rank <= {MOST})"""
 FUSED = SCORED + f", {SEM}, j AS (SELECT query_id, id, b.score, greatest(0, (cos - 0.6) / 0.4) AS semantic, query_id % 5 <> 0 AS ok FROM b FULL OUTER JOIN sem USING (query_id, id)), u AS (SELECT query_id, id, CAST(round(CAST(CASE WHEN ok THEN 0.75 * coalesce(score, 0) + 0.25 * coalesce(semantic, 0) ELSE coalesce(score, 0) END AS DECIMAL(20, 12)), 6) AS DOUBLE) AS score FROM j WHERE score IS NOT NULL OR (ok AND semantic > 0))"
 
 
+def vectored(spark, sf, scope, docs):
+    """The scope's queries and the items with the vectors and codes of their numbers."""
+    (e,) = tables(spark, sf, "embeddings")
+    vectors = e.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("code", V.binarize(F.col("v"), DIM))
+    asked = scope.withColumnRenamed("location_id", "scope").join(vectors.withColumnRenamed("vec_id", "query_id"), "query_id")
+    return asked, docs.select("id", F.col("location_id").alias("scope")).join(vectors.withColumnRenamed("vec_id", "id"), "id")
+
+
 def fused(spark, sf):
-    """Each query and item has the vector of its number; a cosine is moved to 0..1 to pass for a similarity."""
+    """Candidates of the semantic side come from the code table and are rescored; a cosine is moved to 0..1 to pass for
+    a similarity."""
     queries, scope, index = searched(spark, sf)
-    docs = index.docs
-    (e,) = tables(spark, sf, "embeddings")
-    vectors = e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    pairs = scope.join(docs.select("id", "location_id"), "location_id").select("query_id", "id")
-    pairs = pairs.join(vectors.toDF("query_id", "a"), "query_id").join(vectors.toDF("id", "b"), "id")
-    near = pairs.select("query_id", "id", (0.5 + V.cosine(F.col("a"), F.col("b")) / 2).alias("cos"))
+    asked, items = vectored(spark, sf, scope, index.docs)
+    near = V.semantic_topk(asked, items, DIM, LEAST, MOST, NEAR).select("query_id", "id", (0.5 + F.col("cos") / 2).alias("cos"))
     available = queries.select("query_id", (F.col("query_id") % 5 != 0).alias("ok"))
-    return R.hybrid_rank(R.lexical(queries, scope, index), R.semantic_hits(queries, scope, docs, near), available)
+    return R.hybrid_rank(R.lexical(queries, scope, index), R.semantic_hits(queries, scope, index.docs, near), available)
+
+
+@query("F12_semantic_overlap", f"WITH {DOCS}, {QUERIES}, {SEM}, ex AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id DESC) AS rank FROM hm WHERE cos >= {LEAST}) SELECT ex.query_id, round(count(sem0.id) / count(*), 6) AS overlap FROM ex LEFT JOIN sem0 ON sem0.query_id = ex.query_id AND sem0.id = ex.id AND sem0.rank <= 10 WHERE ex.rank <= 10 GROUP BY 1")
+def semantic_overlap(spark, sf):
+    """Share of each query's ten nearest items by all cosines of its scope that the code table leads to."""
+    _, scope, docs = inputs(spark, sf)
+    asked, items = vectored(spark, sf, scope, docs)
+    return V.overlap_at_k(V.semantic_topk(asked, items, DIM, LEAST, MOST, NEAR), V.exact_topk(asked, items, LEAST, MOST), 10)
 
 
 @query("F12_hybrid_rank", FUSED + " SELECT query_id, id, score FROM u")

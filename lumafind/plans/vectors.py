@@ -56,6 +56,13 @@ def hamming_topk(spark, sf):
     return V.hamming_topk(q.select("query_id", "scope", "code"), v.select("id", "scope", "code"), 20)
 
 
+@query("G3_hamming_lists", HAM + " SELECT query_id, id, distance, rank FROM t WHERE rank <= 3")
+def hamming_lists(spark, sf):
+    """The same by block lists at any price, so that rounds of lookups come before whole institutions are read."""
+    v, q = coded(spark, sf)
+    return V.hamming_topk(q, v, 3, 8, 1, V.block_lists(v, 8))
+
+
 @query("G4_rescore", HAM + f", s AS (SELECT t.query_id, t.id, {COS.format(a='q.v', b='e.v')} AS cos FROM t JOIN q USING (query_id) JOIN e ON e.id = t.id WHERE rank <= 20) SELECT query_id, id, cos, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id DESC) AS rank FROM s WHERE cos >= 0.1 QUALIFY rank <= 10")
 def rescore(spark, sf):
     v, q = coded(spark, sf)
