@@ -24,16 +24,16 @@ def shared(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("A1_read_item_pages", """SELECT CAST(doc_id AS STRING) AS atcId, concat(lang, ' > ', source) AS prdtClNm, concat('page-', doc_id // 50) AS page_name, length(text) AS n FROM documents WHERE (doc_id // 50) % 10 <> 9""")
+@query("A1_read_item_pages", """SELECT CAST(doc_id AS STRING) AS atcId, concat(lang, ' > ', source) AS prdtClNm, concat('page-', doc_id // 50) AS page_name, length(text) AS n, md5(trim(text)) AS digest FROM documents WHERE (doc_id // 50) % 10 <> 9""")
 def read_item_pages(spark, sf):
     (docs,) = tables(spark, sf, "documents")
     xml = lambda c: F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;")
-    item = F.concat(F.lit("<item><atcId> "), F.col("doc_id").cast("string"), F.lit(" </atcId><prdtClNm>"), F.concat_ws(" > ", "lang", "source"), F.lit("</prdtClNm><fdPrdtNm>page-"), F.expr("doc_id div 50"), F.lit("</fdPrdtNm><fdSn>"), F.length("text"), F.lit("</fdSn><fdSbjt>"), xml(F.substring("text", 1, 40)), F.lit("</fdSbjt></item>"))
+    item = F.concat(F.lit("<item><atcId> "), F.col("doc_id").cast("string"), F.lit(" </atcId><prdtClNm>"), F.concat_ws(" > ", "lang", "source"), F.lit("</prdtClNm><fdPrdtNm>page-"), F.expr("doc_id div 50"), F.lit("</fdPrdtNm><fdSn>"), F.length("text"), F.lit("</fdSn><fdSbjt>"), xml(F.col("text")), F.lit("</fdSbjt></item>"))
     page = docs.select(F.expr("doc_id div 50").alias("page"), item.alias("item")).groupBy("page").agg(F.concat_ws("", F.collect_list("item")).alias("items"))
     body = F.concat(F.lit("<response><header><resultCode>"), F.when(F.col("page") % 10 == 9, "99").otherwise("00"), F.lit("</resultCode></header><body><items>"), F.col("items"), F.lit("</items></body></response>"))
     out = shared(spark, "pages")
     page.select(body.alias("value")).repartition(F.xxhash64("value")).write.option("maxRecordsPerFile", 1).text(out)
-    return P.read_item_pages(spark, out).select("atcId", "prdtClNm", F.col("fdPrdtNm").alias("page_name"), F.col("fdSn").cast("int").alias("n"))
+    return P.read_item_pages(spark, out).select("atcId", "prdtClNm", F.col("fdPrdtNm").alias("page_name"), F.col("fdSn").cast("int").alias("n"), F.md5(F.col("fdSbjt").cast("binary")).alias("digest"))
 
 
 @query("A2_page_completeness", "SELECT l_suppkey, count(*) AS fetched, count(DISTINCT (l_orderkey, l_linenumber)) AS identities, max(l_partkey % 700) AS declared, count(*) >= max(l_partkey % 700) AS complete FROM lineitem GROUP BY 1")

@@ -103,13 +103,18 @@ def detect_kinds(spark, sf):
     return d.select("doc_id", F.array_join(T.detect_kinds(T.plain(F.col("text")), WORDS), ",").alias("kinds"))
 
 
-#: The pairs of characters of all words: whatever else a query without a kind offers contains one of them.
-@query("F7_candidate_terms", f"SELECT query_id, text, array_to_string(list_sort({PAIRS}), ',') AS terms, '' AS words FROM (SELECT item_id AS query_id, {FOLDED.format('text')} AS text FROM benchmark) b WHERE NOT regexp_matches(' ' || text || ' ', ' . ')")
+#: The pairs of characters of all words: whatever else a query without a kind offers contains one of them; words of one
+#: letter are looked for on their own.
+ALONE = "list_sort(list_distinct(list_filter(string_split(text, ' '), lambda w: length(w) = 1)))"
+
+
+@query("F7_candidate_terms", f"SELECT query_id, text, array_to_string(list_sort({PAIRS}), ',') AS terms, array_to_string({ALONE}, ',') AS words FROM (SELECT item_id AS query_id, {FOLDED.format('text')} AS text FROM benchmark UNION ALL SELECT -p_partkey, {FOLDED.format("concat(p_name, ' ', substr(p_type, 1, 1), ' ', p_size % 10)")} FROM part) b")
 def candidate_terms(spark, sf):
-    """Candidate terms of whole benchmark texts without one-letter words, which the twin leaves out."""
-    (bench,) = tables(spark, sf, "benchmark")
-    ready = R.prepared(bench.select(F.col("item_id").alias("query_id"), "text"), T.Dictionary.load())
-    return ready.filter("not concat(' ', text, ' ') rlike ' . '").select("query_id", "text", F.array_join("terms", ",").alias("terms"), F.array_join("words", ",").alias("words"))
+    """Candidate terms of whole benchmark texts, and of part names followed by a letter and a digit alone."""
+    bench, part = tables(spark, sf, "benchmark", "part")
+    names = part.select((-F.col("p_partkey")).alias("query_id"), F.concat_ws(" ", "p_name", F.substring("p_type", 1, 1), F.col("p_size") % 10).alias("text"))
+    ready = R.prepared(bench.select(F.col("item_id").alias("query_id"), "text").unionByName(names), T.Dictionary.load())
+    return ready.select("query_id", "text", F.array_join("terms", ",").alias("terms"), F.array_join("words", ",").alias("words"))
 
 
 @query("F8_candidates", POOL + " SELECT query_id, id FROM c")
@@ -119,12 +124,24 @@ def candidates(spark, sf):
     return R.candidates(queries, scope, docs, R.gram_lists(docs)).select("query_id", "id")
 
 
-@query("F9_kind_gate", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN true WHEN doc_id % 3 = 0 THEN contains(lang, 'e') ELSE lang = 'en' OR contains(source, '1') END AS passes FROM documents")
+def kinds_sql(text: str) -> str:
+    """Kinds of a text by WORDS, as a list."""
+    raw = f"replace({PLAIN.format(text)}, ' ', '')"
+    m = f"regexp_extract_all(replace({raw}, 'ofthe', '|'), 'tionth|ander|inger|onthe')"
+    named = f"list_filter([CASE WHEN list_has_any({m}, ['onthe', 'inger']) THEN 'one' END, CASE WHEN list_has_any({m}, ['tionth', 'ander']) THEN 'two' END], lambda k: k IS NOT NULL)"
+    return f"CASE WHEN len({m}) > 0 THEN {named} WHEN contains({raw}, 'ofthe') THEN ['three'] ELSE [] END"
+
+
+@query("F9_kind_gate", f"WITH i AS ({ITEMS}), q AS (SELECT item_id, {kinds_sql('text')} AS wanted FROM benchmark), k AS (SELECT id, {kinds_sql('item_name')} AS n, {kinds_sql('raw_category_name')} AS c, {kinds_sql('description')} AS d FROM i), p AS (SELECT id, wanted, d, CASE WHEN len(n) > 0 THEN n WHEN len(c) > 0 THEN c ELSE d END AS own FROM k JOIN q ON item_id = id % (SELECT count(*) FROM benchmark)) SELECT id, array_to_string(wanted, ',') AS wanted, array_to_string(own, ',') AS own, len(wanted) = 0 OR list_has_any(wanted, own) OR list_has_any(wanted, d) AS passes FROM p")
 def kind_gate(spark, sf):
-    (d,) = tables(spark, sf, "documents")
-    one = lambda c: F.when(c, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
-    pairs = d.select("doc_id", F.expr("if(doc_id % 5 = 0, cast(array() as array<string>), array('a'))").alias("wanted"), F.when(F.col("doc_id") % 3 == 0, F.when(F.col("lang").contains("e"), F.array(F.lit("a"))).otherwise(F.array(F.lit("b")))).otherwise(F.array().cast("array<string>")).alias("name_kinds"), one(F.col("lang") == "en").alias("category_kinds"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("c"))).otherwise(one(F.col("source").contains("1"))).alias("description_kinds"), F.lit("x").alias("query"), F.lit("x").alias("identity"))
-    return R.kind_gate(pairs).select("doc_id", "passes")
+    """Kinds found in names, categories and whole descriptions; each item meets one of the benchmark's texts."""
+    (bench,) = tables(spark, sf, "benchmark")
+    kinds = lambda c: T.detect_kinds(T.plain(F.col(c)), WORDS)
+    asked = bench.select(F.col("item_id").alias("turn"), F.col("text").alias("query"), kinds("text").alias("wanted"))
+    items = frame(spark, sf, ITEMS).crossJoin(bench.agg(F.count("*").alias("n"))).withColumn("turn", F.col("id") % F.col("n"))
+    named = items.select("id", "turn", F.concat("item_name", "raw_category_name").alias("identity"), kinds("item_name").alias("name_kinds"), kinds("raw_category_name").alias("category_kinds"), kinds("description").alias("description_kinds"))
+    own = F.when(F.size("name_kinds") > 0, F.col("name_kinds")).when(F.size("category_kinds") > 0, F.col("category_kinds")).otherwise(F.col("description_kinds"))
+    return R.kind_gate(named.join(asked, "turn")).select("id", F.array_join("wanted", ",").alias("wanted"), F.array_join(own, ",").alias("own"), F.coalesce("passes", F.lit(True)).alias("passes"))
 
 
 @query("F10_bm25", SCORED + " SELECT * FROM b")
@@ -206,13 +223,15 @@ def attach_thumbnails(spark, sf):
     return R.attach_thumbnails(page, ready)
 
 
-@query("F17_admit_queries", "SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(trim(text)) > 30 THEN 'too long' WHEN regexp_matches(trim(text), '[0-9]{13}') THEN 'identifier' END AS reason FROM (SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN ' 4111111111111 ' ELSE substr(text, 1, CAST(20 + turn * 6 AS INT)) END AS text FROM conversations) x")
+#: Whole turns of conversations, some of them a card number, and names of parts.
+TEXTS = "SELECT 'turn' AS origin, CAST(conv_id AS BIGINT) AS a, CAST(turn AS BIGINT) AS b, CASE WHEN conv_id % 7 = 0 THEN ' 4111111111111 ' ELSE text END AS text FROM conversations UNION ALL SELECT 'part' AS origin, CAST(p_partkey AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, p_name AS text FROM part UNION ALL SELECT 'type' AS origin, CAST(p_partkey AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, p_type AS text FROM part"
+
+
+@query("F17_admit_queries", f"SELECT origin, a, b, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN length(trim(text)) > 30 THEN 'too long' WHEN regexp_matches(trim(text), '[0-9]{{13}}') THEN 'identifier' END AS reason FROM ({TEXTS}) x")
 def admit_queries(spark, sf):
     from ..functions.masks import has_identifier
 
-    (c,) = tables(spark, sf, "conversations")
-    cut = c.select("conv_id", "turn", F.expr("if(conv_id % 7 = 0, ' 4111111111111 ', substr(text, 1, cast(20 + turn * 6 as int)))").alias("text"))
-    return R.admit_queries(cut, has_identifier).select("conv_id", "turn", "reason")
+    return R.admit_queries(frame(spark, sf, TEXTS), has_identifier).select("origin", "a", "b", "reason")
 
 
 STEPS = (50000.0, 120000.0, 250000.0)
