@@ -243,19 +243,25 @@ EVIDENCE = 100
 
 def apply_evidence(items: DataFrame, evidence: DataFrame, most: int = EVIDENCE) -> DataFrame:
     """items(id, identity, place, checked_at, status, location_id, ...), evidence(id, identity, place, previous_checked_at,
-    location_id). It applies where id, identity, place and previous check time still match an unresolved row. Evidence
-    of no row or of more than ``most`` is refused, and so are two rows for one id."""
-    n = evidence.limit(most + 1).count()
-    if not 1 <= n <= most:
-        raise ValueError(f"evidence must have 1 to {most} rows")
-    if evidence.select("id").distinct().count() < n:
-        raise ValueError("evidence names an item twice")
-    e = evidence.select(F.col("id").alias("__id"), *(F.col(k).alias("__" + k) for k in KEYS), F.col("place").alias("__place"), F.col("previous_checked_at").alias("__was"), F.col("location_id").alias("__location"))
+    location_id, correction: optional). It applies where id, identity, place and previous check time still match an
+    unresolved row. Rows of the same ``correction`` come together; without that column all of them do, and then there must
+    be one. A correction of more than ``most`` rows is refused, and so are two of its rows for one id. Any number of
+    corrections applies, in their order: what one has resolved, a later one leaves."""
+    if "correction" not in evidence.columns:
+        if evidence.isEmpty():
+            raise ValueError(f"evidence must have 1 to {most} rows")
+        evidence = evidence.withColumn("correction", F.lit(0))
+    sizes = evidence.groupBy("correction").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+    wrong = sizes.filter((F.col("n") > most) | (F.col("ids") < F.col("n"))).first()
+    if wrong:
+        raise ValueError(f"evidence must have 1 to {most} rows" if wrong.n > most else "evidence names an item twice")
+    guards = ["id", *KEYS, "place", "previous_checked_at"]
+    e = evidence.groupBy(*(F.col(c).alias("__" + c) for c in guards)).agg(F.min(F.struct("correction", "location_id"))["location_id"].alias("__location"))
     same = [F.col(k) == F.col("__" + k) for k in KEYS]
-    hit = (F.col("id") == F.col("__id")) & F.col("place").eqNullSafe(F.col("__place")) & F.col("checked_at").eqNullSafe(F.col("__was")) & F.col("status").isin("ambiguous", "unmatched")
+    hit = (F.col("id") == F.col("__id")) & F.col("place").eqNullSafe(F.col("__place")) & F.col("checked_at").eqNullSafe(F.col("__previous_checked_at")) & F.col("status").isin("ambiguous", "unmatched")
     for s in same:
         hit &= s
-    joined = items.join(F.broadcast(e), hit, "left")
+    joined = items.join(e, hit, "left")
     applied = F.col("__id").isNotNull()
     return joined.select(*(c for c in items.columns if c not in ("status", "location_id")), F.when(applied, "matched").otherwise(F.col("status")).alias("status"), F.when(applied, F.col("__location")).otherwise(F.col("location_id")).alias("location_id"))
 

@@ -335,14 +335,16 @@ def expiry_counts(spark, sf):
     return I.expiry_counts(I.expiry(frame(spark, sf, STORED), sources, TODAY, 1000), sources)
 
 
-#: Evidence for the hundred first unresolved items: of every third the place has changed, of every fifth the identity.
-EVIDENCE = f"SELECT id, item_source_code, CASE WHEN id % 5 = 0 THEN 'other' ELSE atc_id END AS atc_id, found_sequence, CASE WHEN id % 3 = 0 THEN 'elsewhere' ELSE raw_category_name END AS place, CAST(NULL AS TIMESTAMP) AS previous_checked_at, storage_location_id AS location_id FROM ({ITEMS}) x WHERE status IN ('ambiguous', 'unmatched') ORDER BY id LIMIT 100"
+#: Evidence for all unresolved items: of every third the place has changed, of every fifth the identity.
+EVIDENCE = f"SELECT id, item_source_code, CASE WHEN id % 5 = 0 THEN 'other' ELSE atc_id END AS atc_id, found_sequence, CASE WHEN id % 3 = 0 THEN 'elsewhere' ELSE raw_category_name END AS place, CAST(NULL AS TIMESTAMP) AS previous_checked_at, storage_location_id AS location_id FROM ({ITEMS}) x WHERE status IN ('ambiguous', 'unmatched')"
 
 
 @query("C8_apply_evidence", f"WITH i AS ({ITEMS}), e AS ({EVIDENCE}) SELECT i.id, CASE WHEN e.id IS NULL THEN status ELSE 'matched' END AS status, e.location_id FROM i LEFT JOIN e ON e.id = i.id AND e.item_source_code = i.item_source_code AND e.atc_id = i.atc_id AND e.found_sequence = i.found_sequence AND e.place = i.raw_category_name AND status IN ('ambiguous', 'unmatched')")
 def apply_evidence(spark, sf):
     items = frame(spark, sf, ITEMS).select("id", *I.KEYS, F.col("raw_category_name").alias("place"), F.lit(None).cast("timestamp").alias("checked_at"), "status", F.lit(None).cast("long").alias("location_id"))
-    return I.apply_evidence(items, staged(frame(spark, sf, EVIDENCE), "evidence")).select("id", "status", "location_id")
+    #: Items of a hundred successive ids are one correction.
+    evidence = frame(spark, sf, EVIDENCE).withColumn("correction", F.expr("id - pmod(id, 100)"))
+    return I.apply_evidence(items, staged(evidence, "evidence")).select("id", "status", "location_id")
 
 
 @query("C9_subcategories", "SELECT DISTINCT lang AS category, source AS child FROM documents")
