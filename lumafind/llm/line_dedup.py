@@ -2,7 +2,7 @@
 
 A line is the set of its distinct words (lower-cased A-Z, split at 0x20 and 0x09-0x0D). It is removed when an
 earlier line of any document has Jaccard similarity of 0.8 or more with it, also one that is removed itself.
-Lines are named, and ordered, by doc_id, a hash of the whole text and their number. Equal sets collapse to
+Lines are named, and ordered, by doc_id, a hash of the whole text (0 where no other row has the doc_id) and their number. Equal sets collapse to
 their earliest line, first inside each task, so that a line found everywhere is shuffled once a task.
 
 The sets' words are ordered by rarity; two similar sets share a word among the first ``n - ceil(t*n) + 1`` of
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, slices, thin, written
+from ._common import FILTER_BITS, documents, slices, thin, written
 from ._hashing import buffers, hash_units, mix, set_keys, sketch
 
 PERCENT = 80
@@ -297,20 +297,39 @@ def _similar(percent: int, id_type: pa.DataType):
     return run
 
 
-def named(docs: DataFrame) -> DataFrame:
-    """doc_id, h and text of the rows that take part. Rows equal in both are one document."""
-    return docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
+def _bucket(column: str) -> F.Column:
+    return F.xxhash64(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
 
 
-def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, h (hash of the text), lines: numbers, from 0, of the lines with words that
+def repeated(docs: DataFrame) -> DataFrame:
+    """The buckets of the doc_ids that more than one row has."""
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    return written(ids.select(_bucket("doc_id").alias("__bucket")).distinct(), "repeated")
+
+
+def _hashed(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """docs with h: a hash of the text where other rows may have the doc_id, else 0, which costs little in a shuffle."""
+    if again.isEmpty():
+        return docs.withColumn("h", F.lit(0).cast("long"))
+    marked = docs.join(F.broadcast(again), _bucket("doc_id") == F.col("__bucket"), "left")
+    return marked.withColumn("h", F.when(F.col("__bucket").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("text"))).drop("__bucket")
+
+
+def named(docs: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """doc_id, h and text of the rows that take part. Rows equal in doc_id and h are one document."""
+    again = repeated(docs) if again is None else again
+    return _hashed(docs.filter("doc_id is not null and text is not null"), again).select("doc_id", "h", "text")
+
+
+def kept_lines(docs: DataFrame, percent: int = PERCENT, again: DataFrame | None = None) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, h (as in ``named``), lines: numbers, from 0, of the lines with words that
     stay. Documents without such lines are absent. Rows with a null doc_id or text take no part; rows that
     share a doc_id are told apart by their texts, equal ones are one document; of equal lines in one text the
     first counts; an empty table gives no rows."""
-    docs = named(docs.select("doc_id", "text"))
+    texts, docs = docs.filter("doc_id is not null and text is not null").select("text"), named(docs.select("doc_id", "text"), again)
     kind = dict(docs.dtypes)["doc_id"]
     id_type, context = _id_type(kind), docs.sparkSession.sparkContext
-    counts = sketch(docs.select("text"), _count)
+    counts = sketch(texts, _count)
     levels = context.broadcast(np.minimum(255, np.log2(counts + 1.0) * 6).astype(np.uint8))
     blocks = context.broadcast((1 + counts // BLOCK).astype(np.int32))
     schema = f"doc_id {kind}, h long, line int, n int, k1 long, k2 long, s1 long, s2 long, prefix array<long>"
@@ -380,8 +399,9 @@ def decisions(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     A null text has no lines, an empty one has one without words; of rows with a null doc_id all lines stay,
     and ``lines`` is null. Rows that share a doc_id have their own results, rows equal in doc_id and text the
     same one; an empty table gives no rows; other columns are ignored."""
-    kept = kept_lines(docs, percent).select(F.col("doc_id").alias("__id"), F.col("h").alias("__hash"), "lines")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    again = repeated(docs)
+    kept = kept_lines(docs, percent, again).select(F.col("doc_id").alias("__id"), F.col("h").alias("__hash"), "lines")
+    rows = _hashed(docs.select("doc_id", "text"), again).select("doc_id", "h", "text")
     counted = rows.mapInArrow(_counted, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, n_lines long, n_worded long")
     return counted.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("h") == F.col("__hash")), "left").select("doc_id", "n_lines", "n_worded", "lines")
 
@@ -409,8 +429,10 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     they are; rows that share a doc_id are told apart by their texts. Columns are those of docs."""
     names = [f"__{k}" for k in range(len(docs.columns))]
     where = docs.columns.index("text")
-    kept = kept_lines(docs, percent).select(F.col("doc_id").alias("id"), F.col("h").alias("hash"), "lines")
-    rows = docs.filter("doc_id is not null").toDF(*names).withColumn("h", F.xxhash64(names[where]))
+    again = repeated(docs)
+    kept = kept_lines(docs, percent, again).select(F.col("doc_id").alias("id"), F.col("h").alias("hash"), "lines")
+    named_rows = _hashed(docs.filter("doc_id is not null").select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)), "doc_id", "text"), again)
+    rows = named_rows.select(*names, "h")
     known = rows.join(kept, (F.col(names[docs.columns.index("doc_id")]) == F.col("id")) & (F.col("h") == F.col("hash")), "left")
     rebuilt = known.select(*names, "lines").mapInArrow(_rebuilt(docs.columns, where), docs.schema)
     return rebuilt.unionByName(docs.filter("doc_id is null"))

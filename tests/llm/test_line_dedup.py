@@ -103,3 +103,10 @@ def test_blocks_of_frequent_words():
             if c == c2 and d < d2 and (s == 2 or s != s2):
                 met[d, d2] = met.get((d, d2), 0) + 1
     assert met == {(d, e): 1 for d in range(n) for e in range(d + 1, n)}
+
+
+def test_a_hash_travels_only_where_a_doc_id_repeats(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (2, "c d"), (3, None), (3, "e f"), (None, "a b")], "doc_id long, text string")
+    names = {(r.doc_id, r.text): r.h for r in line_dedup.named(docs).collect()}
+    assert names.keys() == {(1, "a b"), (2, "a b"), (2, "c d"), (3, "e f")}
+    assert names[1, "a b"] == 0 and 0 not in (names[2, "a b"], names[2, "c d"], names[3, "e f"]) and names[2, "a b"] != names[2, "c d"]
