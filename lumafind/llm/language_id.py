@@ -8,7 +8,6 @@ most letters is the text's.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,19 +17,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, is_fold, kept, let_go, slices
+from ._common import documents, is_fold, let_go, slices
 
 #: Counters a language: n-grams of UTF-8 bytes by hash. 2**16 doubles are 0.5 MB for each language.
 BUCKETS = 1 << 16
-#: Distinct words that a task counts before it passes them on, and bytes of words whose n-grams it takes at once.
-FLUSH = 60_000
+#: Bytes of words whose n-grams are taken at once.
 LOT = 1 << 19
 #: Bytes of text that are labelled at a time, or one longer text.
 TEXTS = 1 << 21
 GRAMS = 4
 SWITCH = 4.0
-#: Words kept by a scorer between batches, and bytes of them; what one batch adds comes on top.
-MEMO, MEMO_BYTES = 60_000, 4 << 20
 #: First and last code point of letter ranges by script.
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF),
@@ -38,251 +34,301 @@ SCRIPTS = (
 )
 
 
-def letters(word: str) -> str:
-    return word.lower() if word.isalpha() else "".join(c for c in word if c.isalpha()).lower()
+#: Names of scripts, the greatest first; letters outside the table count as ``other``.
+KINDS = sorted([*(name for name, _, _ in SCRIPTS), "other"], reverse=True)
+_EDGES = sorted({e for _, a, b in SCRIPTS for e in (a, b + 1)})
+_KIND_FROM = np.array([KINDS.index(next((n for n, a, b in SCRIPTS if a <= e <= b), "other")) for e in (0, *_EDGES)])
+#: ASCII letters in lower case; other bytes are 0.
+_ASCII = np.array([ord(chr(c).lower()) if c < 128 and chr(c).isalpha() else 0 for c in range(256)], np.uint8)
 
 
-def _char_script(c: str) -> str:
-    return next((n for n, a, b in SCRIPTS if a <= ord(c) <= b), "other")
+def letters(word: str) -> str:
+    return word.lower() if word.isalpha() else "".join(c for c in word if c.isalpha()).lower()
 
 
-def script(word: str) -> str:
-    """The script of most letters; letters outside the table count as ``other``."""
-    if word.isascii():
-        return "latin"
-    found: dict[str, int] = {}
-    for c in word:
-        name = "latin" if c.isascii() else _char_script(c)
-        found[name] = found.get(name, 0) + 1
-    return max(found, key=lambda n: (found[n], n))
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each large string begins and the last one ends, and the bytes of all."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    return ends - ends[0], np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+
+
+def cleaned(words: pa.Array) -> pa.Array:
+    """The letters of each word; words in ASCII are taken as bytes, all at once."""
+    words = words.cast(pa.large_string())
+    ends, data = _bytes(words)
+    low = _ASCII[data]
+    inside = low != 0
+    places = np.concatenate(([0], np.cumsum(inside)))[ends]
+    plain = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(places), pa.py_buffer(low[inside]))
+    wide = pc.invert(pc.string_is_ascii(words))
+    return pc.replace_with_mask(plain, wide, pa.array([letters(w) for w in words.filter(wide).to_pylist()], pa.large_string()))
+
+
+def scripts(words: pa.Array) -> np.ndarray:
+    """The script of most letters of each word, by its place in KINDS; the first there among equals."""
+    found = np.full(len(words), KINDS.index("latin"))
+    wide = np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False))
+    if len(wide):
+        own = words.take(pa.array(wide))
+        points = np.frombuffer("".join(own.to_pylist()).encode("utf-32-le"), np.uint32)
+        owner = np.repeat(np.arange(len(wide)), pc.utf8_length(own).to_numpy())
+        kinds = _KIND_FROM[np.searchsorted(_EDGES, points, side="right")]
+        found[wide] = np.bincount(owner * len(KINDS) + kinds, minlength=len(wide) * len(KINDS)).reshape(-1, len(KINDS)).argmax(axis=1)
+    return found
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams, in UTF-8 bytes, of framed words, and the word that each belongs to."""
-    framed = [f"^{w}$".encode() for w in words]
-    data = np.frombuffer(b"".join(framed), np.uint8).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), [len(f) for f in framed])
-    buckets, owners = [], []
-    h = np.zeros(len(data), np.uint64)
+def grams(words: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each n the buckets of the n-grams, in UTF-8 bytes, from each byte of the framed words on (BUCKETS where
+    the word ends before), and where each word begins and the last one ends. No word is empty."""
+    first, last, between = (pa.scalar(s, words.type) for s in ("^", "$", ""))
+    ends, data = _bytes(pc.binary_join_element_wise(first, words, last, between))
+    data = data.astype(np.uint64)
+    found = []
+    h = np.zeros(len(data) + 1, np.uint64)
     for n in range(1, GRAMS + 1):
-        h = h[: len(data) - n + 1] * np.uint64(0x100000001B3) + data[n - 1 :] + np.uint64(n)
-        inside = owner[: len(h)] == owner[n - 1 :]
-        buckets.append(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)[inside] % BUCKETS)
-        owners.append(owner[: len(h)][inside])
-    return np.concatenate(buckets), np.concatenate(owners)
+        h = h[:-1] * np.uint64(0x100000001B3)
+        h += data[n - 1 :]
+        h += np.uint64(n)
+        buckets = np.full(len(data), BUCKETS)
+        buckets[: len(h)] = (((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & np.uint64(BUCKETS - 1)).view(np.int64)
+        for k in range(1, n):
+            buckets[ends[1:] - k] = BUCKETS
+        found.append(buckets)
+    return found, ends
+
+
+def _lots(words: pa.Array) -> Iterator[slice]:
+    """Runs of words with some LOT bytes, or one longer word."""
+    at = 0
+    for lot in slices(pa.record_batch([words], ["word"]), 0, LOT):
+        yield slice(at, at := at + len(lot))
 
 
-def _lots(words: list[str]) -> Iterator[slice]:
-    """Runs of words with some LOT bytes, or one longer word."""
-    at = size = 0
-    for k, w in enumerate(words):
-        size += len(w)
-        if size > LOT:
-            yield slice(at, k + 1)
-            at, size = k + 1, 0
-    if at < len(words):
-        yield slice(at, len(words))
+def _distinct(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words of letters, and the place of each word's letters among them, from 1; 0 if it has none."""
+    coded = cleaned(words).dictionary_encode()
+    some = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
+    return coded.dictionary.filter(pa.array(some)), np.where(some, np.cumsum(some), 0)[coded.indices.to_numpy()]
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     let_go("language")
-    counts: dict[str, Counter] = {}
-    held = 0
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        while counts:
-            lang, found = counts.popitem()
-            clean: Counter = Counter()
-            for raw, n in found.items():
-                if w := letters(raw):
-                    clean[w] += n
-            del found
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(clean), pa.string()), "word": pa.array(clean.keys(), pa.string()), "n": pa.array(clean.values(), pa.int64())})
-
+    tables: dict[str, np.ndarray] = {}
+    written: Counter = Counter()
     for whole in batches:
         for batch in slices(whole, 1, TEXTS):
             langs = batch.column(0)
             for lang in langs.unique():
-                texts = batch.column(1).filter(pc.equal(langs, lang))
+                texts, name = batch.column(1).filter(pc.equal(langs, lang)), lang.as_py()
+                table = tables.setdefault(name, np.zeros(BUCKETS))
                 found = pc.utf8_split_whitespace(texts).flatten().value_counts()
-                name = lang.as_py()
-                mine = counts.setdefault(name, Counter())
-                held -= len(mine)
-                mine.update(dict(zip(found.field(0).to_pylist(), found.field(1).to_pylist())))
-                held += len(mine)
-                if held > FLUSH:
-                    yield from rows()
-                    held = 0
-    yield from rows()
-
-
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables: dict[str, np.ndarray] = {}
-    scripts: Counter = Counter()
-    for batch in batches:
-        for lang in batch.column(0).unique():
-            mine, name = batch.filter(pc.equal(batch.column(0), lang)), lang.as_py()
-            words, counts = mine.column(1).to_pylist(), mine.column(2).to_numpy()
-            table = tables.setdefault(name, np.zeros(BUCKETS))
-            for lot in _lots(words):
-                buckets, owners = grams(words[lot])
-                table += np.bincount(buckets, counts[lot].astype(np.float64)[owners], BUCKETS)
-            for w, n in zip(words, counts.tolist()):
-                scripts[name, script(w)] += n
+                words, places = _distinct(found.field(0))
+                counts = np.bincount(places, found.field(1).to_numpy(), len(words) + 1)[1:]
+                for lot in _lots(words):
+                    buckets, ends = grams(words[lot])
+                    weights = np.repeat(counts[lot], np.diff(ends))
+                    for own in buckets:
+                        table += np.bincount(own, weights, BUCKETS + 1)[:BUCKETS]
+                totals = np.bincount(scripts(words), counts, len(KINDS))
+                for k in np.flatnonzero(totals).tolist():
+                    written[name, KINDS[k]] += int(totals[k])
     for lang, table in tables.items():
-        used = np.flatnonzero(table)
+        #: A language without any letter is a language all the same: one empty counter stands for it.
+        used = np.flatnonzero(table) if table.any() else np.zeros(1, np.int64)
         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(used), pa.string()), "script": pa.nulls(len(used), pa.string()), "bucket": pa.array(used, pa.int32()), "n": pa.array(table[used].astype(np.int64))})
-    if scripts:
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in scripts], pa.string()), "script": pa.array([k[1] for k in scripts], pa.string()), "bucket": pa.nulls(len(scripts), pa.int32()), "n": pa.array(scripts.values(), pa.int64())})
+    if written:
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in written], pa.string()), "script": pa.array([k[1] for k in written], pa.string()), "bucket": pa.nulls(len(written), pa.int32()), "n": pa.array(written.values(), pa.int64())})
 
 
 def learn(docs: DataFrame) -> dict:
     """docs(text, lang): counts over all rows with both. The result has a fixed size a language."""
     seen = docs.filter("text is not null and lang is not null").select("lang", "text")
-    words = seen.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    found = words.mapInArrow(_features, "lang string, script string, bucket int, n long").groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n"))
-    langs = sorted(r.lang for r in seen.select("lang").distinct().collect())
-    place = {lang: k for k, lang in enumerate(langs)}
-    counts, scripts = np.zeros((len(langs), BUCKETS)), {lang: {} for lang in langs}
+    found = seen.mapInArrow(_features, "lang string, script string, bucket int, n long").groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n"))
+    tables: dict[str, np.ndarray] = {}
+    written: dict[str, dict] = {}
     for r in found.toLocalIterator():
         if r.script is None:
-            counts[place[r.lang], r.bucket] = r.n
+            tables.setdefault(r.lang, np.zeros(BUCKETS))[r.bucket] = r.n
         else:
-            scripts[r.lang][r.script] = r.n
+            written.setdefault(r.lang, {})[r.script] = r.n
+    langs = sorted(tables)
+    counts = np.array([tables[lang] for lang in langs]).reshape(-1, BUCKETS)
     logs = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
     #: A language writes in a script if at least one word in 500 did.
-    writes = {lang: {s for s, n in found.items() if 500 * n >= sum(found.values())} for lang, found in scripts.items()}
-    return {"name": uuid.uuid4().hex, "langs": langs, "logs": logs.astype(np.float32), "writes": writes}
+    writes = {lang: {s for s, n in written.get(lang, {}).items() if 500 * n >= sum(written[lang].values())} for lang in langs}
+    return {"langs": langs, "logs": logs.astype(np.float32), "writes": writes}
 
 
 class Scorer:
     def __init__(self, model: dict):
-        self.langs, self.logs, self.writes = model["langs"], model["logs"], model["writes"]
-        self.memo: dict[str, int] = {}
-        self.used = self.bytes = 0
-        self.rows, self.sizes = np.zeros((1, len(self.langs)), np.float32), np.zeros(1, np.int64)
-
-    def add(self, raws: list[str]) -> None:
-        """Score new words; one without letters has place 0. Scores are mean n-gram log-likelihoods times the
-        root of the word's length, so that long words don't drown their neighbours."""
-        clean = [letters(r) for r in raws]
-        self.bytes += sum(map(len, raws)) + sum(map(len, clean))
-        new = [w for w in dict.fromkeys(clean) if w and "\0" + w not in self.memo]
-        for lot in _lots(new):
-            own = new[lot]
-            buckets, owners = grams(own)
-            n = np.bincount(owners, minlength=len(own))
-            lengths = np.array([len(w) for w in own])
-            scores = np.stack([np.bincount(owners, table[buckets], len(own)) for table in self.logs], axis=1) / n[:, None] * np.sqrt(lengths + 1)[:, None]
-            scripts = [script(w) for w in own]
-            for s in set(scripts):
-                able = np.array([s in self.writes[lang] for lang in self.langs])
-                if able.any() and not able.all():
-                    these = np.flatnonzero(np.array([x == s for x in scripts]))
-                    low = scores[these].min(axis=1, keepdims=True) - 20
-                    scores[these] = np.where(able, scores[these], low)
-            self.memo.update(zip(("\0" + w for w in own), range(self.used, self.used + len(own))))
-            self.used += len(own)
-            self.parts.append(scores.astype(np.float32))
-            self.part_sizes.append(lengths)
-        for raw, w in zip(raws, clean):
-            self.memo[raw] = self.memo["\0" + w] if w else 0
-
-    def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The scored place of each word of all texts in a row, and where each text's words begin."""
-        if len(self.memo) > MEMO or self.bytes > MEMO_BYTES or not self.used:
-            self.memo.clear()
-            self.bytes = 0
-            self.used, self.parts, self.part_sizes = 1, [np.zeros((1, len(self.langs)), np.float32)], [np.zeros(1, np.int64)]
+        self.langs, self.writes = model["langs"], model["writes"]
+        #: What lies beyond a word's end adds nothing.
+        self.logs = [np.append(table.astype(np.float64), 0.0) for table in model["logs"]]
+
+    def score(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(languages, 1 + words) scores and the words' lengths; place 0 is a word without letters. Scores are mean n-gram
+        log-likelihoods times the root of the word's length, so that long words don't drown their neighbours."""
+        lengths = np.concatenate(([0], pc.utf8_length(words).to_numpy()))
+        scores = np.zeros((len(self.langs), 1 + len(words)), np.float32)
+        kinds = scripts(words)
+        able = np.array([[name in self.writes[lang] for name in KINDS] for lang in self.langs])
+        for lot in _lots(words):
+            buckets, ends = grams(words[lot])
+            size = np.diff(ends)
+            weight = np.sqrt(lengths[1:][lot] + 1) / sum(np.maximum(size - n, 0) for n in range(GRAMS))
+            sums = np.stack([np.add.reduceat(sum(table[b] for b in buckets), ends[:-1]) for table in self.logs]) * weight
+            for kind in np.unique(kinds[lot]):
+                if able[:, kind].any() and not able[:, kind].all():
+                    these = np.flatnonzero(kinds[lot] == kind)
+                    sums[:, these] = np.where(able[:, [kind]], sums[:, these], sums[:, these].min(axis=0) - 20)
+            scores[:, 1:][:, lot] = sums
+        return scores, lengths
+
+    def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The scored place of each word of all texts in a row, where each text's words begin and the last one's end, the
+        scores of the places and their lengths."""
         split = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.memo]:
-            self.add(new)
-            self.rows, self.sizes = np.concatenate(self.parts), np.concatenate(self.part_sizes)
-            self.parts, self.part_sizes = [self.rows], [self.sizes]
-        found = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        words, places = _distinct(coded.dictionary)
+        codes = coded.indices.to_numpy()
         ends = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))
         #: Leading or trailing white space leaves an empty piece, which is no word.
-        worded = pc.not_equal(split.flatten(), "").to_numpy(zero_copy_only=False)
-        return found[worded], np.concatenate(([0], np.cumsum(worded)))[ends]
+        worded = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)[codes]
+        return places[codes][worded], np.concatenate(([0], np.cumsum(worded)))[ends], *self.score(words)
+
+
+#: Words of a sequence that are taken in a row, and words before them from which their first state is estimated.
+BLOCK, WARM = 192, 32
+
+
+def _forward(rows: np.ndarray, words: np.ndarray, begin: np.ndarray, last: np.ndarray, before: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Run pieces of words, from begin up to last, side by side. before: (labels, pieces) states ahead of them. Returns
+    the order of the pieces, (steps, pieces) places of words and (labels, steps, pieces) scores below the best label."""
+    order = np.argsort(begin - last, kind="stable")
+    sizes = (last - begin)[order]
+    at = np.minimum(begin[order] + np.arange(sizes[0])[:, None], last[order] - 1)
+    below, state = rows[:, words[at]], before[:, order]
+    for t, n in enumerate(np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")):
+        now, held = below[:, t, :n], state[:, :n]
+        now += held
+        now -= now.max(axis=0)
+        np.maximum(now, -switch, out=held)
+    return order, at, below
+
+
+def paths(rows: np.ndarray, words: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray:
+    """Best labels of the words of many sequences, none of them empty, by Viterbi. rows: (labels, places) scores; words:
+    the sequences' places in a row; bounds: where each begins and the last one ends.
+
+    What a word hands on is how far each label lies below the best one, at most ``switch``. Where one label leads all
+    others by that much the past is forgotten, so blocks of a sequence start side by side, from a state found over
+    WARM words ahead of them. A block whose state isn't exactly what the block before it hands on is run again."""
+    lengths = np.diff(bounds)
+    blocks = -(-lengths // BLOCK)
+    owner = np.repeat(np.arange(len(lengths)), blocks)
+    starts = bounds[:-1][owner]
+    first = starts + BLOCK * (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    last = np.minimum(first + BLOCK, bounds[1:][owner])
+    below = np.empty((len(rows), len(words)), rows.dtype)
+    assumed = np.zeros((len(rows), len(owner)), rows.dtype)
+
+    def run(which: np.ndarray, begin: np.ndarray) -> None:
+        order, at, found = _forward(rows, words, begin, last[which], assumed[:, which], switch)
+        begin, which = begin[order], which[order]
+        step = np.arange(len(at))[:, None]
+        own = (step >= first[which] - begin) & (step < last[which] - begin)
+        below[:, at[own]] = found[:, own]
+        warm = np.flatnonzero(begin < first[which])
+        assumed[:, which[warm]] = np.maximum(found[:, (first[which] - begin)[warm] - 1, warm], -switch)
+
+    run(np.arange(len(owner)), np.maximum(first - WARM, starts))
+    later = np.flatnonzero(first > starts)
+    while True:
+        handed = np.maximum(below[:, first[later] - 1], -switch)
+        wrong = np.flatnonzero((handed != assumed[:, later]).any(axis=0))
+        if not len(wrong):
+            break
+        #: Only the first of a sequence: what the next ones get may change with it.
+        wrong = wrong[np.unique(owner[later[wrong]], return_index=True)[1]]
+        assumed[:, later[wrong]] = handed[:, wrong]
+        run(later[wrong], first[later[wrong]])
+
+    tops = below.argmax(axis=0)
+    #: For each label and word the last word up to it that a path with this label reached from another one.
+    since = np.zeros(below.shape, np.int32 if len(words) < 1 << 31 else np.int64)
+    for own, near in zip(since, below):
+        left = np.flatnonzero(near[:-1] < -switch) + 1
+        own[left] = left
+        own[bounds[:-1]] = bounds[:-1]
+        np.maximum.accumulate(own, out=own)
+    del below
+    marks = np.zeros(len(words), bool)
+    labels = np.zeros(len(words), np.int32)
+    start, at = bounds[:-1], bounds[1:] - 1
+    while len(at):
+        label = tops[at]
+        at = since[label, at]
+        marks[at], labels[at] = True, label
+        start, at = start[at > start], at[at > start] - 1
+    spans = np.flatnonzero(marks)
+    return np.repeat(labels[spans], np.diff(np.append(spans, len(words))))
 
 
 def viterbi(rows: np.ndarray, index: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
-    """Best labels of many sequences at once. rows: (places, labels) scores; index: (longest, sequences) places,
-    the sequences falling in length. Returns (longest, sequences) labels; what lies beyond a sequence's length
-    has no meaning. A step keeps its best label and one bit a label, which tells whether that label stayed."""
-    steps, many = index.shape
-    labels = rows.shape[1]
-    kind = np.uint8 if labels <= 256 else np.int32
-    best = rows[index[0]].copy() if steps else np.zeros((many, labels), rows.dtype)
-    tops = np.zeros((steps, many), kind)
-    stays = np.zeros((steps, many, -(-labels // 8)), np.uint8)
-    alive = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    for t in range(1, steps):
-        n = alive[t]
-        top = best[:n].argmax(axis=1)
-        jump = best[np.arange(n), top] - switch
-        stay = best[:n] >= jump[:, None]
-        tops[t, :n], stays[t, :n] = top, np.packbits(stay, axis=1, bitorder="little")
-        best[:n] = np.where(stay, best[:n], jump[:, None]) + rows[index[t, :n]]
-    out = np.zeros((steps, many), kind)
-    label = best.argmax(axis=1)
-    for t in range(steps - 1, -1, -1):
-        n = alive[t]
-        out[t, :n] = now = label[:n]
-        stayed = stays[t, np.arange(n), now >> 3] >> (now & 7) & 1
-        label[:n] = np.where(stayed, now, tops[t, :n])
-    return out
-
-
-#: Words, filled up to the longest text of a lot, that are labelled together.
-PART = 1 << 19
+    """``paths`` of the columns of index, (longest, sequences) places. rows: (places, labels) scores. Returns (longest,
+    sequences) labels; what lies beyond a sequence's length has no meaning."""
+    inside = (np.arange(len(index))[:, None] < lengths).T
+    out = np.zeros(index.T.shape, np.int32)
+    out[inside] = paths(np.ascontiguousarray(rows.T), index.T[inside], np.concatenate(([0], np.cumsum(lengths))), switch)
+    return out.T
+
+
+#: Scores of words, one a label, that are held while texts are labelled together, or those of one longer text.
+PART = 1 << 21
 
 
 def label_texts(scorer: Scorer, texts: pa.Array, switch: float = SWITCH) -> list[tuple[str, float, list]]:
     """(language, score, spans) of each text; a span is (first word, one past the last word, language)."""
     found: list = [("und", 0.0, [])] * len(texts)
-    if not scorer.langs:
+    labels = len(scorer.langs)
+    if not labels:
         return found
-    flat, bounds = scorer.places(texts)
-    rows, sizes, labels = scorer.rows, scorer.sizes, len(scorer.langs)
-    places = [flat[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
-    order = sorted((k for k, p in enumerate(places) if p.any()), key=lambda k: -len(places[k]))
+    flat, bounds, rows, sizes = scorer.places(texts)
+    #: A word without letters adds nothing: it goes with the next word that has some, or with the last one.
+    real = np.flatnonzero(flat)
+    ends = np.searchsorted(real, bounds)
+    which = np.flatnonzero(np.diff(ends))
+    ends = np.append(ends[which], len(real))
     at = 0
-    while at < len(order):
-        longest = len(places[order[at]])
-        lot = order[at : at + max(1, PART // longest)]
-        at += len(lot)
-        lengths = np.array([len(places[k]) for k in lot])
-        index = np.zeros((longest, len(lot)), np.int64)
-        for c, k in enumerate(lot):
-            index[: lengths[c], c] = places[k]
-        paths = viterbi(rows, index, lengths, switch)
-        for c, k in enumerate(lot):
-            path, words = paths[: lengths[c], c], places[k]
-            weight = np.bincount(path, sizes[words], minlength=labels)
-            best = int(weight.argmax())
-            own = words[words > 0]
-            total = sum(rows[own[x : x + PART]].sum(axis=0, dtype=np.float64) for x in range(0, len(own), PART))
-            means = total / len(own)
-            share = np.exp((means - means.max()) * min(len(words), 20))
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1, [len(path)])).tolist()
-            found[k] = (scorer.langs[best], float(weight[best] / weight.sum() * share[best] / share.sum()), [(a, b, scorer.langs[path[a]]) for a, b in zip(edges, edges[1:])])
+    while at < len(which):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PART // labels, side="right")) - 1)
+        lot, part = which[at:to], ends[at : to + 1] - ends[at]
+        places = real[ends[at] : ends[to]]
+        words = flat[places]
+        path = paths(rows, words, part, switch)
+        text = np.repeat(np.arange(len(lot)), np.diff(part))
+        weight = np.bincount(text * labels + path, sizes[words], len(lot) * labels).reshape(-1, labels)
+        means = np.stack([np.bincount(text, own[words], len(lot)) for own in rows], axis=1) / np.diff(part)[:, None]
+        counts = np.diff(bounds)[lot]
+        share = np.exp((means - means.max(axis=1, keepdims=True)) * np.minimum(counts, 20)[:, None])
+        best = weight.argmax(axis=1)
+        row = np.arange(len(lot))
+        scores = weight[row, best] / weight.sum(axis=1) * share[row, best] / share.sum(axis=1)
+        edge = np.concatenate(([True], (np.diff(path) != 0) | (np.diff(text) != 0)))
+        edge = np.flatnonzero(edge)
+        begins = np.where(np.isin(edge, part), 0, places[edge - 1] + 1 - bounds[lot][text[edge]]).tolist()
+        spoken, cuts = path[edge].tolist(), np.searchsorted(edge, part).tolist()
+        for k, (name, score, count, a, b) in enumerate(zip(best.tolist(), scores.tolist(), counts.tolist(), cuts, cuts[1:])):
+            spans = zip(begins[a:b], [*begins[a + 1 : b], count], spoken[a:b])
+            found[lot[k]] = (scorer.langs[name], score, [(x, y, scorer.langs[s]) for x, y, s in spans])
+        at = to
     return found
 
 
-_SCORERS: dict[str, Scorer] = kept("language", {})
-
-
 def _scorer(model) -> Scorer:
-    """One scorer a worker and model."""
     let_go("language")
-    name = model.value["name"]
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(model.value)
-    return _SCORERS[name]
+    return Scorer(model.value)
 
 
 def _predict(model, spans: bool, carried: list[str]):
