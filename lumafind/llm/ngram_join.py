@@ -98,7 +98,7 @@ def _similar(percent: int, id_type: pa.DataType):
 def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (u, v) whose whole shingle sets reach the similarity. A text is sent once for each pair it is in."""
     kind = dict(pairs.dtypes)["u"]
-    ids = pairs.select("u").union(pairs.select("v")).distinct()
+    ids = pairs.select("u").union(pairs.select("v"))
     texts = thin(docs.select(F.col("doc_id").alias("node"), "text"), "node", ids).groupBy("node").agg(F.collect_set("text").alias("texts"))
     left = pairs.join(texts.withColumnsRenamed({"node": "u", "texts": "tu"}), "u")
     both = left.join(texts.withColumnsRenamed({"node": "v", "texts": "tv"}), "v").select("u", "v", F.explode("tu").alias("a"), "tv").select("u", "v", "a", F.explode("tv").alias("b"))
@@ -139,7 +139,7 @@ def searched(asked: DataFrame, members: DataFrame, docs: DataFrame, percent: int
     sizes = asked.groupBy("holds").agg(F.expr("1 + count(*) div 2048").alias("lots")).join(members.groupBy("holds").agg(F.expr("1 + count(*) div 256").alias("blocks")), "holds")
     asks = asked.join(sizes, "holds").withColumn("lot", F.pmod(F.xxhash64("u"), "lots")).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
     held = members.join(sizes, "holds").withColumn("block", F.pmod(F.xxhash64("v"), "blocks")).withColumn("lot", F.explode(F.expr("sequence(0L, lots - 1)")))
-    need = asked.select("u").union(held.select("v")).distinct()
+    need = asked.select("u").union(held.select("v"))
     texts = thin(docs.select(F.col("doc_id").alias("node"), "text"), "node", need).groupBy("node").agg(F.collect_set("text").alias("texts"))
 
     def with_text(frame: DataFrame, column: str) -> DataFrame:
@@ -187,6 +187,8 @@ def document_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     links = written(verified(written(_near_leaders(marks), "near"), docs, percent), "links")
     grouped = written(_grouped(reps, links), "grouped")
+    #: The groups as stars reach what the links reach.
+    joins = grouped.filter("node <> grp").select(F.col("node").alias("u"), F.col("grp").alias("v"))
     groups = grouped.groupBy("grp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("size"))
 
     def reach(a: str, b: str) -> F.Column:
@@ -212,16 +214,19 @@ def document_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     opened = written(opened.select(F.when(smaller, F.col("agrp")).otherwise(F.col("bgrp")).alias("asks"), F.when(smaller, F.col("bgrp")).otherwise(F.col("agrp")).alias("holds"), (F.col("asize") + F.col("bsize")).alias("size")), "opened")
 
     if not opened.isEmpty():
-        links = links.union(written(verified(opened.select(F.col("asks").alias("u"), F.col("holds").alias("v")), docs, percent), "links"))
+        fresh = written(verified(opened.select(F.col("asks").alias("u"), F.col("holds").alias("v")), docs, percent), "links")
+        links, joins = links.union(fresh), joins.union(fresh)
         if not opened.filter("size > 2").isEmpty():
-            now = components(links)
+            #: Both ends of these links are groups.
+            now = components(fresh)
             apart = opened.filter("size > 2").join(named(now, "a"), F.col("asks") == F.col("anode"), "left").join(named(now, "b"), F.col("holds") == F.col("bnode"), "left").filter(~F.coalesce(F.col("acomponent") == F.col("bcomponent"), F.lit(False)))
             hits = matrix.join(apart.select(F.col("asks").alias("grp"), "holds"), "grp").join(unions.select("token", F.col("grp").alias("holds")), ["token", "holds"])
             asked = hits.groupBy("holds", "node").agg(F.count("*").alias("common")).join(reps.select("node", "lo"), "node").join(groups.select(F.col("grp").alias("holds"), F.col("lo").alias("least")), "holds")
             asked = written(asked.filter(F.col("common") >= F.least(F.expr("1 + lo div 20"), F.expr("1 + least div 20"))).select("holds", F.col("node").alias("u")), "asked")
-            links = links.union(written(searched(asked, grouped.select(F.col("grp").alias("holds"), F.col("node").alias("v")), docs, percent), "links"))
+            fresh = written(searched(asked, grouped.select(F.col("grp").alias("holds"), F.col("node").alias("v")), docs, percent), "links")
+            links, joins = links.union(fresh), joins.union(fresh)
 
-    linked = components(links.union(members.filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))))
+    linked = components(joins.union(members.filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))))
     degree = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count("*").alias("n_links"))
     return (
         rows.select("doc_id", "n_shingles")
