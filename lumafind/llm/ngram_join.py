@@ -133,14 +133,17 @@ def _search(percent: int, id_type: pa.DataType):
 def searched(asked: DataFrame, members: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """asked(holds, u) against members(holds, v) of the same opened group: one link (u, v) for each block of
     the group in which u has a similar member. A group's members are dealt into blocks of some 256 and its
-    askers into lots of some 2,048, so that no task holds a whole group; a member's text is sent once a lot."""
+    askers into lots of some 2,048, so that no task holds a whole group; a member's text is sent once a lot.
+    Sizes, members and texts are written first: as one plan, the driver optimizes it anew after each shuffle."""
     kind = dict(asked.dtypes)["u"]
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     sizes = asked.groupBy("holds").agg(F.expr("1 + count(*) div 2048").alias("lots")).join(members.groupBy("holds").agg(F.expr("1 + count(*) div 256").alias("blocks")), "holds")
+    sizes = written(sizes, "sizes")
+    placed = written(members.join(sizes, "holds").withColumn("block", F.pmod(F.xxhash64("v"), "blocks")), "placed")
     asks = asked.join(sizes, "holds").withColumn("lot", F.pmod(F.xxhash64("u"), "lots")).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    held = members.join(sizes, "holds").withColumn("block", F.pmod(F.xxhash64("v"), "blocks")).withColumn("lot", F.explode(F.expr("sequence(0L, lots - 1)")))
-    need = asked.select("u").union(held.select("v"))
-    texts = thin(docs.select(F.col("doc_id").alias("node"), "text"), "node", need).groupBy("node").agg(F.collect_set("text").alias("texts"))
+    held = placed.withColumn("lot", F.explode(F.expr("sequence(0L, lots - 1)")))
+    need = asked.select("u").union(placed.select("v"))
+    texts = written(thin(docs.select(F.col("doc_id").alias("node"), "text"), "node", need).groupBy("node").agg(F.collect_set("text").alias("texts")), "texts")
 
     def with_text(frame: DataFrame, column: str) -> DataFrame:
         return frame.join(texts.withColumnRenamed("node", column), column).select("holds", "block", "lot", column, F.explode("texts").alias("text"))
@@ -219,7 +222,7 @@ def document_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if not opened.filter("size > 2").isEmpty():
             #: Both ends of these links are groups.
             now = components(fresh)
-            apart = opened.filter("size > 2").join(named(now, "a"), F.col("asks") == F.col("anode"), "left").join(named(now, "b"), F.col("holds") == F.col("bnode"), "left").filter(~F.coalesce(F.col("acomponent") == F.col("bcomponent"), F.lit(False)))
+            apart = written(opened.filter("size > 2").join(named(now, "a"), F.col("asks") == F.col("anode"), "left").join(named(now, "b"), F.col("holds") == F.col("bnode"), "left").filter(~F.coalesce(F.col("acomponent") == F.col("bcomponent"), F.lit(False))), "apart")
             hits = matrix.join(apart.select(F.col("asks").alias("grp"), "holds"), "grp").join(unions.select("token", F.col("grp").alias("holds")), ["token", "holds"])
             asked = hits.groupBy("holds", "node").agg(F.count("*").alias("common")).join(reps.select("node", "lo"), "node").join(groups.select(F.col("grp").alias("holds"), F.col("lo").alias("least")), "holds")
             asked = written(asked.filter(F.col("common") >= F.least(F.expr("1 + lo div 20"), F.expr("1 + least div 20"))).select("holds", F.col("node").alias("u")), "asked")
