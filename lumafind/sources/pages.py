@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(", ".join(f"{c} string" for c in ROW_COLUMNS)).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    """What write_csv wrote: nothing between commas is null, a pair of quotes an empty text. Spark tells these apart only
+    if null has a name of its own, which no field can have."""
+    rows = spark.read.schema(", ".join(f"{c} string" for c in ROW_COLUMNS)).option("header", True).option("escape", '"').option("multiLine", True)
+    return rows.option("nullValue", uuid.uuid4().hex).option("emptyValue", "").csv(path)
 
 
 def write_table(df: DataFrame, path: str, month_of: str | None = None) -> None:
