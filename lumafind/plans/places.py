@@ -144,14 +144,14 @@ def expand_radius(spark, sf):
 @query("E5_radius_added", SCOPE.format(50000.0) + " SELECT query_id, location_id FROM m WHERE distance > 20000")
 def radius_added(spark, sf):
     p, l = places(spark, sf)
-    return P.radius_added(P.multi_scope(p, l, 50000.0), 20000.0, 50000.0)
+    around = P.circles(p)
+    return around.expand(P.radius_added(P.leading_scope(around, l, 50000.0), 20000.0, 50000.0))
 
 
 @query("E6_nearest_place", SCOPE.format(50000.0) + " SELECT query_id, location_id AS item_id, arg_min(place_name, (round(w.distance, 6), position)) AS place_name FROM w JOIN m USING (query_id, location_id) GROUP BY 1, 2")
 def nearest_place(spark, sf):
     p, l = places(spark, sf)
-    items = P.multi_scope(p, l, 50000.0).join(l.select(F.col("id").alias("location_id"), "latitude", "longitude"), "location_id").select("query_id", F.col("location_id").alias("item_id"), "latitude", "longitude")
-    return P.nearest_place(items, p)
+    return P.nearest_in_scope(p, l, 50000.0)
 
 
 COUNTS = f"l AS ({INSTITUTIONS}), i AS ({ITEMS}), c AS (SELECT l.id, source_code, name, (SELECT count(*) FROM i WHERE storage_location_id = l.id AND status = 'matched') AS item_count FROM l WHERE is_active AND source_code = 'police')"
@@ -170,7 +170,8 @@ def location_counts(spark, sf):
 @query("E8_scope_totals", SCOPE.format(50000.0) + f", i AS ({ITEMS}), c AS (SELECT id, (SELECT count(*) FROM i WHERE storage_location_id = l.id AND status = 'matched') AS item_count FROM l WHERE is_active AND source_code = 'police') SELECT query_id, CAST(sum(item_count) AS BIGINT) AS items, count(*) AS institutions FROM m JOIN c ON c.id = location_id GROUP BY 1")
 def scope_totals(spark, sf):
     p, l = places(spark, sf)
-    return P.scope_totals(P.multi_scope(p, l, 50000.0), counts(spark, sf))
+    around = P.circles(p)
+    return around.expand(P.scope_totals(P.leading_scope(around, l, 50000.0), counts(spark, sf)))
 
 
 @query("E8_coordinate_groups", "SELECT s_nationkey + 0.5 AS latitude, 127.5 AS longitude, list_sort(list(s_suppkey)) AS ids FROM supplier GROUP BY 1")
