@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from lumafind.operators import places as P
+from lumafind.sources.staged import lean
 from test_whole_jobs import agree
 
 
@@ -40,3 +41,13 @@ def test_queries_with_the_same_places_are_answered_once(spark):
     steps = {r.query_id: r.radius for r in P.expand_radius(p.withColumn("requested", F.expr("if(query_id = 7, 9000, 1000)")), loc, [5000.0, 12000.0, 40000.0]).collect()}
     least = {q: max(min(m for (x, _), m in want.items() if x == q), 9000 if q == 7 else 1000) for q in {q for q, *_ in places}}
     assert steps == {q: min(r for r in (5000.0, 12000.0, 40000.0) if r >= m) for q, m in least.items() if m <= 40000}
+
+
+def test_large_frames_are_never_gathered_to_be_broadcast(spark):
+    rows = spark.range(100)
+    few, many = lean(spark.range(5), "few", 5), lean(spark.range(6), "many", 5)
+    assert "BroadcastHashJoin" in rows.join(few, "id")._jdf.queryExecution().executedPlan().toString()
+    for how in ("inner", "left_semi", "left_anti"):
+        joined = rows.join(many.select("id").filter("id < 3"), "id", how)
+        joined.collect()
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
