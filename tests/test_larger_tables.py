@@ -5,8 +5,10 @@ import math
 import duckdb
 from pyspark.sql import functions as F
 
+from lumafind.operators import ingest
 from lumafind.operators import places as P
 from lumafind.sources.staged import lean
+from lumafind.streaming import streams
 from test_whole_jobs import agree
 
 
@@ -51,3 +53,18 @@ def test_large_frames_are_never_gathered_to_be_broadcast(spark):
         joined = rows.join(many.select("id").filter("id < 3"), "id", how)
         joined.collect()
         assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_repeated_batch_tells_the_same_changes(spark, tmp_path):
+    path, out = str(tmp_path / "table"), str(tmp_path / "out")
+    schema = "item_source_code string, atc_id string, found_sequence string, payload string, since long, until long"
+    shape = lambda rows: rows.select(*streams.KEYS, F.get_json_object("payload", "$.n").alias("n"), "since", "until", "change")
+    sink = streams.compared_sink(path, out, streams.KEYS, shape)
+    batch = lambda *rows: spark.createDataFrame([("p", a, "1", p, s, u) for a, p, s, u in rows], schema)
+    told = lambda k: sorted((r.atc_id, r.change) for r in spark.read.parquet(f"{out}/batch={k}").collect())
+    sink(batch(("a", '{"n":"1"}', 1, 1), ("b", '{"n":"1"}', 1, 1)), 0)
+    second = batch(("a", '{"n":"2"}', 1, 2), ("b", '{"n":"1"}', 1, 1), ("c", '{"n":null}', 3, 3))
+    for _ in range(2):
+        sink(second, 1)
+        assert told(0) == [("a", "insert"), ("b", "insert")] and told(1) == [("a", "update"), ("c", "insert")]
+        assert sorted((r.atc_id, r.n, r.until) for r in ingest.read_buckets(spark, path).collect()) == [("a", "2", 2), ("b", "1", 1), ("c", None, 3)]
