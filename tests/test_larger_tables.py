@@ -5,6 +5,7 @@ import math
 import duckdb
 from pyspark.sql import functions as F
 
+from lumafind.operators import alerts as A
 from lumafind.operators import ingest
 from lumafind.operators import places as P
 from lumafind.operators import vectors as V
@@ -91,3 +92,17 @@ def test_pairs_of_many_blocks(spark, monkeypatch):
     near, cos = pairs.select("query_id", "id", (1 - V.hamming(F.col("qc"), F.col("code")) / 4).alias("score")), pairs.select("query_id", "id", F.round(V.cosine(F.col("a"), F.col("v")), 6).alias("score"))
     swept = lambda df: sorted(map(tuple, df.select("weight", "recall_2", "recall_9").collect()))
     assert swept(V.scope_sweep(queries, rows, judged, [0.5, 0.7, 1.0], [2, 9])) == swept(V.weight_sweep(near, cos, judged, [0.5, 0.7, 1.0], [2, 9]))
+
+
+def test_alerts_pair_places_with_institutions_of_items_only(spark, monkeypatch):
+    sizes = {}
+    monkeypatch.setattr(A, "staged", lambda df, name: sizes.setdefault(name, df.localCheckpoint()))
+    time = F.lit("2024-06-01").cast("timestamp")
+    queue = spark.range(30).select("id", time.alias("created_at"), F.lit(None).cast("timestamp").alias("checked_until"))
+    places = spark.range(30).select(F.col("id").alias("query_id"), (F.lit(37.0) + F.col("id") % 2).alias("latitude"), F.lit(127.0).alias("longitude"))
+    homes = spark.range(50).select("id", F.lit(37.0).alias("latitude"), F.lit(127.0).alias("longitude"), (F.col("id") != 3).alias("is_active"))
+    items = spark.range(100, 104).select("id", F.lit("s").alias("item_source_code"), (F.col("id") - 98).alias("location_id"), (time + F.expr("interval 1 day")).alias("visible_since"), (time + F.expr("interval 1 day")).alias("first_seen_at"))
+    told = queue.filter("id = 4").select(F.col("id").alias("reservation_id"), F.lit(100).cast("long").alias("item_id"))
+    found = {(r.reservation_id, r.item_id) for r in A.alert_candidates(queue, places, homes, items, told, "s", 1000.0).collect()}
+    assert found == {(q, i) for q in range(0, 30, 2) for i in (100, 102, 103)} - {(4, 100)}
+    assert sizes["near"].count() == 3
